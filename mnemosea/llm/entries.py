@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from mnemosea.llm.bpe import op4_bpe
 from mnemosea.llm.mixing import op1_pareto_mix
+from mnemosea.llm.warc import SQL_OP10, op10_warc
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op4_bpe": op4_bpe,
+    "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_warc": SQL_OP10,
+}
