@@ -81,12 +81,18 @@ def byte_lengths(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
 
 
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
 def lowered_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased: all words in one
     array, and the offsets at which each text's words begin (one more than texts).
     A null text has no words."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    data, starts = text_bytes(texts)
+    if lower:
+        data = _LOWER[data]
+    whole = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(starts)), pa.py_buffer(np.ascontiguousarray(data)))
+    split = pc.ascii_split_whitespace(whole)
     values = split.values
     offsets = np.asarray(split.offsets).astype(np.int64)
     real = np.asarray(pc.binary_length(values)) > 0
