@@ -5,11 +5,13 @@ from __future__ import annotations
 from mnemosea.llm.bpe import op4_bpe
 from mnemosea.llm.lm_score import op9_lm_score
 from mnemosea.llm.mixing import op1_pareto_mix
+from mnemosea.llm.near_dup import op8_near_dup
 from mnemosea.llm.warc import SQL_OP10, op10_warc
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op4_bpe": op4_bpe,
+    "op8_near_dup": op8_near_dup,
     "op9_lm_score": op9_lm_score,
     "op10_warc": op10_warc,
 }
