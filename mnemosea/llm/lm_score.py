@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from mnemosea.llm._common import crc_mod, encoded, lowered_words, materialise, mixed, read_table, sliced
 
 #: Bytes of text in a chunk.
-CHUNK = 16 << 20
+CHUNK = 6 << 20
 #: N-grams that a shard adds up, about.
 SHARD_ITEMS = 2_000_000
 #: Weight, in tokens, of the unigram model in a state that was seen c times: SCALE * c ** POWER.
@@ -62,15 +62,16 @@ class Chunk:
         end, start = len(hashes), len(hashes) + 1
         self.sizes = np.diff(offsets) + 1
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.tokens = np.full(int(self.begin[-1]), end, np.int64)
+        self.tokens = np.full(int(self.begin[-1]), end, np.int32)
         inside = np.ones(len(self.tokens), bool)
         inside[self.begin[1:] - 1] = False
         self.tokens[inside] = codes
         self.before = np.empty_like(self.tokens)
         self.before[1:] = self.tokens[:-1]
         self.before[self.begin[:-1]] = start
-        pairs, self.pair = np.unique(self.before * (start + 1) + self.tokens, return_inverse=True)
-        weight = np.repeat(train.astype(np.float64), self.sizes)
+        pairs, self.pair = np.unique(self.before.astype(np.int64) * (start + 1) + self.tokens, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
+        weight = np.repeat(train.astype(np.float32), self.sizes)
         first, second = self.hashes[pairs // (start + 1)], self.hashes[pairs % (start + 1)]
         one = np.uint64(1)
         keys = np.concatenate([mixed(self.hashes[: end + 1]) | one, mixed(mixed(first) * np.uint64(3) + second) & ~one])
@@ -152,7 +153,8 @@ def corpus_counts(chunks: DataFrame, shards: int) -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 c = _chunk(row)
                 edge = c.edges(shards)
                 parts = [slice(*x) for x in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
@@ -203,9 +205,9 @@ def score(docs: DataFrame, train: Column, *, scale: float = SCALE, power: float
 
     def walk(left, right):
         out = []
+        answers = right.sort_by("shard")["counts"].to_pylist()
         for row in left.to_pylist():
             c = _chunk(row)
-            answers = right.sort_by("shard")["counts"].to_pylist()
             words, pairs = c.corpus(np.concatenate([_unpack(x, np.uint64) for x in answers]).astype(np.float64))
             machine = Automaton(words, pairs, c, total=total, types=types, texts=texts, scale=scale, power=power)
             at = c.begin[:-1]
