@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from mnemosea.llm.bpe import op4_bpe
+from mnemosea.llm.langid import op3_langid
 from mnemosea.llm.lm_score import op9_lm_score
 from mnemosea.llm.mixing import op1_pareto_mix
 from mnemosea.llm.near_dup import op8_near_dup
+from mnemosea.llm.toxicity import op5_toxicity
 from mnemosea.llm.warc import SQL_OP10, op10_warc
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op3_langid": op3_langid,
     "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
     "op8_near_dup": op8_near_dup,
     "op9_lm_score": op9_lm_score,
     "op10_warc": op10_warc,
