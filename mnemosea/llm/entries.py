@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mnemosea.llm.bpe import op4_bpe
+from mnemosea.llm.knn_join import SQL_OP2, op2_knn_join
 from mnemosea.llm.langid import op3_langid
 from mnemosea.llm.lm_score import op9_lm_score
 from mnemosea.llm.mixing import op1_pareto_mix
@@ -12,6 +13,7 @@ from mnemosea.llm.warc import SQL_OP10, op10_warc
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_knn_join": op2_knn_join,
     "op3_langid": op3_langid,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_knn_join": SQL_OP2,
     "op10_warc": SQL_OP10,
 }
