@@ -10,6 +10,7 @@ from mnemosea.llm.mixing import op1_pareto_mix
 from mnemosea.llm.near_dup import op8_near_dup
 from mnemosea.llm.toxicity import op5_toxicity
 from mnemosea.llm.warc import SQL_OP10, op10_warc
+from mnemosea.llm.webp import op7_webp
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
+    "op7_webp": op7_webp,
     "op8_near_dup": op8_near_dup,
     "op9_lm_score": op9_lm_score,
     "op10_warc": op10_warc,
