@@ -244,17 +244,16 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-#: The split pattern of the vocabulary file.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Fixed value: the split pattern of the vocabulary file.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECES_AND_ENDS = regex.compile(rf"\n|{SPLIT}")
 
 
-def pieces(word: str) -> list[str]:
-    """Pieces of a text, normalised to NFC and lower-cased character by character."""
-    if not word.isascii():
-        word = unicodedata.normalize("NFC", word)
-        word = "".join(map(str.lower, word)) if "Σ" in word else word.lower()
-        return PIECES.findall(word)
-    return PIECES.findall(word.lower())
+def normalised(text: str) -> str:
+    """NFC, lower-cased character by character (so a final sigma is like any other)."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return text.lower()
 
 
 def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -270,34 +269,34 @@ class Block:
     def __init__(self, texts: pa.Array, vocab: Vocabulary):
         words, offsets = lowered_words(texts, lower=False)
         distinct, codes = encoded(words)
+        # Pieces of each distinct word. Words are split in one go, with a line end after each; none has one inside.
+        listed = distinct.to_pylist()
+        joined = "\n".join(listed) + "\n" if listed else ""
         special = regex.compile("|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
-        # Pieces of each distinct word; special tokens count as pieces of their own kind.
-        number: dict[str | tuple[str], int] = {}
-        flat: list[int] = []
-        count = np.zeros(len(distinct), np.int64)
-        for i, word in enumerate(distinct.to_pylist()):
-            if special is not None and "<" in word and special.search(word):
-                parts, k = [], 0
-                for m in special.finditer(word):
-                    parts += [*pieces(word[k : m.start()]), (m[0],)]
-                    k = m.end()
-                parts += pieces(word[k:])
-            else:
-                parts = pieces(word)
-            count[i] = len(parts)
-            flat += [number.setdefault(p, len(number)) for p in parts]
-        plain = [p.encode() if isinstance(p, str) else b"" for p in number]
-        ranks, start = vocab.encode_words(plain)
+        if special is not None and special.search(joined):
+            # Special tokens are found before anything else; \r, which no word has, stands around them.
+            parts = regex.split(f"({special.pattern})", joined)
+            found = []
+            for k, part in enumerate(parts):
+                found += [f"\r{part}"] if k % 2 else _PIECES_AND_ENDS.findall(normalised(part))
+        else:
+            found = _PIECES_AND_ENDS.findall(normalised(joined))
+        kinds, flat = encoded(pa.array(["\n", *found], pa.large_string()))
+        ends = np.flatnonzero(flat[1:] == 0)
+        count = np.diff(ends, prepend=-1) - 1
+        flat_a = flat[1:][flat[1:] != 0].astype(np.int64) - 1
+        names = kinds.to_pylist()[1:]
+        ranks, start = vocab.encode_words([b"" if n[0] == "\r" else n.encode() for n in names])
         self.ids, self.names = vocab.ids[ranks], [vocab.text[r] for r in ranks.tolist()]
         size = np.diff(start)
-        for p, i in number.items():
-            if not isinstance(p, str):
+        start = start[:-1].copy()
+        for i, n in enumerate(names):
+            if n[0] == "\r":
                 start[i], size[i] = len(self.ids), 1
-                self.ids = np.append(self.ids, np.uint32(vocab.special[p[0]]))
-                self.names.append(p[0])
+                self.ids = np.append(self.ids, np.uint32(vocab.special[n[1:]]))
+                self.names.append(n[1:])
         # Token positions of each distinct word, then of each text.
         begin = np.concatenate([[0], np.cumsum(count)])
-        flat_a = np.array(flat, np.int64)
         word_size = np.add.reduceat(np.append(size[flat_a], 0), begin[:-1]) if len(count) else np.zeros(0, np.int64)
         word_size = np.where(count > 0, word_size, 0)
         self.word_tokens = ragged(start[flat_a], size[flat_a])

@@ -8,6 +8,7 @@ from mnemosea.llm.langid import op3_langid
 from mnemosea.llm.lm_score import op9_lm_score
 from mnemosea.llm.mixing import op1_pareto_mix
 from mnemosea.llm.near_dup import op8_near_dup
+from mnemosea.llm.token_output import op6_training_order
 from mnemosea.llm.toxicity import op5_toxicity
 from mnemosea.llm.warc import SQL_OP10, op10_warc
 from mnemosea.llm.webp import op7_webp
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_training_order": op6_training_order,
     "op7_webp": op7_webp,
     "op8_near_dup": op8_near_dup,
     "op9_lm_score": op9_lm_score,

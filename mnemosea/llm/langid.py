@@ -181,3 +181,26 @@ def op3_langid(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs, crc_mod(F.col("doc_id"), 3) != 1))
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+#: Below this share of the likeliest language a text counts as of no language that was learnt.
+LEAST = 0.3
+
+
+def keep_identified(docs: DataFrame, model: Model, *, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is of a learnt language with a score of at
+    least ``least``. If there was nothing to learn from, all rows stay."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = held.value
+        for batch in sliced(batches, "text", 1 << 20):
+            texts = batch.column("text").to_pylist()
+            keep = np.full(len(texts), not model.languages)
+            some = [i for i, t in enumerate(texts) if model.languages and t and _LETTER.search(t)]
+            for k in range(0, len(some), 128):
+                part = some[k : k + 128]
+                keep[part] = model.predict([texts[i] for i in part])[1] >= least
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -66,6 +66,10 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0,
     return w.withColumn("target", target).drop("weight", "cap", "total", "capped", "open", "level")
 
 
+def _row_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+
+
 def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
@@ -79,7 +83,8 @@ def mix_sources(
     size_bias: float = 0.5,
     seed: int = 20,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, row (a hash
+    of doc_id and text).
 
     ``docs`` needs doc_id, text and source; other columns don't matter, whatever
     their names. Null or empty text has size 0 and is taken ``floor(r)`` times, or
@@ -89,8 +94,9 @@ def mix_sources(
     An empty table gives no rows. The draw depends on ``seed`` and each row's own
     doc_id and text only, so reruns agree.
     """
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 11).cast("double") + 0.5) * F.lit(2.0**-53)
-    rows = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), u.alias("u")), "mix")
+    u = (F.shiftrightunsigned("row", 11).cast("double") + 0.5) * F.lit(2.0**-53)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _row_hash(seed).alias("row"))
+    rows = materialise(rows.withColumn("u", u), "mix")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = (
         source_targets(sizes, weights=weights, share=share, most=most)
@@ -128,10 +134,21 @@ def mix_sources(
     middle = F.col("base2") + run - F.col("size") / 2.0
     on_edge = on_edge.withColumn("more", middle <= F.col("rest"))
     off_edge = at.filter(~F.coalesce(at_edge, F.lit(False))).withColumn("more", clear)
-    keep = ["doc_id", "source", "size", "source_size", "target", "whole", "part", "more"]
+    keep = ["row", "doc_id", "source", "size", "source_size", "target", "whole", "part", "more"]
     both = off_edge.select(*keep).unionByName(on_edge.select(*keep))
     copies = (F.col("whole") + F.when((F.col("part") > 0) & F.col("more"), 1).otherwise(0)).cast("long")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row")
+
+
+def repeated_as_mixed(docs: DataFrame, *, seed: int = 20, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as mix_sources() takes it."""
+    copies = mix_sources(docs, seed=seed, **how).groupBy(F.col("row").alias("_of")).agg(F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    rows = docs.withColumn("_row", _row_hash(seed)).join(copies.filter("_total > 0"), F.col("_row") == F.col("_of"))
+    # Rows that repeat doc_id and text share what they are given, the first ones the odd copies.
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    own = F.floor(F.col("_total") / F.col("_rows")) + F.when(nth <= F.col("_total") % F.col("_rows"), 1).otherwise(0)
+    rows = rows.withColumn("_own", own.cast("int")).filter("_own > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _border(rows: DataFrame, cell: str, base: Column) -> DataFrame:

@@ -364,6 +364,19 @@ def _needed_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     return keyed.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
 
+def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that near_duplicates() does not keep. A row
+    that repeats another's doc_id and text stays once; rows without doc_id are compared with
+    each other only, and only for equal texts."""
+    found = near_duplicates(docs.filter("doc_id is not null"), **how)
+    gone = materialise(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "dup-gone")
+    twice = materialise(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice")), "dup-twice")
+    rows = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    single = rows.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").filter("doc_id is not null")
+    several = rows.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    return single.unionByName(several.dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+
+
 def op8_near_dup(spark, sf_dir):
     """All documents, by three-word shingles at 0.85."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)

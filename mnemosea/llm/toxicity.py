@@ -221,6 +221,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 TOXIC = 0.7
 
 
+def drop_toxic(docs: DataFrame, model: Model, *, limit: float = TOXIC) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``limit``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = held.value
+        for batch in sliced(batches, "text", 4 << 20):
+            yield batch.filter(pa.array(model.score([t or "" for t in batch.column("text").to_pylist()]) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark, sf_dir):
     """All documents; the model learns from labels whose crc32(doc_id) mod 3 is not 1."""
     docs = read_table(spark, sf_dir, "documents")
