@@ -1,4 +1,802 @@
-"""Every query of the reference's operators, and the SQL that gives the same rows."""
+"""Every query of the reference's operators, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Each query applies one operator to the model's views over the driver's tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mnemosea.functions import ranking, text, vectors
+from mnemosea.operators import context, graph, ingest, lifecycle, maintain, recall, search, signing, sync
+from mnemosea.plans import oracle
+from mnemosea.plans.oracle import sql
+from mnemosea.sources.bridge import AS_OF_MS, Tables
+from mnemosea.streaming import workers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(oracle_sql: str | None = None):
+    """Register the function under its name."""
+
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if oracle_sql is not None:
+            SQL[f.__name__] = oracle_sql
+        return f
+
+    return put
+
+
+def rounded(vector, places: int = 6):
+    return F.array_join(F.transform(vector, lambda x: F.format_string("%.5f", F.when(F.abs(F.round(x, 5)) < 1e-9, 0.0).otherwise(F.round(x, 5)))), ",")
+
+
+_ROUNDED = "array_to_string(list_transform(embedding, lambda x: printf('%.5f', CASE WHEN abs(round(x, 5)) < 1e-9 THEN 0::DOUBLE ELSE round(x, 5) END)), ',')"
+
+# ---------------------------------------------------------------- scans, views, filters
+
+
+@query(sql("SELECT memory_id, memory_space, namespace, memory_type, subject, origin_peer_id, authored_at_ms, has_signature, source_uri FROM b_nodes"))
+def scan_nodes(t):
+    return t.nodes.select("memory_id", "memory_space", "namespace", "memory_type", "subject", "origin_peer_id", "authored_at_ms", "has_signature", "source_uri")
+
+
+@query(sql("SELECT memory_space, memory_id, memory_type, namespace, subject, sha256(body) AS body_hash, lifecycle_state, authored_at_ms, source_uri, origin_peer_id FROM b_nodes"))
+def recall_view(t):
+    n = t.nodes
+    columns = ["memory_space", "memory_id", "memory_type", "namespace", "subject", F.sha2("body", 256).alias("body_hash"), "lifecycle_state", "authored_at_ms", "source_uri", "origin_peer_id"]
+    return n.filter("memory_space = 'shared'").select(*columns).unionByName(n.filter("memory_space = 'private'").select(*columns))
+
+
+@query(sql("SELECT u.unit_id, u.source_type, u.memory_space, u.namespace, u.unit_kind, u.state, CASE WHEN source_type <> 'transcript_chunk' THEN source_id ELSE '' END AS source_hash, CASE WHEN u.memory_space = 'shared' THEN coalesce(n.origin_peer_id, '') ELSE '' END AS origin_peer_id FROM b_units u LEFT JOIN b_nodes n ON n.memory_id = u.source_id"))
+def retrieval_units_view(t):
+    n = t.nodes.select(F.col("memory_id").alias("source_id"), "origin_peer_id")
+    peer = F.when(F.col("memory_space") == "shared", F.coalesce("origin_peer_id", F.lit(""))).otherwise("")
+    return t.units.join(n, "source_id", "left").select("unit_id", "source_type", "memory_space", "namespace", "unit_kind", "state", F.when(F.col("source_type") != "transcript_chunk", F.col("source_id")).otherwise("").alias("source_hash"), peer.alias("origin_peer_id"))
+
+
+@query(sql("SELECT unit_id, memory_space, namespace, unit_kind FROM b_units WHERE namespace IN ('team/en', 'team/1') AND unit_kind IN ('decision', 'fact')"))
+def filter_units(t):
+    return recall.filter_units(t.units, namespaces=["team/en", "team/1"], kinds=["decision", "fact"]).select("unit_id", "memory_space", "namespace", "unit_kind")
+
+
+@query(sql("SELECT unit_id, memory_space FROM b_units WHERE memory_space IN ('private', 'shared')"))
+def filter_spaces(t):
+    return recall.filter_units(t.units, spaces=recall.allowed_spaces()).select("unit_id", "memory_space")
+
+
+@query(sql("SELECT unit_id, memory_space, sensitivity FROM b_units WHERE state = 'active' AND sensitivity <> 'secret'"))
+def indexable_units(t):
+    return search.indexable(t.units).select("unit_id", "memory_space", "sensitivity")
+
+
+@query(sql("SELECT chunk_id AS unit_id, chunk_strategy_version FROM (SELECT *, max(chunk_strategy_version) OVER (PARTITION BY session_id) AS m FROM b_chunk_versions) WHERE chunk_strategy_version = m"))
+def latest_chunks(t):
+    versions = t.chunk_versions
+    units = versions.select(F.col("chunk_id").alias("unit_id"), "chunk_strategy_version")
+    return recall.latest_chunks(units, versions)
+
+
+@query(sql("SELECT n.memory_id, coalesce(signature_status, '') AS signature_status FROM b_nodes n LEFT JOIN b_verification v USING (memory_id) WHERE coalesce(signature_status, '') <> 'invalid_signature'"))
+def recall_eligible(t):
+    rows = t.nodes.select("memory_id").join(t.verification, "memory_id", "left")
+    return rows.select("memory_id", F.coalesce("signature_status", F.lit("")).alias("signature_status")).filter("signature_status <> 'invalid_signature'")
+
+
+@query(sql("SELECT memory_id, memory_space FROM b_nodes WHERE lower(subject) LIKE '%the%' OR lower(body) LIKE '%idiot%'"))
+def like_match(t):
+    return t.nodes.filter(F.lower("subject").like("%the%") | F.lower("body").like("%idiot%")).select("memory_id", "memory_space")
+
+
+_CANDIDATES = f"""SELECT 'cand_' || sha256(chunk_id) AS candidate_id, chunk_id, chunk_kind AS candidate_type, CASE WHEN s = '' THEN chunk_kind ELSE s END AS subject, text AS body, namespace, project_key, branch_name, sensitivity, 'pending' AS status, authored_at_ms
+ FROM (SELECT *, substr(trim(CASE WHEN instr(line, ':') > 0 AND instr(line, ':') < length(line) THEN substr(line, instr(line, ':') + 1) ELSE line END, e' \\t\\n\\x0B\\f\\r'), 1, 80) AS s
+ FROM (SELECT *, split_part(trim(text, e' \\t\\n\\x0B\\f\\r'), chr(10), 1) AS line FROM b_chunks) WHERE chunk_kind IN {text.PROMOTABLE})"""
+
+
+@query(sql("SELECT candidate_id, candidate_type, namespace, authored_at_ms FROM b_candidates WHERE namespace = 'team/1' AND status = 'pending' ORDER BY authored_at_ms DESC, candidate_id LIMIT 50", b_candidates=_CANDIDATES))
+def list_candidates(t):
+    return lifecycle.list_candidates(ingest.candidates(t.chunks), namespace="team/1", status="pending").select("candidate_id", "candidate_type", "namespace", "authored_at_ms")
+
+
+@query(sql("SELECT candidate_id, chunk_id, candidate_type, subject, namespace, project_key, branch_name, sensitivity, status FROM b_candidates", b_candidates=_CANDIDATES))
+def candidate_rows(t):
+    return ingest.candidates(t.chunks).select("candidate_id", "chunk_id", "candidate_type", "subject", "namespace", "project_key", "branch_name", "sensitivity", "status")
+
+
+@query(sql("SELECT DISTINCT source AS peer_id, coalesce(trust_state = 'allow', false) AS allowed FROM documents LEFT JOIN b_peers ON peer_id = source"))
+def peer_allowed(t):
+    return sync.allowed_peers(t.raw("documents").select(F.col("source").alias("peer_id")).distinct(), t.peers)
+
+
+@query(sql("SELECT peer_id, trust_state, trust_weight FROM b_peers WHERE trim(peer_id) <> ''"))
+def peer_trust(t):
+    return t.peers.filter(F.trim("peer_id") != "").select("peer_id", "trust_state", "trust_weight")
+
+
+@query(sql("SELECT edge_id, from_memory_id, to_memory_id FROM b_edges e JOIN b_nodes s ON s.memory_id = e.from_memory_id JOIN b_nodes d ON d.memory_id = e.to_memory_id AND d.memory_space = s.memory_space"))
+def relation_targets(t):
+    return lifecycle.relation_targets(t.edges, t.nodes).select("edge_id", "from_memory_id", "to_memory_id")
+
+
+@query(sql("""SELECT edge_id, CASE WHEN relation_type NOT IN ('supports', 'contradicts', 'derived_from', 'about', 'caused_by', 'references') THEN 'unsupported relation type'
+ WHEN weight < 0 THEN 'weight must not be negative' WHEN from_memory_id = to_memory_id THEN 'relation to itself' ELSE '' END AS reason, round(CASE WHEN weight = 0 THEN 1 ELSE weight END, 6) AS weight
+ FROM (SELECT * REPLACE (CASE WHEN relation_type = 'references' THEN 'mentions' ELSE relation_type END AS relation_type) FROM b_edges)"""))
+def validate_relations(t):
+    renamed = F.when(F.col("relation_type") == "references", "mentions").otherwise(F.col("relation_type"))
+    return lifecycle.valid_relations(t.edges.withColumn("relation_type", renamed)).withColumn("weight", F.round("weight", 6))
+
+
+@query(sql("SELECT n.namespace, array_to_string(list_sort(list_intersect(['team/en', 'team/fr', 'team/1'], ['team/fr', n.namespace, 'team/1'])), ',') AS common FROM (SELECT DISTINCT namespace FROM b_nodes) n"))
+def namespace_intersect(t):
+    ours = F.array(F.lit("team/en"), F.lit("team/fr"), F.lit("team/1"))
+    theirs = F.array(F.lit("team/fr"), F.col("namespace"), F.lit("team/1"))
+    return t.nodes.select("namespace").distinct().select("namespace", F.array_join(sync.namespaces_in_common(ours, theirs), ",").alias("common"))
+
+
+@query(sql("SELECT unit_id, unit_kind FROM b_units WHERE contains(lower(concat_ws(chr(10), unit_kind, title, body, state)), 'rejected_option') OR contains(lower(concat_ws(chr(10), unit_kind, title, body, state)), 'moron') OR contains(lower(concat_ws(chr(10), unit_kind, title, body, state)), 'rejected') OR contains(lower(concat_ws(chr(10), unit_kind, title, body, state)), '却下') OR contains(lower(concat_ws(chr(10), unit_kind, title, body, state)), 'superseded')"))
+def context_rejected(t):
+    return t.units.filter(rejected() | F.contains(F.lower("body"), F.lit("moron"))).select("unit_id", "unit_kind")
+
+
+def rejected(kind="unit_kind", title="title", body="body", state="state"):
+    return text.any_of(F.lower(F.concat_ws("\n", kind, title, body, state)), ("rejected_option", "rejected", "却下", "superseded"))
+
+
+@query(sql("SELECT unit_id, title, length(body)::INTEGER AS body_length FROM b_index"))
+def fts_projection(t):
+    return search.indexed(t.units).select("unit_id", "title", F.length("body").alias("body_length"))
+
+
+@query(sql("""SELECT (row_number() OVER (ORDER BY authored_at_ms, edge_id))::BIGINT AS db_version, 'memory_edges' AS table_name, edge_id AS pk_hint, coalesce(s.namespace, d.namespace, '') AS namespace, e.authored_at_ms AS changed_at_ms
+ FROM b_edges e LEFT JOIN b_nodes s ON s.memory_id = e.from_memory_id LEFT JOIN b_nodes d ON d.memory_id = e.to_memory_id""".replace("ORDER BY authored_at_ms", "ORDER BY e.authored_at_ms")))
+def change_log_edges(t):
+    n = t.nodes.select("memory_id", "namespace")
+    rows = t.edges.join(n.toDF("from_memory_id", "from_ns"), "from_memory_id", "left").join(n.toDF("to_memory_id", "to_ns"), "to_memory_id", "left")
+    return lifecycle.change_log(rows, "memory_edges", "edge_id", F.coalesce("from_ns", "to_ns", F.lit("")))
+
+
+@query(sql("""SELECT (row_number() OVER (ORDER BY s.authored_at_ms, span_id))::BIGINT AS db_version, 'artifact_spans' AS table_name, span_id AS pk_hint, coalesce(n.namespace, a.namespace, '') AS namespace, s.authored_at_ms AS changed_at_ms
+ FROM b_spans s LEFT JOIN b_nodes n USING (memory_id) LEFT JOIN (SELECT artifact_id, min(namespace) AS namespace FROM b_artifacts GROUP BY 1) a USING (artifact_id)"""))
+def change_log_spans(t):
+    a = t.artifacts.groupBy("artifact_id").agg(F.min("namespace").alias("artifact_ns"))
+    rows = t.spans.join(t.nodes.select("memory_id", "namespace"), "memory_id", "left").join(a, "artifact_id", "left")
+    return lifecycle.change_log(rows, "artifact_spans", "span_id", F.coalesce("namespace", "artifact_ns", F.lit("")))
+
+
+# ---------------------------------------------------------------- writes
+
+
+@query(sql("SELECT memory_id, arg_max(signature_status, checked) AS signature_status, max(checked) AS checked_at_ms FROM (SELECT memory_id, signature_status, 1 AS checked FROM b_verification UNION ALL SELECT memory_id, 'valid', 2 FROM b_nodes WHERE has_signature AND namespace = 'team/en') GROUP BY memory_id"))
+def upsert_latest(t):
+    stored = t.verification.withColumn("checked_at_ms", F.lit(1))
+    new = t.nodes.filter("has_signature and namespace = 'team/en'").select("memory_id", F.lit("valid").alias("signature_status"), F.lit(2).alias("checked_at_ms"))
+    return lifecycle.upsert_latest(stored, new, ["memory_id"], "checked_at_ms")
+
+
+@query(sql("SELECT chunk_id, content_hash, 'old' AS origin FROM b_chunks WHERE chunk_seq = 1 UNION ALL SELECT chunk_id, content_hash, 'new' FROM b_chunks WHERE chunk_seq <> 1"))
+def insert_ignore(t):
+    c = t.chunks.select("chunk_id", "content_hash", "chunk_seq")
+    stored = c.filter("chunk_seq = 1").select("chunk_id", "content_hash", F.lit("old").alias("origin"))
+    return lifecycle.insert_ignore(stored, c.select("chunk_id", "content_hash", F.lit("new").alias("origin")), ["chunk_id"])
+
+
+_DECIDED = "CASE WHEN length(chunk_id) % 2 = 0 THEN 'approved' ELSE 'pending' END"
+
+
+@query(sql(f"SELECT candidate_id, CASE WHEN {_DECIDED} = 'pending' THEN 'new: ' || subject ELSE subject END AS subject, {_DECIDED} AS status FROM b_candidates", b_candidates=_CANDIDATES))
+def candidate_merge(t):
+    c = ingest.candidates(t.chunks)
+    stored = c.withColumn("status", F.when(F.length("chunk_id") % 2 == 0, "approved").otherwise("pending"))
+    return lifecycle.merge_candidates(stored, c.withColumn("subject", F.concat(F.lit("new: "), "subject")))
+
+
+@query(sql("SELECT session_id, seq, sha256(content) AS stored_hash, sha256(content || '!') AS incoming_hash FROM b_messages WHERE seq % 3 = 0"))
+def message_conflicts(t):
+    m = t.messages
+    return ingest.message_conflicts(m, m.withColumn("content", F.when(F.col("seq") % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))))
+
+
+_BATCHES = """SELECT 'b' || pk AS batch_id, 'peer' || min(site_id) AS peer_id, min(namespace) AS namespace, CASE WHEN max(cl) = 2 THEN 'schema hash mismatch' ELSE 'incompatible batch metadata' END AS reason, max(changed_at_ms) AS created_at_ms FROM b_changes GROUP BY pk"""
+
+
+def _batches(t):
+    c = t.changes.groupBy("pk").agg(F.min("site_id").alias("site"), F.min("namespace").alias("namespace"), F.max("cl").alias("cl"), F.max("changed_at_ms").alias("created_at_ms"))
+    reason = F.when(F.col("cl") == 2, "schema hash mismatch").otherwise("incompatible batch metadata")
+    return c.select(F.concat(F.lit("b"), "pk").alias("batch_id"), F.concat(F.lit("peer"), "site").alias("peer_id"), "namespace", reason.alias("reason"), "created_at_ms")
+
+
+@query(sql("SELECT * FROM b_batches WHERE created_at_ms >= (SELECT max(created_at_ms) FROM b_batches) - 604800000", b_batches=_BATCHES))
+def quarantine_ttl(t):
+    batches = _batches(t)
+    latest = batches.agg(F.max("created_at_ms").alias("now"))
+    return batches.join(F.broadcast(latest)).filter(F.col("created_at_ms") >= F.col("now") - 604_800_000).drop("now")
+
+
+@query(sql("SELECT batch_id, peer_id, namespace, reason, contains(reason, 'schema') AS schema_fenced, created_at_ms FROM b_batches", b_batches=_BATCHES))
+def quarantine_batches(t):
+    return sync.quarantined(_batches(t))
+
+
+# ---------------------------------------------------------------- ingest and text
+
+
+@query(sql("SELECT session_id, chunk_seq, min(seq) AS start_seq, max(seq) AS end_seq, max(authored_at_ms) AS authored_at_ms FROM b_segments GROUP BY ALL"))
+def chunk_segments(t):
+    return ingest.chunk_texts(t.messages).select("session_id", "chunk_seq", "start_seq", "end_seq", "authored_at_ms")
+
+
+@query(sql("SELECT chunk_id, text FROM b_chunks"))
+def chunk_text(t):
+    return t.chunks.select("chunk_id", "text")
+
+
+@query(sql("SELECT chunk_id, chunk_kind FROM b_chunks"))
+def chunk_kind(t):
+    return t.chunks.select("chunk_id", "chunk_kind")
+
+
+@query(sql(f"SELECT doc_id, CASE WHEN regexp_matches(text, '{text.SECRET}') THEN 'secret' ELSE 'private' END AS sensitivity FROM documents"))
+def sensitivity(t):
+    return t.raw("documents").select("doc_id", text.sensitivity(F.lit("private"), F.col("text")).alias("sensitivity"))
+
+
+@query(sql("SELECT doc_id, sha256(text) AS content_hash FROM documents"))
+def content_hash(t):
+    return t.raw("documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+@query(sql(f"SELECT item_id, array_to_string({oracle.search_terms('text')}, ' ') AS terms FROM benchmark"))
+def search_terms(t):
+    return t.raw("benchmark").select("item_id", F.array_join(text.search_terms(F.col("text")), " ").alias("terms"))
+
+
+@query(sql(f"SELECT doc_id, len(list_filter({oracle.search_terms(chr(39) + 'The idiot, of Éléments THE token' + chr(39))}, lambda x: contains(lower(text), x)))::INTEGER AS matches FROM documents"))
+def term_match(t):
+    return t.raw("documents").select("doc_id", text.term_match_score(text.search_terms(F.lit("The idiot, of Éléments THE token")), F.col("text")).alias("matches"))
+
+
+@query(sql(f"SELECT item_id, array_to_string({oracle.tokens('text')}, ' ') AS tokens FROM benchmark"))
+def tokenize(t):
+    return t.raw("benchmark").select("item_id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(sql(f"SELECT token, ({oracle.bucket8('token')})::INTEGER AS bucket FROM (SELECT DISTINCT unnest({oracle.tokens('text')}) AS token FROM benchmark)"))
+def hash_bucket(t):
+    return t.raw("benchmark").select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct().select("token", vectors.hash_bucket(F.col("token")).cast("int").alias("bucket"))
+
+
+@query(sql(f"SELECT doc_id, round({oracle.newton('n')} / sqrt(n), 6) AS ratio FROM (SELECT doc_id, (n_chars::DOUBLE * n_chars) AS n FROM documents)"))
+def embed_norm(t):
+    n = F.col("n_chars").cast("double") * F.col("n_chars")
+    return t.raw("documents").select("doc_id", F.round(vectors.newton_root(n) / F.sqrt(n), 6).alias("ratio"))
+
+
+@query(sql(f"SELECT id AS item_id, {_ROUNDED} AS embedding FROM v_embedded", v_tokens=f"SELECT item_id AS id, {oracle.tokens('text')} AS toks FROM benchmark"))
+def local_embedding(t):
+    return t.raw("benchmark").select("item_id", rounded(vectors.local_embedding(text.tokens(F.col("text")))).alias("embedding"))
+
+
+@query(sql(f"""SELECT vec_id, {_ROUNDED} AS embedding FROM (SELECT vec_id, list_transform(m, lambda x: x * (1.0::DOUBLE / {oracle.newton('total')})) AS embedding
+ FROM (SELECT *, list_sum(list_transform(m, lambda x: x * x)) AS total FROM (SELECT vec_id, list_transform(range(0, 8), lambda k: list_avg(list_transform(range(0, 8), lambda j: embedding[8 * j + k + 1]::DOUBLE))) AS m FROM embeddings)))"""))
+def compress_embedding(t):
+    return t.vectors.select("vec_id", rounded(vectors.compressed(F.col("embedding"), 8)).alias("embedding"))
+
+
+@query(sql("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: printf('%.4f', x::DOUBLE)), ',') AS text, len(embedding)::INTEGER AS dim FROM embeddings"))
+def vector_codec(t):
+    """JSON text of a vector and back."""
+    there = F.to_json(F.transform("embedding", lambda x: x.cast("double")))
+    back = F.from_json(there, "array<double>")
+    return t.vectors.select("vec_id", F.array_join(F.transform(back, lambda x: F.format_string("%.4f", x)), ",").alias("text"), F.size(back).alias("dim"))
+
+
+_ARTIFACTS = """SELECT chunk_id, unnest(regexp_extract_all(text, '(?i)(file://[^\\s"''`]+|https?://[^\\s"''`]+|/(?:Users|home|tmp|var|etc|opt)/[^\\s"''`]+)')) AS uri, text FROM b_chunks"""
+
+
+@query(sql("""SELECT chunk_id, uri, 'artifact_' || sha256(uri) AS artifact_id, string_split(uri, '/')[-1] AS title, strlen(substr(text, 1, instr(text, uri) - 1))::BIGINT AS start_offset, strlen(substr(text, 1, instr(text, uri) - 1 + length(uri)))::BIGINT AS end_offset,
+ (len(string_split(substr(text, 1, instr(text, uri) - 1), chr(10))))::BIGINT AS start_line, (len(string_split(substr(text, 1, instr(text, uri) - 1 + length(uri)), chr(10))))::BIGINT AS end_line FROM b_found""", b_found=_ARTIFACTS))
+def artifact_spans_extract(t):
+    return ingest.artifact_spans(t.chunks).select("chunk_id", "uri", "artifact_id", "title", "start_offset", "end_offset", "start_line", "end_line")
+
+
+@query(sql("SELECT chunk_id, subject FROM b_candidates", b_candidates=_CANDIDATES))
+def candidate_subject(t):
+    return ingest.candidates(t.chunks).select("chunk_id", "subject")
+
+
+@query(sql(f"SELECT doc_id, {oracle.redact('text')} AS redacted FROM documents"))
+def redact_default(t):
+    return t.raw("documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
+
+
+@query(sql(f"SELECT page_id, {oracle.redact('html', True)} AS redacted FROM pages"))
+def redact_strict(t):
+    return t.raw("pages").select("page_id", text.redact(F.col("html"), "strict").alias("redacted"))
+
+
+@query(sql("SELECT page_id, CASE WHEN trim(u) = '' OR starts_with(trim(u), '/') OR starts_with(lower(trim(u)), 'file://') THEN '' ELSE trim(u) END AS uri FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'file://' || url WHEN 1 THEN '/home/' || url WHEN 2 THEN ' ' || url ELSE '' END AS u FROM pages)"))
+def redact_uri(t):
+    m = F.col("page_id") % 4
+    uri = F.when(m == 0, F.concat(F.lit("file://"), "url")).when(m == 1, F.concat(F.lit("/home/"), "url")).when(m == 2, F.concat(F.lit(" "), "url")).otherwise("")
+    return t.raw("pages").select("page_id", text.redact_uri(uri).alias("uri"))
+
+
+@query(sql("SELECT chunk_id, CASE WHEN contains(lower(text), 'contradict') OR contains(lower(text), 'instead') OR contains(lower(text), 'やめる') OR contains(lower(text), '却下') THEN 'contradicts' WHEN chunk_kind IN ('rationale', 'debug_trace', 'task_candidate') THEN 'supports' ELSE '' END AS relation FROM b_chunks"))
+def promotion_relation(t):
+    reasoning = F.col("chunk_kind").isin("rationale", "debug_trace", "task_candidate")
+    return t.chunks.select("chunk_id", F.coalesce(text.relation_of_promotion(F.col("text"), reasoning), F.lit("")).alias("relation"))
+
+
+@query(sql("SELECT memory_id, CASE WHEN memory_space = 'private' OR signature_status = 'valid' THEN 0 WHEN signature_status = 'unknown_peer' THEN 2 ELSE 1 END AS bucket FROM b_nodes LEFT JOIN b_verification USING (memory_id)"))
+def ranking_bucket(t):
+    return t.nodes.join(t.verification, "memory_id", "left").select("memory_id", ranking.bucket(F.col("memory_space"), F.coalesce("signature_status", F.lit("")), F.col("has_signature")).alias("bucket"))
+
+
+@query(sql(f"SELECT memory_id, round({oracle.recency('authored_at_ms', AS_OF_MS)}, 9) AS recency FROM b_nodes"))
+def recency_score(t):
+    return t.nodes.select("memory_id", F.round(ranking.recency_score(F.col("authored_at_ms"), AS_OF_MS), 9).alias("recency"))
+
+
+@query(sql("SELECT memory_id, CASE WHEN memory_type = 'note' THEN 'fact' ELSE memory_type END AS memory_type, 'team' AS scope, 'agent/default' AS author_agent_id, CASE WHEN has_signature THEN origin_peer_id ELSE 'peer/local' END AS origin_peer_id FROM b_nodes"))
+def store_normalize(t):
+    raw = t.nodes.select("memory_id", F.when(F.col("memory_type") == "note", " ").otherwise(F.concat(F.lit(" "), "memory_type")).alias("memory_type"), F.lit("").alias("scope"), F.lit(None).cast("string").alias("author_agent_id"), F.when(F.col("has_signature"), F.col("origin_peer_id")).alias("origin_peer_id"))
+    return lifecycle.normalise_store(raw)
+
+
+@query(sql("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'null' WHEN event_id % 5 = 1 THEN 'blob' ELSE 'text' END AS kind, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN '//4=' ELSE base64(encode(CASE WHEN event_id % 5 = 2 THEN '' ELSE event_type END)) END AS encoded FROM events"))
+def value_codec(t):
+    m = F.col("event_id") % 5
+    value = F.when(m == 0, F.lit(None).cast("binary")).when(m == 1, F.unhex(F.lit("FFFE"))).when(m == 2, F.lit("").cast("binary")).otherwise(F.col("event_type").cast("binary"))
+    return t.raw("events").select("event_id", sync.value_kind(value).alias("kind"), F.coalesce(F.base64(value), F.lit("")).alias("encoded"))
+
+
+def _claims(t):
+    n = t.nodes
+    fields = {name: F.col(name) for name in ("memory_id", "memory_type", "namespace", "subject", "body", "source_uri", "origin_peer_id", "authored_at_ms")}
+    fields |= {"source_hash": F.sha2("body", 256), "author_agent_id": F.lit("agent/default"), "valid_from_ms": F.lit(0), "valid_to_ms": F.lit(0), "payload_version": F.lit(1)}
+    return n.withColumn("claim", signing.canonical_claim(fields))
+
+
+_CLAIM = """'{"memory_id":' || to_json(memory_id) || ',"memory_type":' || to_json(memory_type) || ',"namespace":' || to_json(namespace) || ',"subject":' || to_json(subject) || ',"body":' || to_json(body) || ',"source_uri":' || to_json(source_uri) ||
+ ',"source_hash":"' || sha256(body) || '","author_agent_id":"agent/default","origin_peer_id":' || to_json(origin_peer_id) || ',"authored_at_ms":' || authored_at_ms || ',"valid_from_ms":0,"valid_to_ms":0,"payload_version":1}'"""
+
+
+@query(sql(f"SELECT memory_id, sha256(replace(replace(replace({_CLAIM}, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')) AS claim_hash FROM b_nodes"))
+def canonical_claim(t):
+    return _claims(t).select("memory_id", F.sha2("claim", 256).alias("claim_hash"))
+
+
+# ---------------------------------------------------------------- search and recall
+
+
+@query(sql("SELECT query_id, unit_id, count(*) AS terms FROM s_post JOIN s_terms USING (term) GROUP BY ALL"))
+def fts_match(t):
+    q = search.query_terms(t.queries)
+    listed = q.select("term").distinct().agg(F.collect_set("term").alias("listed"))
+    docs = search.documents(search.indexed(t.units)).join(F.broadcast(listed))
+    hits = docs.select("unit_id", F.explode(F.array_distinct(F.filter("tokens", lambda x: F.array_contains(F.col("listed"), x)))).alias("term"))
+    return hits.join(q, "term").groupBy("query_id", "unit_id").agg(F.count(F.lit(1)).alias("terms"))
+
+
+@query(sql("SELECT query_id, unit_id, bm25, lexical_rank FROM s_lex WHERE lexical_rank <= 50"))
+def bm25_topk(t):
+    return search.lexical(search.indexed(t.units), t.queries, 50)
+
+
+@query(sql("SELECT query_id, unit_id, lexical_rank FROM s_lex WHERE lexical_rank <= 10"))
+def lexical_rank(t):
+    return search.lexical(search.indexed(t.units), t.queries, 10).select("query_id", "unit_id", "lexical_rank")
+
+
+@query(sql("SELECT query_id, unit_id, matches, lexical_rank FROM s_like WHERE lexical_rank <= 10"))
+def like_topk(t):
+    return search.containment(search.indexed(t.units), t.queries, 10)
+
+
+@query(sql("SELECT unit_id, (contains(x, 'worthless')::INT + contains(x, 'über')::INT)::BIGINT AS matches FROM (SELECT unit_id, lower(title || chr(10) || body) AS x FROM b_index) WHERE contains(x, 'worthless') OR contains(x, 'über')"))
+def trigram_match(t):
+    return search.trigram_matches(search.indexed(t.units), "Worthless an ÜBER")
+
+
+@query(sql("SELECT query_id, unit_id, bm25 FROM s_bm25 JOIN b_nodes ON memory_id = unit_id WHERE query_id % 10 = 0 AND unit_id IN ('m0', 'm1', 'm2', 'm3', 'm4', 'm5', 'm6', 'm7')"))
+def explain_bm25(t):
+    units = recall.filter_units(t.units, spaces=["private", "shared"]).filter(F.col("unit_id").isin(*[f"m{i}" for i in range(8)]))
+    return search.bm25(search.indexed(t.units), t.queries, units).filter("query_id % 10 = 0")
+
+
+@query(sql("""SELECT query_id, vec_id, distance, semantic_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS semantic_rank FROM (
+ SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)))), 6) AS distance
+ FROM embeddings q, embeddings v WHERE q.vec_id < 10)) WHERE semantic_rank <= 10"""))
+def vector_topk(t):
+    v = t.vectors
+    return search.nearest(v, v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), 10, key="vec_id")
+
+
+@query(sql("SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.unit_id, b.unit_id) AS unit_id, coalesce(a.lexical_rank, 0) AS semantic_rank, coalesce(b.lexical_rank, 0) AS lexical_rank FROM (SELECT query_id, unit_id, lexical_rank FROM s_like WHERE lexical_rank <= 50) a FULL JOIN (SELECT query_id, unit_id, lexical_rank FROM s_lex WHERE lexical_rank <= 50) b ON a.query_id = b.query_id AND a.unit_id = b.unit_id"))
+def merge_candidates(t):
+    index = search.indexed(t.units)
+    one = search.containment(index, t.queries, 50).select("query_id", "unit_id", F.col("lexical_rank").alias("semantic_rank"))
+    return recall.merged(one, search.lexical(index, t.queries, 50))
+
+
+@query(sql("SELECT query_id, unit_id, memory_space, namespace, unit_kind, subject, signature_status, has_signature, trust_weight, origin_peer_id FROM r_rows WHERE lexical_rank <= 50"))
+def recall_enrich(t):
+    found = search.lexical_with_fallback(search.indexed(t.units), t.queries, 50)
+    rows = recall.enriched(found, t.units, t.nodes, t.verification, t.peers)
+    return rows.select("query_id", "unit_id", "memory_space", "namespace", "unit_kind", "subject", "signature_status", "has_signature", "trust_weight", "origin_peer_id")
+
+
+_SCORED = f"SELECT *, {oracle.score(ranking.DEFAULT, AS_OF_MS)} AS score FROM r_features"
+_BEST = "SELECT query_id, unit_id, score, memory_space, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, authored_at_ms DESC, unit_id) AS rank FROM r_scored) WHERE rank <= 10"
+
+
+@query(sql("SELECT query_id, unit_id, score FROM r_scored", r_scored=_SCORED))
+def recall_score(t):
+    found = search.lexical_with_fallback(search.indexed(t.units), t.queries, 100).withColumn("semantic_rank", F.lit(0))
+    rows = recall.with_features(recall.enriched(found, t.units, t.nodes, t.verification, t.peers), t.edges, t.spans)
+    return recall.scored(rows, t.queries, profile="default", as_of_ms=AS_OF_MS).select("query_id", "unit_id", "score")
+
+
+@query(sql(_BEST, r_scored=_SCORED))
+def recall_topk(t):
+    return recall.recall(t, t.queries, limit=10, as_of_ms=AS_OF_MS).select("query_id", "unit_id", "score", "memory_space", "rank")
+
+
+@query(sql(_BEST, r_scored=f"SELECT *, {oracle.score(ranking.JA, AS_OF_MS)} AS score FROM r_features"))
+def recall_ja(t):
+    return recall.recall(t, t.queries, limit=10, profile="ja", as_of_ms=AS_OF_MS).select("query_id", "unit_id", "score", "memory_space", "rank")
+
+
+_SECTIONS = {
+    "active_private_decisions": (("private",), ("decision", "rationale", "design_rationale"), 5),
+    "shared_constraints": (("shared",), ("decision", "rationale", "fact"), 5),
+    "recent_discussions": (("transcript",), (), 5),
+    "open_tasks": (("private", "shared"), ("task_candidate",), 5),
+    "rejected_options": (("private", "shared", "transcript"), (), 20),
+}
+
+
+def _section_sql(name: str, spaces: tuple, kinds: tuple, limit: int) -> str:
+    where = f"memory_space IN ({', '.join(map(repr, spaces))})" + (f" AND unit_kind IN ({', '.join(map(repr, kinds))})" if kinds else "")
+    cap = max(50, 10 * limit)
+    inner = f"""SELECT query_id, unit_id, score, authored_at_ms, unit_kind, subject, body, source_uri, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, authored_at_ms DESC, unit_id) AS rank
+      FROM (SELECT query_id, unit_id, memory_space, authored_at_ms, unit_kind, subject, body, source_uri, {oracle.score(ranking.DEFAULT, AS_OF_MS).replace('lexical_rank', 'own_rank')} AS score
+      FROM r_features JOIN (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25, unit_id) AS own_rank FROM s_bm25 JOIN b_units USING (unit_id) WHERE {where}) USING (query_id, unit_id) WHERE own_rank <= {cap})"""
+    chosen = f"SELECT * FROM ({inner}) WHERE rank <= {limit}"
+    if name == "rejected_options":
+        low = "lower(concat_ws(chr(10), unit_kind, subject, body, 'active'))"
+        said = " OR ".join(f"contains({low}, '{w}')" for w in ("rejected_option", "rejected", "却下", "superseded", "worthless"))
+        chosen = f"SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank) FROM ({chosen}) WHERE {said} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5"
+    return f"SELECT query_id, '{name}' AS section, unit_id, score, rank, source_uri FROM ({chosen})"
+
+
+_ALL_SECTIONS = " UNION ALL ".join(_section_sql(n, *x) for n, x in _SECTIONS.items())
+#: All BM25 matches are candidates here: each section has its own ranks.
+_WIDE = {"s_found": "SELECT query_id, unit_id, 1 AS lexical_rank FROM s_bm25"}
+
+
+def _sections(t, also: tuple[str, ...] = ("worthless",)):
+    return context.sections(t, t.queries, as_of_ms=AS_OF_MS, rejected_words=("rejected_option", "rejected", "却下", "superseded", *also))
+
+
+@query(sql("SELECT query_id, section, unit_id, score, rank FROM c_sections", c_sections=_ALL_SECTIONS, **_WIDE))
+def context_sections(t):
+    return _sections(t).select("query_id", "section", "unit_id", "score", "rank")
+
+
+@query(sql("""SELECT query_id, uri, title, place FROM (SELECT query_id, uri, title, row_number() OVER (PARTITION BY query_id ORDER BY title, uri) AS place FROM (
+ SELECT query_id, uri, arg_min(title, way) AS title FROM (
+ SELECT query_id, source_uri AS uri, '' AS title, 0 AS way FROM c_sections WHERE source_uri <> '' UNION ALL
+ SELECT DISTINCT query_id, uri, title, 1 FROM c_sections JOIN b_spans ON memory_id = unit_id JOIN (SELECT DISTINCT artifact_id, uri, title FROM b_artifacts) USING (artifact_id)) GROUP BY query_id, uri)) WHERE place <= 5""", c_sections=_ALL_SECTIONS, **_WIDE))
+def context_artifacts(t):
+    return context.artifacts(_sections(t), t.spans, t.artifacts)
+
+
+# ---------------------------------------------------------------- graph, trace, lifecycle
+
+
+@query(sql("SELECT e.edge_id, e.relation_type FROM b_edges e WHERE edge_id NOT IN (SELECT edge_id FROM g_orphans)"))
+def active_edges(t):
+    return graph.active_edges(t.edges, graph.suspensions(t.edges, t.signals, t.nodes)).select("edge_id", "relation_type")
+
+
+@query(sql("SELECT * FROM g_stats"))
+def graph_stats(t):
+    return graph.stats(t.edges)
+
+
+@query(sql("SELECT memory_id, span_count, quote_count::BIGINT AS quote_count FROM a_stats"))
+def artifact_stats(t):
+    return graph.artifact_stats(t.spans)
+
+
+@query(sql("SELECT memory_id, signal_type, count(*) AS signals, round(sum(value), 4) AS total_value, max(authored_at_ms) AS latest_at_ms FROM b_signals GROUP BY ALL"))
+def signal_summary(t):
+    return graph.signal_summary(t.signals)
+
+
+@query(sql("SELECT * FROM g_orphans"))
+def orphan_edges(t):
+    return graph.orphan_edges(t.edges, t.nodes)
+
+
+@query(sql("SELECT signal_id, memory_id, 'missing_memory' AS detail FROM b_signals WHERE memory_id NOT IN (SELECT memory_id FROM b_nodes)"))
+def orphan_signals(t):
+    return graph.orphan_signals(t.signals, t.nodes)
+
+
+_SUSPENDED = "SELECT 'memory_edge' AS entity_type, edge_id AS entity_id, memory_id, detail FROM g_orphans UNION ALL SELECT 'memory_signal', signal_id, memory_id, 'missing_memory' FROM b_signals WHERE memory_id NOT IN (SELECT memory_id FROM b_nodes)"
+
+
+@query(sql("SELECT entity_type, count(*) AS n, array_to_string(list_slice(list_sort(list(entity_id)), 1, 10), ',') AS sample_ids FROM g_suspended GROUP BY entity_type", g_suspended=_SUSPENDED))
+def orphan_summary(t):
+    return maintain.sampled_counts(graph.suspensions(t.edges, t.signals, t.nodes), "entity_type", "entity_id")
+
+
+@query(sql("""SELECT coalesce(c.entity_type, o.entity_type) AS entity_type, coalesce(c.entity_id, o.entity_id) AS entity_id, coalesce(c.detail, o.detail) AS detail, coalesce(o.first_seen, 2000)::BIGINT AS first_seen_at_ms,
+ CASE WHEN c.entity_id IS NOT NULL THEN 2000 ELSE 1000 END::BIGINT AS last_seen_at_ms, CASE WHEN c.entity_id IS NOT NULL THEN 0 ELSE 2000 END::BIGINT AS resolved_at_ms
+ FROM g_suspended c FULL JOIN (SELECT entity_type, CASE WHEN length(entity_id) % 3 = 0 THEN entity_id || 'x' ELSE entity_id END AS entity_id, detail, 1000 AS first_seen FROM g_suspended WHERE length(entity_id) % 4 <> 0) o ON c.entity_type = o.entity_type AND c.entity_id = o.entity_id""", g_suspended=_SUSPENDED))
+def suspensions_merge(t):
+    now = graph.suspensions(t.edges, t.signals, t.nodes)
+    n = F.length("entity_id")
+    stored = now.filter(n % 4 != 0).withColumn("entity_id", F.when(n % 3 == 0, F.concat("entity_id", F.lit("x"))).otherwise(F.col("entity_id")))
+    stored = stored.withColumns({"first_seen_at_ms": F.lit(1000).cast("long"), "last_seen_at_ms": F.lit(1000).cast("long"), "resolved_at_ms": F.lit(0).cast("long")})
+    return graph.merge_suspensions(stored, now, 2000)
+
+
+_ROOTS = "SELECT memory_id AS root_id FROM b_nodes WHERE memory_type = 'decision' AND length(memory_id) <= 3"
+_HOPS = """SELECT r.root_id, e.from_memory_id, e.to_memory_id, e.edge_id, e.relation_type, e.weight, 1 AS hop FROM g_roots r JOIN b_edges e ON e.from_memory_id = r.root_id JOIN b_nodes n ON n.memory_id = e.to_memory_id
+ UNION ALL SELECT f.root_id, e.from_memory_id, e.to_memory_id, e.edge_id, e.relation_type, e.weight, 2 FROM
+ (SELECT DISTINCT r.root_id, e.to_memory_id AS at FROM g_roots r JOIN b_edges e ON e.from_memory_id = r.root_id JOIN b_nodes n ON n.memory_id = e.to_memory_id WHERE e.to_memory_id <> r.root_id) f JOIN b_edges e ON e.from_memory_id = f.at JOIN b_nodes n ON n.memory_id = e.to_memory_id"""
+
+
+def _roots(t):
+    return t.nodes.filter((F.col("memory_type") == "decision") & (F.length("memory_id") <= 3)).select(F.col("memory_id").alias("root_id"))
+
+
+@query(sql("SELECT root_id, hop::BIGINT AS hop, edge_id, from_memory_id, to_memory_id, relation_type, round(weight, 6) AS weight, relation_type IN ('contradicts', 'contradiction', 'denies') AS contradiction FROM g_hops", g_roots=_ROOTS, g_hops=_HOPS))
+def trace_hops(t):
+    return graph.trace(t.edges, t.nodes, _roots(t), depth=2)
+
+
+@query(sql("""SELECT s.memory_id, span_id, s.artifact_id, a.uri, a.title, start_offset, end_offset, quote_hash FROM b_spans s JOIN (SELECT artifact_id, uri, title FROM b_artifacts GROUP BY ALL) a USING (artifact_id)
+ WHERE s.memory_id IN (SELECT root_id FROM g_roots UNION SELECT to_memory_id FROM g_hops)""", g_roots=_ROOTS, g_hops=_HOPS))
+def trace_artifacts(t):
+    hops = graph.trace(t.edges, t.nodes, _roots(t), depth=2)
+    seen = _roots(t).toDF("memory_id").unionByName(hops.select(F.col("to_memory_id").alias("memory_id"))).distinct()
+    return graph.traced_artifacts(seen, t.spans, t.artifacts).drop("namespace")
+
+
+_PROMOTIONS = f"SELECT 'pm_' || chunk_id AS memory_id, chunk_id, CASE WHEN chunk_kind = 'decision' THEN 'decision' ELSE 'note' END AS memory_type FROM b_chunks WHERE chunk_kind IN {text.PROMOTABLE}"
+
+
+def _promotions(t):
+    c = t.chunks.filter(F.col("chunk_kind").isin(*text.PROMOTABLE))
+    return c.select(F.concat(F.lit("pm_"), "chunk_id").alias("memory_id"), "chunk_id", F.when(F.col("chunk_kind") == "decision", "decision").otherwise("note").alias("memory_type"))
+
+
+@query(sql("""SELECT p.memory_id, c.chunk_id, c.session_id, c.chunk_kind, c.start_seq, c.end_seq, c.authored_at_ms, coalesce(a.uris, '') AS artifact_uris, coalesce(a.n, 0) AS artifacts FROM b_promotions p JOIN b_chunks c USING (chunk_id)
+ LEFT JOIN (SELECT chunk_id, string_agg(uri, ' ' ORDER BY strlen(substr(text, 1, instr(text, uri) - 1)), uri) AS uris, count(*) AS n FROM b_found GROUP BY chunk_id) a USING (chunk_id)""", b_promotions=_PROMOTIONS, b_found=_ARTIFACTS))
+def transcript_sources(t):
+    return graph.transcript_sources(_promotions(t), t.chunks, ingest.artifact_spans(t.chunks))
+
+
+@query(sql("""SELECT p.memory_id AS from_memory_id, d.memory_id AS to_memory_id, CASE WHEN contains(lower(c.text), 'contradict') OR contains(lower(c.text), 'instead') OR contains(lower(c.text), 'やめる') OR contains(lower(c.text), '却下') THEN 'contradicts' ELSE 'supports' END AS relation_type, 1.0::DOUBLE AS weight
+ FROM b_promotions p JOIN b_chunks c USING (chunk_id) JOIN b_chunks dc ON dc.session_id = c.session_id JOIN b_promotions d ON d.chunk_id = dc.chunk_id AND d.memory_type = 'decision' AND d.memory_id <> p.memory_id
+ WHERE contains(lower(c.text), 'contradict') OR contains(lower(c.text), 'instead') OR contains(lower(c.text), 'やめる') OR contains(lower(c.text), '却下') OR c.chunk_kind IN ('rationale', 'debug_trace', 'task_candidate')""", b_promotions=_PROMOTIONS))
+def promotion_edges(t):
+    none = t.edges.filter(F.lit(False))
+    return graph.promotion_edges(_promotions(t), t.chunks, none)
+
+
+@query(sql("""SELECT 'node' AS row_kind, memory_id AS id, CASE WHEN doc_old THEN 'superseded' ELSE lifecycle_state END AS state FROM (SELECT *, memory_type = 'rationale' AS doc_old FROM b_nodes WHERE memory_space = 'shared')
+ UNION ALL SELECT 'edge', memory_id || 'b->' || memory_id, 'supersedes' FROM b_nodes WHERE memory_space = 'shared' AND memory_type = 'rationale'"""))
+def supersede_chain(t):
+    pairs = t.nodes.filter("memory_type = 'rationale'").select(F.col("memory_id").alias("old_id"), F.concat("memory_id", F.lit("b")).alias("new_id"))
+    nodes, edges = lifecycle.supersede(t.nodes, pairs)
+    a = nodes.select(F.lit("node").alias("row_kind"), F.col("memory_id").alias("id"), F.col("lifecycle_state").alias("state"))
+    return a.unionByName(edges.select(F.lit("edge").alias("row_kind"), F.concat_ws("->", "from_memory_id", "to_memory_id").alias("id"), F.col("relation_type").alias("state")))
+
+
+@query(sql("SELECT signal_id, memory_id, signal_type, value FROM b_signals WHERE signal_type IN ('reinforce', 'deprecate', 'confirm', 'deny', 'pin', 'bookmark') AND value > 0 AND signal_type <> 'pin'"))
+def signal_append(t):
+    renamed = F.when(F.col("signal_type") == "pin", "store").otherwise(F.col("signal_type"))
+    return lifecycle.signal_rows(t.signals.withColumn("signal_type", renamed)).select("signal_id", "memory_id", "signal_type", "value")
+
+
+@query(sql("""SELECT 'pm_' || session_id AS memory_id, arg_min(namespace, chunk_seq) AS namespace, string_agg(text, chr(10) || chr(10) ORDER BY chunk_seq) AS body, coalesce(arg_min(u, chunk_seq) FILTER (u <> ''), '') AS source_uri, max(authored_at_ms) AS authored_at_ms
+ FROM b_chunks LEFT JOIN (SELECT chunk_id, arg_min(uri, strlen(substr(text, 1, instr(text, uri) - 1))) AS u FROM b_found GROUP BY chunk_id) USING (chunk_id) GROUP BY session_id""", b_found=_ARTIFACTS))
+def promote_body(t):
+    c = t.chunks
+    links = c.select(F.concat(F.lit("pm_"), "session_id").alias("memory_id"), F.col("chunk_seq").alias("ordinal"), "chunk_id")
+    return lifecycle.promoted(links, c, ingest.artifact_spans(c)).select("memory_id", "namespace", "body", "source_uri", "authored_at_ms")
+
+
+@query(sql(f"SELECT 'pub_' || memory_id AS memory_id, memory_id AS private_memory_id, namespace, {oracle.redact('subject')} AS subject, {oracle.redact('body')} AS body, source_uri FROM b_nodes WHERE memory_space = 'private'"))
+def publish_redacted(t):
+    return lifecycle.published(t.nodes.filter("memory_space = 'private'")).select("memory_id", "private_memory_id", "namespace", "subject", "body", "source_uri")
+
+
+@query(sql(f"""SELECT candidate_id, CASE WHEN {_DECIDED} = 'pending' AND length(chunk_id) % 3 <> 0 AND namespace = 'team/1' THEN 'better' ELSE subject END AS subject,
+ CASE WHEN {_DECIDED} = 'pending' AND length(chunk_id) % 3 <> 0 THEN CASE WHEN namespace IN ('team/1', 'team/2') THEN 'approved' ELSE 'rejected' END ELSE {_DECIDED} END AS status, (length(chunk_id) % 3 <> 0 AND {_DECIDED} <> 'pending') AS refused FROM b_candidates""", b_candidates=_CANDIDATES))
+def candidate_review(t):
+    c = ingest.candidates(t.chunks).withColumn("status", F.when(F.length("chunk_id") % 2 == 0, "approved").otherwise("pending"))
+    decisions = c.filter(F.length("chunk_id") % 3 != 0).select("candidate_id", F.when(F.col("namespace").isin("team/1", "team/2"), "approve").otherwise("reject").alias("decision"), F.when(F.col("namespace") == "team/1", "better").otherwise(" ").alias("new_subject"))
+    return lifecycle.review(c, decisions)
+
+
+@query(sql("""SELECT unit_id, source_type, memory_space, unit_kind, title, body_hash, table_rows FROM (SELECT memory_id AS unit_id, memory_space || '_memory' AS source_type, memory_space, memory_type AS unit_kind, subject AS title, sha256(subject || chr(10) || body) AS body_hash,
+ CASE WHEN memory_space = 'shared' THEN 5 ELSE 4 END AS table_rows FROM b_nodes)"""))
+def store_pipeline(t):
+    requests = t.nodes.withColumns({"scope": F.lit(""), "author_agent_id": F.lit("")})
+    made = lifecycle.stored(requests)
+    counted = made["nodes"].select("memory_id").unionByName(made["verification"].select("memory_id")).unionByName(made["signals"].select("memory_id")).unionByName(made["units"].select(F.col("unit_id").alias("memory_id"))).unionByName(made["queue"].select(F.col("unit_id").alias("memory_id")))
+    n = counted.groupBy("memory_id").agg(F.count(F.lit(1)).cast("int").alias("table_rows"))
+    return made["units"].join(n, F.col("unit_id") == F.col("memory_id")).select("unit_id", "source_type", "memory_space", "unit_kind", "title", "body_hash", "table_rows")
+
+
+@query(sql("SELECT unit_id, source_type, memory_space, namespace, unit_kind, sha256(body) AS body_hash, sensitivity, project_key, branch_name, authored_at_ms FROM b_units WHERE source_type = 'transcript_chunk'"))
+def ingest_units(t):
+    return ingest.units(t.chunks).select("unit_id", "source_type", "memory_space", "namespace", "unit_kind", F.sha2("body", 256).alias("body_hash"), "sensitivity", "project_key", "branch_name", "authored_at_ms")
+
+
+_EXPLAIN = f"""SELECT n.memory_id, n.memory_space, coalesce(v.signature_status, '') AS signature_status, coalesce(p.trust_weight, 1.0::DOUBLE) AS trust_weight, coalesce(v.signature_status, '') <> 'invalid_signature' AS recall_eligible,
+ CASE WHEN n.memory_space = 'private' OR v.signature_status = 'valid' THEN 0 WHEN v.signature_status = 'unknown_peer' THEN 2 ELSE 1 END AS bucket FROM b_nodes n LEFT JOIN b_verification v USING (memory_id) LEFT JOIN b_peers p ON p.peer_id = n.origin_peer_id"""
+
+
+@query(sql(_EXPLAIN))
+def explain_record(t):
+    return context.explained(t.nodes, t.verification, t.peers)
+
+
+@query(sql("""SELECT e.*, coalesce(s.signals, 0) AS signals, coalesce(round(s.total_value, 4), 0) AS total_value, coalesce(b.bm25, 0) AS bm25, b.bm25 IS NOT NULL AS matched FROM x_explain e
+ LEFT JOIN (SELECT memory_id, count(*) AS signals, sum(value) AS total_value FROM b_signals GROUP BY memory_id) s USING (memory_id) LEFT JOIN (SELECT unit_id AS memory_id, bm25 FROM s_bm25 WHERE query_id = 0) b USING (memory_id)""", x_explain=_EXPLAIN))
+def explain_memory(t):
+    lexical = search.bm25(search.indexed(t.units), t.queries).filter("query_id = 0")
+    return context.explained_with_signals(t.nodes, t.verification, t.peers, t.signals, lexical)
+
+
+# ---------------------------------------------------------------- maintenance and sync
+
+
+_SIGNATURES = """SELECT memory_id, CASE WHEN NOT has_signature THEN 'missing_signature' WHEN p.peer_id IS NULL THEN 'unknown_peer' WHEN signature_status = 'invalid_signature' THEN 'invalid_signature' ELSE 'valid' END AS status
+ FROM b_nodes n LEFT JOIN b_peers p ON p.peer_id = n.origin_peer_id LEFT JOIN b_verification v USING (memory_id) WHERE memory_space = 'shared'"""
+
+
+@query(sql("SELECT status, count(*) AS n, array_to_string(list_slice(list_sort(list(memory_id)), 1, 10), ',') AS sample_ids FROM x_signatures GROUP BY status", x_signatures=_SIGNATURES))
+def signature_summary(t):
+    return maintain.sampled_counts(maintain.signature_status(t.nodes, t.peers, t.verification), "status", "memory_id")
+
+
+@query(sql("SELECT status AS item, count(*) AS n FROM x_signatures GROUP BY status UNION ALL SELECT entity_type, count(*) FROM g_suspended GROUP BY entity_type", x_signatures=_SIGNATURES, g_suspended=_SUSPENDED))
+def scrubber_summary(t):
+    a = maintain.signature_status(t.nodes, t.peers, t.verification).select(F.col("status").alias("item"))
+    return a.unionByName(graph.suspensions(t.edges, t.signals, t.nodes).select(F.col("entity_type").alias("item"))).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql(f"SELECT count(*) FILTER (processed_at_ms = 0) AS pending, count(*) FILTER (processed_at_ms <> 0) AS processed, {AS_OF_MS} - min(enqueued_at_ms) FILTER (processed_at_ms = 0) AS oldest_age_ms FROM b_queue"))
+def index_diagnostics(t):
+    return maintain.index_diagnostics(t.queue, AS_OF_MS)
+
+
+_STATES = "SELECT peer_id, 'team/en' AS namespace, CASE WHEN trust_state = 'block' THEN 'refused' ELSE '' END AS last_error, false AS schema_fenced FROM b_peers"
+
+
+def _states(t):
+    return t.peers.select("peer_id", F.lit("team/en").alias("namespace"), F.when(F.col("trust_state") == "block", "refused").otherwise("").alias("last_error"), F.lit(False).alias("schema_fenced"))
+
+
+@query(sql("SELECT CASE WHEN bool_or(schema_fenced) THEN 'schema_fenced' WHEN bool_or(last_error <> '') THEN 'degraded' ELSE 'healthy' END AS state, count(*) AS peers FROM x_states", x_states=_STATES))
+def sync_status(t):
+    return sync.status(_states(t))
+
+
+@query(sql("""SELECT 'site' || site_id AS peer_id, namespace, max(db_version) AS applied_version, coalesce(any_value(q.n), 0) AS quarantined FROM b_changes LEFT JOIN (SELECT replace(peer_id, 'peer', 'site') AS p, namespace, count(*) AS n FROM b_batches GROUP BY ALL) q ON q.p = 'site' || site_id AND q.namespace = b_changes.namespace GROUP BY site_id, b_changes.namespace""".replace("namespace, max", "b_changes.namespace, max"), b_batches=_BATCHES))
+def sync_diagnostics(t):
+    refused = _batches(t).groupBy(F.replace("peer_id", F.lit("peer"), F.lit("site")).alias("peer_id"), "namespace").agg(F.count(F.lit(1)).alias("quarantined"))
+    cursors = sync.cursors(t.changes, F.concat(F.lit("site"), "site_id")).drop("updated_at_ms")
+    return cursors.join(refused, ["peer_id", "namespace"], "left").fillna({"quarantined": 0})
+
+
+@query(sql("SELECT 'site' || site_id AS peer_id, namespace, max(db_version) AS applied_version, max(changed_at_ms) AS updated_at_ms FROM b_changes GROUP BY ALL"))
+def sync_cursors(t):
+    return sync.cursors(t.changes, F.concat(F.lit("site"), "site_id"))
+
+
+@query(sql("SELECT db_version, tbl, pk, cid, val, col_version, site_id, cl FROM b_changes WHERE db_version IN (SELECT DISTINCT db_version FROM b_changes WHERE namespace = 'team/1' AND db_version > 1000 ORDER BY db_version LIMIT 256)"))
+def sync_extract(t):
+    return sync.extract(t.changes, "team/1", 1000).select("db_version", "tbl", "pk", "cid", "val", "col_version", "site_id", "cl")
+
+
+_CELLS = "SELECT tbl, pk, cid, val, col_version, site_id FROM b_changes QUALIFY row_number() OVER (PARTITION BY tbl, pk, cid ORDER BY col_version DESC, val DESC, site_id DESC) = 1"
+
+
+@query(sql(_CELLS))
+def crdt_merge(t):
+    return sync.merged_cells(t.changes)
+
+
+@query(sql("""SELECT c.tbl, c.pk, max(val) FILTER (cid = 'click') AS click, max(val) FILTER (cid = 'view') AS view, max(val) FILTER (cid = 'purchase') AS purchase FROM x_cells c
+ WHERE pk IN (SELECT pk FROM b_changes GROUP BY pk HAVING max(cl) % 2 = 1) GROUP BY ALL""", x_cells=_CELLS))
+def crdt_rows(t):
+    return sync.merged_rows(t.changes, ["click", "view", "purchase"])
+
+
+@query(sql("SELECT pk, coalesce(arg_max(val, db_version) FILTER (cid = 'click'), '') AS click, coalesce(arg_max(val, db_version) FILTER (cid = 'view'), '') AS view FROM b_changes GROUP BY pk"))
+def claim_reassembly(t):
+    return sync.reassembled_claims(t.changes, ["click", "view"])
+
+
+@query(sql("SELECT pk, max(db_version) AS last FROM b_changes GROUP BY pk ORDER BY last DESC, pk LIMIT 32"))
+def sync_enqueue(t):
+    return sync.enqueued(t.changes)
+
+
+@query(sql("""SELECT c_custkey AS request_id, 'src' || (c_custkey % 20) AS peer_id, CASE WHEN coalesce(p.trust_state, '') <> 'allow' THEN 'peer is not allowlisted' WHEN c_custkey % 3 = 0 THEN 'schema hash mismatch' WHEN c_custkey % 5 = 0 THEN 'crr manifest hash mismatch'
+ WHEN c_custkey % 7 = 0 THEN 'protocol mismatch' WHEN c_custkey % 11 = 0 THEN 'at least one namespace is required' ELSE '' END AS reason, coalesce(p.trust_state, '') = 'allow' AND (c_custkey % 3 = 0 OR c_custkey % 5 = 0) AS schema_fenced
+ FROM customer LEFT JOIN b_peers p ON p.peer_id = 'src' || (c_custkey % 20)"""))
+def handshake_eval(t):
+    k = F.col("c_custkey")
+    pick = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    requests = t.raw("customer").select(
+        k.alias("request_id"), F.concat(F.lit("src"), (k % 20).cast("string")).alias("peer_id"), pick(3, "old", "s1").alias("schema_hash"), pick(5, "old", "m1").alias("manifest_hash"),
+        pick(7, "0.9", "1.0").alias("protocol"), F.lit("1.0").alias("min_protocol"), F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("team/en"))).alias("namespaces"),
+    )
+    return sync.handshakes(requests, t.peers, schema_hash="s1", manifest_hash="m1", protocol="1.0", oldest="1.0")
+
+
+@query(sql("SELECT coalesce(p.peer_id, c.peer_id) AS peer_id, coalesce(p.trust_weight, 1.0::DOUBLE) AS trust_weight, CASE WHEN c.peer_id IS NOT NULL THEN 'allow' ELSE p.trust_state END AS trust_state FROM b_peers p FULL JOIN (SELECT 'src' || n_nationkey AS peer_id FROM nation WHERE n_nationkey % 2 = 0) c ON c.peer_id = p.peer_id"))
+def policy_sync(t):
+    configured = t.raw("nation").filter("n_nationkey % 2 = 0").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("peer_id"))
+    return sync.synced_policies(t.peers, configured)
+
+
+@query(sql("""SELECT round(avg(CASE WHEN best <= 5 THEN 1 ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN best <= 10 THEN 1.0::DOUBLE / best ELSE 0 END), 6) AS mrr_at_10, count(*) AS queries FROM (
+ SELECT e.query_id, min(r.lexical_rank) AS best FROM (SELECT query_id, unit_id FROM s_like WHERE lexical_rank <= 2) e LEFT JOIN (SELECT * FROM s_lex WHERE lexical_rank <= 10) r USING (query_id, unit_id) GROUP BY e.query_id)"""))
+def retrieval_metrics(t):
+    index = search.indexed(t.units)
+    expected = search.containment(index, t.queries, 2).select("query_id", "unit_id")
+    return maintain.retrieval_metrics(search.lexical(index, t.queries, 10).withColumnRenamed("lexical_rank", "rank"), expected)
+
+
+# ---------------------------------------------------------------- streams and signatures (no SQL form)
+
+
+@query()
+def stream_index(t):
+    return workers.index_once(t.spark, t.queue, t.units)
+
+
+@query()
+def stream_crdt(t):
+    return workers.merge_once(t.spark, t.changes)
+
+
+@query()
+def stream_ingest(t):
+    return workers.ingest_once(t.spark, t.messages)
+
+
+def _signed_claims(t):
+    seed = F.unhex(F.sha2(F.concat(F.lit("engine/"), "origin_peer_id"), 256))
+    rows = _claims(t).filter("memory_space = 'shared' and length(memory_id) <= 3").join(t.verification, "memory_id", "left").withColumn("seed", seed)
+    said = F.when(F.col("signature_status") == "invalid_signature", F.concat("claim", F.lit(" "))).otherwise(F.col("claim"))
+    signature = F.when(F.col("has_signature"), signing.signed(F.col("seed"), said))
+    key = F.when(F.col("origin_peer_id") != "src19", signing.key_of(F.col("seed")))
+    return rows.select("memory_id", "claim", F.coalesce(signature, F.lit(b"")).alias("signature"), F.coalesce(key, F.lit(b"")).alias("public_key"), F.col("namespace").alias("batch_id"))
+
+
+@query()
+def verify_signatures(t):
+    return signing.signature_state(_signed_claims(t))
+
+
+@query()
+def batch_verify(t):
+    return signing.batch_verdicts(_signed_claims(t))
