@@ -33,6 +33,8 @@ from mnemosea.llm._common import encoded, lowered_words, read_table, sliced
 
 #: Place of the vocabulary file; a parameter of every function here.
 VOCABULARY = "word_bpe_49k.json"
+#: Pieces whose encoding a worker remembers.
+KNOWN = 300_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -120,6 +122,27 @@ class Vocabulary:
         last = [self.symbols.get(x + self.suffix, -1) for x in letters]
         self.of_byte = np.array([inner, last], np.int32)
         self._automaton()
+        #: Pieces that this worker has encoded already, with where their ranks are; KNOWN of them at most.
+        self.known: dict[str, int] = {}
+        self.known_ranks, self.known_begin, self.known_size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode_pieces(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks, and where each piece's ranks begin and how many they are. Each piece is encoded once
+        by a worker as long as it has room to remember it; a name that starts with \\r has none."""
+        at = np.fromiter((self.known.get(n, -1) for n in names), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        fresh = [names[i] for i in new.tolist()]
+        ranks, start = self.encode_words([b"" if n[0] == "\r" else n.encode() for n in fresh])
+        begin, size = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+        old = at >= 0
+        begin[old], size[old] = self.known_begin[at[old]], self.known_size[at[old]]
+        begin[new], size[new] = len(self.known_ranks) + start[:-1], np.diff(start)
+        every = np.concatenate([self.known_ranks, ranks])
+        if len(self.known) + len(fresh) <= KNOWN:
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+            self.known_begin, self.known_size = np.append(self.known_begin, begin[new]), np.append(self.known_size, size[new])
+            self.known_ranks = every
+        return every, begin, size
 
     def _automaton(self) -> None:
         """States are the distinct prefixes of tokens as symbol sequences; state 0 is empty."""
@@ -286,19 +309,18 @@ class Block:
         count = np.diff(ends, prepend=-1) - 1
         flat_a = flat[1:][flat[1:] != 0].astype(np.int64) - 1
         names = kinds.to_pylist()[1:]
-        ranks, start = vocab.encode_words([b"" if n[0] == "\r" else n.encode() for n in names])
-        self.ids, self.names = vocab.ids[ranks], [vocab.text[r] for r in ranks.tolist()]
-        size = np.diff(start)
-        start = start[:-1].copy()
+        ranks, start, size = vocab.encode_pieces(names)
+        self.ids, self.vocab, self.specials = vocab.ids[ranks], vocab, {}
         for i, n in enumerate(names):
             if n[0] == "\r":
                 start[i], size[i] = len(self.ids), 1
+                self.specials[len(self.ids)] = n[1:]
                 self.ids = np.append(self.ids, np.uint32(vocab.special[n[1:]]))
-                self.names.append(n[1:])
         # Token positions of each distinct word, then of each text.
         begin = np.concatenate([[0], np.cumsum(count)])
         word_size = np.add.reduceat(np.append(size[flat_a], 0), begin[:-1]) if len(count) else np.zeros(0, np.int64)
         word_size = np.where(count > 0, word_size, 0)
+        self.ranks = ranks
         self.word_tokens = ragged(start[flat_a], size[flat_a])
         self.word_begin = np.concatenate([[0], np.cumsum(word_size)])
         self.word_size, self.codes, self.word_offsets = word_size, codes, offsets
@@ -313,7 +335,11 @@ class Block:
     def decoded(self) -> list[str]:
         """What the ids of each distinct word decode to: this vocabulary has no decoder, so
         its tokens as they are written, with spaces between."""
-        names = [self.names[k] for k in self.word_tokens.tolist()]
+        text, own = self.vocab.text, self.word_tokens
+        ranks = np.append(self.ranks, np.zeros(len(self.specials), np.int64))[own]
+        names = [text[r] for r in ranks.tolist()]
+        for k in np.flatnonzero(own >= len(self.ranks)).tolist():
+            names[k] = self.specials[int(own[k])]
         b = self.word_begin.tolist()
         return [" ".join(names[b[i] : b[i + 1]]) for i in range(len(b) - 1)]
 
