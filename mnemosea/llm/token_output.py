@@ -30,9 +30,13 @@ from pyspark.sql import functions as F
 from mnemosea.llm._common import materialise, mixed, read_table, shared_folder, sliced
 from mnemosea.llm.bpe import Block, vocabulary, vocabulary_path
 
-STRIDE = 256
-PER_SHARD = 4096
+STRIDE = 512
+#: Bytes of text that are encoded together: the more, the fewer words are met twice.
+ENCODED_TOGETHER = 16 << 20
+PER_SHARD = 256
 ROUNDS = 6
+#: Ids that a worker lays out at a time.
+IDS_AT_ONCE = 200_000
 
 
 class Feistel:
@@ -84,26 +88,29 @@ def write_training_order(docs: DataFrame, path: str, *, key: int = 6, stride: in
         piece, at = TaskContext.get().partitionId(), 0
         vocab = vocabulary(vocabulary_file)
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", ENCODED_TOGETHER):
             block = Block(batch.column("text"), vocab)
-            ids, edge = block.tokens(0, batch.num_rows), block.offsets
-            own = -(-(np.diff(edge) + 1) // stride)
-            first = np.concatenate([[0], np.cumsum(own)])
-            grid = np.full((int(first[-1]), stride), end, wide)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(edge))
-            place = np.arange(len(ids)) - edge[row]
-            grid[first[row] + place // stride, place % stride] = ids
-            source = np.repeat(np.arange(batch.num_rows), own)
-            part = np.arange(len(source)) - first[source]
-            used = np.minimum(stride, np.diff(edge)[source] + 1 - part * stride)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(source)), pa.array(part.astype(np.int32)), pa.array(used.astype(np.int32)),
-                    pa.array([pack(r.tobytes()) for r in grid], pa.binary()), pa.array(np.full(len(source), piece, np.int32)), pa.array(at + np.arange(len(source))),
-                ],
-                names=["doc_id", "part", "used", "ids", "piece", "at"],
-            )
-            at += len(source)
+            ends = block.offsets[1:]
+            low = 0
+            while low < batch.num_rows:  # the ids of some texts at a time
+                high = max(low + 1, int(np.searchsorted(ends, block.offsets[low] + IDS_AT_ONCE, side="right")))
+                ids, edge = block.tokens(low, high), block.offsets[low : high + 1] - block.offsets[low]
+                own = -(-(np.diff(edge) + 1) // stride)
+                first = np.concatenate([[0], np.cumsum(own)])
+                grid = np.full(int(first[-1]) * stride, end, wide)
+                grid[np.arange(len(ids)) + np.repeat(first[:-1] * stride - edge[:-1], np.diff(edge))] = ids
+                source = np.repeat(np.arange(high - low), own)
+                part = np.arange(len(source)) - first[source]
+                used = np.minimum(stride, np.diff(edge)[source] + 1 - part * stride)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(low + source)), pa.array(part.astype(np.int32)), pa.array(used.astype(np.int32)),
+                        pa.array([pack(r.tobytes()) for r in grid.reshape(-1, stride)], pa.binary()), pa.array(np.full(len(source), piece, np.int32)), pa.array(at + np.arange(len(source))),
+                    ],
+                    names=["doc_id", "part", "used", "ids", "piece", "at"],
+                )
+                at += len(source)
+                low = high
 
     rows = materialise(docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, part int, used int, ids binary, piece int, at long"), "tokens")
     pieces = rows.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))  # a row for each split of the input
@@ -181,14 +188,32 @@ def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None
     return rows.mapInArrow(run, "slot long, doc_id long, part int, n_tokens long, ids array<int>")
 
 
-def op6_training_order(spark, sf_dir):
-    """All documents encoded and written in training order, then read back: one row per slot."""
-    path = f"{shared_folder(spark)}/llm-order-{uuid.uuid4().hex}"
-    slots = read_slots(spark, write_training_order(read_table(spark, sf_dir, "documents"), path))
+def slot_digests(spark: SparkSession, path: str) -> DataFrame:
+    """slot, doc_id, part, n_tokens, ids_sha256 (of the slot's ids as they are stored) of every slot."""
+    m = spark.read.schema("stride int, ids string").parquet(f"{path}/manifest").first()
+    size = np.dtype(m["ids"]).itemsize
+    step = m["stride"] * size
+    rows = spark.read.schema("first_slot long, payload binary, doc_ids array<long>, parts array<int>, used array<int>").parquet(f"{path}/shards")
 
-    def digest(batches):
+    def run(batches):
         for batch in batches:
-            sha = [hashlib.sha256(np.asarray(x.values).astype("<u4").tobytes()).hexdigest() for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sha, pa.string())], names=["slot", "doc_id", "part", "n_tokens", "ids_sha256"])
+            counts = np.asarray(batch.column("used").value_lengths())
+            used = np.asarray(batch.column("used").flatten())
+            slot = np.repeat(np.asarray(batch.column("first_slot")), counts) + np.arange(len(used)) - np.repeat(np.cumsum(counts) - counts, counts)
+            sha = []
+            for k in range(batch.num_rows):
+                data = memoryview(batch.column("payload")[k].as_buffer())
+                own = batch.column("used")[k].values.to_numpy().tolist()
+                sha += [hashlib.sha256(data[i * step : i * step + n * size]).hexdigest() for i, n in enumerate(own)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot), batch.column("doc_ids").flatten(), batch.column("parts").flatten(), pa.array(used.astype(np.int64)), pa.array(sha, pa.string())],
+                names=["slot", "doc_id", "part", "n_tokens", "ids_sha256"],
+            )
+
+    return rows.mapInArrow(run, "slot long, doc_id long, part int, n_tokens long, ids_sha256 string")
 
-    return slots.mapInArrow(digest, "slot long, doc_id long, part int, n_tokens long, ids_sha256 string")
+
+def op6_training_order(spark, sf_dir):
+    """All documents encoded and written in training order, then read back: one row per slot."""
+    path = f"{shared_folder(spark)}/llm-order-{uuid.uuid4().hex}"
+    return slot_digests(spark, write_training_order(read_table(spark, sf_dir, "documents"), path))
