@@ -15,7 +15,7 @@ source's words nearer to the target.
 
 No task sorts a source: Q is cut into cells, sums of cells are counted before
 they are shuffled, and only the documents of the one cell at the border (a
-millionth of the source) are put in order.
+65,536th of the source) are put in order.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from mnemosea.llm._common import materialise, read_table
 
 #: Cells of the first and of the second level for each source.
-CELLS = 1024
+CELLS = 256
 
 _SPACES = " \t\n\x0b\x0c\r"
 
