@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemosea.functions import ranking, text
-from mnemosea.operators import graph, recall
+from mnemosea.operators import graph, recall, search
 
 #: Section: spaces, kinds.
 SECTIONS = {
@@ -20,18 +20,31 @@ REJECTED = ("rejected_option", "rejected", "却下", "superseded")
 
 
 def sections(t, queries: DataFrame, *, limit: int = 5, as_of_ms: int, rejected_words: tuple[str, ...] = REJECTED, profile: str = "default") -> DataFrame:
-    """(query_id, section, unit_id, score, rank, source_uri): five recalls with fixed lanes and kinds. For rejected
-    options four times as many are recalled, and those that say so stay."""
-    out = None
-    for name, (spaces, kinds) in SECTIONS.items():
-        wide = name == "rejected_options"
-        rows = recall.recall(t, queries, limit=4 * limit if wide else limit, profile=profile, as_of_ms=as_of_ms, spaces=spaces, kinds=kinds)
-        if wide:
-            said = text.any_of(F.lower(F.concat_ws("\n", "unit_kind", "subject", "body", "state")), rejected_words)
-            rows = rows.filter(said).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")).filter(F.col("rank") <= limit)
-        rows = rows.select("query_id", F.lit(name).alias("section"), "unit_id", "score", "rank", "source_uri")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(query_id, section, unit_id, score, rank, source_uri): a recall for each section with its lanes and kinds. For
+    rejected options four times as many are recalled, and those that say so stay.
+
+    All sections go through one plan: the index is searched once, and ranks are counted within (query, section).
+    """
+    keys = ("query_id", "section")
+    wide = F.col("section") == "rejected_options"
+    cap = F.when(wide, max(recall.CANDIDATES, 40 * limit)).otherwise(max(recall.CANDIDATES, 10 * limit))
+    units = t.units
+    index = search.indexed(units)
+    fits = [F.when(F.col("memory_space").isin(*spaces) & (F.col("unit_kind").isin(*kinds) if kinds else F.lit(True)), F.lit(name)) for name, (spaces, kinds) in SECTIONS.items()]
+    placed = units.select("unit_id", F.explode(F.array_compact(F.array(*fits))).alias("section"))
+    matched = search.bm25(index, queries).join(placed, "unit_id")
+    lexical = search.ranked(matched, [F.col("bm25"), F.col("unit_id")], cap, "lexical_rank", keys)
+    pairs = queries.select("query_id", "query", F.explode(F.array(*[F.lit(n) for n in SECTIONS])).alias("section"))
+    unmatched = pairs.join(matched.select(*keys).distinct(), list(keys), "left_anti")
+    other = search.containment_scores(index, unmatched.select("query_id", "query").distinct()).join(placed, "unit_id").join(unmatched.select(*keys), list(keys), "left_semi")
+    other = search.ranked(other, [F.col("matches").desc(), F.col("unit_id")], cap, "lexical_rank", keys)
+    columns = [*keys, "unit_id", "lexical_rank"]
+    found = lexical.select(*columns).unionByName(other.select(*columns)).withColumn("semantic_rank", F.lit(0).cast("long"))
+    rows = recall.with_features(recall.enriched(found, units, t.nodes, t.verification, t.peers), t.edges, t.spans)
+    rows = recall.best(recall.scored(rows, queries, profile=profile, as_of_ms=as_of_ms), F.when(wide, 4 * limit).otherwise(limit), keys)
+    said = text.any_of(F.lower(F.concat_ws("\n", "unit_kind", "subject", "body", "state")), rejected_words)
+    rows = rows.filter(~wide | said).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")).cast("long")).filter(F.col("rank") <= limit)
+    return rows.select(*keys, "unit_id", "score", "rank", "source_uri")
 
 
 def artifacts(section_rows: DataFrame, spans: DataFrame, refs: DataFrame, *, limit: int = 5) -> DataFrame:

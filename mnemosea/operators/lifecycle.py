@@ -141,8 +141,17 @@ def stored(requests: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+#: Change-log rows are numbered within spans of this many milliseconds.
+LOG_SPAN_MS = 3_600_000
+
+
 def change_log(rows: DataFrame, table: str, pk: str, namespace: Column, base_version: int = 0) -> DataFrame:
-    """Change-log rows of an inserted batch. Versions follow the order of (authored_at_ms, pk). The batch
-    is ranged over tasks and numbered from each task's share, so no task sorts it alone."""
-    w = Window.orderBy("authored_at_ms", pk)
-    return rows.select((F.row_number().over(w) + base_version).cast("long").alias("db_version"), F.lit(table).alias("table_name"), F.col(pk).alias("pk_hint"), namespace.alias("namespace"), F.col("authored_at_ms").alias("changed_at_ms"))
+    """Change-log rows of an inserted batch. Versions follow the order of (authored_at_ms, pk). Rows are
+    numbered within each hour, and hours from their counts, so no task sorts the batch."""
+    rows = rows.withColumn("span", F.floor(F.col("authored_at_ms") / LOG_SPAN_MS))
+    spans = rows.groupBy("span").agg(F.count(F.lit(1)).alias("n"))  # a row for each hour
+    before = F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.join(spans.select("span", before.alias("before")), "span")
+    within = F.row_number().over(Window.partitionBy("span").orderBy("authored_at_ms", pk))
+    version = (F.col("before") + within + base_version).cast("long")
+    return numbered.select(version.alias("db_version"), F.lit(table).alias("table_name"), F.col(pk).alias("pk_hint"), namespace.alias("namespace"), F.col("authored_at_ms").alias("changed_at_ms"))

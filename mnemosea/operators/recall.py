@@ -69,8 +69,8 @@ def scored(rows: DataFrame, queries: DataFrame, *, profile: str, as_of_ms: int)
     return rows.join(queries, "query_id").withColumn("score", F.round(ranking.total_score(ranking.profile(profile), as_of_ms), 6))
 
 
-def best(rows: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("authored_at_ms").desc(), F.col("unit_id"))
+def best(rows: DataFrame, k, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("authored_at_ms").desc(), F.col("unit_id"))
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 

@@ -378,9 +378,7 @@ def canonical_claim(t):
 @query(sql("SELECT query_id, unit_id, count(*) AS terms FROM s_post JOIN s_terms USING (term) GROUP BY ALL"))
 def fts_match(t):
     q = search.query_terms(t.queries)
-    listed = q.select("term").distinct().agg(F.collect_set("term").alias("listed"))
-    docs = search.documents(search.indexed(t.units)).join(F.broadcast(listed))
-    hits = docs.select("unit_id", F.explode(F.array_distinct(F.filter("tokens", lambda x: F.array_contains(F.col("listed"), x)))).alias("term"))
+    hits = search.term_postings(search.documents(search.indexed(t.units)), q).select("unit_id", "term").distinct()
     return hits.join(q, "term").groupBy("query_id", "unit_id").agg(F.count(F.lit(1)).alias("terms"))
 
 
