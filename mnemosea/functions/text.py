@@ -38,10 +38,15 @@ def search_terms(query: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(query), TERM_BREAK), lambda t: F.octet_length(t) >= 2))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it. Within a lambda a
+    plain expression would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def term_match_score(terms: Column, text: Column) -> Column:
     """How many of the terms are within the lower-case text."""
-    low = F.lower(text)
-    return F.size(F.filter(terms, lambda t: F.contains(low, t)))
+    return let(F.lower(text), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t))))
 
 
 def tokens(text: Column) -> Column:
@@ -52,7 +57,8 @@ def tokens(text: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Tokens of the full-text index: lower case, accents folded."""
-    return F.filter(F.split(F.translate(F.lower(text), ACCENTED, FOLDED), INDEX_BREAK), lambda t: t != "")
+    fold = lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.translate(t, ACCENTED, FOLDED))
+    return F.transform(F.filter(F.split(F.lower(text), INDEX_BREAK), lambda t: t != ""), fold)
 
 
 def trigrams(text: Column) -> Column:

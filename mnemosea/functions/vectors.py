@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemosea.functions.text import let
+
 #: Fixed values of FNV-1a (64 bits).
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 DIMENSION, LARGEST = 8, 4096
@@ -55,11 +57,6 @@ def newton_root(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(12)), value, lambda x, _: (x + value / x) * 0.5)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def normalised(vector: Column) -> Column:
     def scaled(v: Column) -> Column:
         total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
