@@ -1,0 +1,95 @@
+"""The public face over the smallest tables."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from mnemosea.engine import Config, Engine, EngineError, decode_strictly, envelope, load_eval_dataset, register_functions, schema_hash
+from mnemosea.sources.bridge import AS_OF_MS, Tables
+
+
+@pytest.fixture(scope="module")
+def engine(spark, sf):
+    return Engine.over(Tables(spark, sf))
+
+
+def request(spark, memory_id, space, subject, body):
+    return spark.createDataFrame([(memory_id, space, "team/dev", "", subject, body, "", "", "", 1, True, "", "active")], "memory_id string, memory_space string, namespace string, memory_type string, subject string, body string, origin_peer_id string, scope string, author_agent_id string, authored_at_ms long, has_signature boolean, source_uri string, lifecycle_state string")
+
+
+def ask(spark, words):
+    return spark.createDataFrame([(1, words)], "query_id long, query string")
+
+
+def test_what_is_stored_is_recalled_in_its_lane(spark, engine):
+    after = engine.store(request(spark, "mem-1", "shared", "quokka plan", "body")).store(request(spark, "mem-2", "private", "quokka note", "body"))
+    got = after.recall(ask(spark, "quokka"), as_of_ms=AS_OF_MS).collect()
+    assert {r.unit_id for r in got} == {"mem-1", "mem-2"} and {r.unit_kind for r in got} == {"fact"}
+    assert {r.unit_id for r in after.recall(ask(spark, "quokka"), as_of_ms=AS_OF_MS, shared=True).collect()} == {"mem-1"}
+
+
+def test_publish_redacts_and_refuses_shared_memories(spark, engine):
+    after = engine.store(request(spark, "mem-3", "private", "token: abc123", "password=hunter2 file://x")).publish(["mem-3"])
+    row = after.nodes.filter("memory_id = 'pub_mem-3'").first()
+    assert row.subject == "token=[REDACTED]" and "hunter2" not in row.body and row.memory_space == "shared"
+    with pytest.raises(EngineError) as e:
+        after.publish(["pub_mem-3"])
+    assert e.value.code == "PRIVATE_ONLY" and e.value.status == 400
+
+
+def test_trace_explain_context_and_upkeep(spark, engine):
+    root = engine.edges.join(engine.nodes.select(F.col("memory_id").alias("from_memory_id")), "from_memory_id", "left_semi").join(engine.nodes.select(F.col("memory_id").alias("to_memory_id")), "to_memory_id", "left_semi").first().from_memory_id
+    hops, artifacts, sources = engine.trace(root, depth=2)
+    assert hops.count() > 0 and artifacts.columns and sources.count() == 0
+    with pytest.raises(EngineError) as e:
+        engine.trace("nobody")
+    assert e.value.status == 404
+    assert engine.explain("the").filter("matched").count() > 0
+    sections, found = engine.context(ask(spark, "the reason"), as_of_ms=AS_OF_MS)
+    assert sections.select("section").distinct().count() >= 3 and found.count() <= 5
+    assert engine.diagnose().count() >= 4
+
+
+def test_promote_review_supersede_signal_ingest_and_apply(spark, engine):
+    chunk = engine.chunks.filter("chunk_kind = 'decision'").first()
+    links = spark.createDataFrame([("pm", 0, chunk.chunk_id)], "memory_id string, ordinal int, chunk_id string")
+    assert engine.promote(links).nodes.filter("memory_id = 'pm'").first().body == chunk.text
+    c = engine.candidates.orderBy("candidate_id").first().candidate_id
+    decisions = spark.createDataFrame([(c, "approve", "x")], "candidate_id string, decision string, new_subject string")
+    after = engine.review(decisions)
+    assert after.list_candidates(status="approved").first().subject == "x"
+    with pytest.raises(EngineError) as e:
+        after.review(decisions)
+    assert e.value.code == "CANDIDATE_NOT_PENDING"
+    pairs = spark.createDataFrame([("m1", "m2")], "old_id string, new_id string")
+    assert engine.supersede(pairs).nodes.filter("memory_id = 'm1'").first().lifecycle_state == "superseded"
+    signals = spark.createDataFrame([("g", "m1", "pin", 1.0, 1), ("h", "m1", "store", 1.0, 1), ("i", "m1", "deny", 0.0, 1)], "signal_id string, memory_id string, signal_type string, value double, authored_at_ms long")
+    assert engine.signal(signals).signals.count() == engine.signals.count() + 1
+    m = spark.createDataFrame([("new", 1, "user", "decision: go", 5, "n", "p", "b")], "session_id string, seq long, role string, content string, authored_at_ms long, namespace string, project_key string, branch_name string")
+    again = engine.ingest(m).ingest(m)
+    assert again.chunks.filter("session_id = 'new'").count() == 1 and again.list_candidates(namespace="n").count() == 1
+    batch = engine.extract("team/1", 0)
+    assert engine.apply(batch).apply(batch).changes.count() == engine.changes.distinct().count()
+
+
+def test_config_json_envelope_and_hash(engine):
+    assert Config.from_mapping({"namespaces": ["a"]}).namespaces == ("a",)
+    for bad in ({"nope": 1}, {"embedding_dimension": 0}, {"tokenizer": "x"}):
+        with pytest.raises(EngineError):
+            Config.from_mapping(bad)
+    assert decode_strictly('{"query": "x"}', {"query"}) == {"query": "x"}
+    for bad in ("{", "[]", '{"other": 1}'):
+        with pytest.raises(EngineError):
+            decode_strictly(bad, {"query"})
+    assert envelope(1, warnings=["b", "a", "b", " "])["warnings"] == ["a", "b"] and not envelope(error=EngineError("NOT_FOUND", "x"))["ok"]
+    assert schema_hash(engine.tables) == schema_hash(dict(reversed(engine.tables.items())))
+
+
+def test_eval_sets_and_sql_functions(spark, tmp_path):
+    body = {"documents": [{"id": "d", "body": "x"}], "queries": [{"query": "q", "expected_ids": ["d", "e"]}]}
+    (tmp_path / "e.json").write_text(json.dumps(body))
+    documents, queries, expected = load_eval_dataset(spark, str(tmp_path / "e.json"))
+    assert documents.first().id == "d" and queries.first().query == "q" and expected.count() == 2
+    register_functions(spark)
+    assert tuple(spark.sql("select hash_bucket('a', 7), is_secret('my Token'), round(newton_sqrt(16.0D), 6)").first()) == (12638187200555641996 % 7, True, 4.0)
