@@ -469,7 +469,8 @@ def _section_sql(name: str, spaces: tuple, kinds: tuple, limit: int) -> str:
     cap = max(50, 10 * limit)
     inner = f"""SELECT query_id, unit_id, score, authored_at_ms, unit_kind, subject, body, source_uri, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, authored_at_ms DESC, unit_id) AS rank
       FROM (SELECT query_id, unit_id, memory_space, authored_at_ms, unit_kind, subject, body, source_uri, {oracle.score(ranking.DEFAULT, AS_OF_MS).replace('lexical_rank', 'own_rank')} AS score
-      FROM r_features JOIN (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25, unit_id) AS own_rank FROM s_bm25 JOIN b_units USING (unit_id) WHERE {where}) USING (query_id, unit_id) WHERE own_rank <= {cap})"""
+      FROM r_features JOIN (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25, unit_id) AS own_rank FROM s_bm25 JOIN b_units USING (unit_id) WHERE {where}
+      UNION ALL SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, unit_id) FROM s_like JOIN b_units USING (unit_id) WHERE {where} AND query_id NOT IN (SELECT query_id FROM s_bm25 JOIN b_units USING (unit_id) WHERE {where})) USING (query_id, unit_id) WHERE own_rank <= {cap})"""
     chosen = f"SELECT * FROM ({inner}) WHERE rank <= {limit}"
     if name == "rejected_options":
         low = "lower(concat_ws(chr(10), unit_kind, subject, body, 'active'))"
@@ -479,8 +480,8 @@ def _section_sql(name: str, spaces: tuple, kinds: tuple, limit: int) -> str:
 
 
 _ALL_SECTIONS = " UNION ALL ".join(_section_sql(n, *x) for n, x in _SECTIONS.items())
-#: All BM25 matches are candidates here: each section has its own ranks.
-_WIDE = {"s_found": "SELECT query_id, unit_id, 1 AS lexical_rank FROM s_bm25"}
+#: All matches are candidates here: each section has its own ranks.
+_WIDE = {"s_found": "SELECT query_id, unit_id, 1 AS lexical_rank FROM s_bm25 UNION SELECT query_id, unit_id, 1 FROM s_like"}
 
 
 def _sections(t, also: tuple[str, ...] = ("worthless",)):
