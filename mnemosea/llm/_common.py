@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -50,6 +51,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, size: int = CHUNK_BYT
     (a single longer value stays whole)."""
     held: list[pa.RecordBatch] = []
     room = size
+    give_back()
     for batch in batches:
         start = 0
         if batch.num_rows == 0:
@@ -69,6 +71,17 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, size: int = CHUNK_BYT
                 held, room = [], size
     if held:
         yield joined(held)
+    held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from task to task and from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

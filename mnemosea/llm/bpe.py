@@ -34,7 +34,7 @@ from mnemosea.llm._common import encoded, lowered_words, read_table, sliced
 #: Place of the vocabulary file; a parameter of every function here.
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces whose encoding a worker remembers.
-KNOWN = 300_000
+KNOWN = 200_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

@@ -96,7 +96,7 @@ class Model:
             return
         texts = [t for _, t in rows]
         self.features = Features(self._select(texts, y, most, g2))
-        x = self.features.present(texts)
+        x = [k for i in range(0, len(texts), 64) for k in self.features.present(texts[i : i + 64])]
         margins = np.zeros(len(y))
         fold = np.empty(len(y), np.int64)
         fold[y], fold[~y] = np.arange(y.sum()) % 4, np.arange((~y).sum()) % 4
@@ -115,7 +115,15 @@ class Model:
             h = [np.unique(h) for _, h in _grams(code_points([t])[0])]
             return np.unique(np.concatenate(h)) if h else np.zeros(0, np.uint64)
 
-        own, p = np.unique(np.concatenate([of(t) for t, label in zip(texts, y, strict=True) if label]), return_counts=True)
+        own, p = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        toxic = [t for t, label in zip(texts, y, strict=True) if label]
+        for k in range(0, len(toxic), 64):  # counts of some texts at a time are added to those so far
+            new, count = np.unique(np.concatenate([of(t) for t in toxic[k : k + 64]]), return_counts=True)
+            both, number = np.concatenate([own, new]), np.concatenate([p, count])
+            order = np.argsort(both, kind="stable")
+            both, number = both[order], number[order]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+            own, p = both[first], np.add.reduceat(number, first) if len(first) else number
         own, p = own[p >= 3], p[p >= 3]
         q = np.zeros(len(own))
         for t, label in zip(texts, y, strict=True):
