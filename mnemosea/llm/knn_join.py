@@ -28,6 +28,8 @@ from mnemosea.llm._common import materialise, read_table
 PIVOTS = 64
 BLOCK_ROWS = 2048
 PACK_QUERIES = 512
+#: Tasks among which the blocks of a pack are dealt out.
+PARTS = 8
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -56,6 +58,32 @@ def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return q @ d.T
 
 
+class _Best:
+    """The best k so far for each query of a pack."""
+
+    def __init__(self, row: dict, kind, width: int, k: int):
+        self.k, self.q_ids = k, np.frombuffer(row["q_ids"], np.int64)
+        self.q = np.frombuffer(row["q"], kind).reshape(-1, width).astype(np.float64)
+        self.floor = np.frombuffer(row["floor"], np.float64).copy()
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in self.q_ids]
+
+    def meet(self, d_ids: np.ndarray, d: np.ndarray) -> None:
+        s = _products(self.q, d)
+        for j in np.flatnonzero((s >= self.floor[:, None]).any(1)).tolist():
+            good = np.flatnonzero((s[j] >= self.floor[j]) & (d_ids != self.q_ids[j]))
+            ids = np.concatenate([self.found[j][0], d_ids[good]])
+            score = np.concatenate([self.found[j][1], s[j][good].astype(np.int64)])
+            best = np.lexsort((ids, -score))[: self.k]
+            self.found[j] = ids[best], score[best]
+            if len(best) == self.k:
+                self.floor[j] = max(self.floor[j], float(score[best[-1]]))
+
+    def rows(self) -> pa.RecordBatch:
+        query = np.repeat(self.q_ids, [len(ids) for ids, _ in self.found])
+        ids, score = (np.concatenate([f[c] for f in self.found]) if self.found else np.zeros(0, np.int64) for c in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
 def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where ``is_query`` holds the k best other rows.
 
@@ -66,10 +94,11 @@ def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int = PI
     """
     spark = vectors.sparkSession
     data = materialise(quantised(vectors), "knn-vectors")
-    width = data.agg(F.max(F.size("v"))).first()[0]
+    width, largest = data.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
     schema = "query_id long, rank int, vec_id long, score long"
     if not width:
         return spark.createDataFrame([], schema)
+    kind = np.int16 if (largest or 0) < 1 << 15 else np.float64  # of the components in packs and blocks
     seeds = data.orderBy(F.xxhash64(F.lit(2), "vec_id"), "vec_id").limit(pivots).collect()  # bounded by ``pivots``
     p = np.zeros((len(seeds), width))
     for row, s in zip(p, seeds, strict=True):
@@ -103,7 +132,7 @@ def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int = PI
             order = np.argsort(np.asarray(table["vec_id"]), kind="stable")
             ids = np.asarray(table["vec_id"])[order]
             x = _matrix(table["v"].chunk(0), width)[order]
-            return pa.table({by: pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+            return pa.table({by: pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([x.astype(kind).tobytes()], pa.binary())})
 
         return run
 
@@ -130,7 +159,7 @@ def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int = PI
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], np.int64)
-                q = np.frombuffer(row["x"], np.float64).reshape(-1, width)
+                q = np.frombuffer(row["x"], kind).reshape(-1, width).astype(np.float64)
                 seen = _products(q, w).astype(np.float64)
                 seen[ids[:, None] == w_ids[None]] = -np.inf
                 floor = np.sort(seen, 1)[:, -k] if seen.shape[1] >= k else np.full(len(q), -np.inf)
@@ -144,24 +173,26 @@ def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int = PI
                 )
 
     pack = materialise(pack.mapInArrow(routed, "pack long, q_ids binary, q binary, floor binary, to array<long>"), "knn-packs")
-    pairs = pack.select("pack", F.explode("to").alias("block"))
-    pairs = pairs.join(block, "block").withColumnsRenamed({"ids": "d_ids", "x": "d", "pack": "of"})
-    pairs = pairs.join(pack.drop("to"), F.col("of") == F.col("pack")).select("q_ids", "q", "floor", "d_ids", "d")
+    # A task takes the blocks of a pack's part one after another and keeps the best so far, so it
+    # returns k rows for each query, however many blocks there are.
+    parts = pack.select("pack", F.explode("to").alias("block")).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
+    sent = block.join(parts, "block").select(F.col("pack").alias("of"), F.col("part").alias("share"), F.col("ids").alias("d_ids"), F.col("x").alias("d"))
+    held = pack.drop("to").withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(PARTS)])))
+    pairs = sent.join(held.hint("merge"), (F.col("of") == F.col("pack")) & (F.col("share") == F.col("part")))
+    pairs = pairs.select("pack", "part", "q_ids", "q", "floor", "d_ids", "d").sortWithinPartitions("pack", "part")
 
     def solved(batches):
+        now, state = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                q_ids, d_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["d_ids"], np.int64)
-                q, d = (np.frombuffer(row[c], np.float64).reshape(-1, width) for c in ("q", "d"))
-                floor = np.frombuffer(row["floor"], np.float64)
-                s = _products(q, d)
-                out = []
-                for j in range(len(q)):
-                    good = np.flatnonzero((s[j] >= floor[j]) & (d_ids != q_ids[j]))
-                    good = good[np.lexsort((d_ids[good], -s[j][good].astype(np.int64)))][:k]
-                    out.append((np.full(len(good), q_ids[j]), d_ids[good], s[j][good].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                if now != (row["pack"], row["part"]):
+                    if state:
+                        yield state.rows()
+                    now, state = (row["pack"], row["part"]), _Best(row, kind, width, k)
+                state.meet(np.frombuffer(row["d_ids"], np.int64), np.frombuffer(row["d"], kind).reshape(-1, width).astype(np.float64))
+        if state:
+            yield state.rows()
 
     found = pairs.mapInArrow(solved, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
