@@ -788,9 +788,9 @@ def stream_ingest(t):
 
 def _signed_claims(t):
     seed = F.unhex(F.sha2(F.concat(F.lit("engine/"), "origin_peer_id"), 256))
-    rows = _claims(t).filter("memory_space = 'shared' and length(memory_id) <= 3").join(t.verification, "memory_id", "left").withColumn("seed", seed)
+    rows = _claims(t).filter("memory_space = 'shared'").join(t.verification.hint("merge"), "memory_id", "left").withColumn("seed", seed)
     said = F.when(F.col("signature_status") == "invalid_signature", F.concat("claim", F.lit(" "))).otherwise(F.col("claim"))
-    signature = F.when(F.col("has_signature"), signing.signed(F.col("seed"), said))
+    signature = signing.signed(F.when(F.col("has_signature"), F.col("seed")), said)
     key = F.when(F.col("origin_peer_id") != "src19", signing.key_of(F.col("seed")))
     return rows.select("memory_id", "claim", F.coalesce(signature, F.lit(b"")).alias("signature"), F.coalesce(key, F.lit(b"")).alias("public_key"), F.col("namespace").alias("batch_id"))
 
