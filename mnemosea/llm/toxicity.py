@@ -6,7 +6,8 @@ document counts among toxic and other texts. Logistic regression on the scaled f
 gives weights, which are blended with their mean; a logistic curve, fitted on margins of
 texts that were held out in turn, makes the score.
 
-Only n-grams whose counts differ between the classes beyond chance (G2 statistic) are kept.
+All n-grams whose counts differ between the classes beyond chance (G2 statistic) are kept, however
+many they are; an n-gram of fewer than three toxic texts is not looked at.
 The fit takes ``per_class`` labelled texts of each class and ``fit_bytes`` in all at
 most, both parameters; whole texts, chosen by a hash of doc_id. Scoring reads every text whole.
 """
@@ -87,7 +88,7 @@ def _unlike(rows: list[tuple[int, str]]) -> list[tuple[int, str]]:
 
 
 class Model:
-    def __init__(self, rows: list[tuple[int, str]], *, most: int, g2: float, blend: float = 0.25, cost: float = 1.0):
+    def __init__(self, rows: list[tuple[int, str]], *, g2: float, blend: float = 0.25, cost: float = 1.0):
         rows = _unlike(sorted(set(rows)))
         y = np.array([label for label, _ in rows], bool)
         self.constant = None
@@ -95,7 +96,7 @@ class Model:
             self.constant = (float(y.sum()) + 0.5) / (len(y) + 1) if len(y) else 0.0
             return
         texts = [t for _, t in rows]
-        self.features = Features(self._select(texts, y, most, g2))
+        self.features = Features(self._select(texts, y, g2))
         x = [k for i in range(0, len(texts), 64) for k in self.features.present(texts[i : i + 64])]
         margins = np.zeros(len(y))
         fold = np.empty(len(y), np.int64)
@@ -108,8 +109,8 @@ class Model:
         self.slope, self.shift = _logistic_curve(margins, y)
         self.weights, self.bias = _train(x, y, len(self.features.hashes), blend, cost)
 
-    def _select(self, texts: list[str], y: np.ndarray, most: int, g2: float) -> np.ndarray:
-        """Hashes of the n-grams whose document counts tell the classes apart best. N-grams of
+    def _select(self, texts: list[str], y: np.ndarray, g2: float) -> np.ndarray:
+        """Hashes of the n-grams whose document counts tell the classes apart. N-grams of
         toxic texts are looked at; others can only be rarer there than by chance."""
         def of(t: str) -> np.ndarray:
             h = [np.unique(h) for _, h in _grams(code_points([t])[0])]
@@ -136,8 +137,7 @@ class Model:
             e = (p + q) / (n + m)
             term = lambda o, x: np.where(o > 0, o * np.log(o / x), 0)
             stat = 2 * (term(p, e * n) + term(q, e * m) + term(n - p, (1 - e) * n) + term(m - q, (1 - e) * m))
-        good = np.flatnonzero((stat >= g2) & np.isfinite(stat))
-        return own[good[np.lexsort((own[good], -stat[good]))][:most]]
+        return own[(stat >= g2) & np.isfinite(stat)]
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
@@ -186,7 +186,7 @@ def _logistic_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return w[0] / spread, w[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 2000, fit_bytes: int = 16 << 20, most: int = 400, g2: float = 20.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 2000, fit_bytes: int = 16 << 20, g2: float = 20.0) -> Model:
     """A model of the labelled rows (doc_id, toxic) where ``learn``, an expression on doc_id, holds."""
     rows = labels.select("doc_id", "toxic").filter(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     key = F.xxhash64(F.lit(5), "doc_id")
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 2
                 room -= r["size"]
     picked = docs.sparkSession.createDataFrame(chosen, "labelled long, toxic int")
     found = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).select("toxic", "text").collect()  # per_class and fit_bytes bound it
-    return Model([(r["toxic"], r["text"]) for r in found], most=most, g2=g2)
+    return Model([(r["toxic"], r["text"]) for r in found], g2=g2)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     class only, or none, every text gets the share of toxic labels. Repeated rows stay, equal
     texts get equal scores, an empty table gives no rows. Only doc_id and text are read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ``most``
+    held = docs.sparkSession.sparkContext.broadcast(model)  # its n-grams are those of ``fit_bytes`` of text at most
 
     def run(batches):
         model = held.value
