@@ -576,6 +576,26 @@ def trace_artifacts(t):
     return graph.traced_artifacts(seen, t.spans, t.artifacts).drop("namespace")
 
 
+_ALL_ROOTS = "SELECT memory_id AS root_id FROM b_nodes WHERE memory_type = 'decision'"
+
+
+def _all_roots(t):
+    return t.nodes.filter("memory_type = 'decision'").select(F.col("memory_id").alias("root_id"))
+
+
+@query(sql("SELECT root_id, hop::BIGINT AS hop, edge_id, from_memory_id, to_memory_id, relation_type, round(weight, 6) AS weight, relation_type IN ('contradicts', 'contradiction', 'denies') AS contradiction FROM g_hops", g_roots=_ALL_ROOTS, g_hops=_HOPS))
+def trace_hops_all(t):
+    return graph.trace(t.edges, t.nodes, _all_roots(t), depth=2)
+
+
+@query(sql("""SELECT s.memory_id, span_id, s.artifact_id, a.uri, a.title, start_offset, end_offset, quote_hash FROM b_spans s JOIN (SELECT artifact_id, uri, title FROM b_artifacts GROUP BY ALL) a USING (artifact_id)
+ WHERE s.memory_id IN (SELECT root_id FROM g_roots UNION SELECT to_memory_id FROM g_hops)""", g_roots=_ALL_ROOTS, g_hops=_HOPS))
+def trace_artifacts_all(t):
+    hops = graph.trace(t.edges, t.nodes, _all_roots(t), depth=2)
+    seen = _all_roots(t).toDF("memory_id").unionByName(hops.select(F.col("to_memory_id").alias("memory_id"))).distinct()
+    return graph.traced_artifacts(seen, t.spans, t.artifacts).drop("namespace")
+
+
 _PROMOTIONS = f"SELECT 'pm_' || chunk_id AS memory_id, chunk_id, CASE WHEN chunk_kind = 'decision' THEN 'decision' ELSE 'note' END AS memory_type FROM b_chunks WHERE chunk_kind IN {text.PROMOTABLE}"
 
 

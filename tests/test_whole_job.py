@@ -22,3 +22,23 @@ def test_every_shared_node_is_signed_and_verified(spark, sf):
         bad, n = batches.get(r.namespace, (False, 0))
         batches[r.namespace] = (bad or want[r.memory_id] in ("unknown_peer", "invalid_signature"), n + 1)
     assert {r.batch_id: (r.quarantined, r.claims) for r in catalogue.QUERIES["batch_verify"](spark, sf).collect()} == batches
+
+
+def test_traces_begin_at_every_decision(spark, sf):
+    t = Tables(spark, sf)
+    nodes = {r.memory_id: r.memory_type for r in t.nodes.select("memory_id", "memory_type").collect()}
+    out = {}
+    for e in t.edges.collect():
+        if e.to_memory_id in nodes:
+            out.setdefault(e.from_memory_id, []).append(e)
+    want, seen = [], set()
+    for root in (m for m, kind in nodes.items() if kind == "decision"):
+        first = out.get(root, [])
+        second = [e for m in {e.to_memory_id for e in first} - {root} for e in out.get(m, [])]
+        want += [(root, 1, e.edge_id) for e in first] + [(root, 2, e.edge_id) for e in second]
+        seen |= {root} | {e.to_memory_id for e in first + second}
+    got = [(r.root_id, r.hop, r.edge_id) for r in catalogue.QUERIES["trace_hops_all"](spark, sf).collect()]
+    assert sorted(got) == sorted(want) and any(len(r) > 3 for r, _, _ in got)
+    known = {a.artifact_id for a in t.artifacts.select("artifact_id").collect()}
+    spans = sorted(s.span_id for s in t.spans.collect() if s.memory_id in seen and s.artifact_id in known)
+    assert sorted(r.span_id for r in catalogue.QUERIES["trace_artifacts_all"](spark, sf).collect()) == spans
