@@ -420,6 +420,14 @@ def vector_topk(t):
     return search.nearest(v, v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), 10, key="vec_id")
 
 
+@query(sql("""SELECT query_id, vec_id, distance, semantic_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS semantic_rank FROM (
+ SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)))), 6) AS distance
+ FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE semantic_rank <= 10"""))
+def vector_topk_all(t):
+    v = t.vectors
+    return search.nearest_in_blocks(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), 10, key="vec_id")
+
+
 @query(sql("SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.unit_id, b.unit_id) AS unit_id, coalesce(a.lexical_rank, 0) AS semantic_rank, coalesce(b.lexical_rank, 0) AS lexical_rank FROM (SELECT query_id, unit_id, lexical_rank FROM s_like WHERE lexical_rank <= 50) a FULL JOIN (SELECT query_id, unit_id, lexical_rank FROM s_lex WHERE lexical_rank <= 50) b ON a.query_id = b.query_id AND a.unit_id = b.unit_id"))
 def merge_candidates(t):
     index = search.indexed(t.units)

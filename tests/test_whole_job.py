@@ -1,5 +1,8 @@
 """Queries that must take all of their rows, against plain Python."""
 
+import numpy as np
+
+from mnemosea.operators import search
 from mnemosea.plans import catalogue
 from mnemosea.sources.bridge import Tables
 
@@ -42,3 +45,25 @@ def test_traces_begin_at_every_decision(spark, sf):
     known = {a.artifact_id for a in t.artifacts.select("artifact_id").collect()}
     spans = sorted(s.span_id for s in t.spans.collect() if s.memory_id in seen and s.artifact_id in known)
     assert sorted(r.span_id for r in catalogue.QUERIES["trace_artifacts_all"](spark, sf).collect()) == spans
+
+
+def nearest_by_hand(vectors, queries, k):
+    """{(query, key): (distance, rank)}; vectors and queries map keys to lists."""
+    keys = sorted(vectors)
+    table = np.array([vectors[i] for i in keys], np.float64)
+    out = {}
+    for q, v in queries.items():
+        d = np.round(np.sqrt(np.cumsum((table - np.array(v, np.float64)) ** 2, 1)[:, -1]), 6)
+        for rank, (distance, key) in enumerate(sorted(zip(d.tolist(), keys, strict=True))[:k], 1):
+            out[q, key] = (distance, rank)
+    return out
+
+
+def test_vector_search_takes_every_hundredth_vector_in_blocks(spark, sf, monkeypatch):
+    vectors = {r.vec_id: r.embedding for r in Tables(spark, sf).vectors.collect()}
+    want = nearest_by_hand(vectors, {i: v for i, v in vectors.items() if i % 100 == 0}, 10)
+    assert any(q >= 10 for q, _ in want)
+    for most in (search.MOST_QUERIES, 1):
+        monkeypatch.setattr(search, "MOST_QUERIES", max(most, len({q for q, _ in want}) - 1))
+        got = {(r.query_id, r.vec_id): (r.distance, r.semantic_rank) for r in catalogue.QUERIES["vector_topk_all"](spark, sf).collect()}
+        assert got == want
