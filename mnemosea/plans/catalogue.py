@@ -412,6 +412,11 @@ def explain_bm25(t):
     return search.bm25(search.indexed(t.units), t.queries, units).filter("query_id % 10 = 0")
 
 
+@query(sql("SELECT query_id, unit_id, bm25 FROM s_bm25 JOIN b_nodes ON memory_id = unit_id"))
+def explain_bm25_all(t):
+    return search.bm25(search.indexed(t.units), t.queries, recall.filter_units(t.units, spaces=["private", "shared"]))
+
+
 @query(sql("""SELECT query_id, vec_id, distance, semantic_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS semantic_rank FROM (
  SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)))), 6) AS distance
  FROM embeddings q, embeddings v WHERE q.vec_id < 10)) WHERE semantic_rank <= 10"""))
@@ -686,10 +691,15 @@ def explain_record(t):
     return context.explained(t.nodes, t.verification, t.peers)
 
 
+#: The query of explain_memory's request: a request parameter, as an explanation is asked for one query.
+EXPLAINED_QUERY = 0
+
+
 @query(sql("""SELECT e.*, coalesce(s.signals, 0) AS signals, coalesce(round(s.total_value, 4), 0) AS total_value, coalesce(b.bm25, 0) AS bm25, b.bm25 IS NOT NULL AS matched FROM x_explain e
  LEFT JOIN (SELECT memory_id, count(*) AS signals, sum(value) AS total_value FROM b_signals GROUP BY memory_id) s USING (memory_id) LEFT JOIN (SELECT unit_id AS memory_id, bm25 FROM s_bm25 WHERE query_id = 0) b USING (memory_id)""", x_explain=_EXPLAIN))
 def explain_memory(t):
-    lexical = search.bm25(search.indexed(t.units), t.queries).filter("query_id = 0")
+    """The answer to one request, whose query is EXPLAINED_QUERY; every node is explained."""
+    lexical = search.bm25(search.indexed(t.units), t.queries).filter(F.col("query_id") == EXPLAINED_QUERY)
     return context.explained_with_signals(t.nodes, t.verification, t.peers, t.signals, lexical)
 
 

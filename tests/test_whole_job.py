@@ -67,3 +67,11 @@ def test_vector_search_takes_every_hundredth_vector_in_blocks(spark, sf, monkeyp
         monkeypatch.setattr(search, "MOST_QUERIES", max(most, len({q for q, _ in want}) - 1))
         got = {(r.query_id, r.vec_id): (r.distance, r.semantic_rank) for r in catalogue.QUERIES["vector_topk_all"](spark, sf).collect()}
         assert got == want
+
+
+def test_bm25_is_explained_for_every_query_and_unit(spark, sf):
+    t = Tables(spark, sf)
+    own = {r.unit_id for r in t.units.filter("memory_space in ('private', 'shared')").select("unit_id").collect()}
+    want = sorted((r.query_id, r.unit_id) for r in catalogue.QUERIES["fts_match"](spark, sf).collect() if r.unit_id in own)
+    got = sorted((r.query_id, r.unit_id) for r in catalogue.QUERIES["explain_bm25_all"](spark, sf).collect())
+    assert got == want and any(q % 10 for q, _ in got) and any(len(u) > 2 for _, u in got)
