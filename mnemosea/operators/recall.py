@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemosea.functions import ranking, text, vectors
+from mnemosea.functions import ranking
 from mnemosea.operators import graph, search
 
 CANDIDATES = 50
@@ -94,8 +94,7 @@ def recall(t, queries: DataFrame, *, limit: int = 10, profile: str = "default",
             may = may.filter(F.col("branch_name") == branch)
         if prefilter:
             vectors_df = vectors_df.join(may.select("unit_id"), "unit_id", "left_semi")
-        embedded = queries.select("query_id", vectors.local_embedding(text.tokens(F.col("query"))).alias("qv"))
-        near = search.nearest(vectors_df, embedded, cap).join(may.select("unit_id"), "unit_id", "left_semi")
+        near = search.nearest(vectors_df, search.query_vectors(queries), cap).join(may.select("unit_id"), "unit_id", "left_semi")
         found = merged(search.ranked(near.drop("semantic_rank"), [F.col("distance"), F.col("unit_id")], cap, "semantic_rank"), lexical)
     else:
         found = lexical.withColumn("semantic_rank", F.lit(0).cast("long")).select("query_id", "unit_id", "semantic_rank", "lexical_rank")

@@ -440,6 +440,17 @@ def merge_candidates(t):
     return recall.merged(one, search.lexical(index, t.queries, 50))
 
 
+@query()
+def merge_semantic(t):
+    near = search.nearest(search.unit_vectors(t.units), search.query_vectors(t.queries), 50)
+    return recall.merged(near, search.lexical(search.indexed(t.units), t.queries, 50))
+
+
+@query()
+def recall_semantic(t):
+    return recall.recall(t, t.queries, limit=10, as_of_ms=AS_OF_MS, semantic=True).select("query_id", "unit_id", "score", "memory_space", "rank")
+
+
 @query(sql("SELECT query_id, unit_id, memory_space, namespace, unit_kind, subject, signature_status, has_signature, trust_weight, origin_peer_id FROM r_rows WHERE lexical_rank <= 50"))
 def recall_enrich(t):
     found = search.lexical_with_fallback(search.indexed(t.units), t.queries, 50)

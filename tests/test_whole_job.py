@@ -2,9 +2,9 @@
 
 import numpy as np
 
-from mnemosea.operators import search
+from mnemosea.operators import recall, search
 from mnemosea.plans import catalogue
-from mnemosea.sources.bridge import Tables
+from mnemosea.sources.bridge import AS_OF_MS, Tables
 
 
 def test_every_shared_node_is_signed_and_verified(spark, sf):
@@ -75,3 +75,34 @@ def test_bm25_is_explained_for_every_query_and_unit(spark, sf):
     want = sorted((r.query_id, r.unit_id) for r in catalogue.QUERIES["fts_match"](spark, sf).collect() if r.unit_id in own)
     got = sorted((r.query_id, r.unit_id) for r in catalogue.QUERIES["explain_bm25_all"](spark, sf).collect())
     assert got == want and any(q % 10 for q, _ in got) and any(len(u) > 2 for _, u in got)
+
+
+def merged_by_hand(t, k):
+    """{(query, unit): (semantic_rank, lexical_rank)} of the k nearest units of each query and its k best by BM25."""
+    vectors = {r.unit_id: r.embedding for r in search.unit_vectors(t.units).collect()}
+    near = nearest_by_hand(vectors, {r.query_id: r.qv for r in search.query_vectors(t.queries).collect()}, k)
+    lexical = {(r.query_id, r.unit_id): r.lexical_rank for r in search.lexical_with_fallback(search.indexed(t.units), t.queries, k).collect()}
+    return {key: (near.get(key, (0, 0))[1], lexical.get(key, 0)) for key in near | lexical}
+
+
+def test_merge_has_what_only_the_vector_side_finds(spark, sf):
+    t = Tables(spark, sf)
+    matched = {r.query_id for r in search.bm25(search.indexed(t.units), t.queries).collect()}
+    # The merge takes BM25 without its fallback.
+    want = {key: (a, b if key[0] in matched else 0) for key, (a, b) in merged_by_hand(t, 50).items() if a or key[0] in matched}
+    got = {(r.query_id, r.unit_id): (r.semantic_rank, r.lexical_rank) for r in catalogue.QUERIES["merge_semantic"](spark, sf).collect()}
+    assert got == want and any(a and not b for a, b in got.values()) and any(b and not a for a, b in got.values())
+
+
+def test_recall_with_the_vector_side(spark, sf):
+    t = Tables(spark, sf)
+    found = spark.createDataFrame([(*key, *ranks) for key, ranks in merged_by_hand(t, 100).items()], "query_id long, unit_id string, semantic_rank long, lexical_rank long")
+    rows = recall.with_features(recall.enriched(found, t.units, t.nodes, t.verification, t.peers), t.edges, t.spans)
+    scored = recall.scored(rows, t.queries, profile="default", as_of_ms=AS_OF_MS).select("query_id", "unit_id", "score", "authored_at_ms").collect()
+    want = {}
+    for q in {r.query_id for r in scored}:
+        own = sorted((r for r in scored if r.query_id == q), key=lambda r: (-r.score, -r.authored_at_ms, r.unit_id))
+        want |= {(q, r.unit_id): (r.score, rank) for rank, r in enumerate(own[:10], 1)}
+    got = {(r.query_id, r.unit_id): (r.score, r.rank) for r in catalogue.QUERIES["recall_semantic"](spark, sf).collect()}
+    assert got == want
+    assert got.keys() != {(r.query_id, r.unit_id) for r in catalogue.QUERIES["recall_topk"](spark, sf).collect()}
