@@ -180,7 +180,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialise(small.distinct(), "cc")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, hashed: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of
@@ -189,9 +189,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     that repeat a doc_id with its text are all kept if that id is its component's; a
     null doc_id is never the smallest, and texts that occur under null ids only are
     linked with their copies only. An empty table gives no rows. Other columns don't matter.
+    With ``hashed``, text_hash says which text of its doc_id a row is about.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    more = ["text_hash"] if hashed else []
+    docs = docs.select("doc_id", "text", *[F.xxhash64("text").alias(c) for c in more])
 
     def signatures(batches):
         for batch in sliced(batches, "text"):
@@ -199,10 +201,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
             node = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             registers = [sketch(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(node, pa.int64()), pa.array(registers, pa.binary())], names=["doc_id", "n", "node", "registers"]
+                [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(node, pa.int64()), pa.array(registers, pa.binary()), *[batch.column(c) for c in more]],
+                names=["doc_id", "n", "node", "registers", *more],
             )
 
-    signed = materialise(docs.mapInArrow(signatures, "doc_id long, n long, node long, registers binary"), "dup-signed")
+    signed = materialise(docs.mapInArrow(signatures, ", ".join(["doc_id long, n long, node long, registers binary", *[f"{c} long" for c in more]])), "dup-signed")
     classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     classes = materialise(classes, "dup-classes")
 
@@ -268,9 +271,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     of = materialise(of, "dup-roots")
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = of.join(least, "root").select(F.col("node").alias("of"), "component_id")
-    rows = signed.select("doc_id", "n", "node").join(of, F.col("node") == F.col("of"), "left")
+    rows = signed.select("doc_id", "n", "node", *more).join(of, F.col("node") == F.col("of"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)
 
 
 def _runs(banded: DataFrame) -> DataFrame:
@@ -368,10 +371,10 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns, without those that near_duplicates() does not keep. A row
     that repeats another's doc_id and text stays once; rows without doc_id are compared with
     each other only, and only for equal texts."""
-    found = near_duplicates(docs.filter("doc_id is not null"), **how)
-    gone = materialise(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "dup-gone")
+    found = near_duplicates(docs.filter("doc_id is not null"), hashed=True, **how)
+    gone = materialise(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct(), "dup-gone")
     twice = materialise(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice")), "dup-twice")
-    rows = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
     single = rows.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").filter("doc_id is not null")
     several = rows.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").unionByName(docs.filter("doc_id is null"))
     return single.unionByName(several.dropDuplicates(["doc_id", "text"])).select(*docs.columns)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from mnemosea.llm import toxicity
+from mnemosea.llm import near_dup, toxicity
 
 
 def test_toxicity_keeps_every_n_gram_that_passes(spark):
@@ -17,3 +17,12 @@ def test_toxicity_keeps_every_n_gram_that_passes(spark):
     found = model.features.present(signs)
     # Each sign occurs in 12 toxic texts and in no other, so its own n-grams of 4 characters or more pass.
     assert len(model.features.hashes) > 400 and min(map(len, found)) >= 5 + 4 + 3
+
+
+def test_a_repeated_id_loses_only_the_text_that_is_a_copy(spark):
+    copy, own = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, copy), (2, copy + " end"), (2, own), (3, copy), (4, None)], "doc_id long, text string")
+    found = {(r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect()}
+    assert {(2, 1, False), (2, 2, True)} <= found
+    assert sorted((r.doc_id, r.text) for r in near_dup.keep_one_of_each(docs).collect() if r.text) == [(1, copy), (2, own)]
+    assert near_dup.keep_one_of_each(docs).filter("doc_id = 4").count() == 1
