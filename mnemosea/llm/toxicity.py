@@ -97,7 +97,7 @@ class Model:
             return
         texts = [t for _, t in rows]
         self.features = Features(self._select(texts, y, g2))
-        x = [k for i in range(0, len(texts), 64) for k in self.features.present(texts[i : i + 64])]
+        x = self._present(texts)
         margins = np.zeros(len(y))
         fold = np.empty(len(y), np.int64)
         fold[y], fold[~y] = np.arange(y.sum()) % 4, np.arange((~y).sum()) % 4
@@ -139,10 +139,14 @@ class Model:
             stat = 2 * (term(p, e * n) + term(q, e * m) + term(n - p, (1 - e) * n) + term(m - q, (1 - e) * m))
         return own[(stat >= g2) & np.isfinite(stat)]
 
+    def _present(self, texts: list[str]) -> list[np.ndarray]:
+        """The features of some texts at a time, which bounds the memory."""
+        return [k for i in range(0, len(texts), 64) for k in self.features.present(texts[i : i + 64])]
+
     def score(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        margin = np.array([self.weights[k].sum() + self.bias for k in self.features.present(texts)])
+        margin = np.array([self.weights[k].sum() + self.bias for k in self._present(texts)])
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
