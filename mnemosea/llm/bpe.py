@@ -15,6 +15,11 @@ the merges leave the two side by side when they encode the text of both.
 
 Both are numpy code over all distinct words of a block at once. Words are distinct per
 block of text, so each word is encoded once a block.
+
+A very long piece is cut into overlapping parts, which are words of their own side by side. Two parts are
+joined where both have a border between tokens and the tokens at it are compatible: a
+sequence of tokens of which each two neighbours are compatible is the encoding. If two parts never
+agree on a border (as in long repetitions), the piece is merged pair by pair instead.
 """
 
 from __future__ import annotations
@@ -33,8 +38,12 @@ from mnemosea.llm._common import encoded, lowered_words, read_table, sliced
 
 #: Place of the vocabulary file; a parameter of every function here.
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces whose encoding a worker remembers.
-KNOWN = 200_000
+#: Bytes, about, of the encoded pieces that a worker remembers; when they are full it forgets them all.
+KNOWN_BYTES = 24 << 20
+#: Bytes of text that are encoded together.
+TOGETHER = 2 << 20
+#: Pieces of more bytes than this are cut into parts of so many bytes, which overlap by OVERLAP.
+PART, OVERLAP = 2048, 256
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -122,13 +131,17 @@ class Vocabulary:
         last = [self.symbols.get(x + self.suffix, -1) for x in letters]
         self.of_byte = np.array([inner, last], np.int32)
         self._automaton()
-        #: Pieces that this worker has encoded already, with where their ranks are; KNOWN of them at most.
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Pieces that this worker has encoded already, with where their ranks are.
         self.known: dict[str, int] = {}
-        self.known_ranks, self.known_begin, self.known_size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known_ranks, self.known_begin, self.known_size = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.known_bytes = 0
 
     def encode_pieces(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ranks, and where each piece's ranks begin and how many they are. Each piece is encoded once
-        by a worker as long as it has room to remember it; a name that starts with \\r has none."""
+        """Ranks, and where each piece's ranks begin and how many they are. A piece is encoded once
+        as long as the worker remembers it; a name that starts with \\r has no ranks."""
         at = np.fromiter((self.known.get(n, -1) for n in names), np.int64, len(names))
         new = np.flatnonzero(at < 0)
         fresh = [names[i] for i in new.tolist()]
@@ -137,10 +150,13 @@ class Vocabulary:
         old = at >= 0
         begin[old], size[old] = self.known_begin[at[old]], self.known_size[at[old]]
         begin[new], size[new] = len(self.known_ranks) + start[:-1], np.diff(start)
-        every = np.concatenate([self.known_ranks, ranks])
-        if len(self.known) + len(fresh) <= KNOWN:
+        every = np.concatenate([self.known_ranks, ranks.astype(np.int32)])
+        self.known_bytes += sum(map(len, fresh)) + 120 * len(fresh) + 4 * len(ranks)
+        if self.known_bytes > KNOWN_BYTES:
+            self._forget()
+        else:
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            self.known_begin, self.known_size = np.append(self.known_begin, begin[new]), np.append(self.known_size, size[new])
+            self.known_begin, self.known_size = (np.append(x, y[new].astype(np.int32)) for x, y in ((self.known_begin, begin), (self.known_size, size)))
             self.known_ranks = every
         return every, begin, size
 
@@ -215,11 +231,64 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of all words' tokens in one array, and where each word's begin."""
+        long = [k for k, w in enumerate(words) if len(w) > PART + OVERLAP]
+        if not long:
+            return self._encode(words)
+        ranks, start = self._encode([w if len(w) <= PART + OVERLAP else b"" for w in words])
+        parts = np.split(ranks, start[1:-1])
+        for k in long:
+            parts[k] = self._encode_long(words[k])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        first = list(range(0, max(1, len(word) - OVERLAP), PART))
+        ranks, start = self._encode([word[a : a + PART + OVERLAP] for a in first], np.array(first) + PART + OVERLAP >= len(word))
+        parts = np.split(ranks, start[1:-1])
+        ends = [a + np.cumsum(self.length[t]) for a, t in zip(first, parts, strict=True)]
+        out, low = [], 0  # low: the first token of the part that counts
+        for k in range(1, len(first)):
+            begins = np.concatenate([[first[k]], ends[k][:-1]])
+            border, left, right = np.intersect1d(ends[k - 1], begins, return_indices=True)
+            good = np.flatnonzero((left >= low) & self.compatible(parts[k - 1][left], parts[k][right]))
+            if not len(good):
+                return self._encode_by_merging(word)
+            out.append(parts[k - 1][low : left[good[0]] + 1])
+            low = int(right[good[0]])
+        return np.concatenate([*out, parts[-1][low:]])
+
+    def _encode_by_merging(self, word: bytes) -> np.ndarray:
+        """All places of the pair of the lowest rank are merged at a time, from left to right."""
+        none = np.iinfo(np.int32).max
+        tokens = self.of_byte[0][np.frombuffer(word, np.uint8)].astype(np.int64)
+        tokens[-1] = self.of_byte[1][word[-1]]
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            r = self.pairs.get(tokens[at], tokens[at + 1])
+            return np.where(r < 0, none, r)
+
+        pair = ranks(np.arange(len(tokens) - 1))
+        while len(pair) and (best := int(pair.min())) < none:
+            at = np.flatnonzero(pair == best)
+            run = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1])
+            place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+            at = at[place % 2 == 0]  # places side by side share a token: every other one counts
+            tokens[at] = best
+            tokens = np.delete(tokens, at + 1)
+            at = at - np.arange(len(at))
+            pair = np.delete(pair, np.minimum(at + np.arange(len(at)), len(pair) - 1))
+            near = np.unique(np.concatenate([at - 1, at]))
+            near = near[(near >= 0) & (near < len(tokens) - 1)]
+            pair[near] = ranks(near)
+        return tokens
+
+    def _encode(self, words: list[bytes], closed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are not ``closed`` go on: their last byte does not end a word."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-size, kind="stable")
         sizes = size[order]
         data = np.frombuffer(b"".join(words), np.uint8)
         begin = np.concatenate([[0], np.cumsum(size)])
+        closing = np.where(closed[order], sizes, -1) if closed is not None else sizes
         at = begin[:-1][order]
         total = int(begin[-1])
         last = np.full(total, -1, np.int32)
@@ -228,7 +297,7 @@ class Vocabulary:
         for j in range(int(sizes[0]) if len(sizes) else 0):
             alive = int(np.searchsorted(-sizes, -(j + 1), side="right"))
             here = at[:alive] + j
-            symbol = self.of_byte[(sizes[:alive] == j + 1).astype(np.int8), data[here]]
+            symbol = self.of_byte[(closing[:alive] == j + 1).astype(np.int8), data[here]]
             state[:alive] = self.step(state[:alive], symbol)
             token = self.ends[state[:alive]].astype(np.int64)
             todo = np.arange(alive)
@@ -356,7 +425,7 @@ def encode(docs: DataFrame, *, path: str | None = None, text: str = "text") -> D
 
     def run(batches):
         vocab = vocabulary(path)
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, TOGETHER):
             block = Block(batch.column(text), vocab)
             ids = block.tokens(0, batch.num_rows).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(block.offsets.astype(np.int32)), pa.array(ids))], names=[*batch.schema.names, "ids"])
@@ -390,7 +459,7 @@ def digests(docs: DataFrame, *, path: str | None = None) -> DataFrame:
 
     def run(batches):
         vocab = vocabulary(path)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", TOGETHER):
             block = Block(batch.column("text"), vocab)
             words = block.decoded()
             # A word without tokens leaves no trace in the decoded text.
