@@ -2,8 +2,8 @@
 
 The kernel of two texts counts the character n-grams (n = 1, 2, 3 blended) that are
 present in both, divided by the root of the product of how many each has. Texts are
-lower-cased; what is no letter is one symbol, and so are letters outside the alphabet, which
-is the most frequent letters of the sample. The n-grams are those of the landmarks.
+lower-cased; every letter of every script is a symbol of its own, and what is no letter is one
+symbol. N-grams are known by a hash of SLOT_BITS bits; n-grams that share a hash count as one.
 
 Landmarks are a few texts of each language. The Nyström map takes a text's kernel values
 with the landmarks through the inverse root of the landmarks' own kernel matrix;
@@ -11,8 +11,9 @@ ridge regression on it, one language against the rest, gives the weights. A batc
 is scored by two matrix products: presence by landmarks, and kernel values by languages.
 
 The fit takes a sample of ``per_language`` labelled texts for each language and of
-``fit_bytes`` in all, both bounds being parameters; whole texts, chosen by a hash
-of doc_id. Scoring reads every text whole.
+``fit_bytes`` in all, ``landmarks`` of them for each language and ``most_landmarks`` in all
+being landmarks (two of each language at least). All four are parameters; whole texts, chosen by a hash
+of doc_id and text, each once. Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -24,86 +25,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemosea.llm._common import crc_mod, read_table, sliced
+from mnemosea.llm._common import crc_mod, mixed, read_table, sliced
 
-ALPHABET = 126
+#: Bits of an n-gram's hash.
+SLOT_BITS = 20
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
+#: Characters of text that are scored together, unless one text has more.
+TOGETHER = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts one after another, and each text's begin."""
     low = [t.lower() for t in texts]
-    points = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     return points, np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
 
 
+def letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    out = np.zeros(0x110000, bool)
+    for low in range(0, 0x110000, 1 << 16):
+        block = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(low, low + (1 << 16)))
+        out[[low + m.start() for m in _LETTER.finditer(block)]] = True
+    return out
+
+
 class Spectrum:
-    """The alphabet, and the numbers of the n-grams that count."""
-
-    def __init__(self, texts: list[str]):
-        points, _ = code_points(texts)
-        value, count = np.unique(points, return_counts=True)
-        letters = np.array([chr(v).isalpha() for v in value], bool)
-        best = value[letters][np.lexsort((value[letters], -count[letters]))][:ALPHABET]
-        #: Symbol of each code point: 0 no letter, 1 another letter, 2 and on the alphabet.
-        self.symbol_of = np.zeros(0x110000, np.uint8)
-        for low in range(0, 0x110000, 1 << 16):
-            block = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(low, low + (1 << 16)))
-            self.symbol_of[[low + m.start() for m in _LETTER.finditer(block)]] = 1
-        self.symbol_of[best] = np.arange(2, 2 + len(best))
-        self.number: list[np.ndarray] = [np.full(128**n, -1, np.int32) for n in ORDERS]
-        self.size = 0
-
-    def codes(self, symbols: np.ndarray) -> list[np.ndarray]:
-        """The code of the n-gram that begins at each place, for each n."""
-        out = [symbols]
-        for n in ORDERS[1:]:
-            out.append(out[-1][:-1] * 128 + symbols[n - 1 :])
-        return out
+    """The distinct n-grams of texts, as slots."""
 
-    def learn(self, texts: list[str]) -> None:
-        for t in texts:
-            points, _ = code_points([t])
-            for number, code in zip(self.number, self.codes(self.symbol_of[points].astype(np.int32)), strict=True):
-                new = np.unique(code)
-                new = new[number[new] < 0]
-                number[new] = np.arange(self.size, self.size + len(new))
-                self.size += len(new)
-
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """A row for each text with 1 for each n-gram that it has."""
+    def __init__(self):
+        self.is_letter = letters()
+        self.place = np.zeros(1 << SLOT_BITS, np.int32)
+
+    def grams(self, texts: list[str]) -> list[np.ndarray]:
+        """The slots of each text's n-grams, each once."""
         points, begin = code_points(texts)
-        codes = self.codes(self.symbol_of[points].astype(np.int32))
-        numbers = [n[c] for n, c in zip(self.number, codes, strict=True)]
-        out = np.zeros((len(texts), self.size + 1), np.float32)  # the last column takes what isn't counted
-        for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-            for n, number in zip(ORDERS, numbers, strict=True):
-                if b - a >= n:
-                    out[i, number[a : b - n + 1]] = 1
-        return out[:, :-1]
+        h = np.where(self.is_letter[points], points, 0).astype(np.uint64)
+        symbols, slots = h, []
+        for n in ORDERS:
+            if n > 1:
+                h = h[:-1] * np.uint64(0x110001) + symbols[n - 1 :]
+            slots.append((mixed(h * np.uint64(4) + np.uint64(n)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
+        out = []
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            own = np.concatenate([s[a : max(a, b - n + 1)] for n, s in zip(ORDERS, slots, strict=True)])
+            at = np.arange(len(own), dtype=np.int32)
+            self.place[own] = at  # the last place of each slot stays
+            out.append(own[self.place[own] == at])
+        return out
 
 
 class Model:
     """The fitted classifier; without languages it says ``und``."""
 
-    def __init__(self, rows: list[tuple[str, str]], landmarks: int, ridge: float, sharpness: float):
+    def __init__(self, rows: list[tuple[str, str]], landmarks: int, ridge: float, sharpness: float, most_landmarks: int = 512):
         rows = sorted(rows)
         self.languages = sorted({lang for lang, _ in rows})
         self.sharpness = sharpness
         if not rows:
             return
         texts = [t for _, t in rows]
-        self.spectrum = Spectrum(texts)
-        marks = [t for lang in self.languages for t in [x for y, x in rows if y == lang][:landmarks]]
-        self.spectrum.learn(marks)
-        self.marks = _unit(self.spectrum.presence(marks)).T.copy()
+        self.spectrum = Spectrum()
+        each = max(2, min(landmarks, most_landmarks // len(self.languages)))
+        marks = self.spectrum.grams([t for lang in self.languages for t in [x for y, x in rows if y == lang][:each]])
+        known = np.unique(np.concatenate(marks))
+        #: The row of ``marks`` of each slot; the last row is that of slots that no landmark has.
+        self.row = np.full(1 << SLOT_BITS, len(known), np.int32)
+        self.row[known] = np.arange(len(known))
+        self.marks = np.zeros((len(known) + 1, len(marks)), np.float32)
+        for k, g in enumerate(marks):
+            self.marks[self.row[g], k] = 1 / np.sqrt(max(1, len(g)))
         own = self.marks.T.astype(np.float64) @ self.marks
         value, vector = np.linalg.eigh(own)
         keep = value > 1e-8 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        z = np.concatenate([self.kernel(texts[i : i + 64]) for i in range(0, len(texts), 64)]) @ root
+        z = np.concatenate([self.kernel(texts[i:j]) for i, j in together(texts)]) @ root
         z = np.concatenate([z, np.ones((len(z), 1))], 1)
         target = np.array([[1.0 if lang == own else -1.0 for own in self.languages] for lang, _ in rows])
         weight = np.array([1.0 / [x for x, _ in rows].count(lang) for lang, _ in rows])
@@ -112,41 +110,64 @@ class Model:
         self.weights, self.bias = root @ solved[:-1], solved[-1]
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        return _unit(self.spectrum.presence(texts)) @ self.marks
+        """The kernel of each text with each landmark."""
+        grams = self.spectrum.grams(texts)
+        has = np.zeros((len(texts), len(self.marks)), np.float32)
+        for i, g in enumerate(grams):
+            has[i, self.row[g]] = 1 / np.sqrt(max(1, len(g)))
+        return has @ self.marks
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language of each text and its share in a softmax over the languages."""
-        f = self.kernel(texts) @ self.weights + self.bias
+        f = np.concatenate([self.kernel(texts[i:j]) for i, j in together(texts)]) @ self.weights + self.bias
         e = np.exp(self.sharpness * (f - f.max(1, keepdims=True)))
         p = e / e.sum(1, keepdims=True)
         best = p.argmax(1)
         return [self.languages[k] for k in best], p[np.arange(len(texts)), best]
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)).astype(np.float32)
+def together(texts: list[str]) -> list[tuple[int, int]]:
+    """Ranges of texts that are scored at once: 64 at most, and about TOGETHER characters."""
+    out, i, room = [], 0, TOGETHER
+    for j, t in enumerate(texts):
+        if j > i and (j - i == 64 or len(t) > room):
+            out.append((i, j))
+            i, room = j, TOGETHER
+        room -= len(t)
+    return [*out, (i, len(texts))] if texts else out
 
 
 def fit(
-    docs: DataFrame, learn: Column, *, per_language: int = 250, landmarks: int = 32, fit_bytes: int = 24 << 20, ridge: float = 1e-3, sharpness: float = 4.0
+    docs: DataFrame, learn: Column, *, per_language: int = 250, landmarks: int = 32, most_landmarks: int = 512, fit_bytes: int = 24 << 20, ridge: float = 1e-3, sharpness: float = 4.0
 ) -> Model:
-    """A model of the rows where ``learn`` holds and lang and text are not null."""
-    rows = docs.select("doc_id", "text", "lang").filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """A model of the rows where ``learn`` holds and lang and text are not null. Rows that repeat
+    another's doc_id and text count once."""
+    row = F.xxhash64(F.lit(3), "doc_id", "text", "lang")
+    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", row.alias("row"), F.octet_length("text").alias("size"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not counts:
         return Model([], landmarks, ridge, sharpness)
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id"), 11).cast("double") * F.lit(2.0**-53)
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * per_language + 50) / n))]), F.col("lang"))
-    some = rows.select("doc_id", "lang", key.alias("key"), F.octet_length("text").alias("size")).filter(F.col("key") < rate)
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))).filter(F.col("k") <= per_language)
+    place = (F.shiftrightunsigned("row", 11).cast("double") * F.lit(2.0**-53)).alias("place")
+    wanted = 2.0 * per_language + 50
+    # Rows are counted with their repetitions; a language is looked at whole if too few of its rows are left without.
+    some, short = [], dict.fromkeys(counts, wanted)
+    while short:
+        rate = F.element_at(F.create_map(*[F.lit(x) for lang, w in short.items() for x in (lang, min(1.0, w / counts[lang]))]), F.col("lang"))
+        near = rows.select("lang", "size", "row", place).filter(F.col("lang").isin(*short)).filter(F.col("place") <= rate)
+        near = near.groupBy("lang", "row").agg(F.first("size").alias("size"), F.first("place").alias("place"))
+        near = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place", "row"))).filter(F.col("k") <= per_language)
+        found = near.collect()  # per_language rows for each language at most
+        have = {lang: sum(r["lang"] == lang for r in found) for lang in short}
+        some += [r for r in found if have[r["lang"]] >= per_language or short[r["lang"]] >= counts[r["lang"]]]
+        short = {lang: w * 64 for lang, w in short.items() if have[lang] < per_language and w < counts[lang]}
     chosen, room = [], fit_bytes
-    for r in sorted(some.collect(), key=lambda r: (r["k"], r["lang"])):  # per_language rows for each language at most
-        if r["size"] <= room and r["doc_id"] is not None:
-            chosen.append((r["doc_id"],))
+    for r in sorted(some, key=lambda r: (r["k"], r["lang"])):
+        if r["size"] <= room:
+            chosen.append((r["row"],))
             room -= r["size"]
     ids = docs.sparkSession.createDataFrame(chosen, "chosen long")
-    texts = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen"), "left_semi")
-    return Model([(r["lang"], r["text"]) for r in texts.select("lang", "text").collect()], landmarks, ridge, sharpness)
+    texts = rows.join(F.broadcast(ids), F.col("row") == F.col("chosen"), "left_semi").groupBy("row").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    return Model([(r["lang"], r["text"]) for r in texts.collect()], landmarks, ridge, sharpness, most_landmarks)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -156,7 +177,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     the model had nothing to learn from. Equal texts get equal results; repeated rows stay.
     An empty table gives no rows. Only doc_id and text are read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks, languages and the alphabet
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks, languages and slots
 
     def run(batches):
         model = held.value
