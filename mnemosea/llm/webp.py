@@ -1,20 +1,19 @@
-"""Lossless WebP (VP8L): a full decoder, an encoder, and a media column made with them.
+"""Lossless WebP (VP8L): a decoder and an encoder that work on many images side by side, and a media column.
 
-The decoder reads prefix codes (simple, normal, in groups by an entropy image),
-back-references and the colour cache, and inverts the predictor, cross-colour,
-subtract-green and palette transforms. If each channel's code has one length for all its
-symbols, and there are no back-references, no cache and no groups, all pixels are
-looked up at once; other images are read symbol by symbol.
+The decoder reads prefix codes (simple, normal, in groups by an entropy image), back-references and
+the colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms.
+It takes a batch of images and does each step for all of them at once: the next code of every image is
+one table look-up over arrays, and the predictor goes through the diagonals of all images together.
 
-The media column's encoder writes such codes: the byte values of a text, padded to a power
-of two, get codes of equal length, so a text of at most 64 values takes 6 bits a byte.
-``encode`` writes every other feature of the format, for images worth the time and for tests.
+The encoder of the media column gives an image of few colours a palette, and any other the
+predictor and cross-colour transforms and a colour cache; all get back-references and prefix codes of
+their own. A text's bytes are grey pixels, in images of at most 64 by 32, so that the
+images of a batch are of like size however long a text is.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
 
 import numpy as np
@@ -38,6 +37,7 @@ NEAR = [
     (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7),
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 ]
+_NEAR = np.array(NEAR)
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 SIDE = 16384
 CACHE_FACTOR = 0x1E35A7BD
@@ -49,188 +49,385 @@ class Damaged(ValueError):
     """The bytes are no lossless WebP image."""
 
 
-class Bits:
-    """A reader of bits, lowest first."""
+def _reversed(n: int) -> np.ndarray:
+    """The numbers below 2 ** n with their n bits in reverse."""
+    v = np.arange(1 << n)
+    return sum(((v >> k) & 1) << (n - 1 - k) for k in range(n)).astype(np.int64)
 
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
 
-    def read(self, n: int) -> int:
-        k = self.at >> 3
-        v = int.from_bytes(self.data[k : k + 5], "little") >> (self.at & 7)
-        self.at += n
-        if self.at > 8 * len(self.data):
-            raise Damaged("the data end too early")
-        return v & ((1 << n) - 1)
+_REVERSED_8, _REVERSED_15 = _reversed(8), _reversed(15)
+_LONG = -1
+#: Of the symbols of code lengths: extra bits, and the least run.
+_RUN_BITS, _RUN_LEAST = np.array([0] * 16 + [2, 3, 7]), np.array([1] * 16 + [3, 3, 11])
 
 
-class PrefixCode:
+def _ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places begin[i] .. begin[i] + count[i] - 1 for each i in turn."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - count), count)
+
+
+class Codes:
+    """Many prefix codes, from a row of code lengths each.
+
+    A table of 256 entries for each code gives symbol and length of what begins with the next eight
+    bits; longer codes are found among the first codes of each length.
+    """
+
     def __init__(self, lengths: np.ndarray):
-        self.lengths = lengths
-        used = np.flatnonzero(lengths)
-        self.single = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
-        if self.single is not None:
-            return
-        if int((1 << (16 - lengths[used].astype(np.int64))).sum()) != 1 << 16:
+        m = len(lengths)
+        used = (lengths > 0).sum(1)
+        self.single = used <= 1
+        alone = lengths.argmax(1)
+        #: The row of ``first`` and ``place`` of each code, and what is told by the next eight bits.
+        self.row = np.cumsum(~self.single) - 1
+        self.table = np.empty((m, 256), np.int32)
+        self.table[self.single] = (alone[self.single] << 4)[:, None]
+        self.table = self.table.ravel()
+        many = np.flatnonzero(~self.single)
+        lengths = lengths[many]
+        code, symbol = np.nonzero(lengths)
+        size = lengths[code, symbol].astype(np.int64)
+        count = np.bincount(code * 16 + size, minlength=len(many) * 16).reshape(-1, 16)
+        if ((count << (15 - np.arange(16))).sum(1) != 1 << 15).any():
             raise Damaged("a prefix code is not complete")
-        self.symbols = used[np.lexsort((used, lengths[used]))]
-        self.table: dict[tuple[int, int], int] = {}
-        code = before = 0
-        for s in self.symbols.tolist():
-            n = int(lengths[s])
-            code <<= n - before
-            self.table[n, code] = s
-            code, before = code + 1, n
-
-    def read(self, bits: Bits) -> int:
-        if self.single is not None:
-            return self.single
-        code = 0
-        for n in range(1, 16):
-            code = code << 1 | bits.read(1)
-            if (s := self.table.get((n, code))) is not None:
-                return s
-        raise Damaged("no such code")
-
-
-def _read_code(bits: Bits, size: int) -> PrefixCode:
-    lengths = np.zeros(size, np.uint8)
-    if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        for s in [bits.read(8 if wide else 1), *([bits.read(8)] if two else [])]:
-            if s >= size:
-                raise Damaged("a symbol is out of range")
-            lengths[s] = 1
-        return PrefixCode(lengths)
-    inner = np.zeros(19, np.uint8)
-    for k in range(4 + bits.read(4)):
-        inner[CODE_LENGTH_ORDER[k]] = bits.read(3)
-    code = PrefixCode(inner)
-    left = size
-    if bits.read(1):
-        left = 2 + bits.read(2 + 2 * bits.read(3))
-    at, last = 0, 8
-    while at < size and left:
-        left -= 1
-        s = code.read(bits)
-        if s < 16:
-            lengths[at] = s
-            last = s or last
-            at += 1
-            continue
-        n, value = {16: (3, last), 17: (3, 0), 18: (11, 0)}[s]
-        n += bits.read({16: 2, 17: 3, 18: 7}[s])
-        if at + n > size:
-            raise Damaged("code lengths run over")
-        lengths[at : at + n] = value
-        at += n
-    return PrefixCode(lengths)
-
-
-def _number(bits: Bits, prefix: int) -> int:
-    """The length or distance of a prefix code."""
-    if prefix < 4:
-        return prefix + 1
-    extra = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
-
-
-def _flat(bits: Bits, codes: list[PrefixCode], count: int) -> np.ndarray | None:
-    """All pixels at once if each channel's literals have codes of one length."""
-    sizes = []
-    for code in codes[:4]:
-        if code.single is not None:
-            if code.single >= 256:
-                return None
-            sizes.append(0)
-        else:
-            own = code.lengths[code.symbols]
-            if own.min() != own.max() or own[0] > 8 or code.symbols[-1] >= 256:
-                return None
-            sizes.append(int(own[0]))
-    step = sum(sizes)
-    if bits.at + step * count > 8 * len(bits.data):
-        raise Damaged("the data end too early")
-    data = np.frombuffer(bits.data + b"\0\0", np.uint8)
-    wide = data[:-1].astype(np.uint16) | (data[1:].astype(np.uint16) << 8)
-    out = np.empty((count, 4), np.uint8)
-    shift = bits.at
-    same = len(set(sizes)) == 1 and step and all(np.array_equal(c.symbols, codes[0].symbols) for c in codes[1:4])
-    groups = [(sizes[0], [0, 1, 2, 3])] if same else [(n, [k]) for k, n in enumerate(sizes)]
-    for n, members in groups:
-        if n == 0:
-            out[:, _CODED[members[0]]] = codes[members[0]].single
-            continue
-        place = shift + (np.arange(count * 4, dtype=np.int64) * n if same else np.arange(count, dtype=np.int64) * step)
-        value = (wide[place >> 3] >> (place & 7).astype(np.uint16)) & np.uint16((1 << n) - 1)
-        literal = codes[members[0]].symbols.astype(np.uint8)[_reversed(n)][value]
-        if same:
-            out[:, _CODED] = literal.reshape(-1, 4)
-        else:
-            out[:, _CODED[members[0]]] = literal
-            shift += n
-    bits.at += step * count
+        order = _order(code * 16 + size)
+        code, symbol, size = code[order], symbol[order], size[order]
+        #: The first code of each length, filled up to 15 bits, and the place of its symbol.
+        self.first = np.concatenate([np.zeros((len(many), 1), np.int64), np.cumsum(count << (15 - np.arange(16)), 1)[:, :-1]], 1)
+        self.place = (np.cumsum(used[many]) - used[many])[:, None] + np.cumsum(count, 1) - count
+        self.symbols = symbol
+        short = np.flatnonzero(size <= 8)
+        table = np.full((len(many), 256), _LONG, np.int32)
+        if len(short):
+            # Codes of up to eight bits fill a row from its begin on.
+            span = 1 << (8 - size[short])
+            filled = np.bincount(code[short], span, len(many)).astype(np.int64)
+            entry = np.repeat((symbol[short] * 16 + size[short]).astype(np.int32), span)
+            if (filled == 256).all():
+                table = entry.reshape(-1, 256)
+            else:
+                table[np.arange(256) < filled[:, None]] = entry
+        self.table.reshape(m, 256)[many] = table[:, _REVERSED_8]
+
+    def look(self, code: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and length of what each window begins with; a code is given as 256 times its number."""
+        entry = self.table.take(code + window.view(np.uint8)[::8])
+        symbol, size = entry >> 4, entry & 15
+        long = entry == _LONG
+        if long.any():
+            long = np.flatnonzero(long)
+            c, x = self.row[code[long] >> 8], _REVERSED_15[window[long] & 32767]
+            n = 9 + (x[:, None] >= self.first[c, 10:]).sum(1)
+            symbol[long] = self.symbols[np.minimum(self.place[c, n] + ((x - self.first[c, n]) >> (15 - n)), len(self.symbols) - 1)]
+            size[long] = n
+        return symbol, size
+
+
+def _expanded(kind: np.ndarray, value: np.ndarray, size: np.ndarray, count: np.ndarray, cache_bits: np.ndarray) -> np.ndarray:
+    """All pixels of images of ``count`` pixels from their literals (kind 0, the colour), slots of the cache (1) and
+    references (2, the distance): what is no literal points at an earlier pixel, in the end at a literal."""
+    total = int(count.sum())
+    start = np.cumsum(size) - size
+    pointer = np.arange(total + 1, dtype=np.int32)
+    colour = np.zeros(total + 1, np.uint32)
+    some = kind == 0
+    colour[start[some]] = value[some].astype(np.uint32)
+    some = kind == 2
+    to = _ragged(start[some], size[some])
+    pointer[to] = to - np.repeat(value[some], size[some])
+    some = kind == 1
+    if some.any():
+        pointer = _followed(pointer)
+        image = np.repeat(np.arange(len(count)), count)
+        shift = np.where(cache_bits > 0, 32 - cache_bits, 31).astype(np.uint32)
+        slot = ((colour[:-1] * np.uint32(CACHE_FACTOR)) >> shift[image]).astype(np.int64)
+        slot[start[some]] = value[some]
+        before = _earlier((image << 11) | slot[pointer[:-1]])[start[some]]
+        pointer[start[some]] = np.where(before < 0, total, before)  # a slot that nothing is in yet is 0
+    return colour[_followed(pointer)[:-1]]
+
+
+def _number(prefix: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The length or distance of a prefix code whose extra bits the window begins with, and their number."""
+    extra = np.maximum(0, (prefix - 2) >> 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + (window & ((1 << extra) - 1)) + 1), extra
+
+
+class Images:
+    """VP8L streams that are read side by side: each step reads something of every image that has it."""
+
+    def __init__(self, chunks: list[bytes]):
+        sizes = np.array([len(c) for c in chunks], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        data = b"".join(chunks)
+        self.words = np.frombuffer(data + b"\0" * (16 + -len(data) % 8), "<u8")
+        self.at, self.stop = begin * 8, (begin + sizes) * 8
+        self.n = len(chunks)
+
+    def window(self, at: np.ndarray) -> np.ndarray:
+        """The 64 bits from each place on; shifted to the right, all but the highest stay right."""
+        k = np.minimum(at >> 6, len(self.words) - 2)
+        low = (at & 63).view(np.uint64)
+        return ((self.words.take(k) >> low) | ((self.words.take(k + 1) << np.uint64(1)) << (np.uint64(63) - low))).view(np.int64)
+
+    def read(self, own: np.ndarray, n) -> np.ndarray:
+        """n bits (a number, or one for each image of ``own``)."""
+        n = np.broadcast_to(np.asarray(n, np.int64), own.shape)
+        value = self.window(self.at[own]) & ((1 << n) - 1)
+        self.at[own] += n
+        return value
+
+    def check(self) -> None:
+        if (self.at > self.stop).any():
+            raise Damaged("the data end too early")
+
+    def _lengths(self, own: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The code lengths of a prefix code over ``size`` symbols for each image of ``own``."""
+        out = np.zeros((len(own), int(size.max())), np.uint8)
+        simple = self.read(own, 1) == 1
+        row = np.flatnonzero(simple)
+        if len(row):
+            two, wide = self.read(own[row], 1), self.read(own[row], 1)
+            for some, bits in ((row, np.where(wide, 8, 1)), (row[two == 1], 8)):
+                symbol = self.read(own[some], bits)
+                if (symbol >= size[some]).any():
+                    raise Damaged("a symbol is out of range")
+                out[some, symbol] = 1
+        row = np.flatnonzero(~simple)
+        if not len(row):
+            return out
+        lane, most = own[row], size[row]
+        inner, given = np.zeros((len(row), 19), np.uint8), 4 + self.read(lane, 4)
+        for k in range(int(given.max())):
+            some = np.flatnonzero(given > k)
+            inner[some, CODE_LENGTH_ORDER[k]] = self.read(lane[some], 3)
+        code = Codes(inner)
+        left = most.copy()
+        some = np.flatnonzero(self.read(lane, 1))
+        if len(some):
+            left[some] = 2 + self.read(lane[some], 2 + 2 * self.read(lane[some], 3))
+        place, last = np.zeros(len(row), np.int64), np.full(len(row), 8)
+        todo = np.arange(len(row))
+        while len(todo):
+            left[todo] -= 1
+            window = self.window(self.at[lane[todo]])
+            symbol, bits = code.look(todo << 8, window)
+            window = window >> bits
+            here = place[todo]
+            literal = symbol < 16
+            some = todo[literal]
+            out[row[some], here[literal]] = symbol[literal]
+            last[some] = np.where(symbol[literal] > 0, symbol[literal], last[some])
+            extra = _RUN_BITS[symbol]
+            run = _RUN_LEAST[symbol] + (window & ((1 << extra) - 1))
+            if (here + run > most[todo]).any():
+                raise Damaged("code lengths run over")
+            again = np.flatnonzero(symbol == 16)
+            if len(again):
+                n = run[again]
+                out[np.repeat(row[todo[again]], n), _ragged(here[again], n)] = np.repeat(last[todo[again]], n)
+            self.at[lane[todo]] += bits + extra
+            place[todo] += run
+            todo = todo[(place[todo] < most[todo]) & (left[todo] > 0)]
+        self.check()
+        return out
+
+    def pixels(self, own: np.ndarray, width: np.ndarray, height: np.ndarray, main: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The entropy-coded images of ``own``: pixels as alpha, red, green, blue in one number, one image after
+        another, and where each begins."""
+        count = width * height
+        begin = np.cumsum(count) - count
+        cache_bits = np.zeros(len(own), np.int64)
+        some = np.flatnonzero(self.read(own, 1))
+        cache_bits[some] = self.read(own[some], 4)
+        if (cache_bits > 11).any():
+            raise Damaged("the colour cache is too large")
+        n_groups, group_bits = np.ones(len(own), np.int64), np.zeros(len(own), np.int64)
+        group_of: tuple | None = None
+        if main and len(some := np.flatnonzero(self.read(own, 1))):
+            group_bits[some] = self.read(own[some], 3) + 2
+            columns, rows = _blocks(width[some], group_bits[some]), _blocks(height[some], group_bits[some])
+            image, edge = self.pixels(own[some], columns, rows, False)
+            number = ((image >> np.uint32(8)) & np.uint32(0xFFFF)).astype(np.int64)
+            n_groups[some] = np.maximum.reduceat(number, edge) + 1
+            first, across = np.full(len(own), -1), np.ones(len(own), np.int64)
+            first[some], across[some] = edge, columns
+            group_of = number, first, across
+        sizes = np.stack([280 + np.where(cache_bits > 0, 1 << cache_bits, 0), *np.full((3, len(own)), 256), np.full(len(own), 40)], 1)
+        code_begin = (np.cumsum(n_groups) - n_groups) * 5
+        lengths = np.zeros((int(n_groups.sum()) * 5, int(sizes.max())), np.uint8)
+        for g in range(int(n_groups.max())):
+            some = np.flatnonzero(n_groups > g)
+            for k in range(5):
+                found = self._lengths(own[some], sizes[some, k])
+                lengths[code_begin[some] + 5 * g + k, : found.shape[1]] = found
+        codes = Codes(lengths)
+        # First the symbols, the next one of each image at a time. Images that are done stand still until they are left out.
+        slack = 16
+        room = np.cumsum(count + slack) - count - slack
+        symbols, size = np.zeros(int((count + slack).sum()), np.int16), np.zeros(int((count + slack).sum()), np.int16)
+        others = code_begin[:, None] + np.arange(1, 4)
+        plain = (n_groups == 1) & (codes.single[others].all(1))
+        constant = np.where(plain, (codes.table.reshape(-1, 256)[others, 0] >> 4) @ np.array([1 << 16, 1, 1 << 24]), 0)
+        widths, which = np.unique(width, return_inverse=True)
+        near_of = np.maximum(1, _NEAR[:, 0] + _NEAR[:, 1] * widths[:, None])
+        lane = np.flatnonzero(count > 0)
+        code, at, done, most, place = code_begin[lane] << 8, self.at[own[lane]], np.zeros(len(lane), np.int64), count[lane], room[lane]
+        steps, copies, colours = 0, [], []
+        all_plain = bool(plain.all())
+        while len(lane):
+            window = self.window(at)
+            here = code
+            if group_of is not None:
+                number, first, across = group_of
+                y, x = np.divmod(np.minimum(done, most - 1), width[lane])
+                grouped = first[lane] >= 0
+                here = code + 5 * 256 * np.where(grouped, number[np.where(grouped, first[lane] + (y >> group_bits[lane]) * across[lane] + (x >> group_bits[lane]), 0)], 0)
+            symbol, n = codes.look(here, window)
+            live = done < most
+            length = live.astype(np.int16)
+            far = np.flatnonzero((symbol >= 256) & (symbol < 280) & live)
+            symbols[place + steps] = symbol
+            if len(far):
+                w = window[far] >> n[far]
+                run, extra = _number(symbol[far].astype(np.int64) - 256, w)
+                w = w >> extra
+                s, used = codes.look(here[far] + 1024, w)
+                d, more = _number(s.astype(np.int64), w >> used)
+                d = np.where(d > 120, d - 120, near_of[which[lane[far]], np.minimum(d, 120) - 1])
+                if (d > done[far]).any() or (done[far] + run > most[far]).any():
+                    raise Damaged("a back-reference leaves the image")
+                length[far] = run
+                copies.append((place[far] + steps, d))
+                n[far] += extra + used + more
+            if not all_plain and len(more := np.flatnonzero((symbol < 256) & live & ~plain[lane])):
+                c, w, value = here[more], window[more] >> n[more], symbol[more].astype(np.int64) << 8
+                for j, shift in ((1, 16), (2, 0), (3, 24)):
+                    got, used = codes.look(c + 256 * j, w)
+                    value |= got.astype(np.int64) << shift
+                    n[more] += used
+                    w = w >> used
+                colours.append((place[more] + steps, value))
+            size[place + steps] = length
+            at += n * live
+            done += length
+            steps += 1
+            if steps % slack == 0 or not main:
+                live = done < most
+                if not live.all():
+                    self.at[own[lane]] = at
+                    lane, code, at, done, most, place = (x[live] for x in (lane, code, at, done, most, place))
+        self.check()
+        found = np.flatnonzero(size)
+        symbols, size = symbols[found].astype(np.int64), size[found].astype(np.int64)
+        image = np.repeat(np.arange(len(own)), count + slack)[found]
+        kind = np.where(symbols < 256, 0, np.where(symbols < 280, 2, 1)).astype(np.uint8)
+        value = np.where(kind == 0, constant[image] | symbols << 8, symbols - 280)
+        for k, parts in ((2, copies), (0, colours)):
+            if parts:
+                spot, v = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                value[np.searchsorted(found, spot)] = v
+        found = np.flatnonzero(size)
+        kind, value, size = kind[found], value[found], size[found]
+        start = np.cumsum(size) - size
+        return _expanded(kind, value, size, count, cache_bits), begin
+
+    def decoded(self, width: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The images from their transforms on: pixels (n, 4) one image after another, and where each begins."""
+        undo: list[tuple] = []
+        seen, coded = np.zeros((self.n, 4), bool), width.copy()
+        todo = np.arange(self.n)
+        while len(todo := todo[self.read(todo, 1) == 1]):
+            kind = self.read(todo, 2)
+            if seen[todo, kind].any():
+                raise Damaged("a transform comes twice")
+            seen[todo, kind] = True
+            for k in sorted(set(kind.tolist())):
+                own = todo[kind == k]
+                if k in (PREDICTOR, CROSS_COLOUR):
+                    bits = self.read(own, 3) + 2
+                    across = _blocks(coded[own], bits)
+                    undo.append((k, own, bits, across, *self.pixels(own, across, _blocks(height[own], bits), False), coded[own]))
+                elif k == PALETTE:
+                    n = self.read(own, 8) + 1
+                    table, edge = self.pixels(own, n, np.ones(len(own), np.int64), False)
+                    bits = _per_byte(n)
+                    undo.append((k, own, bits, n, table, edge, coded[own]))
+                    coded[own] = _blocks(coded[own], bits)
+                else:
+                    undo.append((k, own, None, None, None, None, coded[own]))
+        flat, begin = self.pixels(np.arange(self.n), coded, height, True)
+        parts = [flat[b : b + n] for b, n in zip(begin.tolist(), (coded * height).tolist(), strict=True)]
+        for kind, own, bits, across, image, edge, wide in reversed(undo):
+            now = np.concatenate([parts[i] for i in own.tolist()])
+            count = np.array([len(parts[i]) for i in own.tolist()])
+            pixels = _channels(now)
+            if kind == SUBTRACT_GREEN:
+                pixels[:, 0] += pixels[:, 1]
+                pixels[:, 2] += pixels[:, 1]
+            elif kind == PALETTE:
+                pixels, count = _unpalette(pixels[:, 1], count, bits, across, _channels(image), edge, wide, height[own])
+            else:
+                x, y, base = _places(count, wide)
+                block = np.repeat(edge, count) + (y >> np.repeat(bits, count)) * np.repeat(across, count) + (x >> np.repeat(bits, count))
+                if kind == PREDICTOR:
+                    mode = ((image >> np.uint32(8)) & np.uint32(15)).astype(np.int64)[block]
+                    pixels = _unpredict(pixels, _modes(mode, x, y), x, y, np.repeat(wide, count))
+                else:
+                    pixels = _cross(pixels, _channels(image)[block], 1)
+            now = _numbers(pixels)
+            for i, part in zip(own.tolist(), np.split(now, np.cumsum(count)[:-1]), strict=True):
+                parts[i] = part
+        return _channels(np.concatenate(parts)), np.cumsum([0] + [len(p) for p in parts])[:-1]
+
+
+def _followed(pointer: np.ndarray) -> np.ndarray:
+    """Where each pointer leads in the end; a place that points at itself is an end."""
+    pointer = pointer.copy()
+    todo = np.flatnonzero(pointer != np.arange(len(pointer), dtype=pointer.dtype))
+    while len(todo):
+        at = pointer[todo]
+        on = pointer[at]
+        todo = todo[on != at]
+        pointer[todo] = on[on != at]
+    return pointer
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 on, 16 bits at a time."""
+    order = np.argsort((key & 0xFFFF).astype(np.uint16), kind="stable")
+    key, most = key >> 16, int(key.max(initial=0)) >> 16
+    while most:
+        order = order[np.argsort((key & 0xFFFF).astype(np.uint16)[order], kind="stable")]
+        key, most = key >> 16, most >> 16
+    return order
+
+
+def _earlier(key: np.ndarray) -> np.ndarray:
+    """For each place the last earlier place with the same key, or -1."""
+    order = _order(key)
+    own = key[order]
+    same = np.flatnonzero(own[1:] == own[:-1])
+    out = np.full(len(key), -1, np.int32)
+    out[order[same + 1]] = order[same]
     return out
 
 
-def _reversed(n: int) -> np.ndarray:
-    """The numbers below 2 ** n with their n bits in reverse."""
-    v = np.arange(1 << n)
-    return sum(((v >> k) & 1) << (n - 1 - k) for k in range(n)).astype(np.int64)
+def _channels(numbers: np.ndarray) -> np.ndarray:
+    """Red, green, blue and alpha (n, 4) of alpha, red, green, blue in one number."""
+    return numbers.view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]].copy()
 
 
-def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """Pixels as (height * width, 4)."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    if cache_bits > 11:
-        raise Damaged("the colour cache is too large")
-    group_bits, groups = 0, None
-    if main and bits.read(1):
-        group_bits = bits.read(3) + 2
-        columns, rows = _blocks(width, group_bits), _blocks(height, group_bits)
-        image = _entropy_image(bits, columns, rows, False).astype(np.int64)
-        groups = ((image[:, 0] << 8) | image[:, 1]).reshape(rows, columns)
-    cache_size = 1 << cache_bits if cache_bits else 0
-    sizes = (256 + 24 + cache_size, 256, 256, 256, 40)
-    all_codes = [[_read_code(bits, n) for n in sizes] for _ in range(int(groups.max()) + 1 if groups is not None else 1)]
-    count = width * height
-    if groups is None and not cache_size and (flat := _flat(bits, all_codes[0], count)) is not None:
-        return flat
-    pixels = [0] * count  # as alpha, red, green, blue in one number
-    cache = [0] * cache_size
-    cached = at = 0
-
-    def fill(upto: int) -> None:
-        nonlocal cached
-        while cached < upto:
-            cache[((pixels[cached] * CACHE_FACTOR) & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[cached]
-            cached += 1
-
-    while at < count:
-        codes = all_codes[int(groups[(at // width) >> group_bits, (at % width) >> group_bits])] if groups is not None else all_codes[0]
-        s = codes[0].read(bits)
-        if s < 256:
-            red, blue, alpha = (codes[k].read(bits) for k in (1, 2, 3))
-            pixels[at] = alpha << 24 | red << 16 | s << 8 | blue
-            at += 1
-        elif s < 280:
-            length = _number(bits, s - 256)
-            code = _number(bits, codes[4].read(bits))
-            if code > 120:
-                distance = code - 120
-            else:
-                x, y = NEAR[code - 1]
-                distance = max(1, x + y * width)
-            if distance > at or at + length > count:
-                raise Damaged("a back-reference leaves the image")
-            for _ in range(length):
-                pixels[at] = pixels[at - distance]
-                at += 1
-        else:
-            fill(at)
-            pixels[at] = cache[s - 280]
-            at += 1
-    return np.array(pixels, np.uint32).view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]].copy()
+def _numbers(pixels: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(pixels[:, [2, 1, 0, 3]]).view(np.uint32).ravel()
+
+
+def _places(count: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column and row of each pixel of images one after another, and the begin of its image."""
+    base = np.repeat(np.cumsum(count) - count, count)
+    y, x = np.divmod(np.arange(len(base)) - base, np.repeat(width, count))
+    return x, y, base
 
 
 def _half(a, b):
@@ -238,7 +435,7 @@ def _half(a, b):
 
 
 def _predict(mode: int, left, top, top_left, top_right):
-    """The prediction of a pixel from int16 neighbours (channels in the last axis)."""
+    """The prediction of pixels from int16 neighbours (channels in the last axis)."""
     if mode == 1:
         return left
     if mode == 2:
@@ -267,144 +464,457 @@ def _predict(mode: int, left, top, top_left, top_right):
     if mode == 13:
         mean = _half(left, top)
         difference = mean - top_left
-        return np.clip(mean + np.trunc(difference / 2).astype(np.int16), 0, 255)
+        return np.clip(mean + (difference + (difference < 0)) // 2, 0, 255)
     return np.array([0, 0, 0, 255], np.int16)
 
 
-def _modes(image: np.ndarray, columns: int, size_bits: int) -> np.ndarray:
-    return image[:, 1].reshape(-1, columns) & 15
-
-
-def _unpredict(residual: np.ndarray, modes: np.ndarray, size_bits: int) -> np.ndarray:
-    height, width, _ = residual.shape
-    out = np.zeros((height, width, 4), np.int16)
-    black = np.array([0, 0, 0, 255], np.int16)
-    out[0, 0] = (residual[0, 0] + black) & 255
-    if width > 1:
-        out[0] = np.concatenate([out[0, :1], residual[0, 1:]]).cumsum(0, dtype=np.int64) & 255
-    for y in range(1, height):
-        row = modes[y >> size_bits]
-        above = out[y - 1]
-        out[y, 0] = (residual[y, 0] + above[0]) & 255
-        if set(row.tolist()) <= {0, 2, 4, 3, 8, 9} and width > 1:  # no neighbour in this row, but for the last's top right
-            mode = np.repeat(row, 1 << size_bits)[:width]
-            right = np.concatenate([above[2:], out[y, :1]])
-            for m in set(row.tolist()):
-                at = np.flatnonzero(mode[1:] == m) + 1
-                out[y, at] = (residual[y, at] + _predict(m, None, above[at], above[at - 1], right[at - 1])) & 255
-            continue
-        for x in range(1, width):
-            right = above[x + 1] if x + 1 < width else out[y, 0]
-            out[y, x] = (residual[y, x] + _predict(int(row[x >> size_bits]), out[y, x - 1], above[x], above[x - 1], right)) & 255
-    return out.astype(np.uint8)
+def _modes(mode: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The mode of each pixel: what the block says, but left in the first row and top in the first column."""
+    mode = np.where(y == 0, 1, np.where(x == 0, 2, mode))
+    mode[(x == 0) & (y == 0)] = 0
+    return mode
+
 
+def _neighbours(pixels: np.ndarray, at: np.ndarray, width: np.ndarray) -> list[np.ndarray]:
+    """Left, top, top left and top right; a place before the first pixel gives the first."""
+    return [pixels[np.maximum(at - d, 0)] for d in (1, width, width + 1, width - 1)]
 
-def _residual(pixels: np.ndarray, modes: np.ndarray, size_bits: int) -> np.ndarray:
-    p = pixels.astype(np.int16)
-    height, width, _ = p.shape
-    out = p.copy()
-    out[0, 0] -= np.array([0, 0, 0, 255], np.int16)
-    out[0, 1:] -= p[0, :-1]
-    for y in range(1, height):
-        out[y, 0] -= p[y - 1, 0]
-        for x in range(1, width):
-            right = p[y - 1, x + 1] if x + 1 < width else p[y, 0]
-            out[y, x] -= _predict(int(modes[y >> size_bits, x >> size_bits]), p[y, x - 1], p[y - 1, x], p[y - 1, x - 1], right)
-    return (out & 255).astype(np.uint8)
+
+def _unpredict(residual: np.ndarray, mode: np.ndarray, x: np.ndarray, y: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """All pixels with the same x + 2 * y need only pixels with less of it, so they are done at once, in all images."""
+    out = residual.astype(np.int16)
+    mode = np.where(mode > 13, 0, mode)
+    turn = np.where(mode == 0, 0, ((x + 2 * y) << 4) | mode)  # without a prediction from others all are done at once
+    order = _order(turn)
+    turn = turn[order]
+    edge = np.append(np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]])), len(turn))
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        at = order[i:j]
+        kind = int(turn[i] & 15)
+        if kind <= 2:
+            value = out[at - (1 if kind == 1 else width[at])] if kind else _predict(0, None, None, None, None)
+        else:
+            value = _predict(kind, *_neighbours(out, at, width[at]))
+        out[at] = (out[at] + value) & 255
+    return out.astype(np.uint8)
 
 
 def _delta(factor: np.ndarray, channel: np.ndarray) -> np.ndarray:
     return (factor.astype(np.int8).astype(np.int32) * channel.astype(np.int8).astype(np.int32)) >> 5
 
 
-def _cross(pixels: np.ndarray, image: np.ndarray, columns: int, size_bits: int, sign: int) -> np.ndarray:
-    """Add (1) or take away (-1) what the factors of each block say; ``image`` has red_to_blue,
+def _cross(pixels: np.ndarray, own: np.ndarray, sign: int) -> np.ndarray:
+    """Add (1) or take away (-1) what the factors of each pixel say; ``own`` has red_to_blue,
     green_to_blue and green_to_red as red, green and blue."""
-    height, width, _ = pixels.shape
-    own = np.repeat(np.repeat(image.reshape(-1, columns, 4), 1 << size_bits, 0), 1 << size_bits, 1)[:height, :width]
     out = pixels.astype(np.int32)
-    red = (out[..., 0] + sign * _delta(own[..., 2], pixels[..., 1])) & 255
-    seen = red if sign > 0 else out[..., 0]
-    out[..., 2] = (out[..., 2] + sign * (_delta(own[..., 1], pixels[..., 1]) + _delta(own[..., 0], seen.astype(np.uint8)))) & 255
-    out[..., 0] = red
+    red = (out[:, 0] + sign * _delta(own[:, 2], pixels[:, 1])) & 255
+    seen = red if sign > 0 else out[:, 0]
+    out[:, 2] = (out[:, 2] + sign * (_delta(own[:, 1], pixels[:, 1]) + _delta(own[:, 0], seen.astype(np.uint8)))) & 255
+    out[:, 0] = red
     return out.astype(np.uint8)
 
 
-def _blocks(n: int, size_bits: int) -> int:
+def _unpalette(packed: np.ndarray, count: np.ndarray, bits: np.ndarray, colours: np.ndarray, steps: np.ndarray, edge: np.ndarray, wide: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels from packed indexes; ``steps`` has the differences of each table's colours."""
+    total = np.cumsum(steps.astype(np.int64), 0)
+    table = (total - np.repeat(total[edge] - steps[edge], colours, 0)).astype(np.uint8)
+    table = np.concatenate([table, np.zeros((1, 4), np.uint8)])
+    n = wide * height
+    x, y, _ = _places(n, wide)
+    bits, coded = np.repeat(bits, n), np.repeat(_blocks(wide, bits), n)
+    base = np.repeat(np.cumsum(count) - count, n)
+    index = packed[base + y * coded + (x >> bits)].astype(np.int64)
+    each = 8 >> bits
+    index = (index >> (each * (x & ((1 << bits) - 1)))) & ((1 << each) - 1)
+    return table[np.where(index < np.repeat(colours, n), np.repeat(edge, n) + index, len(table) - 1)], n
+
+
+def _blocks(n, size_bits):
     return (n + (1 << size_bits) - 1) >> size_bits
 
 
-def _per_byte(colours: int) -> int:
-    return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+def _per_byte(colours):
+    """The power of two of the indexes that share a byte."""
+    colours = np.asarray(colours)
+    return np.where(colours <= 2, 3, np.where(colours <= 4, 2, np.where(colours <= 16, 1, 0)))
 
 
-def images(data: bytes):
-    """The lossless images in a run of WebP files, as (height, width, 4) arrays."""
-    at = 0
+def files(data: bytes) -> list[bytes]:
+    """The VP8L chunks of a run of lossless WebP files."""
+    out, at = [], 0
     while at < len(data):
         if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 16] != b"WEBPVP8L":
             raise Damaged("no lossless WebP file")
         riff, own = (int.from_bytes(data[at + k : at + k + 4], "little") for k in (4, 16))
         if at + 8 + riff > len(data) or own + 12 > riff:
             raise Damaged("the file is cut short")
-        yield decode(data[at + 20 : at + 20 + own])
+        out.append(data[at + 20 : at + 20 + own])
         at += 8 + riff + (riff & 1)
+    return out
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of one VP8L chunk."""
-    bits = Bits(data)
-    if bits.read(8) != 0x2F:
+def decode(chunks: list[bytes]) -> list[np.ndarray]:
+    """The pixels (height, width, 4) of VP8L chunks, which are read side by side."""
+    if not chunks:
+        return []
+    images = Images(chunks)
+    every = np.arange(images.n)
+    if (images.read(every, 8) != 0x2F).any():
         raise Damaged("no signature")
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    bits.read(1)
-    if bits.read(3):
+    width, height = images.read(every, 14) + 1, images.read(every, 14) + 1
+    images.read(every, 1)
+    if images.read(every, 3).any():
         raise Damaged("an unknown version")
-    undo, seen, coded_width = [], set(), width
-    while bits.read(1):
-        kind = bits.read(2)
-        if kind in seen:
-            raise Damaged("a transform comes twice")
-        seen.add(kind)
-        if kind in (PREDICTOR, CROSS_COLOUR):
-            size_bits = bits.read(3) + 2
-            columns = _blocks(coded_width, size_bits)
-            undo.append((kind, size_bits, columns, _entropy_image(bits, columns, _blocks(height, size_bits), False), coded_width))
-        elif kind == PALETTE:
-            n = bits.read(8) + 1
-            table = _entropy_image(bits, n, 1, False).astype(np.int64).cumsum(0).astype(np.uint8)
-            undo.append((kind, _per_byte(n), n, table, coded_width))
-            coded_width = _blocks(coded_width, _per_byte(n))
-        else:
-            undo.append((kind, 0, 0, None, coded_width))
-    pixels = _entropy_image(bits, coded_width, height, True).reshape(height, coded_width, 4)
-    for kind, size, columns, image, own_width in reversed(undo):
-        if kind == PREDICTOR:
-            pixels = _unpredict(pixels, _modes(image, columns, size), size)
-        elif kind == CROSS_COLOUR:
-            pixels = _cross(pixels, image, columns, size, 1)
-        elif kind == SUBTRACT_GREEN:
-            pixels[..., 0] += pixels[..., 1]
-            pixels[..., 2] += pixels[..., 1]
-        else:
-            packed, each = pixels[..., 1], 8 >> size
-            index = np.stack([(packed >> (each * k)) & ((1 << each) - 1) for k in range(1 << size)], -1).reshape(height, -1)[:, :own_width]
-            table = np.concatenate([image, np.zeros((256 - columns, 4), np.uint8)])
-            pixels = table[index]
-    return pixels
+    images.check()
+    pixels, begin = images.decoded(width, height)
+    return [pixels[b : b + w * h].reshape(h, w, 4) for b, w, h in zip(begin.tolist(), width.tolist(), height.tolist(), strict=True)]
 
 
-class Out:
-    """A writer of bits, lowest first."""
+def images(data: bytes):
+    """The lossless images in a run of WebP files, as (height, width, 4) arrays."""
+    yield from decode(files(data))
+
+
+class Bitstreams:
+    """Bits for many images: what is put for all of them at a time is sorted by image at the end."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def put(self, own: np.ndarray, value, n) -> None:
+        """n bits of value, lowest first, for each image of ``own``; an image may come more than once."""
+        value, n = (np.broadcast_to(np.asarray(x, t), own.shape) for x, t in ((value, np.uint64), (n, np.uint8)))
+        self.parts.append((own.astype(np.int32), value, n))
+
+    def chunks(self) -> list[bytes]:
+        own, value, n = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+        order = np.argsort(own.astype(np.uint16) if self.n < 1 << 16 else own, kind="stable")
+        own, value, n = own[order], value[order], n[order].astype(np.int64)
+        total = np.bincount(own, n, self.n).astype(np.int64)
+        words = (total + 63) >> 6
+        begin = np.cumsum(words) - words
+        place = np.cumsum(n) - n
+        first = np.cumsum(total) - total
+        place = place - first[own] + begin[own] * 64
+        out = np.zeros(int(words.sum()) + 1, np.uint64)
+        low = (place & 63).astype(np.uint64)
+        for word, part in ((place >> 6, value << low), ((place >> 6) + 1, (value >> np.uint64(1)) >> (np.uint64(63) - low))):
+            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            if len(edge):
+                out[word[edge]] |= np.bitwise_or.reduceat(part, edge)
+        raw = out.astype("<u8").tobytes()
+        return [raw[b * 8 : b * 8 + ((t + 7) >> 3)] for b, t in zip(begin.tolist(), total.tolist(), strict=True)]
+
+
+def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
+    """Lengths of a prefix code for each row of counts, ``most`` at most (all rows side by side).
+    A row with one symbol gets length 1 for it."""
+    used = (counts > 0).sum(1)
+    out = (counts > 0).astype(np.uint8)
+    todo = np.flatnonzero(used > 1)
+    left = counts[todo]
+    while len(todo):
+        got = _huffman(left)
+        out[todo] = got
+        long = got.max(1) > most
+        todo, left = todo[long], (left[long] + 1) >> 1
+    return out
 
-    def __init__(self):
-        self.bits: list[np.ndarray] = []
 
-    def put(self, value: int, n: int) -> None:
-        self.bits.append(np.array([(value >> k) & 1 for k in range(n)], np.uint8))
+def _huffman(counts: np.ndarray) -> np.ndarray:
+    row, symbol = np.nonzero(counts)
+    weight = counts[row, symbol]
+    order = _order((row << 20) | np.minimum(weight, (1 << 20) - 1))
+    row, symbol, weight = row[order], symbol[order], weight[order]
+    used = np.bincount(row, minlength=len(counts))
+    begin = np.cumsum(used) - used
+    by_size = np.argsort(-used, kind="stable")
+    sizes, base = used[by_size], begin[by_size]
+    infinite = np.iinfo(np.int64).max
+    leaf = np.append(weight, infinite)
+    inner = np.full(len(weight) + 1, infinite)  # the sums made so far, at the places of the row's leaves
+    up_leaf, up_inner = np.zeros(len(weight) + 1, np.int64), np.zeros(len(weight) + 1, np.int64)
+    next_leaf, next_inner = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    steps = int(sizes[0]) - 1 if len(sizes) else 0
+    live = len(sizes)
+    for k in range(steps):
+        live = int(np.searchsorted(-sizes[:live], -(k + 1), side="left"))
+        total = np.zeros(live, np.int64)
+        for _ in range(2):
+            a = np.where(next_leaf[:live] < sizes[:live], base[:live] + next_leaf[:live], len(weight))
+            b = base[:live] + next_inner[:live]
+            b = np.where(next_inner[:live] < k, b, len(weight))
+            take = leaf[a] <= inner[b]
+            total += np.where(take, leaf[a], inner[b])
+            up_leaf[np.where(take, a, len(weight))] = k
+            up_inner[np.where(take, len(weight), b)] = k
+            next_leaf[:live] += take
+            next_inner[:live] += ~take
+        inner[base[:live] + k] = total
+    depth = np.zeros(len(weight) + 1, np.int64)
+    for k in range(steps - 2, -1, -1):
+        live = int(np.searchsorted(-sizes, -(k + 2), side="left"))
+        at = base[:live] + k
+        depth[at] = depth[base[:live] + up_inner[at]] + 1
+    out = np.zeros(counts.shape, np.uint8)
+    own = begin[row]
+    out[row, symbol] = np.where(used[row] > 1, depth[own + up_leaf[:-1]] + 1, 1)
+    return out
+
 
-    def bytes(self) -> bytes:
-        return np.packbits(np.concatenate(self.bits), bitorder="little").tobytes()
+def _code_words(lengths: np.ndarray) -> np.ndarray:
+    """The code of each symbol of each row, its first bit lowest."""
+    row, symbol = np.nonzero(lengths)
+    size = lengths[row, symbol].astype(np.int64)
+    count = np.bincount(row * 16 + size, minlength=len(lengths) * 16).reshape(-1, 16)
+    first = np.cumsum(count << (15 - np.arange(16)), 1) - (count << (15 - np.arange(16)))
+    order = np.argsort(row * 16 + size, kind="stable")
+    key = (row * 16 + size)[order]
+    rank = np.arange(len(key)) - (np.cumsum(count.ravel()) - count.ravel())[key]
+    size, row, symbol = size[order], row[order], symbol[order]
+    out = np.zeros(lengths.shape, np.uint64)
+    out[row, symbol] = _REVERSED_15[first[row, size] + (rank << (15 - size))].astype(np.uint64)
+    return out
+
+
+def _put_codes(out: Bitstreams, own: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Write prefix codes, several for an image in the order of the rows. Gives the lengths in bits of each
+    symbol's code, which are 0 where a code has one symbol."""
+    used = (lengths > 0).sum(1)
+    simple = np.flatnonzero(used <= 1)
+    bits = lengths.copy()
+    bits[simple] = 0
+    # The order in which values are put is kept within an image, so all rows have to go through the same steps.
+    rows = np.arange(len(own))
+    single = np.zeros(len(own), np.int64)
+    single[simple] = lengths[simple].argmax(1)
+    many = np.flatnonzero(used > 1)
+    r, s = np.nonzero(lengths[many])
+    value = lengths[many][r, s].astype(np.int64)
+    before = np.concatenate([[0], s[:-1]]) + 1
+    gap = s - np.where(np.concatenate([[True], r[1:] != r[:-1]]), 0, before)
+    whole, rest = gap // 138, gap % 138
+    # Steps of each used symbol: runs of 138 zeros, a run of the rest or zeros one by one, and its own length.
+    n_rest = np.where(rest >= 3, 1, rest)
+    n = whole + n_rest + 1
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.arange(len(r)), n)
+    step_row = many[r[at]]
+    kind = np.where(k < whole[at], 18, np.where(k < n[at] - 1, np.where(rest[at] >= 11, 18, np.where(rest[at] >= 3, 17, 0)), value[at]))
+    extra = np.where(k < whole[at], 127, np.where(rest[at] >= 11, rest[at] - 11, rest[at] - 3))
+    n_extra = np.where(kind == 18, 7, np.where(kind == 17, 3, 0))
+    counts = np.bincount(step_row * 19 + kind, minlength=len(own) * 19).reshape(-1, 19)
+    inner = code_lengths(counts, 7)
+    words = _code_words(inner)
+    inner_bits = inner.copy()
+    inner_bits[(inner > 0).sum(1) <= 1] = 0
+    steps = np.bincount(step_row, minlength=len(own))
+    given = np.maximum(4, 19 - (inner[:, CODE_LENGTH_ORDER][:, ::-1] > 0).argmax(1))
+    # Everything of a row, in its order: (row, place within the row, value, bits).
+    pieces = [
+        (simple, 0, 0b101 | (single[simple] << 3), 11),  # simple, one symbol, eight bits
+        (many, 0, 0 | ((given[many] - 4) << 1), 5),
+        *((many[given[many] > j], 1 + j, inner[many[given[many] > j], CODE_LENGTH_ORDER[j]], 3) for j in range(19)),
+        (many, 20, 1 | (np.where(steps[many] - 2 < 256, 3, 4) << 1) | ((steps[many] - 2) << 4), np.where(steps[many] - 2 < 256, 12, 14)),
+        (step_row, 21, words[step_row, kind] | (np.where(n_extra > 0, extra, 0).astype(np.uint64) << inner_bits[step_row, kind].astype(np.uint64)), inner_bits[step_row, kind] + n_extra),
+    ]
+    row = np.concatenate([p[0] for p in pieces])
+    place = np.concatenate([np.full(len(p[0]), p[1]) for p in pieces])
+    value = np.concatenate([np.asarray(p[2]).astype(np.uint64) for p in pieces])
+    n = np.concatenate([np.broadcast_to(np.asarray(p[3]), p[0].shape) for p in pieces])
+    order = np.argsort(row * 22 + place, kind="stable")
+    out.put(own[rows][row[order]], value[order], n[order])
+    return bits
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix codes, extra bits and their number, of lengths or distances."""
+    v = np.maximum(value - 1, 1)
+    top = np.frexp(v.astype(np.float64))[1] - 1
+    extra = np.maximum(top - 1, 0)
+    small = value <= 4
+    return np.where(small, value - 1, 2 * top + ((v >> extra) & 1)), np.where(small, 0, v & ((1 << extra) - 1)), np.where(small, 0, extra)
+
+
+def _put_images(out: Bitstreams, own: np.ndarray, numbers: np.ndarray, count: np.ndarray, width: np.ndarray, *, cache_bits: int = 0, main: bool = False) -> None:
+    """Write entropy-coded images, whose pixels (one number each) stand one image after another."""
+    out.put(own, 1 | (cache_bits << 1) if cache_bits else 0, 5 if cache_bits else 1)
+    if main:
+        out.put(own, 0, 1)  # one group of prefix codes
+    n = len(numbers)
+    image = np.repeat(np.arange(len(own), dtype=np.int32), count)
+    base = np.cumsum(count) - count
+    place = np.arange(n, dtype=np.int32)
+    length = np.ones(n, np.int32)
+    if main:
+        # Runs of places whose next three pixels stood at the same distance before are one back-reference.
+        left = np.repeat((base + count).astype(np.int32), count) - place
+        green = (numbers.view(np.uint8)[1::4]).astype(np.int64)  # of a grey or indexed image it tells the pixel
+        key = (image.astype(np.int64) << 24) | (green << 16)
+        key[:-1] |= green[1:] << 8
+        key[:-2] |= green[2:]
+        old = _earlier(key)
+        distance = np.where((old >= 0) & (left >= 3) & (left[old] >= 3), place - old, 0)
+        breaks = np.flatnonzero(np.concatenate([[True], distance[1:] != distance[:-1]]))
+        end = np.repeat(np.append(breaks[1:], n).astype(np.int32), np.diff(np.append(breaks, n)))
+        length = np.where(distance > 0, np.minimum(np.minimum(end - place + 2, left), 4096), 1)
+    # Greedy parsing, in all images at once.
+    starts = np.zeros(n, bool)
+    at = base[count > 0]
+    stop = (base + count)[count > 0]
+    while len(at):
+        starts[at] = True
+        at = at + length[at]
+        at, stop = at[at < stop], stop[at < stop]
+    at = np.flatnonzero(starts)
+    copied = length[at] > 1
+    hit = np.zeros(len(at), bool)
+    slot = place
+    if cache_bits:
+        slot = ((numbers * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int32)
+        before = _earlier((image << cache_bits) | slot)[at]
+        hit = ~copied & (before >= 0) & (numbers[before] == numbers[at])
+    plain = ~copied & ~hit
+    im = image[at].astype(np.int64)
+    pixel = numbers[at]
+    green = ((pixel >> np.uint32(8)) & np.uint32(255)).astype(np.int64)
+    if cache_bits:
+        green = np.where(hit, 280 + slot[at], green)
+    far = np.flatnonzero(copied)
+    long_symbol, long_extra, long_bits = _prefixes(length[at[far]])
+    green[far] = 256 + long_symbol
+    apart = distance[at[far]] if main else np.zeros(0, np.int32)
+    code = (apart + 120).astype(np.int64)
+    wide = width[im[far]]
+    for w in sorted(set(wide.tolist())):
+        table = np.zeros(8 * w + 9, np.int64)
+        for k, (x, y) in reversed(list(enumerate(NEAR))):
+            if 0 < x + y * w < len(table):
+                table[x + y * w] = k + 1
+        some = np.flatnonzero((wide == w) & (apart < len(table)))
+        code[some] = np.where(table[apart[some]] > 0, table[apart[some]], code[some])
+    far_symbol, far_extra, far_bits = _prefixes(code)
+    size = 280 + (1 << cache_bits if cache_bits else 0)
+    counts = np.zeros((len(own) * 5, size), np.int64)
+    flat = counts.ravel()
+    flat += np.bincount(im * 5 * size + green, minlength=counts.size)
+    flat += np.bincount((im[far] * 5 + 4) * size + far_symbol, minlength=counts.size)
+    some = np.flatnonzero(plain)
+    others = [(k, ((pixel[some] >> np.uint32(shift)) & np.uint32(255)).astype(np.int64)) for k, shift in ((1, 16), (2, 0), (3, 24))]
+    for k, symbol in others:
+        flat += np.bincount((im[some] * 5 + k) * size + symbol, minlength=counts.size)
+    # Up to eight bits a code, which one look-up finds, where there are few enough symbols.
+    lengths = code_lengths(counts, 8 if (counts > 0).sum(1).max() <= 200 else 15)
+    bits = _put_codes(out, np.repeat(own, 5), lengths)
+    words = _code_words(lengths)
+    words[bits.max(1) == 0] = 0
+    place = im * 5 * size + green
+    value, n_bits = words.ravel()[place], bits.ravel()[place].astype(np.uint64)
+
+    def add(at: np.ndarray, more: np.ndarray, n_more: np.ndarray) -> None:
+        value[at] |= more.astype(np.uint64) << n_bits[at]
+        n_bits[at] += n_more.astype(np.uint64)
+
+    for k, symbol in others:
+        row = im[some] * 5 + k
+        if bits[row, symbol].any():
+            add(some, words[row, symbol], bits[row, symbol])
+    row = im[far] * 5 + 4
+    add(far, long_extra, long_bits)
+    add(far, words[row, far_symbol], bits[row, far_symbol])
+    add(far, far_extra, far_bits)
+    out.put(own[im], value, n_bits)
+
+
+#: Predictor modes that the media column's encoder chooses from for each block, and bits of the block's side.
+TRIED, SIZE_BITS = (0, 1, 2, 12), 5
+CACHE_BITS = 5
+#: An image of so many colours at most gets a palette.
+FEW = 40
+#: Columns, and rows at most, of a stored image; a byte is a grey pixel.
+WIDE, HIGH = 64, 32
+#: Pixels of the images that are coded side by side, and bytes of text that a worker holds.
+PIXELS, TOGETHER = 1 << 20, 2 << 20
+
+
+def _entropy(block: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Bits that the values of each block take with a code of their own."""
+    count = np.bincount(block * 256 + value, minlength=n * 256).reshape(n, 256).astype(np.float32)
+    total = count.sum(1)
+    return total * np.log2(np.maximum(total, 1)) - (count * np.log2(np.maximum(count, 1))).sum(1)
+
+
+def encode_images(grey: np.ndarray, height: np.ndarray) -> list[bytes]:
+    """VP8L chunks of opaque grey images of WIDE columns, whose samples stand one image after another.
+
+    An image of FEW colours at most gets a palette, and of 16 at most has several pixels in a byte. Any other gets
+    the predictor transform, of the tried modes the one with the least entropy in each block, the
+    cross-colour transform, its factors by least squares in each block (which takes red and blue
+    away, since they are as green), and a colour cache. All have back-references and prefix codes
+    made for the image. The choice depends on the image alone.
+    """
+    n = len(height)
+    count = height * WIDE
+    image = np.repeat(np.arange(n), count)
+    out = Bitstreams(n)
+    every = np.arange(n)
+    out.put(every, 0x2F | (WIDE - 1) << 8 | (height - 1) << 22, 40)
+    seen = np.zeros((n, 256), bool)
+    seen[image, grey] = True
+    colours = seen.sum(1)
+    small = colours <= FEW
+
+    own = np.flatnonzero(small)
+    if len(own):
+        out.put(own, 1 | PALETTE << 1 | (colours[own] - 1) << 3, 11)
+        of, value = np.nonzero(seen[own])
+        first = np.concatenate([[True], of[1:] != of[:-1]])
+        step = value - np.where(first, 0, np.concatenate([[0], value[:-1]]))
+        _put_images(out, own, (step * 0x10101 | np.where(first, 0xFF000000, 0)).astype(np.uint32), colours[own], colours[own])
+        bits = _per_byte(colours[own])
+        wide = _blocks(WIDE, bits)
+        coded = wide * height[own]
+        at = small[image]
+        place = (np.cumsum(seen[own], 1) - 1)[np.repeat(np.arange(len(own)), count[own]), grey[at]]
+        x, y, _ = _places(count[own], np.full(len(own), WIDE))
+        b = np.repeat(bits, count[own])
+        to = np.repeat(np.cumsum(coded) - coded, count[own]) + y * np.repeat(wide, count[own]) + (x >> b)
+        packed = np.bincount(to, place << ((8 >> b) * (x & ((1 << b) - 1))), int(coded.sum())).astype(np.uint32)
+        out.put(own, 0, 1)
+        _put_images(out, own, np.uint32(0xFF000000) | packed << np.uint32(8), coded, wide, main=True)
+
+    own = np.flatnonzero(~small)
+    if len(own):
+        p = grey[~small[image]].astype(np.int16)
+        x, y, _ = _places(count[own], np.full(len(own), WIDE))
+        across = _blocks(WIDE, SIZE_BITS)
+        rows = _blocks(height[own], SIZE_BITS)
+        sizes = rows * across
+        block = np.repeat(np.cumsum(sizes) - sizes, count[own]) + (y >> SIZE_BITS) * across + (x >> SIZE_BITS)
+        near = _neighbours(p, np.arange(len(p)), WIDE)
+        total = int(sizes.sum())
+        best, cost, kept = np.zeros(total, np.int64), np.full(total, np.inf), np.zeros(len(p), np.uint8)
+        for mode in TRIED:
+            residual = (p - (_predict(mode, *near) if mode else np.int16(0))).astype(np.uint8)
+            now = _entropy(block, residual, total)
+            better = now < cost
+            cost[better], best[better] = now[better], mode
+            at = better[block]
+            kept = np.where(at, residual, kept)
+        for mode, at in ((1, (y == 0) & (x > 0)), (2, (y > 0) & (x == 0)), (0, (y == 0) & (x == 0))):
+            at = np.flatnonzero(at)
+            kept[at] = (p[at] - (near[mode - 1][at] if mode else 0)).astype(np.uint8)
+        out.put(own, 1 | PREDICTOR << 1 | (SIZE_BITS - 2) << 3, 6)
+        _put_images(out, own, np.uint32(0xFF000000) | best.astype(np.uint32) << np.uint32(8), sizes, np.full(len(own), across))
+        # Red and blue are as green, so their least-squares factors on green are one (32 in the format's units), and red has nothing left for blue.
+        factor = np.zeros((total, 4), np.uint8)
+        factor[:, 1:] = 32, 32, 255
+        out.put(own, 1 | CROSS_COLOUR << 1 | (SIZE_BITS - 2) << 3, 6)
+        _put_images(out, own, _numbers(factor), sizes, np.full(len(own), across))
+        out.put(own, 0, 1)
+        _put_images(out, own, kept.astype(np.uint32) << np.uint32(8), count[own], np.full(len(own), WIDE), cache_bits=CACHE_BITS, main=True)
+    return out.chunks()
 
 
 def _file(chunk: bytes) -> bytes:
@@ -412,226 +922,37 @@ def _file(chunk: bytes) -> bytes:
     return b"RIFF" + len(body).to_bytes(4, "little") + body
 
 
-def _head(out: Out, width: int, height: int) -> None:
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
-        out.put(value, n)
-
-
-def _put_lengths(out: Out, lengths: np.ndarray) -> None:
-    """A normal code whose lengths are written one by one."""
-    kinds = sorted(set(lengths.tolist()))
-    if len(kinds) == 1:
-        kinds.append(0 if kinds[0] else 1)
-    inner_bits = max(1, (len(kinds) - 1).bit_length())
-    inner = np.zeros(19, np.uint8)
-    inner[kinds] = inner_bits
-    spare = [k for k in range(16) if not inner[k]]
-    for k in spare[: (1 << inner_bits) - len(kinds)]:
-        inner[k] = inner_bits
-    out.put(0, 1)
-    out.put(15, 4)
-    for k in CODE_LENGTH_ORDER:
-        out.put(int(inner[k]), 3)
-    last = int(np.flatnonzero(lengths)[-1]) + 1
-    short = last >= 2
-    out.put(int(short), 1)
-    if short:
-        out.put(3 if last - 2 < 1 << 8 else 5, 3)
-        out.put(last - 2, 8 if last - 2 < 1 << 8 else 12)
-    words = {int(s): k for k, s in enumerate(np.flatnonzero(inner))}
-    turn = _reversed(inner_bits)
-    rank = turn[[words[v] for v in lengths[: last if short else None].tolist()]]
-    out.bits.append(((rank[:, None] >> np.arange(inner_bits)) & 1).astype(np.uint8).ravel())
-
-
-def encode_payload(payload: np.ndarray, width: int = 16) -> bytes:
-    """Bytes, four to a pixel, as one WebP file or, beyond 16,384 rows, several in a row."""
-    rows = len(payload) // (4 * width)
-    files = []
-    for first in range(0, rows, SIDE):
-        part = payload[first * 4 * width : (first + SIDE) * 4 * width]
-        seen = np.bincount(part, minlength=256) > 0
-        n = max(1, int(seen.sum() - 1).bit_length())
-        seen[np.flatnonzero(~seen)[: (1 << n) - int(seen.sum())]] = True
-        out = Out()
-        _head(out, width, len(part) // (4 * width))
-        out.put(0, 3)  # no transform, no colour cache, no groups
-        for size in (280, 256, 256, 256):
-            lengths = np.zeros(size, np.uint8)
-            lengths[:256][seen] = n
-            _put_lengths(out, lengths)
-        out.put(0b0001, 4)  # a simple code for the distances, which do not occur
-        code = np.zeros(256, np.uint8)
-        code[seen] = _reversed(n)
-        value = code[part.reshape(-1, 4)[:, _CODED].ravel()]
-        out.bits.append(((value[:, None] >> np.arange(n, dtype=np.uint8)) & 1).ravel())
-        files.append(_file(out.bytes()))
-    return b"".join(files)
-
-
-def decode_payload(data: bytes) -> np.ndarray:
-    return np.concatenate([x.ravel() for x in images(data)])
-
-
-def _lengths(counts: np.ndarray) -> np.ndarray:
-    """Lengths of a prefix code for the counts, 15 bits at most."""
-    used = np.flatnonzero(counts)
-    out = np.zeros(len(counts), np.uint8)
-    if len(used) < 2:
-        used = np.append(used, [k for k in (0, 1) if k not in used])[:2] if len(used) else np.array([0, 1])
-        out[used] = 1
-        return out
-    floor = 1
-    while True:
-        heap = [(max(int(counts[s]), floor), int(s), None, None) for s in used]
-        heapq.heapify(heap)
-        n = len(counts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], n, a, b))
-            n += 1
-        todo = [(heap[0], 0)]
-        while todo:
-            (_, s, a, b), depth = todo.pop()
-            if a is None:
-                out[s] = depth
-            else:
-                todo += [(a, depth + 1), (b, depth + 1)]
-        if out.max() <= 15:
-            return out
-        floor *= 2
-
-
-def _words(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
-    """Symbol to (code with its bits in reverse, length)."""
-    used = np.flatnonzero(lengths)
-    words, code, before = {}, 0, 0
-    for s in used[np.lexsort((used, lengths[used]))].tolist():
-        n = int(lengths[s])
-        code <<= n - before
-        words[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
-        code, before = code + 1, n
-    return words
-
-
-def _prefix(value: int) -> tuple[int, int, int]:
-    """Prefix code, extra bits and their number, of a length or distance."""
-    if value <= 4:
-        return value - 1, 0, 0
-    v = value - 1
-    top = v.bit_length() - 1
-    second = (v >> (top - 1)) & 1
-    return 2 * top + second, v & ((1 << (top - 1)) - 1), top - 1
-
-
-def _put_image(out: Out, pixels: np.ndarray, width: int, *, cache_bits: int = 0, references: bool = False, groups: np.ndarray | None = None, group_bits: int = 2, main: bool = False) -> None:
-    """Pixels (n, 4) as an entropy-coded image."""
-    out.put(1 if cache_bits else 0, 1)
-    if cache_bits:
-        out.put(cache_bits, 4)
-    if main:
-        out.put(0 if groups is None else 1, 1)
-        if groups is not None:
-            out.put(group_bits - 2, 3)
-            image = np.zeros((groups.size, 4), np.uint8)
-            image[:, 0], image[:, 1] = groups.ravel() >> 8, groups.ravel() & 255
-            _put_image(out, image, groups.shape[1])
-    number = [int(x) for x in (pixels[:, 3].astype(np.uint32) << 24 | pixels[:, 0].astype(np.uint32) << 16 | pixels[:, 1].astype(np.uint32) << 8 | pixels[:, 2])]
-    near = {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width >= 1}
-    cache: dict[int, int] = {}
-    places: dict[tuple[int, ...], int] = {}
-    steps: list[tuple] = []
-    at, n = 0, len(number)
-    while at < n:
-        length = distance = 0
-        if references and at + 3 <= n and (old := places.get(tuple(number[at : at + 3]))) is not None:
-            distance = at - old
-            while at + length < n and length < 4096 and number[at + length] == number[old + length]:
-                length += 1
-        slot = ((number[at] * CACHE_FACTOR) & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else -1
-        if length >= 3:
-            steps.append((at, "copy", length, near.get(distance, distance + 120)))
-        elif cache_bits and cache.get(slot) == number[at]:
-            steps.append((at, "cache", slot, 0))
-            length = 1
-        else:
-            steps.append((at, "pixel", 0, 0))
-            length = 1
-        for k in range(at, at + length):
-            places[tuple(number[k : k + 3])] = k
-            if cache_bits:
-                cache[((number[k] * CACHE_FACTOR) & 0xFFFFFFFF) >> (32 - cache_bits)] = number[k]
-        at += length
-    group_of = (lambda at: int(groups[(at // width) >> group_bits, (at % width) >> group_bits])) if groups is not None else (lambda at: 0)
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    counts = [[np.zeros(s, np.int64) for s in sizes] for _ in range(int(groups.max()) + 1 if groups is not None else 1)]
-    symbols = []
-    for at, kind, a, b in steps:
-        c = counts[group_of(at)]
-        if kind == "pixel":
-            own = [(k, int(pixels[at, _CODED[k]]), 0, 0) for k in range(4)]
-        elif kind == "cache":
-            own = [(0, 280 + a, 0, 0)]
-        else:
-            length, distance = _prefix(a), _prefix(b)
-            own = [(0, 256 + length[0], *length[1:]), (4, *distance)]
-        for k, s, _, _ in own:
-            c[k][s] += 1
-        symbols.append((group_of(at), own))
-    words = []
-    for c in counts:
-        lengths = [_lengths(x) for x in c]
-        for x in lengths:
-            _put_lengths(out, x)
-        words.append([_words(x) for x in lengths])
-    for g, own in symbols:
-        for k, s, extra, n_extra in own:
-            out.put(*words[g][k][s])
-            out.put(extra, n_extra)
-
-
-def encode(pixels: np.ndarray, *, transforms: tuple = (), size_bits: int = 2, cache_bits: int = 0, references: bool = True, groups: np.ndarray | None = None, group_bits: int = 2, seed: int = 0) -> bytes:
-    """A WebP file of (height, width, 4) pixels with the transforms in the given order. Predictor
-    modes and cross-colour factors are drawn by ``seed``: any choice is lossless."""
-    height, width, _ = pixels.shape
-    draw = np.random.default_rng(seed)
-    out = Out()
-    _head(out, width, height)
-    for kind in transforms:
-        out.put(1, 1)
-        out.put(kind, 2)
-        if kind in (PREDICTOR, CROSS_COLOUR):
-            out.put(size_bits - 2, 3)
-            columns, rows = _blocks(width, size_bits), _blocks(height, size_bits)
-            image = np.zeros((rows * columns, 4), np.uint8)
-            image[:, 3] = 255
-            if kind == PREDICTOR:
-                image[:, 1] = draw.integers(0, 14, rows * columns)
-                pixels = _residual(pixels, _modes(image, columns, size_bits), size_bits)
-            else:
-                image[:, :3] = draw.integers(0, 256, (rows * columns, 3))
-                pixels = _cross(pixels, image, columns, size_bits, -1)
-            _put_image(out, image, columns)
-        elif kind == SUBTRACT_GREEN:
-            pixels = pixels.copy()
-            pixels[..., 0] -= pixels[..., 1]
-            pixels[..., 2] -= pixels[..., 1]
-        else:
-            table, index = np.unique(pixels.reshape(-1, 4), axis=0, return_inverse=True)
-            index = index.reshape(height, width)
-            out.put(len(table) - 1, 8)
-            _put_image(out, np.diff(table.astype(np.int16), axis=0, prepend=np.zeros((1, 4), np.int16)).astype(np.uint8), len(table))
-            size = _per_byte(len(table))
-            wide = np.zeros((height, _blocks(width, size) << size), np.int64)
-            wide[:, :width] = index
-            parts = wide.reshape(height, -1, 1 << size)
-            pixels = np.zeros((height, parts.shape[1], 4), np.uint8)
-            pixels[..., 1] = sum(parts[..., k] << ((8 >> size) * k) for k in range(1 << size))
-            pixels[..., 3] = 255
-            width = parts.shape[1]
-    out.put(0, 1)
-    _put_image(out, pixels.reshape(-1, 4), width, cache_bits=cache_bits, references=references, groups=groups, group_bits=group_bits, main=True)
-    return _file(out.bytes())
+def _groups(size: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of images of PIXELS pixels at most in all, or of one image."""
+    out, i, ends = [], 0, np.cumsum(size)
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIXELS, side="right")))
+        out.append((i, j))
+        i = j
+    return out
+
+
+def encode_payloads(payloads: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Bytes (payload k is edges[k] to edges[k + 1], a positive multiple of 64), a grey pixel each, as
+    one WebP file or, beyond HIGH rows, several in a row."""
+    rows = np.diff(edges) // WIDE
+    n = -(-rows // HIGH)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    height = np.minimum(HIGH, np.repeat(rows, n) - k * HIGH)
+    first = np.concatenate([[0], np.cumsum(height) * WIDE])
+    chunks = [c for i, j in _groups(height * WIDE) for c in encode_images(payloads[first[i] : first[j]], height[i:j])]
+    at = np.cumsum(n).tolist()
+    return [b"".join(map(_file, chunks[i:j])) for i, j in zip([0, *at[:-1]], at, strict=True)]
+
+
+def decode_payloads(media: list[bytes]) -> list[np.ndarray]:
+    """The bytes of each of the media; all their images are read side by side."""
+    chunks = [files(m) for m in media]
+    every = [c for own in chunks for c in own]
+    size = np.array([((v & 0x3FFF) + 1) * ((v >> 14 & 0x3FFF) + 1) for v in (int.from_bytes(c[1:5], "little") for c in every)], np.int64)
+    pixels = [x for i, j in _groups(size) for x in decode(every[i:j])]
+    at = np.cumsum([len(c) for c in chunks]).tolist()
+    return [np.concatenate([x[..., 1].ravel() for x in pixels[i:j]]) for i, j in zip([0, *at[:-1]], at, strict=True)]
 
 
 #: Texts are filled up with zero bytes to a positive multiple of this.
@@ -646,13 +967,13 @@ def to_media(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", TOGETHER):
             data, edge = text_bytes(batch.column("text"))
-            media = []
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                payload = np.zeros(max(UNIT, -(-(j - i) // UNIT) * UNIT), np.uint8)
-                payload[: j - i] = data[i:j]
-                media.append(encode_payload(payload))
+            size = np.diff(edge)
+            edges = np.concatenate([[0], np.cumsum(np.maximum(1, -(-size // UNIT)) * UNIT)])
+            payloads = np.zeros(int(edges[-1]), np.uint8)
+            payloads[np.arange(len(data)) + np.repeat(edges[:-1] - edge[:-1], size)] = data
+            media = encode_payloads(payloads, edges)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(edge)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
@@ -662,14 +983,12 @@ def read_media(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, and figures of the pixels that the stored bytes decode to."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "media", TOGETHER):
             out = []
-            for m in batch.column("media").to_pylist():
-                payload = decode_payload(m)
-                pixels = payload.reshape(-1, 4)
-                sums = ",".join(map(str, pixels.sum(0, dtype=np.int64).tolist()))
+            media = batch.column("media").to_pylist()
+            for m, payload in zip(media, decode_payloads(media), strict=True):
                 change = int(np.abs(np.diff(payload.astype(np.int16))).sum(dtype=np.int64))
-                feature = f"{len(pixels) // 16}x16 sums {sums} change {change} values {int((np.bincount(payload, minlength=256) > 0).sum())}"
+                feature = f"{len(payload) // WIDE}x{WIDE} sum {int(payload.sum(dtype=np.int64))} change {change} values {int((np.bincount(payload, minlength=256) > 0).sum())}"
                 raw = payload.tobytes()
                 out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6

@@ -1,11 +1,15 @@
 """Results against brute force, exact round trips and held-out accuracy."""
 
+import base64
 import collections
 import hashlib
+import importlib.resources
+import importlib.util
 import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -168,39 +172,99 @@ def test_training_order_holds_every_sequence_once(spark, sf, docs, tokenizer):
 TRANSFORMS = [(), (0,), (1,), (2,), (0, 1, 2), (2, 0, 1), (3,), (3, 0)]
 
 
+def plain_encoder():
+    spec = importlib.util.spec_from_file_location("plain_webp", Path(__file__).with_name("plain_webp.py"))
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
 @pytest.mark.parametrize("transforms", TRANSFORMS)
 def test_webp_round_trips(transforms):
-    rng = np.random.default_rng(7)
+    """Every feature of the format, written by a plain encoder; all images of a case are decoded side by side."""
+    rng, encode, files, want = np.random.default_rng(7), plain_encoder().encode, [], []
     for height, width in ((1, 1), (1, 7), (9, 13), (17, 8)):
         for colours in (1, 2, 4, 15, 40):
             pixels = rng.integers(0, 256, (colours, 4), dtype=np.uint8)[rng.integers(0, colours, (height, width))]
-            coded = webp._blocks(width, webp._per_byte(len(np.unique(pixels.reshape(-1, 4), axis=0)))) if 3 in transforms else width
+            coded = int(webp._blocks(width, webp._per_byte(len(np.unique(pixels.reshape(-1, 4), axis=0))))) if 3 in transforms else width
             for cache_bits in (0, 1, 6):
                 for groups in (None, rng.integers(0, 3, (webp._blocks(height, 2), webp._blocks(coded, 2)))):
-                    data = webp.encode(pixels, transforms=transforms, cache_bits=cache_bits, groups=groups, seed=colours)
-                    assert np.array_equal(next(webp.images(data)), pixels)
-
-
-def test_webp_payloads_and_damaged_files():
-    for raw in (b"", b"a", b"hello " * 5000, bytes(range(256)) * 9, b"ab" * 600_000):
-        payload = np.zeros(max(64, -(-len(raw) // 64) * 64), np.uint8)
-        payload[: len(raw)] = np.frombuffer(raw, np.uint8)
-        media = webp.encode_payload(payload)
-        assert np.array_equal(webp.decode_payload(media), payload)
-    for broken in (media[:-40], b"RIFF" + media[8:], media[:20] + b"\x00" + media[21:]):
+                    files.append(encode(pixels, transforms=transforms, cache_bits=cache_bits, groups=groups, seed=colours))
+                    want.append(pixels)
+    for got, pixels in zip(webp.images(b"".join(files)), want, strict=True):
+        assert np.array_equal(got, pixels)
+
+
+def test_images_of_another_encoder():
+    """A one-pixel file, and the alpha channel (a lossless stream) of the logo among Python's own test data."""
+    one = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert next(webp.images(one)).tolist() == [[[0, 0, 0, 0]]]
+    try:
+        logo = importlib.resources.files("test.test_email").joinpath("data/python.webp").read_bytes()
+    except (ImportError, OSError):
+        pytest.skip("Python's test data are not installed")
+    at = logo.index(b"ALPH")
+    own = logo[at + 8 : at + 8 + int.from_bytes(logo[at + 4 : at + 8], "little")]
+    assert own[0] == 1  # lossless, without a filter
+    alpha = webp.Images([own[1:]]).decoded(np.array([16]), np.array([16]))[0][:, 1].reshape(16, 16)
+    assert alpha[0].tolist() == [0, 0, 0, 0, 175, 237, 255, 255, 255, 247, 146, 11, 3, 0, 0, 0]
+    assert np.array_equal(alpha[:, 0] > 100, [False] * 4 + [True] * 7 + [False] * 5) and (alpha[4:12, 4] >= 78).all()
+
+
+RAWS = (b"", b"a", b"hello " * 5000, bytes(range(256)) * 9, b"ab" * 600_000, bytes(random.Random(7).randrange(256) for _ in range(9000)))
+
+
+def payload_of(raw):
+    out = np.zeros(max(64, -(-len(raw) // 64) * 64), np.uint8)
+    out[: len(raw)] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def test_webp_payloads_and_damaged_files(monkeypatch):
+    payloads = [payload_of(raw) for raw in RAWS]
+    edges = np.cumsum([0, *map(len, payloads)])
+    media = webp.encode_payloads(np.concatenate(payloads), edges)
+    assert all(np.array_equal(a, b) for a, b in zip(webp.decode_payloads(media), payloads, strict=True))
+    for k, own in enumerate(payloads):  # an image does not depend on its neighbours
+        assert webp.encode_payloads(own, np.array([0, len(own)])) == [media[k]]
+    assert len(media[4]) < len(payloads[4]) / 20 and len(media[2]) < len(payloads[2]) / 20
+    monkeypatch.setattr(webp, "PIXELS", 4096)
+    assert webp.encode_payloads(np.concatenate(payloads), edges) == media
+    assert all(np.array_equal(a, b) for a, b in zip(webp.decode_payloads(media), payloads, strict=True))
+    for broken in (media[3][:-40], b"RIFF" + media[3][8:], media[3][:20] + b"\x00" + media[3][21:], media[3][:24] + b"\xff" * 30 + media[3][54:]):
         with pytest.raises(webp.Damaged):
-            webp.decode_payload(broken)
+            webp.decode_payloads([broken])
 
 
-def test_media_query(spark, sf, docs):
+def test_media_query(spark, sf, docs, monkeypatch):
     got = {r.doc_id: r for r in entries.QUERIES["op7_webp"](spark, sf).collect()}
     by_text = {}
     for i, t, _, _ in docs:
         raw = (t or "").encode()
-        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        payload = payload_of(raw)
         r = got[i]
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload.tobytes()).hexdigest(), zlib.crc32(payload[-64:]))
+        change = int(np.abs(np.diff(payload.astype(int))).sum())
+        assert r.feature == f"{len(payload) // 64}x64 sum {int(payload.sum())} change {change} values {len(set(payload.tolist()))}"
         assert by_text.setdefault(t, tuple(r)[1:]) == tuple(r)[1:]
+    # The stored bytes use all of the format's means.
+    media = {r.doc_id: bytes(r.media) for r in webp.to_media(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert all((got[i].media_bytes, got[i].media_sha256) == (len(m), hashlib.sha256(m).hexdigest()) for i, m in media.items())
+    seen = collections.Counter()
+    read = webp.Images.pixels
+
+    def counted(self, own, width, height, main):
+        if main:
+            seen["coded pixels"] += int((width * height).sum())
+        return read(self, own, width, height, main)
+
+    monkeypatch.setattr(webp.Images, "pixels", counted)
+    monkeypatch.setattr(webp, "_unpredict", lambda *a, f=webp._unpredict: (seen.update(predicted=len(a[0]), modes=len(set(a[1].tolist()))), f(*a))[1])
+    monkeypatch.setattr(webp, "_cross", lambda *a, f=webp._cross: (seen.update(crossed=int((a[1][:, 1:3] != 0).any(1).sum())), f(*a))[1])
+    monkeypatch.setattr(webp, "_unpalette", lambda *a, f=webp._unpalette: (seen.update(indexed=len(a[0])), f(*a))[1])
+    monkeypatch.setattr(webp, "_expanded", lambda *a, f=webp._expanded: (seen.update(dict(zip(("literals", "cached", "copied"), np.bincount(a[0], minlength=3).tolist(), strict=True))), f(*a))[1])
+    webp.decode_payloads(list(media.values()))
+    assert all(seen[k] > 1000 for k in ("coded pixels", "predicted", "crossed", "indexed", "literals", "cached", "copied")) and seen["modes"] >= 3
 
 
 def components(sets, linked):
