@@ -331,32 +331,60 @@ def test_the_estimate_is_corrected_for_collisions():
     assert 0 < near_dup.collision_rate(np.array([4000]))[0] < 0.01
 
 
-def test_language_model_sums_and_normalises(spark, sf, docs):
-    got = {r.doc_id: r for r in entries.QUERIES["op9_lm_score"](spark, sf).collect()}
-    train = {i: zlib.crc32(str(i).encode()) % 5 != 1 for i, _, _, _ in docs}
-    tokens = {i: [*low_words(t), None] for i, t, _, _ in docs}
-    c, pairs = collections.Counter(), collections.Counter()
+def language_model(tokens, train, order):
+    """A dictionary model: probability of a token after a history of any length, and the word counts."""
+    counts = [collections.Counter() for _ in range(order)]
     for i, w in tokens.items():
         if train[i]:
-            c.update(w)
-            pairs.update(zip([0, *w[:-1]], w, strict=True))
-    n, v, texts = sum(c.values()), len(c), sum(train.values())
-    p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-
-    def p2(h, w):
-        seen = texts if h == 0 else c[h]
+            line = [0, *w]
+            for k in range(1, len(line)):
+                for n in range(min(order, k + 1)):
+                    counts[n][tuple(line[k - n : k + 1])] += 1
+    n, v, texts = sum(counts[0].values()), len(counts[0]), sum(train.values())
+
+    def p(history, w):
+        if not history:
+            return (counts[0][w,] + 0.5) / (n + 0.5 * (v + 1))
+        seen = texts if history == (0,) else 0 if history[-1] is None else counts[len(history) - 1][history]
+        lower = p(history[1:], w)
         if not seen:
-            return p1(w)
+            return lower
         mu = lm_score.SCALE * seen**lm_score.POWER
-        return (pairs[h, w] + mu * p1(w)) / (seen + mu)
+        return (counts[len(history)][*history, w] + mu * lower) / (seen + mu)
+
+    return p, counts[0], n
+
 
+def held_against_brute_force(got, tokens, train, order, held=True):
+    p, c, n = language_model(tokens, train, order)
     for i, w in tokens.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not train[i], len(w), sum(c[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10(p1(x)) for x in w), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p2(h, x)) for h, x in zip([0, *w[:-1]], w, strict=True)), rel_tol=1e-9)
-    history = max(c, key=lambda w: (w is not None) * c[w])
-    assert math.isclose(sum(p2(history, w) for w in c) + p2(history, "never seen"), 1.0, rel_tol=1e-9)
+        r, line = got[i], [0, *w]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x,] > 0 for x in w), n) and (not held or r.held_out == (not train[i]))
+        assert math.isclose(r.base_score, sum(math.log10(p((), x)) for x in w), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(tuple(line[max(0, k - order + 1) : k]), line[k])) for k in range(1, len(line))), rel_tol=1e-9)
+    return p, c
+
+
+def test_language_model_sums_and_normalises(spark, sf, docs):
+    got = {r.doc_id: r for r in entries.QUERIES["op9_lm_score"](spark, sf).collect()}
+    train = {i: zlib.crc32(str(i).encode()) % 5 != 1 for i, _, _, _ in docs}
+    tokens = {i: [*low_words(t), None] for i, t, _, _ in docs}
+    p, c = held_against_brute_force(got, tokens, train, lm_score.ORDER)
+    pair = next((w[k - 1], w[k]) for i, w in tokens.items() if train[i] for k in range(1, len(w) - 1))
+    for history in ((), pair[:1], pair, (0,), (0, pair[0])):
+        assert math.isclose(sum(p(history, w) for w, in c) + p(history, "never seen"), 1.0, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("order", (1, 2, 4))
+def test_language_model_with_many_shards_chunks_and_long_texts(spark, order):
+    """Small chunks and a small fan, so that parts are merged and split on the way to the shards and back."""
+    rng = random.Random(9)
+    texts = {i: " ".join(rng.choice("a b c d e f g hh ii jj".split()) for _ in range(rng.choice((0, 1, 2, 3, 30, 90)))) for i in range(60)}
+    texts[60], texts[61] = "long " * 3 + "x y z " * 700, None
+    train = {i: i % 3 != 1 for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score(docs, F.col("doc_id") % 3 != 1, order=order, shard_items=40, fan=4, chunk_bytes=600, piece=7).collect()}
+    held_against_brute_force(got, {i: [*low_words(t), None] for i, t in texts.items()}, train, order, held=False)
 
 
 def test_the_pipeline_equals_its_parts(spark, sf, docs, tokenizer):
