@@ -55,7 +55,9 @@ def _reversed(n: int) -> np.ndarray:
     return sum(((v >> k) & 1) << (n - 1 - k) for k in range(n)).astype(np.int64)
 
 
-_REVERSED_8, _REVERSED_15 = _reversed(8), _reversed(15)
+#: Bits that are looked up at once for several symbols.
+_SEVERAL = 10
+_REVERSED_8, _REVERSED_15, _REVERSED_SEVERAL = _reversed(8), _reversed(15), _reversed(_SEVERAL)
 _LONG = -1
 #: Of the symbols of code lengths: extra bits, and the least run.
 _RUN_BITS, _RUN_LEAST = np.array([0] * 16 + [2, 3, 7]), np.array([1] * 16 + [3, 3, 11])
@@ -96,7 +98,7 @@ class Codes:
         #: The first code of each length, filled up to 15 bits, and the place of its symbol.
         self.first = np.concatenate([np.zeros((len(many), 1), np.int64), np.cumsum(count << (15 - np.arange(16)), 1)[:, :-1]], 1)
         self.place = (np.cumsum(used[many]) - used[many])[:, None] + np.cumsum(count, 1) - count
-        self.symbols = symbol
+        self.symbols, self.sizes, self.used = symbol, size, used[many]
         short = np.flatnonzero(size <= 8)
         table = np.full((len(many), 256), _LONG, np.int32)
         if len(short):
@@ -110,6 +112,39 @@ class Codes:
                 table[np.arange(256) < filled[:, None]] = entry
         self.table.reshape(m, 256)[many] = table[:, _REVERSED_8]
 
+    def several(self, code: np.ndarray) -> np.ndarray:
+        """For each code and each value of the next _SEVERAL bits: how many symbols (three at most; none if the first one is a
+        reference or has a longer code), their bits, and from bit 6 on the symbols, twelve bits each."""
+        wide = 1 << _SEVERAL
+        one = np.empty((len(code), wide), np.int32)
+        single = self.single[code]
+        one[single] = self.table.reshape(-1, 256)[code[single], :1]
+        many = np.flatnonzero(~single)
+        row = self.row[code[many]]
+        # Codes of up to that many bits fill a row from its begin on.
+        place, size = self.place[row, 0], self.used[row]
+        at = _ragged(place, size)
+        span = wide >> self.sizes[at]
+        filled = np.bincount(np.repeat(np.arange(len(many)), size), span, len(many)).astype(np.int64)
+        entry = np.repeat((self.symbols[at] * 16 + self.sizes[at]).astype(np.int32), span)
+        table = np.full((len(many), wide), _LONG, np.int32)
+        if len(many) and (filled == wide).all():
+            table = entry.reshape(-1, wide)
+        else:
+            table[np.arange(wide) < filled[:, None]] = entry
+        one[many] = table[:, _REVERSED_SEVERAL]
+        reference = (one < 0) | ((one >= 256 << 4) & (one < 280 << 4))
+        bits = np.where(reference, 15, one & 15)
+        out = np.where(reference, 0, 1 | (one & 15) << 2 | (one >> 4) << 6).astype(np.int64)
+        base = (np.arange(len(code), dtype=np.int32) << _SEVERAL)[:, None]
+        flat, used = one.ravel(), bits
+        for k in (1, 2):
+            next_one = flat.take(base + (np.arange(wide, dtype=np.int32) >> np.minimum(used, 15)))
+            good = (next_one >= 0) & ((next_one < 256 << 4) | (next_one >= 280 << 4)) & (used + (next_one & 15) <= _SEVERAL) & (used > 0)
+            out += good * (1 + ((next_one & 15) << 2) + ((next_one >> 4).astype(np.int64) << (6 + 12 * k)))
+            used = np.where(good, used + (next_one & 15), 15)
+        return out.ravel()
+
     def look(self, code: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and length of what each window begins with; a code is given as 256 times its number."""
         entry = self.table.take(code + window.view(np.uint8)[::8])
@@ -136,15 +171,17 @@ def _expanded(kind: np.ndarray, value: np.ndarray, size: np.ndarray, count: np.n
     some = kind == 2
     to = _ragged(start[some], size[some])
     pointer[to] = to - np.repeat(value[some], size[some])
-    some = kind == 1
-    if some.any():
+    spot = start[kind == 1]
+    if len(spot):
         pointer = _followed(pointer)
-        image = np.repeat(np.arange(len(count)), count)
-        shift = np.where(cache_bits > 0, 32 - cache_bits, 31).astype(np.uint32)
-        slot = ((colour[:-1] * np.uint32(CACHE_FACTOR)) >> shift[image]).astype(np.int64)
-        slot[start[some]] = value[some]
-        before = _earlier((image << 11) | slot[pointer[:-1]])[start[some]]
-        pointer[start[some]] = np.where(before < 0, total, before)  # a slot that nothing is in yet is 0
+        own = np.flatnonzero(cache_bits > 0)
+        at = _ragged((np.cumsum(count) - count)[own], count[own])
+        image = np.repeat(own, count[own])
+        slot = ((colour[at] * np.uint32(CACHE_FACTOR)) >> np.repeat((32 - cache_bits[own]).astype(np.uint32), count[own])).astype(np.int64)
+        place = np.searchsorted(at, spot)
+        slot[place] = value[kind == 1]
+        before = _earlier((image << 11) | slot[np.searchsorted(at, pointer[at])])[place]
+        pointer[spot] = np.where(before < 0, total, at[before])  # a slot that nothing is in yet is 0
     return colour[_followed(pointer)[:-1]]
 
 
@@ -263,15 +300,20 @@ class Images:
                 found = self._lengths(own[some], sizes[some, k])
                 lengths[code_begin[some] + 5 * g + k, : found.shape[1]] = found
         codes = Codes(lengths)
-        # First the symbols, the next one of each image at a time. Images that are done stand still until they are left out.
+        # First the symbols, the next ones of each image at a time. Images that are done stand still until they are left out.
         slack = 16
         room = np.cumsum(count + slack) - count - slack
-        symbols, size = np.zeros(int((count + slack).sum()), np.int16), np.zeros(int((count + slack).sum()), np.int16)
         others = code_begin[:, None] + np.arange(1, 4)
         plain = (n_groups == 1) & (codes.single[others].all(1))
         constant = np.where(plain, (codes.table.reshape(-1, 256)[others, 0] >> 4) @ np.array([1 << 16, 1, 1 << 24]), 0)
         widths, which = np.unique(width, return_inverse=True)
         near_of = np.maximum(1, _NEAR[:, 0] + _NEAR[:, 1] * widths[:, None])
+        if main and bool(plain.all()):
+            image, symbols, size, value = self._run(own, codes, code_begin, count, room, slack, which, near_of)
+            kind = np.where(symbols < 256, 0, np.where(symbols < 280, 2, 1)).astype(np.uint8)
+            value = np.where(kind == 0, constant[image] | symbols << 8, np.where(kind == 1, symbols - 280, value))
+            return _expanded(kind, value, size, count, cache_bits), begin
+        symbols, size = np.zeros(int((count + slack).sum()), np.int16), np.zeros(int((count + slack).sum()), np.int16)
         lane = np.flatnonzero(count > 0)
         code, at, done, most, place = code_begin[lane] << 8, self.at[own[lane]], np.zeros(len(lane), np.int64), count[lane], room[lane]
         steps, copies, colours = 0, [], []
@@ -333,8 +375,68 @@ class Images:
         start = np.cumsum(size) - size
         return _expanded(kind, value, size, count, cache_bits), begin
 
-    def decoded(self, width: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The images from their transforms on: pixels (n, 4) one image after another, and where each begins."""
+    def _run(self, own: np.ndarray, codes: Codes, code_begin: np.ndarray, count: np.ndarray, room: np.ndarray, slack: int, which: np.ndarray, near_of: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The symbols of images of which only green differs: up to three that are no references are read in one
+        look-up. Gives for each symbol its image, the symbol, its pixels, and the distance of a reference."""
+        table = codes.several(code_begin)
+        stored = np.zeros(int((count + slack).sum()), np.int64)
+        lane = np.flatnonzero(count > 0)
+        base, at, left, place, total = lane << _SEVERAL, self.at[own[lane]], count[lane].copy(), room[lane].copy(), count[lane]
+        steps, copies = 0, []
+        while len(lane):
+            window = self.window(at)
+            entry = table.take(base + (window & ((1 << _SEVERAL) - 1)))
+            n = entry & 3
+            fast = (n > 0) & (n <= left)
+            entry *= fast
+            bits, n = (entry >> 2) & 15, entry & 3
+            slow = np.flatnonzero(~fast & (left > 0))
+            if len(slow):
+                c = code_begin[lane[slow]] << 8
+                symbol, used = codes.look(c, window[slow])
+                symbol, used = symbol.astype(np.int64), used.astype(np.int64)
+                entry[slow] = 1 | symbol << 6
+                bits[slow], n[slow] = used, 1
+                some = np.flatnonzero((symbol >= 256) & (symbol < 280))
+                if len(some):
+                    far = slow[some]
+                    w = window[far] >> used[some]
+                    run, extra = _number(symbol[some] - 256, w)
+                    w = w >> extra
+                    s, used_2 = codes.look(c[some] + 1024, w)
+                    d, more = _number(s.astype(np.int64), w >> used_2)
+                    d = np.where(d > 120, d - 120, near_of[which[lane[far]], np.minimum(d, 120) - 1])
+                    if (d > total[far] - left[far]).any() or (run > left[far]).any():
+                        raise Damaged("a back-reference leaves the image")
+                    n[far] = run
+                    bits[far] += extra + used_2 + more
+                    copies.append((place[far] + steps, run, d))
+            stored[place + steps] = entry
+            at += bits
+            left -= n
+            steps += 1
+            if steps % slack == 0:
+                live = left > 0
+                if not live.all():
+                    self.at[own[lane]] = at
+                    lane, base, at, left, place, total = (x[live] for x in (lane, base, at, left, place, total))
+        self.check()
+        found = np.flatnonzero(stored)
+        entry = stored[found]
+        n = entry & 3
+        image = np.repeat(np.arange(len(own)), count + slack)[found]
+        first = np.cumsum(n) - n
+        which_one = np.arange(int(n.sum())) - np.repeat(first, n)
+        symbols = (np.repeat(entry, n) >> (6 + 12 * which_one)) & 4095
+        size, value = np.ones(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
+        if copies:
+            spot, run, d = (np.concatenate([c[k] for c in copies]) for k in range(3))
+            spot = first[np.searchsorted(found, spot)]
+            size[spot], value[spot] = run, d
+        return np.repeat(image, n), symbols, size, value
+
+    def decoded(self, width: np.ndarray, height: np.ndarray) -> list[np.ndarray]:
+        """The images from their transforms on: the pixels of each, alpha, red, green and blue in one number."""
         undo: list[tuple] = []
         seen, coded = np.zeros((self.n, 4), bool), width.copy()
         todo = np.arange(self.n)
@@ -360,26 +462,38 @@ class Images:
         flat, begin = self.pixels(np.arange(self.n), coded, height, True)
         parts = [flat[b : b + n] for b, n in zip(begin.tolist(), (coded * height).tolist(), strict=True)]
         for kind, own, bits, across, image, edge, wide in reversed(undo):
-            now = np.concatenate([parts[i] for i in own.tolist()])
-            count = np.array([len(parts[i]) for i in own.tolist()])
-            pixels = _channels(now)
-            if kind == SUBTRACT_GREEN:
-                pixels[:, 0] += pixels[:, 1]
-                pixels[:, 2] += pixels[:, 1]
-            elif kind == PALETTE:
-                pixels, count = _unpalette(pixels[:, 1], count, bits, across, _channels(image), edge, wide, height[own])
-            else:
-                x, y, base = _places(count, wide)
-                block = np.repeat(edge, count) + (y >> np.repeat(bits, count)) * np.repeat(across, count) + (x >> np.repeat(bits, count))
-                if kind == PREDICTOR:
-                    mode = ((image >> np.uint32(8)) & np.uint32(15)).astype(np.int64)[block]
-                    pixels = _unpredict(pixels, _modes(mode, x, y), x, y, np.repeat(wide, count))
+            for own, bits, across, edge, wide in [(own, bits, across, edge, wide)] if kind != PALETTE else _apart(bits > 0, own, bits, across, edge, wide):
+                now = np.concatenate([parts[i] for i in own.tolist()])
+                count = np.array([len(parts[i]) for i in own.tolist()])
+                if kind == PALETTE:
+                    now, count = _unpalette(now.view(np.uint8)[1::4], count, bits, across, *_tables(image, edge, across), wide, height[own])
                 else:
-                    pixels = _cross(pixels, _channels(image)[block], 1)
-            now = _numbers(pixels)
-            for i, part in zip(own.tolist(), np.split(now, np.cumsum(count)[:-1]), strict=True):
-                parts[i] = part
-        return _channels(np.concatenate(parts)), np.cumsum([0] + [len(p) for p in parts])[:-1]
+                    pixels = _channels(now)
+                    if kind == SUBTRACT_GREEN:
+                        pixels[:, 0] += pixels[:, 1]
+                        pixels[:, 2] += pixels[:, 1]
+                    else:
+                        x, y, base = _places(count, wide)
+                        block = np.repeat(edge, count) + (y >> np.repeat(bits, count)) * np.repeat(across, count) + (x >> np.repeat(bits, count))
+                        if kind == PREDICTOR:
+                            mode = ((image >> np.uint32(8)) & np.uint32(15)).astype(np.int64)[block]
+                            pixels = _unpredict(pixels, _modes(mode, x, y), x, y, np.repeat(wide, count))
+                        else:
+                            pixels = _cross(pixels, _channels(image)[block], 1)
+                    now = _numbers(pixels)
+                for i, part in zip(own.tolist(), np.split(now, np.cumsum(count)[:-1]), strict=True):
+                    parts[i] = part
+        return parts
+
+
+def _apart(which: np.ndarray, *arrays: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """The arrays' rows where ``which`` is false, and those where it is true."""
+    return [tuple(a[some] for a in arrays) for some in (~which, which) if some.any()]
+
+
+def _tables(image: np.ndarray, edge: np.ndarray, colours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The colour differences of some images' tables, and where each table begins."""
+    return _channels(image[_ragged(edge, colours)]), np.cumsum(colours) - colours
 
 
 def _followed(pointer: np.ndarray) -> np.ndarray:
@@ -515,18 +629,20 @@ def _cross(pixels: np.ndarray, own: np.ndarray, sign: int) -> np.ndarray:
 
 
 def _unpalette(packed: np.ndarray, count: np.ndarray, bits: np.ndarray, colours: np.ndarray, steps: np.ndarray, edge: np.ndarray, wide: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pixels from packed indexes; ``steps`` has the differences of each table's colours."""
+    """Pixels, a number each, from packed indexes; ``steps`` has the differences of each table's colours."""
     total = np.cumsum(steps.astype(np.int64), 0)
-    table = (total - np.repeat(total[edge] - steps[edge], colours, 0)).astype(np.uint8)
-    table = np.concatenate([table, np.zeros((1, 4), np.uint8)])
+    table = np.append(_numbers((total - np.repeat(total[edge] - steps[edge], colours, 0)).astype(np.uint8)), np.uint32(0))
     n = wide * height
-    x, y, _ = _places(n, wide)
-    bits, coded = np.repeat(bits, n), np.repeat(_blocks(wide, bits), n)
-    base = np.repeat(np.cumsum(count) - count, n)
-    index = packed[base + y * coded + (x >> bits)].astype(np.int64)
-    each = 8 >> bits
-    index = (index >> (each * (x & ((1 << bits) - 1)))) & ((1 << each) - 1)
-    return table[np.where(index < np.repeat(colours, n), np.repeat(edge, n) + index, len(table) - 1)], n
+    index = packed
+    if bits.any():
+        x, y, _ = _places(n, wide)
+        each_bits, coded = np.repeat(bits, n), np.repeat(_blocks(wide, bits), n)
+        base = np.repeat(np.cumsum(count) - count, n)
+        index = packed[base + y * coded + (x >> each_bits)].astype(np.int64)
+        each = 8 >> each_bits
+        index = (index >> (each * (x & ((1 << each_bits) - 1)))) & ((1 << each) - 1)
+    first, most = np.repeat(edge.astype(np.int32), n), np.repeat(colours.astype(np.int32), n)
+    return table[np.where(index < most, first + index, len(table) - 1)], n
 
 
 def _blocks(n, size_bits):
@@ -553,10 +669,8 @@ def files(data: bytes) -> list[bytes]:
     return out
 
 
-def decode(chunks: list[bytes]) -> list[np.ndarray]:
-    """The pixels (height, width, 4) of VP8L chunks, which are read side by side."""
-    if not chunks:
-        return []
+def _decoded(chunks: list[bytes]) -> tuple[list[np.ndarray], list[int], list[int]]:
+    """The pixels of VP8L chunks as numbers, and widths and heights; they are read side by side."""
     images = Images(chunks)
     every = np.arange(images.n)
     if (images.read(every, 8) != 0x2F).any():
@@ -566,8 +680,12 @@ def decode(chunks: list[bytes]) -> list[np.ndarray]:
     if images.read(every, 3).any():
         raise Damaged("an unknown version")
     images.check()
-    pixels, begin = images.decoded(width, height)
-    return [pixels[b : b + w * h].reshape(h, w, 4) for b, w, h in zip(begin.tolist(), width.tolist(), height.tolist(), strict=True)]
+    return images.decoded(width, height), width.tolist(), height.tolist()
+
+
+def decode(chunks: list[bytes]) -> list[np.ndarray]:
+    """The pixels (height, width, 4) of VP8L chunks."""
+    return [_channels(p).reshape(h, w, 4) for p, w, h in zip(*_decoded(chunks), strict=True)] if chunks else []
 
 
 def images(data: bytes):
@@ -576,33 +694,35 @@ def images(data: bytes):
 
 
 class Bitstreams:
-    """Bits for many images: what is put for all of them at a time is sorted by image at the end."""
+    """Bits for many images: each time something is put for some of them, in their order."""
 
     def __init__(self, n: int):
         self.n = n
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def put(self, own: np.ndarray, value, n) -> None:
-        """n bits of value, lowest first, for each image of ``own``; an image may come more than once."""
-        value, n = (np.broadcast_to(np.asarray(x, t), own.shape) for x, t in ((value, np.uint64), (n, np.uint8)))
-        self.parts.append((own.astype(np.int32), value, n))
+        """n bits of value, lowest first, for each image of ``own``, which ascends; an image may come more than once."""
+        value, n = (np.broadcast_to(np.asarray(x, t), own.shape) for x, t in ((value, np.uint64), (n, np.int64)))
+        self.parts.append((own, value, n))
 
     def chunks(self) -> list[bytes]:
-        own, value, n = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
-        order = np.argsort(own.astype(np.uint16) if self.n < 1 << 16 else own, kind="stable")
-        own, value, n = own[order], value[order], n[order].astype(np.int64)
-        total = np.bincount(own, n, self.n).astype(np.int64)
+        ends = [np.concatenate([[0], np.cumsum(n)]) for _, _, n in self.parts]
+        edges = [np.searchsorted(own, np.arange(self.n + 1)) for own, _, _ in self.parts]
+        sizes = [end[edge[1:]] - end[edge[:-1]] for end, edge in zip(ends, edges, strict=True)]
+        total = sum(sizes)
         words = (total + 63) >> 6
         begin = np.cumsum(words) - words
-        place = np.cumsum(n) - n
-        first = np.cumsum(total) - total
-        place = place - first[own] + begin[own] * 64
         out = np.zeros(int(words.sum()) + 1, np.uint64)
-        low = (place & 63).astype(np.uint64)
-        for word, part in ((place >> 6, value << low), ((place >> 6) + 1, (value >> np.uint64(1)) >> (np.uint64(63) - low))):
-            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-            if len(edge):
-                out[word[edge]] |= np.bitwise_or.reduceat(part, edge)
+        at = begin * 64
+        for (own, value, _), end, edge, size in zip(self.parts, ends, edges, sizes, strict=True):
+            place = end[:-1] + np.repeat(at - end[edge[:-1]], np.diff(edge))
+            at = at + size
+            low = (place & 63).view(np.uint64)
+            word = place >> 6
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            if len(first):
+                out[word[first]] |= np.bitwise_or.reduceat(value << low, first)
+                out[word[first] + 1] |= np.bitwise_or.reduceat((value >> np.uint64(1)) >> (np.uint64(63) - low), first)
         raw = out.astype("<u8").tobytes()
         return [raw[b * 8 : b * 8 + ((t + 7) >> 3)] for b, t in zip(begin.tolist(), total.tolist(), strict=True)]
 
@@ -737,6 +857,44 @@ def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(small, value - 1, 2 * top + ((v >> extra) & 1)), np.where(small, 0, v & ((1 << extra) - 1)), np.where(small, 0, extra)
 
 
+def _references(green: np.ndarray, image: np.ndarray, base: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, length and distance of back-references of eight pixels or more, which do not overlap. They begin
+    after a space or at every eighth pixel, and look back at the last such place with the same eight pixels."""
+    n = len(green)
+    stop = base + count
+    gram = np.ndarray((n,), "<u8", np.append(green, np.zeros(8, np.uint8)), strides=(1,))  # the eight pixels from each place on
+    begins = np.zeros(n, bool)
+    begins[1:] = green[:-1] <= 32
+    begins[::8] = True
+    spot = np.flatnonzero(begins)
+    spot = spot[spot + 8 <= stop[image[spot]]]
+    own, key = image[spot].astype(np.uint64), gram[spot]
+    old = _earlier(((key * np.uint64(0x9E3779B97F4A7C15) + own * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.int64))
+    good = np.flatnonzero((old >= 0) & (key == key[old]) & (own == own[old]))
+    spot, old = spot[good], spot[old[good]]
+    left = stop[image[spot]] - spot
+    length = np.full(len(spot), 8)
+    todo = np.flatnonzero(length < left)
+    while len(todo):
+        at = length[todo]
+        differ = gram[np.minimum(spot[todo] + at, n - 1)] ^ gram[np.minimum(old[todo] + at, n - 1)]
+        low = differ & (~differ + np.uint64(1))
+        same = np.where(differ == 0, 8, (np.frexp(low.astype(np.float64))[1] - 1) >> 3)
+        length[todo] = np.minimum(at + same, left[todo])
+        todo = todo[(same == 8) & (length[todo] < left[todo])]
+    # Greedy: of each image the first reference, then the first one after its end, and so on.
+    taken = np.zeros(len(spot), bool)
+    edge = np.searchsorted(spot, stop)
+    now = np.searchsorted(spot, base)
+    live = now < edge
+    now, edge = now[live], edge[live]
+    while len(now):
+        taken[now] = True
+        now = np.searchsorted(spot, spot[now] + length[now])
+        now, edge = now[now < edge], edge[now < edge]
+    return spot[taken], length[taken], (spot - old)[taken]
+
+
 def _put_images(out: Bitstreams, own: np.ndarray, numbers: np.ndarray, count: np.ndarray, width: np.ndarray, *, cache_bits: int = 0, main: bool = False) -> None:
     """Write entropy-coded images, whose pixels (one number each) stand one image after another."""
     out.put(own, 1 | (cache_bits << 1) if cache_bits else 0, 5 if cache_bits else 1)
@@ -745,32 +903,15 @@ def _put_images(out: Bitstreams, own: np.ndarray, numbers: np.ndarray, count: np
     n = len(numbers)
     image = np.repeat(np.arange(len(own), dtype=np.int32), count)
     base = np.cumsum(count) - count
-    place = np.arange(n, dtype=np.int32)
-    length = np.ones(n, np.int32)
-    if main:
-        # Runs of places whose next three pixels stood at the same distance before are one back-reference.
-        left = np.repeat((base + count).astype(np.int32), count) - place
-        green = (numbers.view(np.uint8)[1::4]).astype(np.int64)  # of a grey or indexed image it tells the pixel
-        key = (image.astype(np.int64) << 24) | (green << 16)
-        key[:-1] |= green[1:] << 8
-        key[:-2] |= green[2:]
-        old = _earlier(key)
-        distance = np.where((old >= 0) & (left >= 3) & (left[old] >= 3), place - old, 0)
-        breaks = np.flatnonzero(np.concatenate([[True], distance[1:] != distance[:-1]]))
-        end = np.repeat(np.append(breaks[1:], n).astype(np.int32), np.diff(np.append(breaks, n)))
-        length = np.where(distance > 0, np.minimum(np.minimum(end - place + 2, left), 4096), 1)
-    # Greedy parsing, in all images at once.
-    starts = np.zeros(n, bool)
-    at = base[count > 0]
-    stop = (base + count)[count > 0]
-    while len(at):
-        starts[at] = True
-        at = at + length[at]
-        at, stop = at[at < stop], stop[at < stop]
-    at = np.flatnonzero(starts)
-    copied = length[at] > 1
+    spot, length, apart = _references(numbers.view(np.uint8)[1::4], image, base, count) if main else (np.zeros(0, np.int64),) * 3
+    inside = np.zeros(n + 1, np.int8)
+    inside[spot + 1] += 1
+    inside[spot + length] -= 1
+    at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) == 0)
+    far = np.searchsorted(at, spot)
+    copied = np.zeros(len(at), bool)
+    copied[far] = True
     hit = np.zeros(len(at), bool)
-    slot = place
     if cache_bits:
         slot = ((numbers * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int32)
         before = _earlier((image << cache_bits) | slot)[at]
@@ -781,10 +922,8 @@ def _put_images(out: Bitstreams, own: np.ndarray, numbers: np.ndarray, count: np
     green = ((pixel >> np.uint32(8)) & np.uint32(255)).astype(np.int64)
     if cache_bits:
         green = np.where(hit, 280 + slot[at], green)
-    far = np.flatnonzero(copied)
-    long_symbol, long_extra, long_bits = _prefixes(length[at[far]])
+    long_symbol, long_extra, long_bits = _prefixes(length)
     green[far] = 256 + long_symbol
-    apart = distance[at[far]] if main else np.zeros(0, np.int32)
     code = (apart + 120).astype(np.int64)
     wide = width[im[far]]
     for w in sorted(set(wide.tolist())):
@@ -801,11 +940,15 @@ def _put_images(out: Bitstreams, own: np.ndarray, numbers: np.ndarray, count: np
     flat += np.bincount(im * 5 * size + green, minlength=counts.size)
     flat += np.bincount((im[far] * 5 + 4) * size + far_symbol, minlength=counts.size)
     some = np.flatnonzero(plain)
-    others = [(k, ((pixel[some] >> np.uint32(shift)) & np.uint32(255)).astype(np.int64)) for k, shift in ((1, 16), (2, 0), (3, 24))]
+    rest = numbers & np.uint32(0xFFFF00FF)
+    if n and rest.min() == rest.max():  # only green differs
+        rest = int(rest[0])
+        for k, shift in ((1, 16), (2, 0), (3, 24)):
+            counts[k::5, (rest >> shift) & 255] = 1
+    others = [(k, ((pixel[some] >> np.uint32(shift)) & np.uint32(255)).astype(np.int64)) for k, shift in ((1, 16), (2, 0), (3, 24))] if not isinstance(rest, int) else []
     for k, symbol in others:
         flat += np.bincount((im[some] * 5 + k) * size + symbol, minlength=counts.size)
-    # Up to eight bits a code, which one look-up finds, where there are few enough symbols.
-    lengths = code_lengths(counts, 8 if (counts > 0).sum(1).max() <= 200 else 15)
+    lengths = code_lengths(counts)
     bits = _put_codes(out, np.repeat(own, 5), lengths)
     words = _code_words(lengths)
     words[bits.max(1) == 0] = 0
@@ -835,7 +978,7 @@ FEW = 40
 #: Columns, and rows at most, of a stored image; a byte is a grey pixel.
 WIDE, HIGH = 64, 32
 #: Pixels of the images that are coded side by side, and bytes of text that a worker holds.
-PIXELS, TOGETHER = 1 << 20, 2 << 20
+PIXELS, TOGETHER = 1 << 21, 2 << 20
 
 
 def _entropy(block: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -865,24 +1008,28 @@ def encode_images(grey: np.ndarray, height: np.ndarray) -> list[bytes]:
     colours = seen.sum(1)
     small = colours <= FEW
 
-    own = np.flatnonzero(small)
-    if len(own):
+    for bundled in (False, True):
+        own = np.flatnonzero(small & ((colours <= 16) == bundled))
+        if not len(own):
+            continue
         out.put(own, 1 | PALETTE << 1 | (colours[own] - 1) << 3, 11)
         of, value = np.nonzero(seen[own])
         first = np.concatenate([[True], of[1:] != of[:-1]])
         step = value - np.where(first, 0, np.concatenate([[0], value[:-1]]))
         _put_images(out, own, (step * 0x10101 | np.where(first, 0xFF000000, 0)).astype(np.uint32), colours[own], colours[own])
-        bits = _per_byte(colours[own])
-        wide = _blocks(WIDE, bits)
-        coded = wide * height[own]
-        at = small[image]
-        place = (np.cumsum(seen[own], 1) - 1)[np.repeat(np.arange(len(own)), count[own]), grey[at]]
-        x, y, _ = _places(count[own], np.full(len(own), WIDE))
-        b = np.repeat(bits, count[own])
-        to = np.repeat(np.cumsum(coded) - coded, count[own]) + y * np.repeat(wide, count[own]) + (x >> b)
-        packed = np.bincount(to, place << ((8 >> b) * (x & ((1 << b) - 1))), int(coded.sum())).astype(np.uint32)
+        at = _ragged(np.cumsum(count)[own] - count[own], count[own])
+        row = np.repeat(np.arange(len(own), dtype=np.int32) << 8, count[own])
+        packed = (np.cumsum(seen[own], 1, dtype=np.uint8) - np.uint8(1)).ravel()[row + grey[at]]
+        bits, wide, coded = _per_byte(colours[own]), np.full(len(own), WIDE), count[own]
+        if bundled:
+            wide = _blocks(WIDE, bits)
+            coded = wide * height[own]
+            x, y, _ = _places(count[own], np.full(len(own), WIDE))
+            b = np.repeat(bits, count[own])
+            to = np.repeat(np.cumsum(coded) - coded, count[own]) + y * np.repeat(wide, count[own]) + (x >> b)
+            packed = np.bincount(to, packed.astype(np.int64) << ((8 >> b) * (x & ((1 << b) - 1))), int(coded.sum()))
         out.put(own, 0, 1)
-        _put_images(out, own, np.uint32(0xFF000000) | packed << np.uint32(8), coded, wide, main=True)
+        _put_images(out, own, np.uint32(0xFF000000) | packed.astype(np.uint32) << np.uint32(8), coded, wide, main=True)
 
     own = np.flatnonzero(~small)
     if len(own):
@@ -950,9 +1097,9 @@ def decode_payloads(media: list[bytes]) -> list[np.ndarray]:
     chunks = [files(m) for m in media]
     every = [c for own in chunks for c in own]
     size = np.array([((v & 0x3FFF) + 1) * ((v >> 14 & 0x3FFF) + 1) for v in (int.from_bytes(c[1:5], "little") for c in every)], np.int64)
-    pixels = [x for i, j in _groups(size) for x in decode(every[i:j])]
+    grey = [x.view(np.uint8)[1::4] for i, j in _groups(size) for x in _decoded(every[i:j])[0]]
     at = np.cumsum([len(c) for c in chunks]).tolist()
-    return [np.concatenate([x[..., 1].ravel() for x in pixels[i:j]]) for i, j in zip([0, *at[:-1]], at, strict=True)]
+    return [np.concatenate(grey[i:j]) for i, j in zip([0, *at[:-1]], at, strict=True)]
 
 
 #: Texts are filled up with zero bytes to a positive multiple of this.

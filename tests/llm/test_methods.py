@@ -206,7 +206,7 @@ def test_images_of_another_encoder():
     at = logo.index(b"ALPH")
     own = logo[at + 8 : at + 8 + int.from_bytes(logo[at + 4 : at + 8], "little")]
     assert own[0] == 1  # lossless, without a filter
-    alpha = webp.Images([own[1:]]).decoded(np.array([16]), np.array([16]))[0][:, 1].reshape(16, 16)
+    alpha = webp.Images([own[1:]]).decoded(np.array([16]), np.array([16]))[0].view(np.uint8)[1::4].reshape(16, 16)
     assert alpha[0].tolist() == [0, 0, 0, 0, 175, 237, 255, 255, 255, 247, 146, 11, 3, 0, 0, 0]
     assert np.array_equal(alpha[:, 0] > 100, [False] * 4 + [True] * 7 + [False] * 5) and (alpha[4:12, 4] >= 78).all()
 
