@@ -19,7 +19,7 @@ SECTIONS = {
 REJECTED = ("rejected_option", "rejected", "却下", "superseded")
 
 
-def sections(t, queries: DataFrame, *, limit: int = 5, as_of_ms: int, rejected_words: tuple[str, ...] = REJECTED, profile: str = "default") -> DataFrame:
+def sections(t, queries: DataFrame, *, limit: int = 5, as_of_ms: int, rejected_words: tuple[str, ...] = REJECTED, profile: str = "default", semantic: bool = True) -> DataFrame:
     """(query_id, section, unit_id, score, rank, source_uri): a recall for each section with its lanes and kinds. For
     rejected options four times as many are recalled, and those that say so stay.
 
@@ -29,18 +29,27 @@ def sections(t, queries: DataFrame, *, limit: int = 5, as_of_ms: int, rejected_w
     wide = F.col("section") == "rejected_options"
     cap = F.when(wide, max(recall.CANDIDATES, 40 * limit)).otherwise(max(recall.CANDIDATES, 10 * limit))
     units = t.units
-    index = search.indexed(units)
+    index = t.index
     fits = [F.when(F.col("memory_space").isin(*spaces) & (F.col("unit_kind").isin(*kinds) if kinds else F.lit(True)), F.lit(name)) for name, (spaces, kinds) in SECTIONS.items()]
     placed = units.select("unit_id", F.explode(F.array_compact(F.array(*fits))).alias("section"))
     matched = search.bm25(index, queries).join(placed, "unit_id")
     lexical = search.ranked(matched, [F.col("bm25"), F.col("unit_id")], cap, "lexical_rank", keys)
     pairs = queries.select("query_id", "query", F.explode(F.array(*[F.lit(n) for n in SECTIONS])).alias("section"))
     unmatched = pairs.join(matched.select(*keys).distinct(), list(keys), "left_anti")
-    other = search.containment_scores(index, unmatched.select("query_id", "query").distinct()).join(placed, "unit_id").join(unmatched.select(*keys), list(keys), "left_semi")
-    other = search.ranked(other, [F.col("matches").desc(), F.col("unit_id")], cap, "lexical_rank", keys)
     columns = [*keys, "unit_id", "lexical_rank"]
-    found = lexical.select(*columns).unionByName(other.select(*columns)).withColumn("semantic_rank", F.lit(0).cast("long"))
-    rows = recall.with_features(recall.enriched(found, units, t.nodes, t.verification, t.peers), t.edges, t.spans)
+    found = lexical.select(*columns)
+    if unmatched.head(1):
+        other = search.containment_scores(index.texts, unmatched.select("query_id", "query").distinct()).join(placed, "unit_id").join(unmatched.select(*keys), list(keys), "left_semi")
+        found = found.unionByName(search.ranked(other, [F.col("matches").desc(), F.col("unit_id")], cap, "lexical_rank", keys).select(*columns))
+    if semantic:
+        # The nearest vectors are taken before a section's lanes and kinds filter them, as many as its cap says.
+        near = search.nearest(index.vectors, search.query_vectors(queries), max(recall.CANDIDATES, 40 * limit)).join(placed, "unit_id").filter(F.col("semantic_rank") <= cap)
+        near = search.ranked(near.drop("semantic_rank"), [F.col("distance"), F.col("unit_id")], cap, "semantic_rank", keys)
+        found = found.join(near.select(*keys, "unit_id", "semantic_rank"), [*keys, "unit_id"], "full")
+        found = found.select(*keys, "unit_id", F.coalesce("lexical_rank", F.lit(0)).cast("long").alias("lexical_rank"), F.coalesce("semantic_rank", F.lit(0)).cast("long").alias("semantic_rank"))
+    else:
+        found = found.withColumn("semantic_rank", F.lit(0).cast("long"))
+    rows = recall.with_features(recall.enriched(found, units, t.nodes, t.verification, t.peers, t.chunk_versions), t.edges, t.spans)
     rows = recall.best(recall.scored(rows, queries, profile=profile, as_of_ms=as_of_ms), F.when(wide, 4 * limit).otherwise(limit), keys)
     said = text.any_of(F.lower(F.concat_ws("\n", "unit_kind", "subject", "body", "state")), rejected_words)
     rows = rows.filter(~wide | said).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")).cast("long")).filter(F.col("rank") <= limit)

@@ -28,9 +28,7 @@ def filter_units(units: DataFrame, *, spaces=(), namespaces=(), source_types=(),
 
 def latest_chunks(units: DataFrame, versions: DataFrame) -> DataFrame:
     """``units`` without those of chunks that a newer version of their session replaces."""
-    newest = F.max("chunk_strategy_version").over(Window.partitionBy("session_id"))
-    old = versions.withColumn("newest", newest).filter("chunk_strategy_version < newest").select(F.col("chunk_id").alias("unit_id"))
-    return units.join(old, "unit_id", "left_anti")
+    return units.join(replaced_chunks(versions), "unit_id", "left_anti")
 
 
 def merged(semantic: DataFrame, lexical: DataFrame) -> DataFrame:
@@ -39,9 +37,17 @@ def merged(semantic: DataFrame, lexical: DataFrame) -> DataFrame:
     return both.select("query_id", "unit_id", F.coalesce("semantic_rank", F.lit(0)).cast("long").alias("semantic_rank"), F.coalesce("lexical_rank", F.lit(0)).cast("long").alias("lexical_rank"))
 
 
-def enriched(candidates: DataFrame, units: DataFrame, nodes: DataFrame, verification: DataFrame, peers: DataFrame) -> DataFrame:
+def replaced_chunks(versions: DataFrame) -> DataFrame:
+    """(unit_id) of the chunks that a newer version of their session replaces."""
+    newest = versions.groupBy("session_id").agg(F.max("chunk_strategy_version").alias("newest"))
+    return versions.join(newest, "session_id").filter("chunk_strategy_version < newest").select(F.col("chunk_id").alias("unit_id"))
+
+
+def enriched(candidates: DataFrame, units: DataFrame, nodes: DataFrame, verification: DataFrame, peers: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """Candidates with what their units, nodes, signatures and peers say. Trust counts for shared
-    memory only; invalid signatures and inactive units go."""
+    memory only; invalid signatures, inactive units and replaced chunks go."""
+    if versions is not None:
+        candidates = candidates.join(replaced_chunks(versions), "unit_id", "left_anti")
     n = nodes.select(F.col("memory_id").alias("unit_id"), "origin_peer_id", F.col("has_signature").alias("signed"))
     v = verification.select(F.col("memory_id").alias("unit_id"), F.col("signature_status").alias("found_status"))
     p = peers.select(F.col("peer_id").alias("origin_peer_id"), F.col("trust_weight").alias("peer_weight"))
@@ -74,29 +80,39 @@ def best(rows: DataFrame, k, keys: tuple[str, ...] = ("query_id",)) -> DataFrame
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def recall(t, queries: DataFrame, *, limit: int = 10, profile: str = "default", as_of_ms: int, spaces=(), namespaces=(), kinds=(), semantic: bool = False, project: str = "", branch: str = "", prefilter: bool = False) -> DataFrame:
-    """The best units for each row of ``queries`` (query_id, query); ``t`` has the model's tables.
+def semantic_candidates(index, queries: DataFrame, allowed: DataFrame | None, cap: int, *, prefilter: bool) -> DataFrame:
+    """(query_id, unit_id, semantic_rank) of the nearest vectors. ``allowed`` filters what was found, or with
+    ``prefilter`` what is looked at."""
+    found, asked = index.vectors, search.query_vectors(queries)
+    if allowed is not None and prefilter:
+        found = found.join(allowed.select("unit_id"), "unit_id", "left_semi")
+    near = search.nearest(found, asked, cap)
+    if allowed is None or prefilter:
+        return near
+    near = near.join(allowed.select("unit_id"), "unit_id", "left_semi").drop("semantic_rank")
+    return search.ranked(near, [F.col("distance"), F.col("unit_id")], cap, "semantic_rank")
+
+
+def recall(t, queries: DataFrame, *, limit: int = 10, profile: str = "default", as_of_ms: int, spaces=(), namespaces=(), kinds=(), semantic: bool = True, project: str = "", branch: str = "", prefilter: bool = False) -> DataFrame:
+    """The best units for each row of ``queries`` (query_id, query); ``t`` has the model's tables and its index.
 
+    Candidates come from the text index and from the nearest vectors; with ``semantic`` unset from the text index only.
     Project and branch bind the vector side only. Vector candidates are taken first and filtered after,
     unless ``prefilter`` is set.
     """
     units = t.units
+    listed = spaces or namespaces or kinds
     allowed = filter_units(units, spaces=spaces, namespaces=namespaces, kinds=kinds)
     cap = max(CANDIDATES, 10 * limit)
-    index = search.indexed(units)
-    lexical = search.lexical_with_fallback(index, queries, cap, allowed if (spaces or namespaces or kinds) else None)
+    found = search.lexical_with_fallback(t.index, queries, cap, allowed if listed else None)
     if semantic:
-        vectors_df = search.unit_vectors(units)
         may = allowed
         if project:
             may = may.filter(F.col("project_key") == project)
         if branch:
             may = may.filter(F.col("branch_name") == branch)
-        if prefilter:
-            vectors_df = vectors_df.join(may.select("unit_id"), "unit_id", "left_semi")
-        near = search.nearest(vectors_df, search.query_vectors(queries), cap).join(may.select("unit_id"), "unit_id", "left_semi")
-        found = merged(search.ranked(near.drop("semantic_rank"), [F.col("distance"), F.col("unit_id")], cap, "semantic_rank"), lexical)
+        found = merged(semantic_candidates(t.index, queries, may if listed or project or branch else None, cap, prefilter=prefilter), found)
     else:
-        found = lexical.withColumn("semantic_rank", F.lit(0).cast("long")).select("query_id", "unit_id", "semantic_rank", "lexical_rank")
-    rows = with_features(enriched(found, units, t.nodes, t.verification, t.peers), t.edges, t.spans)
+        found = found.withColumn("semantic_rank", F.lit(0).cast("long")).select("query_id", "unit_id", "semantic_rank", "lexical_rank")
+    rows = with_features(enriched(found, units, t.nodes, t.verification, t.peers, t.chunk_versions), t.edges, t.spans)
     return best(scored(rows, queries, profile=profile, as_of_ms=as_of_ms), limit)

@@ -377,7 +377,7 @@ def canonical_claim(t):
 
 def _matched_terms(t):
     q = search.query_terms(t.queries)
-    hits = search.term_postings(search.documents(search.indexed(t.units)), q).select("unit_id", "term").distinct()
+    hits = search.term_postings(t.index, q).select("unit_id", "term")
     return hits.join(q, "term").groupBy("query_id", "unit_id").agg(F.count(F.lit(1)).alias("terms"))
 
 
@@ -388,17 +388,17 @@ def fts_match(t):
 
 @query(sql("SELECT query_id, unit_id, bm25, lexical_rank FROM s_lex WHERE lexical_rank <= 50"))
 def bm25_topk(t):
-    return search.lexical(search.indexed(t.units), t.queries, 50)
+    return search.lexical(t.index, t.queries, 50)
 
 
 @query(sql("SELECT query_id, unit_id, lexical_rank FROM s_lex WHERE lexical_rank <= 10"))
 def lexical_rank(t):
-    return search.lexical(search.indexed(t.units), t.queries, 10).select("query_id", "unit_id", "lexical_rank")
+    return search.lexical(t.index, t.queries, 10).select("query_id", "unit_id", "lexical_rank")
 
 
 @query(sql("SELECT query_id, unit_id, matches, lexical_rank FROM s_like WHERE lexical_rank <= 10"))
 def like_topk(t):
-    return search.containment(search.indexed(t.units), t.queries, 10)
+    return search.containment(t.index.texts, t.queries, 10)
 
 
 @query(sql("SELECT unit_id, (contains(x, 'worthless')::INT + contains(x, 'über')::INT)::BIGINT AS matches FROM (SELECT unit_id, lower(title || chr(10) || body) AS x FROM b_index) WHERE contains(x, 'worthless') OR contains(x, 'über')"))
@@ -406,54 +406,33 @@ def trigram_match(t):
     return search.trigram_matches(search.indexed(t.units), "Worthless an ÜBER")
 
 
-@query(sql("SELECT query_id, unit_id, bm25 FROM s_bm25 JOIN b_nodes ON memory_id = unit_id WHERE query_id % 10 = 0 AND unit_id IN ('m0', 'm1', 'm2', 'm3', 'm4', 'm5', 'm6', 'm7')"))
-def explain_bm25(t):
-    units = recall.filter_units(t.units, spaces=["private", "shared"]).filter(F.col("unit_id").isin(*[f"m{i}" for i in range(8)]))
-    return search.bm25(search.indexed(t.units), t.queries, units).filter("query_id % 10 = 0")
-
-
 @query(sql("SELECT query_id, unit_id, bm25 FROM s_bm25 JOIN b_nodes ON memory_id = unit_id"))
-def explain_bm25_all(t):
-    return search.bm25(search.indexed(t.units), t.queries, recall.filter_units(t.units, spaces=["private", "shared"]))
-
-
-@query(sql("""SELECT query_id, vec_id, distance, semantic_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS semantic_rank FROM (
- SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)))), 6) AS distance
- FROM embeddings q, embeddings v WHERE q.vec_id < 10)) WHERE semantic_rank <= 10"""))
-def vector_topk(t):
-    v = t.vectors
-    return search.nearest(v, v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), 10, key="vec_id")
+def explain_bm25(t):
+    return search.bm25(t.index, t.queries, recall.filter_units(t.units, spaces=["private", "shared"]))
 
 
 @query(sql("""SELECT query_id, vec_id, distance, semantic_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS semantic_rank FROM (
  SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)))), 6) AS distance
  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE semantic_rank <= 10"""))
-def vector_topk_all(t):
+def vector_topk(t):
     v = t.vectors
-    return search.nearest_in_blocks(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), 10, key="vec_id")
+    return search.nearest(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), 10, key="vec_id")
 
 
-@query(sql("SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.unit_id, b.unit_id) AS unit_id, coalesce(a.lexical_rank, 0) AS semantic_rank, coalesce(b.lexical_rank, 0) AS lexical_rank FROM (SELECT query_id, unit_id, lexical_rank FROM s_like WHERE lexical_rank <= 50) a FULL JOIN (SELECT query_id, unit_id, lexical_rank FROM s_lex WHERE lexical_rank <= 50) b ON a.query_id = b.query_id AND a.unit_id = b.unit_id"))
+@query(sql("SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.unit_id, b.unit_id) AS unit_id, coalesce(a.semantic_rank, 0) AS semantic_rank, coalesce(b.lexical_rank, 0) AS lexical_rank FROM (SELECT * FROM n_near WHERE semantic_rank <= 50) a FULL JOIN (SELECT query_id, unit_id, lexical_rank FROM s_lex WHERE lexical_rank <= 50) b ON a.query_id = b.query_id AND a.unit_id = b.unit_id"))
 def merge_candidates(t):
-    index = search.indexed(t.units)
-    one = search.containment(index, t.queries, 50).select("query_id", "unit_id", F.col("lexical_rank").alias("semantic_rank"))
-    return recall.merged(one, search.lexical(index, t.queries, 50))
+    near = search.nearest(t.index.vectors, search.query_vectors(t.queries), 50)
+    return recall.merged(near, search.lexical(t.index, t.queries, 50))
 
 
-@query()
-def merge_semantic(t):
-    near = search.nearest(search.unit_vectors(t.units), search.query_vectors(t.queries), 50)
-    return recall.merged(near, search.lexical(search.indexed(t.units), t.queries, 50))
-
-
-@query()
-def recall_semantic(t):
-    return recall.recall(t, t.queries, limit=10, as_of_ms=AS_OF_MS, semantic=True).select("query_id", "unit_id", "score", "memory_space", "rank")
+@query(sql("SELECT query_id, unit_id, distance, semantic_rank FROM n_near WHERE semantic_rank <= 50"))
+def semantic_rank(t):
+    return search.nearest(t.index.vectors, search.query_vectors(t.queries), 50)
 
 
 @query(sql("SELECT query_id, unit_id, memory_space, namespace, unit_kind, subject, signature_status, has_signature, trust_weight, origin_peer_id FROM r_rows WHERE lexical_rank <= 50"))
 def recall_enrich(t):
-    found = search.lexical_with_fallback(search.indexed(t.units), t.queries, 50)
+    found = search.lexical_with_fallback(t.index, t.queries, 50)
     rows = recall.enriched(found, t.units, t.nodes, t.verification, t.peers)
     return rows.select("query_id", "unit_id", "memory_space", "namespace", "unit_kind", "subject", "signature_status", "has_signature", "trust_weight", "origin_peer_id")
 
@@ -464,21 +443,124 @@ _BEST = "SELECT query_id, unit_id, score, memory_space, rank FROM (SELECT *, row
 
 @query(sql("SELECT query_id, unit_id, score FROM r_scored", r_scored=_SCORED))
 def recall_score(t):
-    found = search.lexical_with_fallback(search.indexed(t.units), t.queries, 100).withColumn("semantic_rank", F.lit(0))
+    found = search.lexical_with_fallback(t.index, t.queries, 100).withColumn("semantic_rank", F.lit(0))
     rows = recall.with_features(recall.enriched(found, t.units, t.nodes, t.verification, t.peers), t.edges, t.spans)
     return recall.scored(rows, t.queries, profile="default", as_of_ms=AS_OF_MS).select("query_id", "unit_id", "score")
 
 
-@query(sql(_BEST, r_scored=_SCORED))
+_HYBRID = {"s_found": "SELECT * FROM n_found"}
+
+
+@query(sql(_BEST, r_scored=_SCORED, **_HYBRID))
 def recall_topk(t):
+    """Candidates of the text index and of the vectors."""
     return recall.recall(t, t.queries, limit=10, as_of_ms=AS_OF_MS).select("query_id", "unit_id", "score", "memory_space", "rank")
 
 
-@query(sql(_BEST, r_scored=f"SELECT *, {oracle.score(ranking.JA, AS_OF_MS)} AS score FROM r_features"))
+@query(sql(_BEST, r_scored=f"SELECT *, {oracle.score(ranking.JA, AS_OF_MS)} AS score FROM r_features", **_HYBRID))
 def recall_ja(t):
     return recall.recall(t, t.queries, limit=10, profile="ja", as_of_ms=AS_OF_MS).select("query_id", "unit_id", "score", "memory_space", "rank")
 
 
+@query(sql(_BEST, r_scored=_SCORED))
+def recall_lexical(t):
+    """Candidates of the text index only, as where there are no vectors."""
+    return recall.recall(t, t.queries, limit=10, as_of_ms=AS_OF_MS, semantic=False).select("query_id", "unit_id", "score", "memory_space", "rank")
+
+
+#: Units of one project and branch, in the transcript lane.
+_BOUND = "memory_space IN ('transcript') AND project_key = 'proj-1' AND branch_name = 'main'"
+
+
+def _bound_sql(near: str) -> dict[str, str]:
+    """Project and branch bind the vector side, the lane both."""
+    lane = "(SELECT unit_id FROM b_units WHERE memory_space = 'transcript')"
+    return {
+        "s_text": f"""SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25, unit_id) AS lexical_rank FROM s_bm25 WHERE unit_id IN {lane}
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25, unit_id) <= 100
+          UNION ALL SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, unit_id) FROM s_like WHERE unit_id IN {lane} AND query_id NOT IN (SELECT query_id FROM s_bm25 WHERE unit_id IN {lane})
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, unit_id) <= 100""",
+        "s_found": f"""SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.unit_id, b.unit_id) AS unit_id, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(a.own, 0) AS semantic_rank
+          FROM ({near}) a FULL JOIN s_text b ON a.query_id = b.query_id AND a.unit_id = b.unit_id""",
+    }
+
+
+_AFTER = f"SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY semantic_rank) AS own FROM n_near WHERE semantic_rank <= 100 AND unit_id IN (SELECT unit_id FROM b_units WHERE {_BOUND})"
+_BEFORE = f"SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY semantic_rank) AS own FROM n_near WHERE unit_id IN (SELECT unit_id FROM b_units WHERE {_BOUND}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic_rank) <= 100"
+
+
+def _bound(t, prefilter: bool):
+    return recall.recall(t, t.queries, limit=10, as_of_ms=AS_OF_MS, spaces=["transcript"], project="proj-1", branch="main", prefilter=prefilter).select("query_id", "unit_id", "score", "memory_space", "rank")
+
+
+@query(sql(_BEST, r_scored=_SCORED, **_bound_sql(_AFTER)))
+def recall_postfilter(t):
+    return _bound(t, False)
+
+
+@query(sql(_BEST, r_scored=_SCORED, **_bound_sql(_BEFORE)))
+def recall_prefilter(t):
+    return _bound(t, True)
+
+
+class _Versioned:
+    """The bridge's tables with the units of all chunk versions, as an index holds them after a second ingest."""
+
+    def __init__(self, t):
+        self.t = t
+        self.units = t.units.filter("memory_space <> 'transcript'").unionByName(ingest.units(t.chunk_versions))
+        old = ingest.units(t.chunk_versions.filter("chunk_strategy_version = 1"))
+        self.index = search.update(t.index, old, self.units)
+
+    def __getattr__(self, name):
+        return getattr(self.t, name)
+
+
+_ALL_VERSIONS = {
+    "b_units": oracle.VIEWS["b_units"].replace("FROM b_chunks", "FROM b_chunk_versions"),
+    "r_rows": oracle.VIEWS["r_rows"] + " AND c.unit_id NOT IN (SELECT chunk_id FROM (SELECT chunk_id, chunk_strategy_version, max(chunk_strategy_version) OVER (PARTITION BY session_id) AS m FROM b_chunk_versions) WHERE chunk_strategy_version < m)",
+}
+
+
+@query(sql(_BEST, r_scored=_SCORED, **_HYBRID, **_ALL_VERSIONS))
+def recall_versioned(t):
+    """Chunks that a newer version of their session replaces are in the index, and are not recalled."""
+    return recall.recall(_Versioned(t), t.queries, limit=10, as_of_ms=AS_OF_MS).select("query_id", "unit_id", "score", "memory_space", "rank")
+
+
+# ---------------------------------------------------------------- the stored index
+
+
+_POSTINGS = f"SELECT unit_id, doc_len, term, count(*) AS tf FROM (SELECT unit_id, doc_len, unnest(tokens) AS term FROM s_len) GROUP BY ALL"
+
+
+@query(sql("SELECT unit_id, doc_len, term, tf FROM x_postings", x_postings=_POSTINGS))
+def index_rebuild(t):
+    """All postings of an index that is built anew."""
+    return search.rebuild(t.units).postings.drop("bucket")
+
+
+@query(sql("SELECT unit_id, doc_len FROM s_len"))
+def index_units(t):
+    return t.index.units
+
+
+@query(sql(f"SELECT substr(id, 2) AS unit_id, {_ROUNDED} AS embedding FROM v_embedded WHERE id[1] = 'u'"))
+def index_vectors(t):
+    return t.index.vectors.select("unit_id", rounded(F.col("embedding")).alias("embedding"))
+
+
+@query(sql("SELECT query_id, unit_id, bm25, lexical_rank FROM s_lex WHERE lexical_rank <= 50"))
+def index_update(t):
+    """The best of an index that began with other texts of some units, and with units that are gone by now, and was updated."""
+    changed = F.length("unit_id") % 3 == 0
+    began = t.units.withColumn("body", F.when(changed, F.concat("body", F.lit(" worthless the and"))).otherwise(F.col("body")))
+    began = began.unionByName(t.units.filter(F.length("unit_id") % 4 == 0).withColumn("unit_id", F.concat(F.lit("gone-"), "unit_id")))
+    index = search.rebuild(began)
+    gone = began.filter("unit_id like 'gone-%'").select("unit_id")
+    return search.lexical(search.update(index, t.units.filter(changed), t.units, gone=gone), t.queries, 50)
+
+
 _SECTIONS = {
     "active_private_decisions": (("private",), ("decision", "rationale", "design_rationale"), 5),
     "shared_constraints": (("shared",), ("decision", "rationale", "fact"), 5),
@@ -491,10 +573,13 @@ _SECTIONS = {
 def _section_sql(name: str, spaces: tuple, kinds: tuple, limit: int) -> str:
     where = f"memory_space IN ({', '.join(map(repr, spaces))})" + (f" AND unit_kind IN ({', '.join(map(repr, kinds))})" if kinds else "")
     cap = max(50, 10 * limit)
+    lexical = f"""SELECT * FROM (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25, unit_id) AS own_rank FROM s_bm25 JOIN b_units USING (unit_id) WHERE {where}
+      UNION ALL SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, unit_id) FROM s_like JOIN b_units USING (unit_id) WHERE {where} AND query_id NOT IN (SELECT query_id FROM s_bm25 JOIN b_units USING (unit_id) WHERE {where})) WHERE own_rank <= {cap}"""
+    near = f"SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY semantic_rank) AS own_near FROM n_near JOIN b_units USING (unit_id) WHERE semantic_rank <= {cap} AND {where}"
+    both = f"SELECT coalesce(l.query_id, m.query_id) AS query_id, coalesce(l.unit_id, m.unit_id) AS unit_id, coalesce(own_rank, 0) AS own_rank, coalesce(own_near, 0) AS own_near FROM ({lexical}) l FULL JOIN ({near}) m ON l.query_id = m.query_id AND l.unit_id = m.unit_id"
     inner = f"""SELECT query_id, unit_id, score, authored_at_ms, unit_kind, subject, body, source_uri, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, authored_at_ms DESC, unit_id) AS rank
-      FROM (SELECT query_id, unit_id, memory_space, authored_at_ms, unit_kind, subject, body, source_uri, {oracle.score(ranking.DEFAULT, AS_OF_MS).replace('lexical_rank', 'own_rank')} AS score
-      FROM r_features JOIN (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25, unit_id) AS own_rank FROM s_bm25 JOIN b_units USING (unit_id) WHERE {where}
-      UNION ALL SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, unit_id) FROM s_like JOIN b_units USING (unit_id) WHERE {where} AND query_id NOT IN (SELECT query_id FROM s_bm25 JOIN b_units USING (unit_id) WHERE {where})) USING (query_id, unit_id) WHERE own_rank <= {cap})"""
+      FROM (SELECT query_id, unit_id, memory_space, authored_at_ms, unit_kind, subject, body, source_uri, {oracle.score(ranking.DEFAULT, AS_OF_MS, "own_near").replace('lexical_rank', 'own_rank')} AS score
+      FROM r_features JOIN ({both}) USING (query_id, unit_id))"""
     chosen = f"SELECT * FROM ({inner}) WHERE rank <= {limit}"
     if name == "rejected_options":
         low = "lower(concat_ws(chr(10), unit_kind, subject, body, 'active'))"
@@ -505,7 +590,7 @@ def _section_sql(name: str, spaces: tuple, kinds: tuple, limit: int) -> str:
 
 _ALL_SECTIONS = " UNION ALL ".join(_section_sql(n, *x) for n, x in _SECTIONS.items())
 #: All matches are candidates here: each section has its own ranks.
-_WIDE = {"s_found": "SELECT query_id, unit_id, 1 AS lexical_rank FROM s_bm25 UNION SELECT query_id, unit_id, 1 FROM s_like"}
+_WIDE = {"s_found": "SELECT query_id, unit_id, 1 AS lexical_rank, 0 AS semantic_rank FROM s_bm25 UNION SELECT query_id, unit_id, 1, 0 FROM s_like UNION SELECT query_id, unit_id, 1, 0 FROM n_near WHERE semantic_rank <= 200"}
 
 
 def _sections(t, also: tuple[str, ...] = ("worthless",)):
@@ -577,14 +662,16 @@ def suspensions_merge(t):
     return graph.merge_suspensions(stored, now, 2000)
 
 
-_ROOTS = "SELECT memory_id AS root_id FROM b_nodes WHERE memory_type = 'decision' AND length(memory_id) <= 3"
 _HOPS = """SELECT r.root_id, e.from_memory_id, e.to_memory_id, e.edge_id, e.relation_type, e.weight, 1 AS hop FROM g_roots r JOIN b_edges e ON e.from_memory_id = r.root_id JOIN b_nodes n ON n.memory_id = e.to_memory_id
  UNION ALL SELECT f.root_id, e.from_memory_id, e.to_memory_id, e.edge_id, e.relation_type, e.weight, 2 FROM
  (SELECT DISTINCT r.root_id, e.to_memory_id AS at FROM g_roots r JOIN b_edges e ON e.from_memory_id = r.root_id JOIN b_nodes n ON n.memory_id = e.to_memory_id WHERE e.to_memory_id <> r.root_id) f JOIN b_edges e ON e.from_memory_id = f.at JOIN b_nodes n ON n.memory_id = e.to_memory_id"""
 
 
+_ROOTS = "SELECT memory_id AS root_id FROM b_nodes WHERE memory_type = 'decision'"
+
+
 def _roots(t):
-    return t.nodes.filter((F.col("memory_type") == "decision") & (F.length("memory_id") <= 3)).select(F.col("memory_id").alias("root_id"))
+    return t.nodes.filter("memory_type = 'decision'").select(F.col("memory_id").alias("root_id"))
 
 
 @query(sql("SELECT root_id, hop::BIGINT AS hop, edge_id, from_memory_id, to_memory_id, relation_type, round(weight, 6) AS weight, relation_type IN ('contradicts', 'contradiction', 'denies') AS contradiction FROM g_hops", g_roots=_ROOTS, g_hops=_HOPS))
@@ -600,26 +687,6 @@ def trace_artifacts(t):
     return graph.traced_artifacts(seen, t.spans, t.artifacts).drop("namespace")
 
 
-_ALL_ROOTS = "SELECT memory_id AS root_id FROM b_nodes WHERE memory_type = 'decision'"
-
-
-def _all_roots(t):
-    return t.nodes.filter("memory_type = 'decision'").select(F.col("memory_id").alias("root_id"))
-
-
-@query(sql("SELECT root_id, hop::BIGINT AS hop, edge_id, from_memory_id, to_memory_id, relation_type, round(weight, 6) AS weight, relation_type IN ('contradicts', 'contradiction', 'denies') AS contradiction FROM g_hops", g_roots=_ALL_ROOTS, g_hops=_HOPS))
-def trace_hops_all(t):
-    return graph.trace(t.edges, t.nodes, _all_roots(t), depth=2)
-
-
-@query(sql("""SELECT s.memory_id, span_id, s.artifact_id, a.uri, a.title, start_offset, end_offset, quote_hash FROM b_spans s JOIN (SELECT artifact_id, uri, title FROM b_artifacts GROUP BY ALL) a USING (artifact_id)
- WHERE s.memory_id IN (SELECT root_id FROM g_roots UNION SELECT to_memory_id FROM g_hops)""", g_roots=_ALL_ROOTS, g_hops=_HOPS))
-def trace_artifacts_all(t):
-    hops = graph.trace(t.edges, t.nodes, _all_roots(t), depth=2)
-    seen = _all_roots(t).toDF("memory_id").unionByName(hops.select(F.col("to_memory_id").alias("memory_id"))).distinct()
-    return graph.traced_artifacts(seen, t.spans, t.artifacts).drop("namespace")
-
-
 _PROMOTIONS = f"SELECT 'pm_' || chunk_id AS memory_id, chunk_id, CASE WHEN chunk_kind = 'decision' THEN 'decision' ELSE 'note' END AS memory_type FROM b_chunks WHERE chunk_kind IN {text.PROMOTABLE}"
 
 
@@ -710,7 +777,7 @@ EXPLAINED_QUERY = 0
  LEFT JOIN (SELECT memory_id, count(*) AS signals, sum(value) AS total_value FROM b_signals GROUP BY memory_id) s USING (memory_id) LEFT JOIN (SELECT unit_id AS memory_id, bm25 FROM s_bm25 WHERE query_id = 0) b USING (memory_id)""", x_explain=_EXPLAIN))
 def explain_memory(t):
     """The answer to one request, whose query is EXPLAINED_QUERY; every node is explained."""
-    lexical = search.bm25(search.indexed(t.units), t.queries).filter(F.col("query_id") == EXPLAINED_QUERY)
+    lexical = search.bm25(t.index, t.queries.filter(F.col("query_id") == EXPLAINED_QUERY))
     return context.explained_with_signals(t.nodes, t.verification, t.peers, t.signals, lexical)
 
 
@@ -812,9 +879,8 @@ def policy_sync(t):
 @query(sql("""SELECT round(avg(CASE WHEN best <= 5 THEN 1 ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN best <= 10 THEN 1.0::DOUBLE / best ELSE 0 END), 6) AS mrr_at_10, count(*) AS queries FROM (
  SELECT e.query_id, min(r.lexical_rank) AS best FROM (SELECT query_id, unit_id FROM (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, unit_id) AS n FROM s_post JOIN s_terms USING (term) GROUP BY query_id, unit_id) WHERE n <= 2) e LEFT JOIN (SELECT * FROM s_lex WHERE lexical_rank <= 10) r USING (query_id, unit_id) GROUP BY e.query_id)"""))
 def retrieval_metrics(t):
-    index = search.indexed(t.units)
     expected = search.ranked(_matched_terms(t), [F.col("terms").desc(), F.col("unit_id")], 2, "n").select("query_id", "unit_id")
-    return maintain.retrieval_metrics(search.lexical(index, t.queries, 10).withColumnRenamed("lexical_rank", "rank"), expected)
+    return maintain.retrieval_metrics(search.lexical(t.index, t.queries, 10).withColumnRenamed("lexical_rank", "rank"), expected)
 
 
 # ---------------------------------------------------------------- streams and signatures (no SQL form)

@@ -107,8 +107,17 @@ VIEWS = {
     "s_like": f"""SELECT query_id, unit_id, matches, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, unit_id) AS lexical_rank FROM (
       SELECT query_id, unit_id, len(list_filter(terms, lambda t: contains(low, t)))::BIGINT AS matches
       FROM (SELECT unit_id, lower(title || ' ' || body) AS low FROM b_index), (SELECT query_id, {search_terms('query')} AS terms FROM b_queries)) WHERE matches > 0""",
-    "s_found": """SELECT query_id, unit_id, lexical_rank FROM s_lex UNION ALL SELECT query_id, unit_id, lexical_rank FROM s_like
+    "s_text": """SELECT query_id, unit_id, lexical_rank FROM s_lex UNION ALL SELECT query_id, unit_id, lexical_rank FROM s_like
       WHERE lexical_rank <= 100 AND query_id NOT IN (SELECT query_id FROM s_lex)""",
+    "s_found": "SELECT query_id, unit_id, lexical_rank, 0 AS semantic_rank FROM s_text",
+    # Nearest units by local embeddings.
+    "v_tokens": f"""SELECT 'u' || unit_id AS id, {tokens("title || chr(10) || body")} AS toks FROM b_units WHERE state = 'active' AND sensitivity <> 'secret'
+      UNION ALL SELECT 'q' || query_id, {tokens("query")} FROM b_queries""",
+    "n_near": """SELECT query_id, unit_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, unit_id) AS semantic_rank FROM (
+      SELECT query_id, unit_id, round(sqrt(list_sum(list_transform(range(1, 9), lambda i: (u.embedding[i] - q.embedding[i]) * (u.embedding[i] - q.embedding[i])))), 6) AS distance
+      FROM (SELECT substr(id, 2)::BIGINT AS query_id, embedding FROM v_embedded WHERE id[1] = 'q') q, (SELECT substr(id, 2) AS unit_id, embedding FROM v_embedded WHERE id[1] = 'u') u)""",
+    "n_found": """SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.unit_id, b.unit_id) AS unit_id, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(semantic_rank, 0) AS semantic_rank
+      FROM (SELECT * FROM n_near WHERE semantic_rank <= 100) a FULL JOIN s_text b ON a.query_id = b.query_id AND a.unit_id = b.unit_id""",
     # Local embeddings of dimension 8.
     "v_sums": f"""SELECT id, list_transform(range(0, 8), lambda k: list_sum(list_transform(list_filter(parts, lambda p: p.b = k), lambda p: p.w))) AS sums FROM (
       SELECT id, list_concat(list_transform(toks, lambda t: {{'b': {bucket8('t')}, 'w': 1.0::DOUBLE + CASE WHEN strlen(t) >= 6 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(t, '\\p{{Nd}}') THEN 0.15::DOUBLE ELSE 0 END}}),
@@ -123,7 +132,7 @@ VIEWS = {
     "a_stats": "SELECT memory_id, count(*) AS span_count, count(*) FILTER (quote_hash <> '') AS quote_count FROM b_spans GROUP BY memory_id",
     "g_orphans": """SELECT edge_id, from_memory_id AS memory_id, trim(CASE WHEN s.memory_id IS NULL THEN 'missing_from ' ELSE '' END || CASE WHEN t.memory_id IS NULL THEN 'missing_to' ELSE '' END) AS detail
       FROM b_edges e LEFT JOIN b_nodes s ON s.memory_id = e.from_memory_id LEFT JOIN b_nodes t ON t.memory_id = e.to_memory_id WHERE s.memory_id IS NULL OR t.memory_id IS NULL""",
-    "r_rows": """SELECT c.query_id, c.unit_id, c.lexical_rank, u.memory_space, u.namespace, u.unit_kind, u.title AS subject, u.body, u.source_uri, u.authored_at_ms, coalesce(v.signature_status, '') AS signature_status,
+    "r_rows": """SELECT c.query_id, c.unit_id, c.lexical_rank, c.semantic_rank, u.memory_space, u.namespace, u.unit_kind, u.title AS subject, u.body, u.source_uri, u.authored_at_ms, coalesce(v.signature_status, '') AS signature_status,
       CASE WHEN u.memory_space = 'shared' THEN coalesce(n.has_signature, false) ELSE false END AS has_signature, CASE WHEN u.memory_space = 'shared' THEN coalesce(p.trust_weight, 1.0::DOUBLE) ELSE 1.0::DOUBLE END AS trust_weight,
       CASE WHEN u.memory_space = 'shared' THEN coalesce(n.origin_peer_id, '') ELSE '' END AS origin_peer_id
       FROM s_found c JOIN b_units u USING (unit_id) LEFT JOIN b_nodes n ON n.memory_id = c.unit_id LEFT JOIN b_verification v ON v.memory_id = c.unit_id LEFT JOIN b_peers p ON p.peer_id = n.origin_peer_id
@@ -141,7 +150,7 @@ def recency(column: str, as_of: int) -> str:
     return f"CASE WHEN {column} <= 0 THEN 0::DOUBLE WHEN {column} > {as_of} THEN 1::DOUBLE ELSE 1::DOUBLE / (1::DOUBLE + ({as_of}::DOUBLE - {column}) / 3600000::DOUBLE / 24::DOUBLE) END"
 
 
-def score(p, as_of: int, semantic: str = "0") -> str:
+def score(p, as_of: int, semantic: str = "semantic_rank") -> str:
     exact = "CASE WHEN trim(lower(query)) = '' THEN 0 WHEN contains(lower(subject), trim(lower(query))) THEN 1.0 WHEN contains(lower(body), trim(lower(query))) THEN 0.75 ELSE 0 END::DOUBLE"
     return (
         f"round((3 - {bucket()}) * 1000::DOUBLE + trust_weight * 100::DOUBLE"
@@ -166,5 +175,5 @@ def sql(body: str, **extra: str) -> str:
                     order.append(name)
 
     need(body)
-    head = ", ".join(f"{n} AS {'MATERIALIZED ' if n.startswith('s_') else ''}({views[n]})" for n in order)
+    head = ", ".join(f"{n} AS {'MATERIALIZED ' if n.startswith(('s_', 'n_', 'v_embedded')) else ''}({views[n]})" for n in order)
     return f"WITH {head} {body}" if order else body

@@ -8,17 +8,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemosea.operators import ingest
+from mnemosea.operators import ingest, search
+from mnemosea.operators.lifecycle import STORE_RELATIONS as RELATIONS
 
 #: The moment all recency is measured from, in epoch milliseconds.
 AS_OF_MS = 1_736_000_000_000
 EPOCH_MS = 1_704_067_200_000
-RELATIONS = ("supports", "contradicts", "derived_from", "about", "caused_by", "references")
 SIGNALS = {"click": "reinforce", "view": "bookmark", "purchase": "confirm", "signup": "pin", "error": "deny"}
 
 
+#: The stored indexes of this process's sessions, by application and folder: an index is built when first asked for.
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
 class Tables:
-    """Lazily built views over one folder of parquet tables."""
+    """Lazily built views over one folder of parquet tables, whose files don't change."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -26,6 +30,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @property
+    def index(self) -> search.Index:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _INDEXES:
+            _INDEXES[key] = search.rebuild(self.units)
+        return _INDEXES[key]
+
     @property
     def messages(self) -> DataFrame:
         conv, turn = F.col("conv_id"), F.col("turn")
