@@ -126,3 +126,10 @@ def relation_of_promotion(text: Column, has_reasoning: Column) -> Column:
     """The edge that promoted chunks suggest: contradicts, supports, or null."""
     low = F.lower(text)
     return F.when(any_of(low, ("contradict", "instead", "やめる", "却下")), "contradicts").when(has_reasoning, "supports")
+
+
+def first_non_empty(*values: Column) -> Column:
+    out = F.lit("")
+    for v in reversed(values):
+        out = F.when(F.trim(F.coalesce(v, F.lit(""))) != "", v).otherwise(out)
+    return out

@@ -2,14 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemosea.functions import text
+from mnemosea.functions.text import first_non_empty
 
 CHUNK_VERSION = 2
 
 
+#: A session's record: its fields, and its messages in a list.
+SESSION = "session_id string, namespace string, project_key string, branch_name string, sensitivity string, retention_class string, messages array<struct<seq: long, role: string, content: string, authored_at_ms: long>>"
+
+
+def write_sessions(messages: DataFrame, path: str) -> None:
+    """Sessions as JSON lines, a record each."""
+    fields = [f.split(" ")[0] for f in SESSION.split(", messages")[0].split(", ")]
+    own = [F.max(c).alias(c) if c in messages.columns else F.lit(None).cast("string").alias(c) for c in fields if c != "session_id"]
+    said = F.array_sort(F.collect_list(F.struct("seq", "role", "content", "authored_at_ms"))).alias("messages")
+    messages.groupBy("session_id").agg(*own, said).write.json(path)
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """The messages of the session records in a folder of JSON files, with defaults for what is empty."""
+    rows = spark.read.schema(SESSION).json(path).withColumn("m", F.explode("messages")).drop("messages").select("*", "m.*").drop("m")
+    return rows.withColumns({c: first_non_empty(F.trim(c), F.lit(v)) for c, v in SESSION_DEFAULTS.items()})
+
+
+#: Fixed values.
+SESSION_DEFAULTS = {"sensitivity": "private", "retention_class": "default"}
+
+
+def validated(messages: DataFrame) -> DataFrame:
+    """Messages with their trimmed ids and the reason for which an ingest refuses them, or none."""
+    rows = messages.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("session_id", "role", "namespace")})
+    reason = F.when(F.col("session_id") == "", "session_id is required").when(F.col("namespace") == "", "namespace is required").when(F.col("role") == "", "role is required").when(F.col("seq").isNull(), "seq is required").otherwise("")
+    return rows.withColumn("reason", reason)
+
+
 def segments(messages: DataFrame) -> DataFrame:
     """``messages`` with chunk_seq: a user's message opens a chunk that takes in what follows; a
     message before the first user is a chunk of its own. One window over each session."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemosea.functions import text
+from mnemosea.functions.text import first_non_empty
 
 # Fixed values.
 STORE_RELATIONS = ("supports", "contradicts", "derived_from", "about", "caused_by", "references")
@@ -13,13 +14,6 @@ SIGNAL_TYPES = ("reinforce", "deprecate", "confirm", "deny", "pin", "bookmark")
 STORE_DEFAULTS = {"scope": "team", "memory_type": "fact", "author_agent_id": "agent/default", "origin_peer_id": "peer/local"}
 
 
-def first_non_empty(*values: Column) -> Column:
-    out = F.lit("")
-    for v in reversed(values):
-        out = F.when(F.trim(F.coalesce(v, F.lit(""))) != "", v).otherwise(out)
-    return out
-
-
 def normalise_store(requests: DataFrame) -> DataFrame:
     """Trimmed requests with defaults for what is empty."""
     return requests.withColumns({c: first_non_empty(F.trim(c), F.lit(v)) for c, v in STORE_DEFAULTS.items()})

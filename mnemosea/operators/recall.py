@@ -116,3 +116,13 @@ def recall(t, queries: DataFrame, *, limit: int = 10, profile: str = "default",
         found = found.withColumn("semantic_rank", F.lit(0).cast("long")).select("query_id", "unit_id", "semantic_rank", "lexical_rank")
     rows = with_features(enriched(found, units, t.nodes, t.verification, t.peers, t.chunk_versions), t.edges, t.spans)
     return best(scored(rows, queries, profile=profile, as_of_ms=as_of_ms), limit)
+
+
+def legacy(t, queries: DataFrame, *, limit: int = 10, as_of_ms: int) -> DataFrame:
+    """Recall of memories by text only, with the default weights; ties go by bucket, trust, age, lane and id."""
+    memories = filter_units(t.units, spaces=("private", "shared"))
+    found = search.lexical(t.index, queries, max(CANDIDATES, 10 * limit), memories).withColumn("semantic_rank", F.lit(0).cast("long")).select("query_id", "unit_id", "semantic_rank", "lexical_rank")
+    rows = scored(with_features(enriched(found, t.units, t.nodes, t.verification, t.peers), t.edges, t.spans), queries, profile="default", as_of_ms=as_of_ms)
+    bucket = ranking.bucket(F.col("memory_space"), F.col("signature_status"), F.col("has_signature"))
+    by = [F.col("score").desc(), bucket, F.col("trust_weight").desc(), F.col("authored_at_ms").desc(), F.col("memory_space"), F.col("unit_id")]
+    return search.ranked(rows, by, limit, "rank")

@@ -1,6 +1,6 @@
 """Replication: extract, convergent merge, cursors, handshakes, quarantine, status.
 
-The merge is one aggregate: last writer by (column version, value, site) for each cell and
+The merge is last writer by (column version, typed value, site) for each cell of the row's present life, and
 largest causal length for each row. It is commutative, associative and idempotent, so
 batches may arrive in any order and more than once. Sent and applied cursors are
 kept apart.
@@ -15,10 +15,30 @@ from pyspark.sql import functions as F
 EXTRACT_VERSIONS, ENQUEUED = 256, 32
 
 
+CELL_COLUMNS = ("tbl", "pk", "cid", "val", "kind", "col_version", "site_id", "cl")
+
+
+def value_order(val: Column, kind: Column) -> Column:
+    """Values as the replicated store orders them: null, numbers by size, text, blobs."""
+    number = kind.isin("integer", "real")
+    place = F.when(val.isNull() | (kind == "null"), 0).when(number, 1).when(kind == "blob", 3).otherwise(2)
+    return F.struct(place.alias("place"), F.when(number, F.try_to_number(val, F.lit("S999999999999999999D9999")).cast("double")).alias("number"), val.alias("text"))
+
+
+def merged_changes(changes: DataFrame) -> DataFrame:
+    """The winning change of each cell, with all columns of CELL_COLUMNS. Only changes of the row's present life count:
+    a row that was deleted and made again begins anew, and its causal length says how often."""
+    life = changes.groupBy("tbl", "pk").agg(F.max("cl").alias("life"))
+    # The last word on a row's life stays even if it has no cell of its own; cells of an earlier life go.
+    order = F.struct("col_version", value_order(F.col("val"), F.col("kind")).alias("o"), "site_id", "val", "kind", "cl")
+    own = changes.join(life, ["tbl", "pk"])
+    cells = own.groupBy("tbl", "pk", "cid").agg(F.max(F.when(F.floor((F.col("cl") + 1) / 2) == F.floor((F.col("life") + 1) / 2), order)).alias("w"), F.max("life").alias("cl"))
+    return cells.filter("w is not null").select("tbl", "pk", "cid", F.col("w.val").alias("val"), F.col("w.kind").alias("kind"), F.col("w.col_version").alias("col_version"), F.col("w.site_id").alias("site_id"), "cl")
+
+
 def merged_cells(changes: DataFrame) -> DataFrame:
     """The winning value of each cell."""
-    order = F.struct("col_version", "val", "site_id")
-    return changes.groupBy("tbl", "pk", "cid").agg(F.max(order).alias("w")).select("tbl", "pk", "cid", F.col("w.val").alias("val"), F.col("w.col_version").alias("col_version"), F.col("w.site_id").alias("site_id"))
+    return merged_changes(changes).select("tbl", "pk", "cid", "val", "col_version", "site_id")
 
 
 def live_rows(changes: DataFrame) -> DataFrame:
@@ -52,7 +72,7 @@ def allowed_peers(requests: DataFrame, peers: DataFrame) -> DataFrame:
 
 
 def handshakes(requests: DataFrame, peers: DataFrame, *, schema_hash: str, manifest_hash: str, protocol: str, oldest: str) -> DataFrame:
-    """The first reason to refuse each request, or none, and whether it fences the peer."""
+    """The first reason to refuse each request, or none, and whether it fences the peer. The reasons' wording."""
     rows = allowed_peers(requests, peers)
     reason = (
         F.when(~F.col("allowed"), "peer is not allowlisted")
@@ -67,8 +87,8 @@ def handshakes(requests: DataFrame, peers: DataFrame, *, schema_hash: str, manif
 
 
 def quarantined(batches: DataFrame) -> DataFrame:
-    """Refused batches (batch_id, peer_id, namespace, reason, ...): the payload as JSON, and whether the reason fences."""
-    return batches.select("batch_id", "peer_id", "namespace", "reason", F.contains("reason", F.lit("schema")).alias("schema_fenced"), "created_at_ms")
+    """Refused batches (batch_id, peer_id, namespace, reason, created_at_ms, payload): the payload as JSON, and whether the reason fences."""
+    return batches.select("batch_id", "peer_id", "namespace", "reason", F.to_json("payload").alias("payload_json"), F.contains("reason", F.lit("schema")).alias("schema_fenced"), "created_at_ms")
 
 
 def expired(quarantine: DataFrame, now_ms: int, ttl_ms: int = 7 * 24 * 3_600_000) -> DataFrame:
@@ -108,3 +128,58 @@ def synced_policies(stored: DataFrame, configured: DataFrame) -> DataFrame:
 def latest_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def primary_key_text(packed: Column) -> Column:
+    """The text in a packed primary key: from its first letter or digit on. A length byte that is a letter itself would spoil
+    the id, so changes carry their key as text; this reads keys of other stores."""
+    return F.regexp_extract(F.decode(packed, "ISO-8859-1"), "[0-9A-Za-z].*", 0)
+
+
+def latest_keys(claims: DataFrame, keys: DataFrame) -> DataFrame:
+    """Claims with the latest verification key (peer_id, key_id, updated_at_ms) of their origin, or an empty one."""
+    newest = latest_by(keys, ["peer_id"], [F.col("updated_at_ms").desc(), F.col("key_id").desc()])
+    rows = claims.join(newest.select(F.col("peer_id").alias("origin_peer_id"), "key_id"), "origin_peer_id", "left")
+    return rows.withColumn("key_id", F.coalesce("key_id", F.lit("")))
+
+
+def claims_over_stored(changes: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """For each changed memory the last value of each column in order of arrival, or else the stored one, or else an empty text."""
+    last = changes.groupBy("pk", "cid").agg(F.max_by("val", "db_version").alias("val"))
+    said = last.groupBy("pk").agg(*[F.max(F.when(F.col("cid") == c, F.col("val"))).alias(f"new_{c}") for c in columns])
+    rows = said.join(nodes.select(F.col("memory_id").alias("pk"), *columns), "pk", "left")
+    return rows.select("pk", *[F.coalesce(f"new_{c}", c, F.lit("")).alias(c) for c in columns])
+
+
+def cycle(held: DataFrame, links: DataFrame) -> DataFrame:
+    """The cells of each replica after one cycle. ``held`` has the changes by ``replica``; ``links`` (replica, peer, namespaces)
+    says who takes what from whom, after the handshakes. All replicas are served by one join and one merge."""
+    few = F.broadcast(links)  # a row for each pair of peers
+    taken = held.withColumnRenamed("replica", "peer").join(few, "peer").filter(F.array_contains("namespaces", F.col("namespace")))
+    every = held.unionByName(taken.select(*held.columns))
+    # The merge takes the replica as a part of the table's name.
+    named = every.withColumn("tbl", F.struct("replica", "tbl"))
+    return merged_changes(named).select("tbl.replica", "tbl.tbl", "pk", "cid", "val", "col_version", "site_id")
+
+
+def applied(stored: DataFrame, incoming: DataFrame, batches: DataFrame, claims: DataFrame, peers: DataFrame, verification: DataFrame, *, schema_hash: str, now_ms: int) -> dict[str, DataFrame]:
+    """The tables after batches of changes were received.
+
+    ``incoming`` are changes by batch_id, ``batches`` (batch_id, peer_id, schema_hash) what they say of themselves, ``claims``
+    (batch_id, memory_id, signature_status) the verdicts on their signatures. A batch of a peer that is not allowed, of another schema, or with
+    a wrong or unknown signature goes to the quarantine as a whole; missing signatures are accepted and noted. Of the others, changes are
+    merged (a replay changes nothing), verdicts upserted, cursors moved, and the memories that changed last enqueued.
+    """
+    bad = claims.filter(F.col("signature_status").isin("invalid_signature", "unknown_peer")).groupBy("batch_id").agg(F.min("signature_status").alias("bad"))
+    judged = allowed_peers(batches, peers).join(bad, "batch_id", "left")
+    reason = F.when(~F.col("allowed"), "peer is not allowlisted").when(F.col("schema_hash") != schema_hash, "schema hash mismatch").otherwise(F.coalesce("bad", F.lit("")))
+    judged = judged.select("batch_id", "peer_id", reason.alias("reason"))
+    good = incoming.join(judged.filter("reason = ''").drop("reason"), "batch_id")
+    changes = merged_changes(stored.select(*CELL_COLUMNS).unionByName(good.select(*CELL_COLUMNS)))
+    refused = judged.filter("reason <> ''").join(incoming.groupBy("batch_id").agg(F.min("namespace").alias("namespace"), F.count(F.lit(1)).alias("n")), "batch_id")
+    refused = refused.select("batch_id", "peer_id", "namespace", "reason", F.lit(now_ms).cast("long").alias("created_at_ms"), F.struct("batch_id", F.col("n").alias("changes")).alias("payload"))
+    moved = good.groupBy("peer_id", "namespace").agg(F.max("db_version").alias("applied_version"), F.max("changed_at_ms").alias("updated_at_ms"))
+    arrived = good.select("batch_id", F.col("pk").alias("memory_id"), "db_version").join(claims, ["batch_id", "memory_id"])
+    verdicts = arrived.groupBy("memory_id").agg(F.max_by("signature_status", F.struct("db_version", "signature_status")).alias("new_status"))
+    known = verification.join(verdicts, "memory_id", "full").select("memory_id", F.coalesce("new_status", "signature_status").alias("signature_status"))
+    return {"changes": changes, "quarantine": quarantined(refused), "cursors": moved, "verification": known, "queue": enqueued(good)}

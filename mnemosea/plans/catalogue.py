@@ -5,6 +5,7 @@ Each query applies one operator to the model's views over the driver's tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from mnemosea.operators import context, graph, ingest, lifecycle, maintain, reca
 from mnemosea.plans import oracle
 from mnemosea.plans.oracle import sql
 from mnemosea.sources.bridge import AS_OF_MS, Tables
+from mnemosea.sources.shared import shared_folder
 from mnemosea.streaming import workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,23 +204,22 @@ def message_conflicts(t):
     return ingest.message_conflicts(m, m.withColumn("content", F.when(F.col("seq") % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))))
 
 
-_BATCHES = """SELECT 'b' || pk AS batch_id, 'peer' || min(site_id) AS peer_id, min(namespace) AS namespace, CASE WHEN max(cl) = 2 THEN 'schema hash mismatch' ELSE 'incompatible batch metadata' END AS reason, max(changed_at_ms) AS created_at_ms FROM b_changes GROUP BY pk"""
+_BATCHES = """SELECT 'b' || pk AS batch_id, 'peer' || min(site_id) AS peer_id, min(namespace) AS namespace, CASE WHEN max(cl) = 2 THEN 'schema hash mismatch' ELSE 'incompatible batch metadata' END AS reason, max(changed_at_ms) AS created_at_ms, '{"pk":"' || pk || '","causal_length":' || max(cl) || '}' AS payload_json FROM b_changes GROUP BY pk"""
 
 
 def _batches(t):
     c = t.changes.groupBy("pk").agg(F.min("site_id").alias("site"), F.min("namespace").alias("namespace"), F.max("cl").alias("cl"), F.max("changed_at_ms").alias("created_at_ms"))
     reason = F.when(F.col("cl") == 2, "schema hash mismatch").otherwise("incompatible batch metadata")
-    return c.select(F.concat(F.lit("b"), "pk").alias("batch_id"), F.concat(F.lit("peer"), "site").alias("peer_id"), "namespace", reason.alias("reason"), "created_at_ms")
+    return c.select(F.concat(F.lit("b"), "pk").alias("batch_id"), F.concat(F.lit("peer"), "site").alias("peer_id"), "namespace", reason.alias("reason"), "created_at_ms", F.struct("pk", F.col("cl").alias("causal_length")).alias("payload"))
 
 
-@query(sql("SELECT * FROM b_batches WHERE created_at_ms >= (SELECT max(created_at_ms) FROM b_batches) - 604800000", b_batches=_BATCHES))
+@query(sql("SELECT batch_id, peer_id, namespace, reason, created_at_ms FROM b_batches WHERE created_at_ms >= (SELECT max(created_at_ms) FROM b_batches) - 604800000", b_batches=_BATCHES))
 def quarantine_ttl(t):
     batches = _batches(t)
-    latest = batches.agg(F.max("created_at_ms").alias("now"))
-    return batches.join(F.broadcast(latest)).filter(F.col("created_at_ms") >= F.col("now") - 604_800_000).drop("now")
+    return sync.expired(batches, batches.agg(F.max("created_at_ms")).first()[0] or 0).drop("payload")
 
 
-@query(sql("SELECT batch_id, peer_id, namespace, reason, contains(reason, 'schema') AS schema_fenced, created_at_ms FROM b_batches", b_batches=_BATCHES))
+@query(sql("SELECT batch_id, peer_id, namespace, reason, payload_json, contains(reason, 'schema') AS schema_fenced, created_at_ms FROM b_batches", b_batches=_BATCHES))
 def quarantine_batches(t):
     return sync.quarantined(_batches(t))
 
@@ -251,9 +252,13 @@ def content_hash(t):
     return t.raw("documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
-@query(sql(f"SELECT item_id, array_to_string({oracle.search_terms('text')}, ' ') AS terms FROM benchmark"))
+_SPLIT = r"list_filter(string_split_regex(lower(body), '[\t\n\x0B\f\r\x{85}\p{Z}\p{P}]+'), lambda t: strlen(t) >= 2)"
+
+
+@query(sql(f"""SELECT unit_id, coalesce(terms, '') AS terms FROM b_units LEFT JOIN (SELECT unit_id, string_agg(term, ' ' ORDER BY place) AS terms FROM (SELECT unit_id, term, min(place) AS place FROM
+ (SELECT unit_id, unnest({_SPLIT}) AS term, generate_subscripts({_SPLIT}, 1) AS place FROM b_units) GROUP BY unit_id, term) GROUP BY unit_id) USING (unit_id)"""))
 def search_terms(t):
-    return t.raw("benchmark").select("item_id", F.array_join(text.search_terms(F.col("text")), " ").alias("terms"))
+    return t.units.select("unit_id", F.array_join(text.search_terms(F.col("body")), " ").alias("terms"))
 
 
 @query(sql(f"SELECT doc_id, len(list_filter({oracle.search_terms(chr(39) + 'The idiot, of Éléments THE token' + chr(39))}, lambda x: contains(lower(text), x)))::INTEGER AS matches FROM documents"))
@@ -261,14 +266,14 @@ def term_match(t):
     return t.raw("documents").select("doc_id", text.term_match_score(text.search_terms(F.lit("The idiot, of Éléments THE token")), F.col("text")).alias("matches"))
 
 
-@query(sql(f"SELECT item_id, array_to_string({oracle.tokens('text')}, ' ') AS tokens FROM benchmark"))
+@query(sql(f"SELECT unit_id, array_to_string({oracle.tokens('body')}, ' ') AS tokens FROM b_units"))
 def tokenize(t):
-    return t.raw("benchmark").select("item_id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens"))
+    return t.units.select("unit_id", F.array_join(text.tokens(F.col("body")), " ").alias("tokens"))
 
 
-@query(sql(f"SELECT token, ({oracle.bucket8('token')})::INTEGER AS bucket FROM (SELECT DISTINCT unnest({oracle.tokens('text')}) AS token FROM benchmark)"))
+@query(sql(f"SELECT token, ({oracle.bucket8('token')})::INTEGER AS bucket FROM (SELECT DISTINCT unnest({oracle.tokens('body')}) AS token FROM b_units)"))
 def hash_bucket(t):
-    return t.raw("benchmark").select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct().select("token", vectors.hash_bucket(F.col("token")).cast("int").alias("bucket"))
+    return t.units.select(F.explode(text.tokens(F.col("body"))).alias("token")).distinct().select("token", vectors.hash_bucket(F.col("token")).cast("int").alias("bucket"))
 
 
 @query(sql(f"SELECT doc_id, round({oracle.newton('n')} / sqrt(n), 6) AS ratio FROM (SELECT doc_id, (n_chars::DOUBLE * n_chars) AS n FROM documents)"))
@@ -277,9 +282,9 @@ def embed_norm(t):
     return t.raw("documents").select("doc_id", F.round(vectors.newton_root(n) / F.sqrt(n), 6).alias("ratio"))
 
 
-@query(sql(f"SELECT id AS item_id, {_ROUNDED} AS embedding FROM v_embedded", v_tokens=f"SELECT item_id AS id, {oracle.tokens('text')} AS toks FROM benchmark"))
+@query(sql(f"SELECT id AS unit_id, {_ROUNDED} AS embedding FROM v_embedded", v_tokens=f"SELECT unit_id AS id, {oracle.tokens('body')} AS toks FROM b_units"))
 def local_embedding(t):
-    return t.raw("benchmark").select("item_id", rounded(vectors.local_embedding(text.tokens(F.col("text")))).alias("embedding"))
+    return t.units.select("unit_id", rounded(vectors.local_embedding(text.tokens(F.col("body")))).alias("embedding"))
 
 
 @query(sql(f"""SELECT vec_id, {_ROUNDED} AS embedding FROM (SELECT vec_id, list_transform(m, lambda x: x * (1.0::DOUBLE / {oracle.newton('total')})) AS embedding
@@ -701,12 +706,18 @@ def transcript_sources(t):
     return graph.transcript_sources(_promotions(t), t.chunks, ingest.artifact_spans(t.chunks))
 
 
-@query(sql("""SELECT p.memory_id AS from_memory_id, d.memory_id AS to_memory_id, CASE WHEN contains(lower(c.text), 'contradict') OR contains(lower(c.text), 'instead') OR contains(lower(c.text), 'やめる') OR contains(lower(c.text), '却下') THEN 'contradicts' ELSE 'supports' END AS relation_type, 1.0::DOUBLE AS weight
+_INFERRED = """SELECT p.memory_id AS from_memory_id, d.memory_id AS to_memory_id, CASE WHEN contains(lower(c.text), 'contradict') OR contains(lower(c.text), 'instead') OR contains(lower(c.text), 'やめる') OR contains(lower(c.text), '却下') THEN 'contradicts' ELSE 'supports' END AS relation_type, 1.0::DOUBLE AS weight
  FROM b_promotions p JOIN b_chunks c USING (chunk_id) JOIN b_chunks dc ON dc.session_id = c.session_id JOIN b_promotions d ON d.chunk_id = dc.chunk_id AND d.memory_type = 'decision' AND d.memory_id <> p.memory_id
- WHERE contains(lower(c.text), 'contradict') OR contains(lower(c.text), 'instead') OR contains(lower(c.text), 'やめる') OR contains(lower(c.text), '却下') OR c.chunk_kind IN ('rationale', 'debug_trace', 'task_candidate')""", b_promotions=_PROMOTIONS))
+ WHERE contains(lower(c.text), 'contradict') OR contains(lower(c.text), 'instead') OR contains(lower(c.text), 'やめる') OR contains(lower(c.text), '却下') OR c.chunk_kind IN ('rationale', 'debug_trace', 'task_candidate')"""
+
+
+@query(sql("SELECT * FROM x_inferred WHERE length(from_memory_id) % 2 = 0", x_inferred=_INFERRED, b_promotions=_PROMOTIONS))
 def promotion_edges(t):
-    none = t.edges.filter(F.lit(False))
-    return graph.promotion_edges(_promotions(t), t.chunks, none)
+    """Half of the edges are stored already, and are not inferred again."""
+    p = _promotions(t)
+    every = graph.promotion_edges(p, t.chunks, t.edges.filter(F.lit(False)))
+    stored = every.filter(F.length("from_memory_id") % 2 == 1)
+    return graph.promotion_edges(p, t.chunks, t.edges.unionByName(stored, allowMissingColumns=True))
 
 
 @query(sql("""SELECT 'node' AS row_kind, memory_id AS id, CASE WHEN doc_old THEN 'superseded' ELSE lifecycle_state END AS state FROM (SELECT *, memory_type = 'rationale' AS doc_old FROM b_nodes WHERE memory_space = 'shared')
@@ -804,11 +815,11 @@ def index_diagnostics(t):
     return maintain.index_diagnostics(t.queue, AS_OF_MS)
 
 
-_STATES = "SELECT peer_id, 'team/en' AS namespace, CASE WHEN trust_state = 'block' THEN 'refused' ELSE '' END AS last_error, false AS schema_fenced FROM b_peers"
+_STATES = "SELECT peer_id, 'team/en' AS namespace, CASE WHEN trust_state = 'block' THEN 'refused' ELSE '' END AS last_error, peer_id IN ('src3', 'src4') AS schema_fenced FROM b_peers"
 
 
 def _states(t):
-    return t.peers.select("peer_id", F.lit("team/en").alias("namespace"), F.when(F.col("trust_state") == "block", "refused").otherwise("").alias("last_error"), F.lit(False).alias("schema_fenced"))
+    return t.peers.select("peer_id", F.lit("team/en").alias("namespace"), F.when(F.col("trust_state") == "block", "refused").otherwise("").alias("last_error"), F.col("peer_id").isin("src3", "src4").alias("schema_fenced"))
 
 
 @query(sql("SELECT CASE WHEN bool_or(schema_fenced) THEN 'schema_fenced' WHEN bool_or(last_error <> '') THEN 'degraded' ELSE 'healthy' END AS state, count(*) AS peers FROM x_states", x_states=_STATES))
@@ -816,6 +827,11 @@ def sync_status(t):
     return sync.status(_states(t))
 
 
+@query(sql("SELECT CASE WHEN bool_or(last_error <> '') THEN 'degraded' ELSE 'healthy' END AS state, count(*) AS peers FROM x_states WHERE NOT schema_fenced", x_states=_STATES))
+def sync_status_unfenced(t):
+    return sync.status(_states(t).filter("not schema_fenced"))
+
+
 @query(sql("""SELECT 'site' || site_id AS peer_id, namespace, max(db_version) AS applied_version, coalesce(any_value(q.n), 0) AS quarantined FROM b_changes LEFT JOIN (SELECT replace(peer_id, 'peer', 'site') AS p, namespace, count(*) AS n FROM b_batches GROUP BY ALL) q ON q.p = 'site' || site_id AND q.namespace = b_changes.namespace GROUP BY site_id, b_changes.namespace""".replace("namespace, max", "b_changes.namespace, max"), b_batches=_BATCHES))
 def sync_diagnostics(t):
     refused = _batches(t).groupBy(F.replace("peer_id", F.lit("peer"), F.lit("site")).alias("peer_id"), "namespace").agg(F.count(F.lit(1)).alias("quarantined"))
@@ -833,7 +849,8 @@ def sync_extract(t):
     return sync.extract(t.changes, "team/1", 1000).select("db_version", "tbl", "pk", "cid", "val", "col_version", "site_id", "cl")
 
 
-_CELLS = "SELECT tbl, pk, cid, val, col_version, site_id FROM b_changes QUALIFY row_number() OVER (PARTITION BY tbl, pk, cid ORDER BY col_version DESC, val DESC, site_id DESC) = 1"
+_CELLS = """SELECT tbl, pk, cid, val, col_version, site_id FROM (SELECT *, max(cl) OVER (PARTITION BY tbl, pk) AS life FROM b_changes) WHERE (cl + 1) // 2 = (life + 1) // 2
+ QUALIFY row_number() OVER (PARTITION BY tbl, pk, cid ORDER BY col_version DESC, val::DOUBLE DESC, site_id DESC) = 1"""
 
 
 @query(sql(_CELLS))
@@ -876,27 +893,167 @@ def policy_sync(t):
     return sync.synced_policies(t.peers, configured)
 
 
+#: What a query should find: the texts that hold its words one after another.
+_EXPECTED = "SELECT query_id, unit_id FROM b_queries, b_units WHERE contains(replace(body, chr(10), ' '), query) AND query <> ''"
+
+
 @query(sql("""SELECT round(avg(CASE WHEN best <= 5 THEN 1 ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN best <= 10 THEN 1.0::DOUBLE / best ELSE 0 END), 6) AS mrr_at_10, count(*) AS queries FROM (
- SELECT e.query_id, min(r.lexical_rank) AS best FROM (SELECT query_id, unit_id FROM (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, unit_id) AS n FROM s_post JOIN s_terms USING (term) GROUP BY query_id, unit_id) WHERE n <= 2) e LEFT JOIN (SELECT * FROM s_lex WHERE lexical_rank <= 10) r USING (query_id, unit_id) GROUP BY e.query_id)"""))
+ SELECT e.query_id, min(r.lexical_rank) AS best FROM x_expected e LEFT JOIN (SELECT * FROM s_lex WHERE lexical_rank <= 10) r USING (query_id, unit_id) GROUP BY e.query_id)""", x_expected=_EXPECTED))
 def retrieval_metrics(t):
-    expected = search.ranked(_matched_terms(t), [F.col("terms").desc(), F.col("unit_id")], 2, "n").select("query_id", "unit_id")
+    """Of the queries that are passages of some text, how early the index finds one of those texts."""
+    said = t.units.select("unit_id", F.replace("body", F.lit("\n"), F.lit(" ")).alias("body"))
+    expected = search.in_blocks(t.queries.filter("query <> ''"), F.octet_length("query"), lambda q: search.quoting(said, q))
     return maintain.retrieval_metrics(search.lexical(t.index, t.queries, 10).withColumnRenamed("lexical_rank", "rank"), expected)
 
 
-# ---------------------------------------------------------------- streams and signatures (no SQL form)
+# ---------------------------------------------------------------- sources, look-ups and cycles
+
+
+@query(sql("SELECT session_id, seq, role, sha256(content) AS content_hash, authored_at_ms, namespace, project_key, branch_name, 'private' AS sensitivity, 'default' AS retention_class FROM b_messages"))
+def session_json(t):
+    """Sessions as JSON records with their messages inside, written and read."""
+    path = f"{shared_folder(t.spark)}/sessions-{uuid.uuid4().hex}"
+    ingest.write_sessions(t.messages.withColumn("sensitivity", F.lit(" ")), path)
+    rows = ingest.read_sessions(t.spark, path)
+    return rows.select("session_id", "seq", "role", F.sha2("content", 256).alias("content_hash"), "authored_at_ms", "namespace", "project_key", "branch_name", "sensitivity", "retention_class")
+
+
+@query(sql("""SELECT session_id, reason, count(*) AS messages FROM (SELECT CASE WHEN seq % 7 = 3 THEN '' ELSE session_id END AS session_id, CASE WHEN seq % 7 = 3 THEN 'session_id is required' WHEN seq % 7 = 4 THEN 'role is required' ELSE '' END AS reason FROM b_messages) GROUP BY ALL"""))
+def ingest_validation(t):
+    m = t.messages.withColumn("session_id", F.when(F.col("seq") % 7 == 3, "  ").otherwise(F.col("session_id"))).withColumn("role", F.when(F.col("seq") % 7 == 4, "").otherwise(F.col("role")))
+    return ingest.validated(m).groupBy("session_id", "reason").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query(sql("SELECT session_id, chunk_id, chunk_strategy_version, chunk_seq FROM b_chunk_versions QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY chunk_strategy_version DESC, chunk_seq DESC) = 1"))
+def latest_chunk(t):
+    return sync.latest_by(t.chunk_versions, ["session_id"], [F.col("chunk_strategy_version").desc(), F.col("chunk_seq").desc()]).select("session_id", "chunk_id", "chunk_strategy_version", "chunk_seq")
+
+
+@query(sql("SELECT unit_id, enqueued_at_ms FROM b_queue WHERE processed_at_ms = 0 ORDER BY enqueued_at_ms, unit_id LIMIT 128"))
+def queue_fifo(t):
+    return maintain.next_items(t.queue).select("unit_id", "enqueued_at_ms")
+
+
+_TAKEN = "SELECT unit_id FROM b_queue WHERE processed_at_ms = 0 ORDER BY enqueued_at_ms, unit_id LIMIT 128"
+_FAILED = "length(unit_id) % 8 = 0"
+
+
+@query(sql(f"SELECT unit_id, CASE WHEN unit_id IN (SELECT unit_id FROM x_taken) AND NOT ({_FAILED}) AND processed_at_ms = 0 THEN {AS_OF_MS} ELSE processed_at_ms END AS processed_at_ms FROM b_queue", x_taken=_TAKEN))
+def queue_tick(t):
+    """The queue after a tick that could not embed some of its units."""
+    none = t.spark.createDataFrame([], "unit_id string, embedding array<double>")
+    failing = t.units.filter(F.length("unit_id") % 8 == 0).select("unit_id")
+    return workers.index_tick(t.queue, none, t.units, now_ms=AS_OF_MS, failing=failing)[0].select("unit_id", "processed_at_ms")
+
+
+@query(sql(f"""SELECT count(*) FILTER (processed_at_ms = 0) AS pending, count(*) FILTER (processed_at_ms <> 0) AS processed, {AS_OF_MS} - min(enqueued_at_ms) FILTER (processed_at_ms = 0) AS oldest_age_ms,
+ (SELECT count(*) FROM b_units WHERE state = 'active' AND sensitivity <> 'secret') AS embeddings FROM b_queue"""))
+def index_status(t):
+    return maintain.index_diagnostics(t.queue, AS_OF_MS).join(t.index.vectors.agg(F.count(F.lit(1)).alias("embeddings")))
+
+
+_KEYS = "SELECT 'src' || (event_id % 20) AS peer_id, 'key-' || event_id AS key_id, epoch_us(ts) // 1000 AS updated_at_ms FROM events WHERE event_id % 20 <> 19"
+
+
+@query(sql("SELECT memory_id, coalesce(key_id, '') AS key_id FROM b_nodes LEFT JOIN (SELECT peer_id, key_id FROM x_keys QUALIFY row_number() OVER (PARTITION BY peer_id ORDER BY updated_at_ms DESC, key_id DESC) = 1) ON peer_id = origin_peer_id WHERE memory_space = 'shared'", x_keys=_KEYS))
+def verification_keys(t):
+    """The latest key of each claim's origin, none for one that has no key."""
+    e = t.raw("events").filter("event_id % 20 <> 19")
+    keys = e.select(F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("peer_id"), F.concat(F.lit("key-"), F.col("event_id").cast("string")).alias("key_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("updated_at_ms"))
+    return sync.latest_keys(t.nodes.filter("memory_space = 'shared'"), keys).select("memory_id", "key_id")
+
+
+@query(sql("""SELECT pk, coalesce(click, subject, '') AS subject, coalesce(view, namespace, '') AS namespace FROM (SELECT pk, arg_max(val, db_version) FILTER (cid = 'click') AS click, arg_max(val, db_version) FILTER (cid = 'view') AS view FROM b_changes GROUP BY pk)
+ LEFT JOIN b_nodes ON memory_id = pk"""))
+def stored_claims(t):
+    """Claims to be verified: what a batch changes, on top of the stored node."""
+    renamed = F.when(F.col("cid") == "click", "subject").when(F.col("cid") == "view", "namespace").otherwise(F.col("cid"))
+    return sync.claims_over_stored(t.changes.withColumn("cid", renamed), t.nodes, ["subject", "namespace"])
 
 
-@query()
+@query(sql("SELECT event_id, 'm' || user_id AS pk FROM events"))
+def pk_decode(t):
+    """The text of a packed primary key: a count, a type and length byte, and the text."""
+    pk = F.concat(F.lit("m"), F.col("user_id").cast("string"))
+    packed = F.concat(F.unhex(F.lit("010B")), F.unhex(F.lpad(F.hex(F.length(pk)), 2, "0")), F.encode(pk, "UTF-8"))
+    return t.raw("events").select("event_id", sync.primary_key_text(packed).alias("pk"))
+
+
+_LINKS = "(a.site_id::INT + b.site_id::INT = 1 OR (a.site_id::INT + b.site_id::INT = 3 AND namespace IN ('team/1', 'team/2')))"
+_HELD = f"SELECT site_id AS replica, * FROM b_changes UNION ALL SELECT a.site_id, b.* FROM (SELECT DISTINCT site_id FROM b_changes) a JOIN b_changes b ON a.site_id <> b.site_id AND {_LINKS}"
+
+
+@query(sql("""SELECT replica, tbl, pk, cid, val FROM (SELECT *, max(cl) OVER (PARTITION BY replica, tbl, pk) AS life FROM x_held) WHERE (cl + 1) // 2 = (life + 1) // 2
+ QUALIFY row_number() OVER (PARTITION BY replica, tbl, pk, cid ORDER BY col_version DESC, val::DOUBLE DESC, site_id DESC) = 1""", x_held=_HELD))
+def sync_cycle(t):
+    """Three replicas after a cycle: 0 and 1 exchange all namespaces, 1 and 2 two of them, 0 and 2 nothing."""
+    some, every = F.array(F.lit("team/1"), F.lit("team/2")), F.array(*[F.lit(f"team/{k}") for k in range(4)])
+    pairs = t.spark.createDataFrame([("0", "1", True), ("1", "0", True), ("1", "2", False), ("2", "1", False)], "replica string, peer string, open boolean")
+    links = pairs.select("replica", "peer", F.when(F.col("open"), every).otherwise(some).alias("namespaces"))
+    return sync.cycle(t.changes.withColumn("replica", F.col("site_id")), links).select("replica", "tbl", "pk", "cid", "val")
+
+
+_INCOMING = """SELECT 'b' || (db_version // 100) || '-' || site_id AS batch_id, 'src' || ((db_version // 100) % 20) AS peer_id, CASE WHEN (db_version // 100) % 9 = 4 THEN 's0' ELSE 's1' END AS schema_hash,
+ CASE WHEN (db_version // 100) % 11 = 5 THEN 'invalid_signature' WHEN (db_version // 100) % 3 = 0 THEN 'missing_signature' ELSE 'valid' END AS verdict, * FROM b_changes WHERE db_version % 100 >= 50"""
+_JUDGED = """SELECT i.*, CASE WHEN coalesce(trust_state, '') <> 'allow' THEN 'peer is not allowlisted' WHEN schema_hash <> 's1' THEN 'schema hash mismatch' WHEN verdict IN ('invalid_signature', 'unknown_peer') THEN verdict ELSE '' END AS reason FROM x_incoming i LEFT JOIN b_peers p USING (peer_id)"""
+
+
+def _applied(t):
+    c = t.changes
+    part = F.floor(F.col("db_version") / 100)
+    verdict = F.when(part % 11 == 5, "invalid_signature").when(part % 3 == 0, "missing_signature").otherwise("valid")
+    rows = c.filter("db_version % 100 >= 50").withColumns({
+        "batch_id": F.concat(F.lit("b"), part.cast("string"), F.lit("-"), F.col("site_id")), "peer_id": F.concat(F.lit("src"), (part % 20).cast("string")), "schema_hash": F.when(part % 9 == 4, "s0").otherwise("s1"), "verdict": verdict,
+    })
+    batches = rows.select("batch_id", "peer_id", "schema_hash").distinct()
+    claims = rows.select("batch_id", F.col("pk").alias("memory_id"), F.col("verdict").alias("signature_status")).distinct()
+    return sync.applied(c.filter("db_version % 100 < 50"), rows.select("batch_id", *c.columns), batches, claims, t.peers, t.verification, schema_hash="s1", now_ms=AS_OF_MS)
+
+
+@query(sql(f"""SELECT tbl, pk, cid, val FROM (SELECT *, max(cl) OVER (PARTITION BY tbl, pk) AS life FROM (SELECT tbl, pk, cid, val, col_version, site_id, cl FROM b_changes WHERE db_version % 100 < 50 UNION ALL SELECT tbl, pk, cid, val, col_version, site_id, cl FROM x_judged WHERE reason = ''))
+ WHERE (cl + 1) // 2 = (life + 1) // 2 QUALIFY row_number() OVER (PARTITION BY tbl, pk, cid ORDER BY col_version DESC, val::DOUBLE DESC, site_id DESC) = 1""", x_incoming=_INCOMING, x_judged=_JUDGED))
+def apply_batches(t):
+    return sync.merged_cells(_applied(t)["changes"]).select("tbl", "pk", "cid", "val")
+
+
+@query(sql("SELECT batch_id, peer_id, any_value(reason) AS reason, contains(any_value(reason), 'schema') AS schema_fenced FROM x_judged WHERE reason <> '' GROUP BY batch_id, peer_id", x_incoming=_INCOMING, x_judged=_JUDGED))
+def apply_quarantine(t):
+    return _applied(t)["quarantine"].select("batch_id", "peer_id", "reason", "schema_fenced")
+
+
+@query(sql("SELECT peer_id, namespace, max(db_version) AS applied_version FROM x_judged WHERE reason = '' GROUP BY ALL", x_incoming=_INCOMING, x_judged=_JUDGED))
+def apply_cursors(t):
+    return _applied(t)["cursors"].select("peer_id", "namespace", "applied_version")
+
+
+@query(sql("SELECT memory_id, CASE WHEN n.s IS NOT NULL THEN n.s ELSE v.signature_status END AS signature_status FROM b_verification v FULL JOIN (SELECT pk AS memory_id, arg_max(verdict, (db_version, verdict)) AS s FROM x_judged WHERE reason = '' GROUP BY pk) n USING (memory_id)", x_incoming=_INCOMING, x_judged=_JUDGED))
+def apply_verification(t):
+    return _applied(t)["verification"].select("memory_id", "signature_status")
+
+
+_LEGACY = f"""SELECT query_id, unit_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {oracle.bucket()}, trust_weight DESC, authored_at_ms DESC, memory_space, unit_id) AS rank FROM r_scored) WHERE rank <= 10"""
+
+
+@query(sql(_LEGACY, r_scored=_SCORED, s_found="SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25, unit_id) AS lexical_rank, 0 AS semantic_rank FROM s_bm25 WHERE unit_id IN (SELECT memory_id FROM b_nodes) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25, unit_id) <= 100"))
+def recall_legacy(t):
+    """Memories only, with the default weights and all of the older order's tie-breaks."""
+    return recall.legacy(t, t.queries, as_of_ms=AS_OF_MS).select("query_id", "unit_id", "score", "rank")
+
+
+# ---------------------------------------------------------------- streams and signatures
+
+
+@query(sql("SELECT unit_id, 8 AS dim FROM b_queue JOIN b_units USING (unit_id) WHERE processed_at_ms = 0 AND state = 'active' AND sensitivity <> 'secret'"))
 def stream_index(t):
     return workers.index_once(t.spark, t.queue, t.units)
 
 
-@query()
+@query(sql(_CELLS))
 def stream_crdt(t):
     return workers.merge_once(t.spark, t.changes)
 
 
-@query()
+@query(sql("SELECT chunk_id, chunk_kind, content_hash FROM b_chunks"))
 def stream_ingest(t):
     return workers.ingest_once(t.spark, t.messages)
 
@@ -910,11 +1067,16 @@ def _signed_claims(t):
     return rows.select("memory_id", "claim", F.coalesce(signature, F.lit(b"")).alias("signature"), F.coalesce(key, F.lit(b"")).alias("public_key"), F.col("namespace").alias("batch_id"))
 
 
-@query()
+#: Claims are signed by their origin; one whose verification failed was signed over another text, and src19 has no known key.
+_STATED = """SELECT memory_id, namespace, CASE WHEN NOT has_signature THEN 'missing_signature' WHEN origin_peer_id = 'src19' THEN 'unknown_peer' WHEN coalesce(signature_status, '') = 'invalid_signature' THEN 'invalid_signature' ELSE 'valid' END AS signature_status
+ FROM b_nodes LEFT JOIN b_verification USING (memory_id) WHERE memory_space = 'shared'"""
+
+
+@query(sql("SELECT memory_id, signature_status FROM x_stated", x_stated=_STATED))
 def verify_signatures(t):
     return signing.signature_state(_signed_claims(t))
 
 
-@query()
+@query(sql("SELECT namespace AS batch_id, bool_or(signature_status IN ('unknown_peer', 'invalid_signature')) AS quarantined, count(*) AS claims FROM x_stated GROUP BY namespace", x_stated=_STATED))
 def batch_verify(t):
     return signing.batch_verdicts(_signed_claims(t))

@@ -86,7 +86,7 @@ VIEWS = {
     "b_artifacts": """SELECT sha256(url) AS artifact_id, url AS uri, 'team/' || (page_id % 4) AS namespace, string_split(url, '/')[-1] AS title FROM pages""",
     "b_spans": """SELECT 'p' || page_id AS span_id, sha256(url) AS artifact_id, 'm' || ((page_id * 3) % d) AS memory_id, 0::BIGINT AS start_offset, length(url)::BIGINT AS end_offset,
       CASE WHEN page_id % 2 = 0 THEN '' ELSE sha256(url) END AS quote_hash, 1704067200000 + page_id AS authored_at_ms FROM pages, b_d""",
-    "b_changes": """SELECT 'memory_nodes' AS tbl, 'm' || user_id AS pk, event_type AS cid, printf('%.4f', value) AS val, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS col_version, event_id AS db_version,
+    "b_changes": """SELECT 'memory_nodes' AS tbl, 'm' || user_id AS pk, event_type AS cid, printf('%.4f', value) AS val, 'real' AS kind, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS col_version, event_id AS db_version,
       (event_id % 3)::VARCHAR AS site_id, CASE WHEN user_id % 10 = 0 AND event_id % 97 = 0 THEN 2 ELSE 1 END::BIGINT AS cl, 'team/' || (user_id % 4) AS namespace, epoch_us(ts) // 1000 AS changed_at_ms FROM events""",
     "b_units": """SELECT memory_id AS unit_id, memory_space || '_memory' AS source_type, memory_id AS source_id, memory_space, namespace, memory_type AS unit_kind, subject AS title, body, 'private' AS sensitivity, 'active' AS state,
       source_uri, '' AS project_key, '' AS branch_name, authored_at_ms FROM b_nodes UNION ALL

@@ -161,6 +161,7 @@ class Tables:
             F.concat(F.lit("m"), user.cast("string")).alias("pk"),
             F.col("event_type").alias("cid"),
             F.format_string("%.4f", "value").alias("val"),
+            F.lit("real").alias("kind"),
             F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).alias("col_version"),
             event.alias("db_version"),
             (event % 3).cast("string").alias("site_id"),
