@@ -7,8 +7,10 @@ a pandas UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemosea.functions.text import let
@@ -18,6 +20,22 @@ FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 DIMENSION, LARGEST = 8, 4096
 
 
+class ProviderError(Exception):
+    """A provider of embeddings failed, or gave something else than vectors of the right length."""
+
+
+def checked(provider: Callable[[DataFrame], DataFrame], queries: DataFrame, dim: int, vector: str = "qv") -> DataFrame:
+    """A provider's vectors, computed and checked: a null, a wrong length or an error of the provider is a ProviderError."""
+    try:
+        made = provider(queries)
+        rows = made.collect()  # a row for each query of a request
+    except Exception as e:
+        raise ProviderError(str(e)) from e
+    if any(r[vector] is None or len(r[vector]) != dim for r in rows):
+        raise ProviderError(f"the provider's vectors don't have {dim} components")
+    return made.sparkSession.createDataFrame(rows, made.schema)
+
+
 def clamp_dimension(dim: int) -> int:
     return DIMENSION if dim <= 0 else min(dim, LARGEST)
 

@@ -11,6 +11,8 @@ from mnemosea.functions.text import first_non_empty
 # Fixed values.
 STORE_RELATIONS = ("supports", "contradicts", "derived_from", "about", "caused_by", "references")
 SIGNAL_TYPES = ("reinforce", "deprecate", "confirm", "deny", "pin", "bookmark")
+PROMOTED_SUBJECT = "promoted transcript memory"
+MEMORY_TYPES = ("decision", "rationale", "fact", "task_candidate", "debug_trace", "note")
 STORE_DEFAULTS = {"scope": "team", "memory_type": "fact", "author_agent_id": "agent/default", "origin_peer_id": "peer/local"}
 
 
@@ -106,11 +108,32 @@ def promoted(links: DataFrame, chunks: DataFrame, spans: DataFrame) -> DataFrame
     made = rows.groupBy("memory_id").agg(parts.alias("p"), F.max("authored_at_ms").alias("authored_at_ms"))
     uris = F.filter(F.transform("p", lambda x: x["uri"]), lambda u: u != "")
     return made.select(
-        "memory_id", F.lit("private").alias("memory_space"), F.element_at("p", 1)["namespace"].alias("namespace"), F.lit("note").alias("memory_type"), F.lit("promoted transcript memory").alias("subject"),
+        "memory_id", F.lit("private").alias("memory_space"), F.element_at("p", 1)["namespace"].alias("namespace"), F.lit("note").alias("memory_type"), F.lit(PROMOTED_SUBJECT).alias("subject"),
         F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("body"), F.coalesce(F.try_element_at(uris, F.lit(1)), F.lit("")).alias("source_uri"), "authored_at_ms",
     )
 
 
+def promoted_types(links: DataFrame, chunks: DataFrame, memory_type: str = "") -> DataFrame:
+    """(memory_id, memory_type): the given type, or the kind of a memory's first chunk, or note."""
+    first = links.join(chunks.select("chunk_id", "chunk_kind"), "chunk_id").groupBy("memory_id").agg(F.min_by("chunk_kind", F.struct("ordinal", "chunk_id")).alias("kind"))
+    own = F.when(F.col("kind").isin(*MEMORY_TYPES), F.col("kind")).otherwise("note")
+    return first.select("memory_id", (F.lit(memory_type) if memory_type else own).alias("memory_type"))
+
+
+def promoted_spans(links: DataFrame, spans: DataFrame) -> DataFrame:
+    """What the chunks of promoted memories quote, each span (artifact, quote, place) once for a memory."""
+    rows = links.select("memory_id", "chunk_id").join(spans, "chunk_id")
+    once = rows.groupBy("memory_id", "artifact_id", "quote_hash", "start_offset", "end_offset").agg(F.min("authored_at_ms").alias("authored_at_ms"))
+    return once.withColumn("span_id", F.sha2(F.concat_ws("|", "memory_id", "artifact_id", "quote_hash", "start_offset", "end_offset"), 256))
+
+
+def artifact_rows(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References and spans of stored artifacts (memory_id, uri, title, namespace, start_offset, end_offset, quote_hash, authored_at_ms)."""
+    rows = artifacts.withColumn("artifact_id", F.concat(F.lit("artifact_"), F.sha2("uri", 256)))
+    span = rows.withColumn("span_id", F.sha2(F.concat_ws("|", "memory_id", "artifact_id", "quote_hash", "start_offset", "end_offset"), 256))
+    return rows.select("artifact_id", "uri", "namespace", "title").dropDuplicates(["artifact_id"]), span.select("span_id", "artifact_id", "memory_id", "start_offset", "end_offset", "quote_hash", "authored_at_ms")
+
+
 def published(private: DataFrame, policy: str = "default") -> DataFrame:
     """Shared copies of private memories, redacted."""
     return private.select(

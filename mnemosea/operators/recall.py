@@ -80,10 +80,10 @@ def best(rows: DataFrame, k, keys: tuple[str, ...] = ("query_id",)) -> DataFrame
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def semantic_candidates(index, queries: DataFrame, allowed: DataFrame | None, cap: int, *, prefilter: bool) -> DataFrame:
+def semantic_candidates(index, queries: DataFrame, allowed: DataFrame | None, cap: int, *, prefilter: bool, asked: DataFrame | None = None) -> DataFrame:
     """(query_id, unit_id, semantic_rank) of the nearest vectors. ``allowed`` filters what was found, or with
     ``prefilter`` what is looked at."""
-    found, asked = index.vectors, search.query_vectors(queries)
+    found, asked = index.vectors, search.query_vectors(queries) if asked is None else asked
     if allowed is not None and prefilter:
         found = found.join(allowed.select("unit_id"), "unit_id", "left_semi")
     near = search.nearest(found, asked, cap)
@@ -93,12 +93,12 @@ def semantic_candidates(index, queries: DataFrame, allowed: DataFrame | None, ca
     return search.ranked(near, [F.col("distance"), F.col("unit_id")], cap, "semantic_rank")
 
 
-def recall(t, queries: DataFrame, *, limit: int = 10, profile: str = "default", as_of_ms: int, spaces=(), namespaces=(), kinds=(), semantic: bool = True, project: str = "", branch: str = "", prefilter: bool = False) -> DataFrame:
+def recall(t, queries: DataFrame, *, limit: int = 10, profile: str = "default", as_of_ms: int, spaces=(), namespaces=(), kinds=(), semantic: bool = True, project: str = "", branch: str = "", prefilter: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """The best units for each row of ``queries`` (query_id, query); ``t`` has the model's tables and its index.
 
     Candidates come from the text index and from the nearest vectors; with ``semantic`` unset from the text index only.
     Project and branch bind the vector side only. Vector candidates are taken first and filtered after,
-    unless ``prefilter`` is set.
+    unless ``prefilter`` is set. ``asked`` (query_id, qv) has the queries' vectors, if not local ones.
     """
     units = t.units
     listed = spaces or namespaces or kinds
@@ -111,7 +111,7 @@ def recall(t, queries: DataFrame, *, limit: int = 10, profile: str = "default",
             may = may.filter(F.col("project_key") == project)
         if branch:
             may = may.filter(F.col("branch_name") == branch)
-        found = merged(semantic_candidates(t.index, queries, may if listed or project or branch else None, cap, prefilter=prefilter), found)
+        found = merged(semantic_candidates(t.index, queries, may if listed or project or branch else None, cap, prefilter=prefilter, asked=asked), found)
     else:
         found = found.withColumn("semantic_rank", F.lit(0).cast("long")).select("query_id", "unit_id", "semantic_rank", "lexical_rank")
     rows = with_features(enriched(found, units, t.nodes, t.verification, t.peers, t.chunk_versions), t.edges, t.spans)
