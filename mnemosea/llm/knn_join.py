@@ -13,11 +13,13 @@ many blocks, and groups into packs; a task solves a pair of pack and block with
 one matrix product and returns what reaches the floors, k for each query at most.
 
 Scores are integers below 2 ** 53 in float64, so they are exact; larger ones fall back to
-Python integers.
+Python integers, and scores beyond a long's range count as its ends.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,11 +27,12 @@ from pyspark.sql import functions as F
 
 from mnemosea.llm._common import materialise, read_table
 
-PIVOTS = 64
+#: Fewest and most pivots; between them, half the root of the number of vectors.
+PIVOTS, MOST_PIVOTS = 64, 4096
 BLOCK_ROWS = 2048
 PACK_QUERIES = 512
-#: Tasks among which the blocks of a pack are dealt out.
-PARTS = 8
+#: Blocks that a task takes for a pack, about: a pack that is sent to more is dealt out among more tasks.
+TASK_BLOCKS = 16
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -38,7 +41,12 @@ def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
     x = lambda e: e.cast("double")
     sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()
     sound &= F.forall("embedding", lambda e: F.coalesce(~F.isnan(x(e)) & (F.abs(x(e)) < F.lit(float("inf"))), F.lit(False)))
-    return vectors.filter(sound).select("vec_id", F.transform("embedding", lambda e: F.floor(x(e) * F.lit(scale)).cast("double")).alias("v"))
+    return vectors.filter(sound).select("vec_id", F.transform("embedding", lambda e: _floor(x(e) * F.lit(scale))).alias("v"))
+
+
+def _floor(x):
+    """The floor as double; from 2 ** 52 on a double is whole already, and a long would not hold all of them."""
+    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -58,6 +66,11 @@ def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return q @ d.T
 
 
+def _long(x: np.ndarray) -> np.ndarray:
+    """Scores as long; those beyond its range count as its ends."""
+    return np.array([max(-(2**63), min(2**63 - 1, int(v))) for v in x], np.int64) if x.dtype == object else x.astype(np.int64)
+
+
 class _Best:
     """The best k so far for each query of a pack."""
 
@@ -72,7 +85,7 @@ class _Best:
         for j in np.flatnonzero((s >= self.floor[:, None]).any(1)).tolist():
             good = np.flatnonzero((s[j] >= self.floor[j]) & (d_ids != self.q_ids[j]))
             ids = np.concatenate([self.found[j][0], d_ids[good]])
-            score = np.concatenate([self.found[j][1], s[j][good].astype(np.int64)])
+            score = np.concatenate([self.found[j][1], _long(s[j][good])])
             best = np.lexsort((ids, -score))[: self.k]
             self.found[j] = ids[best], score[best]
             if len(best) == self.k:
@@ -84,21 +97,23 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
 
 
-def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int = PIVOTS) -> DataFrame:
+def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int | None = None, routes: list | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where ``is_query`` holds the k best other rows.
 
     ``vectors`` has vec_id and embedding; other columns don't matter. Ties go to the smaller
     vec_id. Vectors of different lengths are compared as if filled up with zeros. Rows that
     repeat a vec_id are all candidates, but never of a query with that id. Fewer rows than k
-    give what there is; an empty table, or one vector alone, gives no rows.
+    give what there is; an empty table, or one vector alone, gives no rows. ``routes`` gets a pair: how many
+    (pack, block) pairs are compared, and how many there are.
     """
     spark = vectors.sparkSession
-    data = materialise(quantised(vectors), "knn-vectors")
-    width, largest = data.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
+    data = materialise(quantised(vectors).withColumn("row", F.monotonically_increasing_id()), "knn-vectors")
+    width, largest, n = data.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))), F.count(F.lit(1))).first()
     schema = "query_id long, rank int, vec_id long, score long"
     if not width:
         return spark.createDataFrame([], schema)
     kind = np.int16 if (largest or 0) < 1 << 15 else np.float64  # of the components in packs and blocks
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, math.isqrt(n) // 2))
     seeds = data.orderBy(F.xxhash64(F.lit(2), "vec_id"), "vec_id").limit(pivots).collect()  # bounded by ``pivots``
     p = np.zeros((len(seeds), width))
     for row, s in zip(p, seeds, strict=True):
@@ -111,9 +126,9 @@ def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int = PI
             d2 = (x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1)
             cell = d2.argmin(1)
             far = np.sqrt(((x - p[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "cell", "far"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "row", "cell", "far"])
 
-    data = materialise(data.mapInArrow(assign, "vec_id long, v array<double>, cell int, far double"), "knn-cells")
+    data = materialise(data.mapInArrow(assign, "vec_id long, v array<double>, row long, cell int, far double"), "knn-cells")
     cells = {r["cell"]: r for r in data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}  # a row for each pivot
     near = Window.partitionBy("cell").orderBy("far", "vec_id")
     witnesses = data.withColumn("w", F.row_number().over(near)).filter(F.col("w") <= k + 1).select("vec_id", "v").collect()  # k + 1 for each pivot
@@ -136,7 +151,7 @@ def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int = PI
 
         return run
 
-    block = data.withColumn("block", F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64(F.lit(7), "vec_id"), n_blocks))
+    block = data.withColumn("block", F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64(F.lit(7), "row"), n_blocks))
     block = materialise(block.groupBy("block").applyInArrow(packed("block", BLOCK_ROWS), "block long, ids binary, x binary"), "knn-blocks")
     queries = data.filter(is_query)
     counts = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -152,7 +167,7 @@ def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int = PI
         room = room - counts[c] if own == 1 else 0
         number += own - 1
     at = F.element_at(F.create_map(*pack_of), F.col("cell"))
-    pack = queries.withColumn("pack", at["at"] + F.pmod(F.xxhash64(F.lit(9), "vec_id"), at["own"]))
+    pack = queries.withColumn("pack", at["at"] + F.pmod(F.xxhash64(F.lit(9), "row"), at["own"]))
     pack = pack.groupBy("pack").applyInArrow(packed("pack", PACK_QUERIES), "pack long, ids binary, x binary")
 
     def routed(batches):
@@ -173,11 +188,15 @@ def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int = PI
                 )
 
     pack = materialise(pack.mapInArrow(routed, "pack long, q_ids binary, q binary, floor binary, to array<long>"), "knn-packs")
+    if routes is not None:
+        sent, packs = pack.agg(F.sum(F.size("to")), F.count(F.lit(1))).first()
+        routes.append((sent, packs * sum(blocks.values())))
     # A task takes the blocks of a pack's part one after another and keeps the best so far, so it
     # returns k rows for each query, however many blocks there are.
-    parts = pack.select("pack", F.explode("to").alias("block")).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
+    parts_of = F.greatest(F.lit(1), F.ceil(F.size("to") / TASK_BLOCKS)).cast("int")
+    parts = pack.select("pack", parts_of.alias("n"), F.explode("to").alias("block")).select("pack", "block", F.pmod(F.xxhash64("block"), F.col("n")).cast("long").alias("part"))
     sent = block.join(parts, "block").select(F.col("pack").alias("of"), F.col("part").alias("share"), F.col("ids").alias("d_ids"), F.col("x").alias("d"))
-    held = pack.drop("to").withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(PARTS)])))
+    held = pack.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (parts_of - 1).cast("long")))).drop("to")
     pairs = sent.join(held.hint("merge"), (F.col("of") == F.col("pack")) & (F.col("share") == F.col("part")))
     pairs = pairs.select("pack", "part", "q_ids", "q", "floor", "d_ids", "d").sortWithinPartitions("pack", "part")
 

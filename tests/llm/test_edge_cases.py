@@ -1,6 +1,11 @@
 """Every operator and every pipeline stage on awkward tables: nulls in any column, empty and long
 texts, ties and repeated rows, empty tables, extra columns whose names clash."""
 
+import glob
+import os
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +117,14 @@ def test_training_order_of_awkward_and_empty_tables(spark, awkward, nothing, tmp
     assert [r.slot for r in rows] == list(range(len(rows))) and sum(r.doc_id == 4 for r in rows) == 1 and sum(r.doc_id == 3 for r in rows) == 2
     some = token_output.read_slots(spark, path, 5, 10).orderBy("slot").collect()
     assert some == rows[5:15]
+    token_output.export_files(spark, path, f"{tmp_path}/files")
+    for r in rows:  # every slot is where its number says
+        (file,) = glob.glob(f"{tmp_path}/files/shard={r.slot // 8}/part-*")
+        with open(file, "rb") as f:
+            f.seek(r.slot % 8 * 64 * 2)
+            assert np.frombuffer(f.read(r.n_tokens * 2), "<u2").tolist() == r.ids
+    sizes = [os.path.getsize(f) for f in glob.glob(f"{tmp_path}/files/shard=*/part-*")]
+    assert sum(sizes) == len(rows) * 64 * 2 + len(sizes)
     path = token_output.write_training_order(nothing, f"{tmp_path}/n")
     assert token_output.read_slots(spark, path).collect() == [] == token_output.slot_digests(spark, path).collect()
 
@@ -127,6 +140,35 @@ def test_vectors_that_are_null_ragged_infinite_or_repeated(spark):
     assert knn_join.voronoi_top_k(df, F.lit(False)).collect() == []
 
 
+def test_vectors_with_huge_components_and_a_hot_id(spark):
+    big = float(2**40)
+    rows = [(0, [big, 1.0]), (1, [big, 2.0]), (2, [-big, 0.0]), (3, [3.0, 4.0])] + [(9, [0.5, 0.5])] * 3000
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    routes = []
+    got = {r["rank"]: (r.vec_id, r.score) for r in knn_join.voronoi_top_k(df, F.col("vec_id") == 0, k=4, routes=routes).collect()}
+    q = (2**46, 64)
+    assert got == {1: (1, 2**63 - 1), 2: (3, q[0] * 192 + q[1] * 256), 3: (9, q[0] * 32 + q[1] * 32), 4: (9, q[0] * 32 + q[1] * 32)}
+    assert routes[0][1] >= 3  # the repeated id is in several blocks
+
+
+def test_groups_of_vectors_are_not_sent_to_all_blocks(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 8
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.1).tolist()) for i in range(8000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    routes = []
+    got = {}
+    for r in knn_join.voronoi_top_k(df, F.col("vec_id") % 400 == 0, k=5, pivots=80, routes=routes).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    v = np.floor(np.array([x for _, x in rows]) * 64).astype(np.int64)
+    for i, found in got.items():
+        s = v @ v[i]
+        order = [j for j in np.lexsort((np.arange(len(v)), -s)) if j != i][:5]
+        assert [x[1:] for x in sorted(found)] == [(int(j), int(s[j])) for j in order]
+    sent, every = routes[0]
+    assert len(got) == 20 and sent < 0.6 * every, routes
+
+
 def test_pages_with_nulls_copies_and_clashing_columns(spark, tmp_path):
     big = "x" * 100
     rows = [(1, "http://a\r\nb", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (2, None, big), (6, "u", ""), (7, "u", "é" * 50)]
@@ -137,9 +179,20 @@ def test_pages_with_nulls_copies_and_clashing_columns(spark, tmp_path):
     assert got == sorted(want, key=repr)
     stored = spark.read.parquet(f"{path}/payloads").groupBy("digest").count().collect()
     assert all(r["count"] == 1 for r in stored) and len(stored) == 4
-    records = {r.page_id: bytes(r.record) for r in warc.reconstruct(spark, path).collect()}
+    every = [(r.page_id, bytes(r.record)) for r in warc.reconstruct(spark, path).collect()]
+    records = dict(every)
     assert records[1].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and records[1].endswith(b"\r\n\r\n" + big.encode() + b"\r\n\r\n") and b"WARC-Target-URI: http://a%0D%0Ab\r\n" in records[1]
-    assert records[2].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n") and b"WARC-Target-URI" not in records[2]
+    assert b"WARC-Target-URI" not in records[2] and big.encode() not in records[2]
+    ids = [re.search(rb"WARC-Record-ID: (<urn:page:[^>]+>)\r\n", r)[1] for _, r in every]
+    assert len(set(ids)) == len(rows) and re.search(rb"WARC-Refers-To: (<urn:page:[^>]+>)", records[2])[1] in ids
+    for _, r in every:  # a block is as long as its header says, and the record is a whole HTTP message
+        head, rest = r.split(b"\r\n\r\n", 1)
+        fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+        block = rest[: int(fields[b"Content-Length"])]
+        assert rest[len(block) :] == b"\r\n\r\n" and fields[b"Content-Type"] == b"application/http; msgtype=response" and fields[b"WARC-Date"].endswith(b"Z")
+        http, body = block.split(b"\r\n\r\n", 1)
+        size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+        assert len(body) == (size if fields[b"WARC-Type"] == b"response" else 0)
     full = {r.page_id: bytes(r.record) for r in warc.reconstruct(spark, path, full=True).collect()}
     assert full[2].endswith(big.encode() + b"\r\n\r\n")
     empty = warc.write_archive(pages.filter("page_id = 99"), f"{tmp_path}/e")
