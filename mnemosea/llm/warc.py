@@ -2,14 +2,16 @@
 
 An archive is a folder with two tables. ``payloads`` holds every distinct payload
 once, under its SHA-256. ``records`` holds the exact header bytes of one WARC/1.1
-record for each page. The original records come back by a join on the digest.
+record for each page: the WARC header and that of the HTTP message. The original records
+come back by a join on the digest.
 
 Of pages with equal payloads of at least ``revisit_bytes`` the one with the smallest
-page_id is written as ``response``; the others are ``revisit`` records with an empty
-block that refer to it. Smaller payloads are always ``response``.
+page_id is written as ``response``; the others are ``revisit`` records, whose block is the HTTP header
+only and which refer to it. Smaller payloads are always ``response``.
 
-Payload bytes are shuffled only for digests that occur more than once, and then
-after each task has reduced its own copies to one.
+Payload bytes are shuffled only for digests that may occur more than once, and then after each task has
+reduced its own copies to one. Which these are, each task knows from a list of slots of digests, of which there
+are SLOTS at most; with many more shared digests than slots, single payloads are shuffled too.
 """
 
 from __future__ import annotations
@@ -21,15 +23,22 @@ from mnemosea.llm._common import materialise, read_table, shared_folder
 
 #: Fixed values of the WARC/1.1 format.
 VERSION = "WARC/1.1"
+HTTP_STATUS = "HTTP/1.1 200 OK"
+MEDIA_TYPE = "application/http; msgtype=response"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The date of records whose pages say none.
+DATE = "2024-01-01T00:00:00Z"
+#: Slots of digests that may occur more than once: at most so many numbers are broadcast.
+SLOTS = 1 << 18
 
 
 def _payload() -> Column:
     return F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
 
 
-def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+def _record_id(page_id: Column, row: Column) -> Column:
+    """An id for each record, also for rows that repeat a page_id."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
 def _field(name: str, value: Column) -> Column:
@@ -38,7 +47,7 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit("\r\n")), F.lit(""))
 
 
-def write_archive(pages: DataFrame, path: str, *, revisit_bytes: int = 100) -> str:
+def write_archive(pages: DataFrame, path: str, *, revisit_bytes: int = 100, date: str = DATE) -> str:
     """Write the archive of ``pages`` (page_id, url, html; other columns don't matter).
 
     A null html is an empty payload, a null url leaves out its header line. Rows that
@@ -46,41 +55,51 @@ def write_archive(pages: DataFrame, path: str, *, revisit_bytes: int = 100) -> s
     copies of a payload all of whose page_ids are null. A null page_id beside others
     revisits. An empty table gives an archive without records.
     """
-    narrow = pages.select("page_id", "url", F.sha2(_payload(), 256).alias("digest"), F.octet_length(_payload()).cast("long").alias("n"))
+    narrow = pages.select("page_id", "url", F.sha2(_payload(), 256).alias("digest"), F.octet_length(_payload()).cast("long").alias("n"), F.monotonically_increasing_id().alias("row"))
     narrow = materialise(narrow, "warc-pages")
-    groups = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("page_id").alias("owner"), F.max("n").alias("most"), F.min("n").alias("least"))
+    owner = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row")))
+    groups = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), owner.alias("owner"), F.max("n").alias("most"), F.min("n").alias("least"))
     shared = groups.filter("copies > 1").select(F.col("digest").alias("twin"), "owner", F.assert_true(F.col("most") == F.col("least"), "two payload lengths under one digest").isNull().alias("sound"))
     shared = materialise(shared, "warc-shared")
 
     rows = narrow.join(shared, narrow["digest"] == shared["twin"], "left")
-    revisit = (F.col("n") >= revisit_bytes) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
+    revisit = (F.col("n") >= revisit_bytes) & F.col("owner.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner.page_id"))
+    http = F.concat(F.lit(f"{HTTP_STATUS}\r\n"), _field("Content-Type", F.lit("text/html; charset=utf-8")), _field("Content-Length", F.col("n").cast("string")), F.lit("\r\n"))
     common = [
-        _field("WARC-Record-ID", _record_id(F.col("page_id"))),
+        _field("WARC-Record-ID", _record_id(F.col("page_id"), F.col("row"))),
+        _field("WARC-Date", F.lit(date)),
         _field("WARC-Target-URI", F.col("url")),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        _field("Content-Type", F.lit("text/html; charset=utf-8")),
+        _field("Content-Type", F.lit(MEDIA_TYPE)),
     ]
-    kept = F.concat(F.lit(f"{VERSION}\r\n"), _field("WARC-Type", F.lit("response")), *common, _field("Content-Length", F.col("n").cast("string")))
+    length = lambda n: _field("Content-Length", n.cast("string"))
+    kept = F.concat(F.lit(f"{VERSION}\r\n"), _field("WARC-Type", F.lit("response")), *common, length(F.length("http") + F.col("n")))
     again = F.concat(
         F.lit(f"{VERSION}\r\n"), _field("WARC-Type", F.lit("revisit")), *common, _field("WARC-Profile", F.lit(REVISIT_PROFILE)),
-        _field("WARC-Refers-To", _record_id(F.col("owner"))), _field("Content-Length", F.lit("0")),
+        _field("WARC-Refers-To", _record_id(F.col("owner.page_id"), F.col("owner.row"))), length(F.length("http")),
     )
-    header = F.encode(F.concat(F.when(revisit, again).otherwise(kept), F.lit("\r\n")), "UTF-8")
+    rows = rows.withColumn("http", http)
+    header = F.encode(F.concat(F.when(revisit, again).otherwise(kept), F.lit("\r\n"), F.col("http")), "UTF-8")
     rows.select("page_id", header.alias("header"), "digest").write.parquet(f"{path}/records")
 
-    stored = pages.select(F.sha2(_payload(), 256).alias("digest"), _payload().alias("payload"))
-    single = stored.join(shared, stored["digest"] == shared["twin"], "left_anti")
-    several = stored.join(shared, stored["digest"] == shared["twin"], "left_semi").groupBy("digest").agg(F.min("payload").alias("payload"))
+    slots = F.broadcast(shared.select(slot_of(F.col("twin")).alias("slot")).distinct())  # SLOTS rows at most
+    stored = pages.select(F.sha2(_payload(), 256).alias("digest"), _payload().alias("payload")).withColumn("slot", slot_of(F.col("digest")))
+    single = stored.join(slots, "slot", "left_anti").select("digest", "payload")
+    several = stored.join(slots, "slot", "left_semi").groupBy("digest").agg(F.first("payload").alias("payload"))
     single.unionByName(several).write.parquet(f"{path}/payloads")
     return path
 
 
+def slot_of(digest: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(SLOTS))
+
+
 def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Header rows with the fields read from the header bytes, and payloads whose bytes
     still have their digest; others end the job."""
     text = F.decode(F.col("header"), "UTF-8")
     field = lambda name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
-    page = lambda name: F.try_to_number(F.nullif(F.regexp_extract(text, rf"\r\n{name}: <urn:page:([^>]*)>\r\n", 1), F.lit("none")), F.lit("S9999999999999999999")).cast("long")
+    page = lambda name: F.try_to_number(F.nullif(F.regexp_extract(text, rf"\r\n{name}: <urn:page:([^:>]*):[0-9]+>\r\n", 1), F.lit("none")), F.lit("S9999999999999999999")).cast("long")
     records = spark.read.schema("page_id long, header binary, digest string").parquet(f"{path}/records")
     records = records.select(
         page("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
