@@ -7,9 +7,13 @@ number of bits that holds N, and results from N on walk on through the network u
 they fall below N (less than four steps on average). So each sequence has its own slot among
 0 .. N-1, found without sorting or shuffling anything.
 
-Sequences go to range partitions by shard (slot // per_shard), where each shard is one row
-whose payload is its sequences in slot order, little-endian 16- or 32-bit ids. The place
-of slot s is s * stride ids from the start: a reader that stopped at a slot goes on there.
+Sequences go to range partitions by shard (slot // per_shard), where each shard is one compressed row
+whose payload is its sequences in slot order, little-endian 16- or 32-bit ids. Within a payload
+slot s is (s % per_shard) * stride ids from the start: a reader that stopped at a slot goes on there.
+
+``export_files`` writes the shards as plain binary files of fixed stride for readers without Spark, which can seek in
+them or map them: shard=<n>/part-*.txt holds the ids of the slots from n * per_shard on and nothing else, but for a
+line feed that the writer puts at the end.
 
 The numbers follow the order of the input's splits, and the written table of sequences
 fixes them; so the same files with the same split settings and key give the same order.
@@ -161,6 +165,16 @@ def write_training_order(docs: DataFrame, path: str, *, key: int = 6, stride: in
     return path
 
 
+def export_files(spark: SparkSession, path: str, to: str, first_shard: int = 0, last_shard: int | None = None) -> str:
+    """The shards from ``first_shard`` to ``last_shard`` as plain binary files, one for each shard, in folders of their own under ``to``."""
+    rows = spark.read.schema("shard long, payload binary").parquet(f"{path}/shards").filter(F.col("shard") >= first_shard)
+    if last_shard is not None:
+        rows = rows.filter(F.col("shard") <= last_shard)
+    # Bytes that are cast to text are written as they are.
+    rows.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").text(to)
+    return to
+
+
 def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None = None) -> DataFrame:
     """slot, doc_id, part, n_tokens, ids of the slots from ``first`` on; other shards are not read."""
     m = spark.read.schema("sequences long, key long, stride int, per_shard int, ids string, end_id long").parquet(f"{path}/manifest").first()
