@@ -7,17 +7,20 @@ the register of another one, in an order fixed for each bucket. Registers are ba
 four by four, and one band is exactly one 64-bit key.
 
 1. Documents with the same set form a class; all that follows works on classes.
-2. Band keys are sorted, and equal keys make a run. Short runs give their pairs.
-   Longer runs go as a whole to tasks that hold a bounded number of bytes; runs beyond
-   that are split into blocks, with a task for every two blocks, so that no
-   link is lost and no task has to hold a run.
+2. Band keys are sorted, and equal keys make a run. Short runs give their pairs. Longer runs go as a
+   whole to tasks that hold a bounded number of bytes. Keys with more classes than a task holds are hot and never
+   come together: of a sample of each, the class that agrees most with the others is its leader, and every
+   class is compared with one leader of its keys. Classes that are linked with the same leader need no comparison
+   with each other. One that is not is compared with those of a leader only if its own estimate with that leader allows
+   a link with one of them (distances of sets obey the triangle inequality), in tasks for a block of either side. What no
+   leader links gets new leaders, some times over; the rest is compared block by block, so that no link is lost.
 3. Pairs whose collision-corrected estimate is six standard deviations or more below
    the threshold are dropped. The others are confirmed on their full sets.
    A task on a long run gives a spanning forest of its links and not all of them.
 4. Components come from alternating large-star and small-star steps on the links.
 
 With 32 bands of 4 registers, a pair at a similarity of 0.85 shares no band with
-a chance of (1 - 0.85 ** 4) ** 32 = 6e-11.
+a chance of (1 - 0.85 ** 4) ** 32 = 6e-11, and one of 0.8 with 5e-8.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemosea.llm._common import encoded, lowered_words, materialise, mixed, read_table, sliced
@@ -36,8 +39,10 @@ _VALUE_BITS = 57  # of a 64-bit hash below the 7 bits that choose the bucket
 SHORT_RUN = 12
 #: Classes, and shingles in all of them, that a block of a long run has at most, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 2_000_000
-#: Slots of the filter that spares documents without a candidate the second pass.
-FILTER_BITS = 23
+#: Bits, in powers of two, of the filter that spares documents without a candidate the second pass: eight for each needed class within these.
+FILTER_BITS = 16, 28
+#: Rounds of leaders, and classes of which a leader is chosen.
+ROUNDS, SAMPLE = 3, 64
 
 _rng = np.random.default_rng(8)
 #: The order in which an empty bucket looks for a register to take over.
@@ -217,7 +222,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, hashe
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
 
     banded = classes.filter("rep is not null").select("node", "registers").mapInArrow(bands, "key long, node long")
-    runs = materialise(_runs(banded), "dup-runs")
+    # Keys are counted before they are shuffled; those with more classes than a task holds don't come together.
+    hot = materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_CLASSES).select("key"), "dup-hot")
+    is_hot = bool(hot.head(1))
+    runs = materialise(_runs(banded.join(hot, "key", "left_anti") if is_hot else banded), "dup-runs")
+    crowd = materialise(banded.join(hot, "key", "left_semi"), "dup-crowd") if is_hot else None
 
     pairs = runs.filter("b is not null").select("a", "b").distinct()
     sketches = classes.select("node", "n", "registers")
@@ -234,18 +243,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, hashe
 
     pairs = materialise(pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(filtered, "a long, b long"), "dup-pairs")
 
-    # Long runs, each set of members once.
-    members = runs.filter("b is null").select(F.col("key"), F.col("a").alias("node"))
-    plan = members.join(sketches.select("node", "n"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
-    plan = plan.groupBy("g", "total", "same").agg(F.min("key").alias("run"))
-    blocks = F.greatest(F.ceil(F.col("g") / BLOCK_CLASSES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    plan = plan.select("run", blocks.alias("blocks"))
-    tasks = members.join(plan, F.col("key") == F.col("run")).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.withColumn("other", other).select("node", "own", "blocks", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
-    tasks = materialise(tasks, "dup-tasks")
+    tasks = materialise(_block_tasks(runs.filter("b is null").select(F.col("key"), F.col("a").alias("node")), sketches), "dup-tasks")
 
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select("b").toDF("node")).unionByName(tasks.select("node")).distinct()
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select("b").toDF("node")).unionByName(tasks.select("node"))
+    if is_hot:
+        needed = needed.unionByName(crowd.select("node"))
+    needed = needed.distinct()
     needed = materialise(needed.join(classes.select("node", "rep"), "node"), "dup-needed")
     sets = materialise(_needed_sets(docs, needed, width).join(needed.select("node"), "node", "left_semi"), "dup-sets")
 
@@ -254,8 +257,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, hashe
             good = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "hashes": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "hashes": "sb"}), "b")
-    links = both.select("a", "b", "sa", "sb").mapInArrow(confirmed, "a long, b long")
+    def confirm(some: DataFrame) -> DataFrame:
+        both = some.join(sets.withColumnsRenamed({"node": "a", "hashes": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "hashes": "sb"}), "b")
+        return both.select("a", "b", "sa", "sb").mapInArrow(confirmed, "a long, b long")
 
     def compared(key, table):
         ids = np.asarray(table["node"])
@@ -263,8 +267,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, hashe
         found = forest(ids, [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()], own if len(np.unique(own)) > 1 else None, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    held = tasks.join(sets, "node").select("task", "node", "own", "hashes")
-    links = links.unionByName(held.groupBy("task").applyInArrow(compared, "a long, b long"))
+    def compare(some: DataFrame) -> DataFrame:
+        return some.join(sets, "node").select("task", "node", "own", "hashes").groupBy("task").applyInArrow(compared, "a long, b long")
+
+    links = confirm(pairs).unionByName(compare(tasks))
+    rest = crowd
+    for _ in range(ROUNDS if is_hot else 0):
+        own, direct, cross, rest = _round(rest, sketches, confirm, percent)
+        links = links.unionByName(direct.select("a", "b")).unionByName(compare(cross))
+        if not rest.groupBy("key").count().filter(F.col("count") > BLOCK_CLASSES).head(1):
+            break
+    if is_hot:
+        links = links.unionByName(compare(materialise(_block_tasks(rest, sketches), "dup-tasks")))
 
     roots = components(links)
     of = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -276,6 +290,67 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, hashe
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)
 
 
+def _block_tasks(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, own, task) that compare all members (key, node) of each key, a block of them with a block. Keys of equal members
+    are compared once."""
+    plan = members.join(sketches.select("node", "n"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
+    plan = plan.filter("g > 1").groupBy("g", "total", "same").agg(F.min("key").alias("run"))
+    plan = plan.select("run", _blocks(F.col("g"), F.col("total")).alias("blocks"))
+    tasks = members.join(plan, F.col("key") == F.col("run")).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return tasks.withColumn("other", other).select("node", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+
+
+def _blocks(classes, shingles):
+    return F.greatest(F.lit(1), F.ceil(classes / BLOCK_CLASSES), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _round(rest: DataFrame, sketches: DataFrame, confirm, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One round of leaders for the members (key, node) of hot keys: each node's leader, confirmed links with leaders (a: the
+    node, b: the leader), tasks that compare the others with classes of a leader, and the members that no leader links."""
+
+    def best(key, table):
+        registers = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        agree = np.array([(registers == r).sum() for r in registers])
+        nodes = np.asarray(table["node"])
+        return pa.table({"key": pa.array([key[0].as_py()]), "leader": pa.array([int(nodes[np.lexsort((nodes, -agree))[0]])])})
+
+    place = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
+    sample = rest.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= SAMPLE).select("key", "node")
+    leaders = sample.join(sketches.select("node", "registers"), "node").select("key", "node", "registers").groupBy("key").applyInArrow(best, "key long, leader long")
+    lead = materialise(rest.join(leaders, "key").groupBy("node").agg(F.min("leader").alias("leader")), "dup-lead")
+    direct = materialise(confirm(lead.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))), "dup-direct")
+    settled = direct.select(F.col("a").alias("node"), F.col("b").alias("leader")).unionByName(lead.filter("node = leader"))
+    inside = rest.join(settled, "node")
+    outside = materialise(rest.join(settled.select("node"), "node", "left_anti"), "dup-rest")
+
+    # Who is not linked with a leader may still be linked with a class that is, if it is near enough to the leader.
+    meets = outside.join(inside.select("key", "leader").distinct(), "key").join(sketches.withColumnsRenamed({"n": "na", "registers": "ra"}), "node")
+    meets = meets.join(sketches.select(F.col("node").alias("leader"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "leader")
+
+    def near(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("ra", "rb"))
+            na, nb = (np.asarray(batch.column(c)) for c in ("na", "nb"))
+            good = may_link((ra == rb).mean(1), (na + nb) / 2, max(0.05, 2 * percent / 100 - 1))
+            yield batch.select(["key", "leader", "node"]).filter(pa.array(good))
+
+    ring = materialise(meets.select("key", "leader", "node", "na", "nb", "ra", "rb").mapInArrow(near, "key long, leader long, node long"), "dup-ring")
+    around = inside.join(ring.select("key", "leader").distinct(), ["key", "leader"], "left_semi").select("key", "leader", "node")
+    sides = ring.withColumn("own", F.lit(0)).unionByName(around.withColumn("own", F.lit(1))).join(sketches.select("node", "n"), "node")
+    mine = lambda k, c: F.sum(F.when(F.col("own") == k, c).otherwise(0))
+    plan = sides.groupBy("key", "leader").agg(_blocks(mine(0, F.lit(1)), mine(0, F.col("n"))).alias("b0"), _blocks(mine(1, F.lit(1)), mine(1, F.col("n"))).alias("b1"))
+    placed = sides.select("key", "leader", "node", "own").join(plan, ["key", "leader"])
+    block = F.pmod(F.xxhash64("node", "key"), F.when(F.col("own") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("own") == 0, F.col("b1")).otherwise(F.col("b0")) - 1))
+    placed = placed.withColumn("block", block).withColumn("other", others)
+    first, second = F.when(F.col("own") == 0, F.col("block")).otherwise(F.col("other")), F.when(F.col("own") == 0, F.col("other")).otherwise(F.col("block"))
+    cross = placed.select("node", "own", F.xxhash64("key", "leader", first, second).alias("task"))
+    return lead, direct, materialise(cross, "dup-cross"), outside
+
+
 def _runs(banded: DataFrame) -> DataFrame:
     """Pairs (a, b) of short runs; members (key, a) of long ones. Each task reads its keys in
     order and holds no more than a short run and a batch."""
@@ -340,11 +415,12 @@ def _with_end(batches):
 
 def _needed_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     """(node, hashes) of the needed classes and of few others. Documents are sifted by a filter
-    of fixed size over the ids of the needed classes before any of their words are looked at."""
-    slot = F.pmod(F.xxhash64("x"), F.lit(1 << FILTER_BITS))
+    of bounded size over the ids of the needed classes before any of their words are looked at."""
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], (8 * needed.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("x"), F.lit(1 << size))
     slots = needed.select(F.col("rep").alias("x")).select(slot.alias("slot"))
     bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("b"))
-    full = np.zeros(((1 << FILTER_BITS) >> 3) + 8192, np.uint8)
+    full = np.zeros(((1 << size) >> 3) + 8192, np.uint8)
     for row in bits.collect():  # one row for each 32,768 slots at most
         part = np.frombuffer(bytes(row["b"]), np.uint8)
         start = (row["k"] - 1) * 4096 if row["k"] > 0 else 0

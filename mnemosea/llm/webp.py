@@ -309,7 +309,12 @@ class Images:
         widths, which = np.unique(width, return_inverse=True)
         near_of = np.maximum(1, _NEAR[:, 0] + _NEAR[:, 1] * widths[:, None])
         if main and bool(plain.all()):
-            image, symbols, size, value = self._run(own, codes, code_begin, count, room, slack, which, near_of)
+            # Images without references need no look at each step for where one begins.
+            refers = lengths[code_begin, 256:280].any(1)
+            parts = [self._run(own, codes, code_begin, count, slack, which, near_of, np.flatnonzero((count > 0) & (refers == r))) for r in (False, True)]
+            image, symbols, size, value = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            order = np.argsort(image, kind="stable") if len(parts[0][0]) and len(parts[1][0]) else slice(None)
+            image, symbols, size, value = (x[order] for x in (image, symbols, size, value))
             kind = np.where(symbols < 256, 0, np.where(symbols < 280, 2, 1)).astype(np.uint8)
             value = np.where(kind == 0, constant[image] | symbols << 8, np.where(kind == 1, symbols - 280, value))
             return _expanded(kind, value, size, count, cache_bits), begin
@@ -375,23 +380,23 @@ class Images:
         start = np.cumsum(size) - size
         return _expanded(kind, value, size, count, cache_bits), begin
 
-    def _run(self, own: np.ndarray, codes: Codes, code_begin: np.ndarray, count: np.ndarray, room: np.ndarray, slack: int, which: np.ndarray, near_of: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The symbols of images of which only green differs: up to three that are no references are read in one
+    def _run(self, own: np.ndarray, codes: Codes, code_begin: np.ndarray, count: np.ndarray, slack: int, which: np.ndarray, near_of: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The symbols of those images (numbered by ``lane``) of which only green differs: up to three that are no references are read in one
         look-up. Gives for each symbol its image, the symbol, its pixels, and the distance of a reference."""
-        table = codes.several(code_begin)
-        stored = np.zeros(int((count + slack).sum()), np.int64)
-        lane = np.flatnonzero(count > 0)
-        base, at, left, place, total = lane << _SEVERAL, self.at[own[lane]], count[lane].copy(), room[lane].copy(), count[lane]
+        table = codes.several(code_begin[lane])
+        every, space = lane, np.cumsum(count[lane] + slack) - count[lane] - slack
+        stored = np.zeros(int((count[lane] + slack).sum()), np.int64)
+        base, at, left, place, total = np.arange(len(lane)) << _SEVERAL, self.at[own[lane]], count[lane].copy(), space, count[lane]
         steps, copies = 0, []
         while len(lane):
             window = self.window(at)
             entry = table.take(base + (window & ((1 << _SEVERAL) - 1)))
             n = entry & 3
-            fast = (n > 0) & (n <= left)
-            entry *= fast
-            bits, n = (entry >> 2) & 15, entry & 3
-            slow = np.flatnonzero(~fast & (left > 0))
-            if len(slow):
+            bits = (entry >> 2) & 15
+            slow = n == 0
+            n = np.minimum(n, left)  # what follows an image's end is no pixel
+            entry += n - (entry & 3)
+            if slow.any() and len(slow := np.flatnonzero(slow & (left > 0))):
                 c = code_begin[lane[slow]] << 8
                 symbol, used = codes.look(c, window[slow])
                 symbol, used = symbol.astype(np.int64), used.astype(np.int64)
@@ -412,19 +417,19 @@ class Images:
                     bits[far] += extra + used_2 + more
                     copies.append((place[far] + steps, run, d))
             stored[place + steps] = entry
-            at += bits
+            at += bits * (left > 0)
             left -= n
             steps += 1
             if steps % slack == 0:
                 live = left > 0
                 if not live.all():
-                    self.at[own[lane]] = at
+                    self.at[own[lane]] = at - _SEVERAL  # the last look-up may have gone beyond the image
                     lane, base, at, left, place, total = (x[live] for x in (lane, base, at, left, place, total))
         self.check()
-        found = np.flatnonzero(stored)
+        found = np.flatnonzero(stored & 3)
         entry = stored[found]
         n = entry & 3
-        image = np.repeat(np.arange(len(own)), count + slack)[found]
+        image = np.repeat(every, count[every] + slack)[found]
         first = np.cumsum(n) - n
         which_one = np.arange(int(n.sum())) - np.repeat(first, n)
         symbols = (np.repeat(entry, n) >> (6 + 12 * which_one)) & 4095
@@ -859,7 +864,8 @@ def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _references(green: np.ndarray, image: np.ndarray, base: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place, length and distance of back-references of eight pixels or more, which do not overlap. They begin
-    after a space or at every eighth pixel, and look back at the last such place with the same eight pixels."""
+    after a space or at every eighth pixel, and look back at the last such place with the same eight pixels. An image
+    of which they would cover less than one pixel in PAYS has none: their own prefix code would cost more than they save."""
     n = len(green)
     stop = base + count
     gram = np.ndarray((n,), "<u8", np.append(green, np.zeros(8, np.uint8)), strides=(1,))  # the eight pixels from each place on
@@ -892,7 +898,10 @@ def _references(green: np.ndarray, image: np.ndarray, base: np.ndarray, count: n
         taken[now] = True
         now = np.searchsorted(spot, spot[now] + length[now])
         now, edge = now[now < edge], edge[now < edge]
-    return spot[taken], length[taken], (spot - old)[taken]
+    spot, length, apart = spot[taken], length[taken], (spot - old)[taken]
+    covered = np.bincount(image[spot], length, len(count))
+    pays = (covered * PAYS >= count)[image[spot]]
+    return spot[pays], length[pays], apart[pays]
 
 
 def _put_images(out: Bitstreams, own: np.ndarray, numbers: np.ndarray, count: np.ndarray, width: np.ndarray, *, cache_bits: int = 0, main: bool = False) -> None:
@@ -948,7 +957,7 @@ def _put_images(out: Bitstreams, own: np.ndarray, numbers: np.ndarray, count: np
     others = [(k, ((pixel[some] >> np.uint32(shift)) & np.uint32(255)).astype(np.int64)) for k, shift in ((1, 16), (2, 0), (3, 24))] if not isinstance(rest, int) else []
     for k, symbol in others:
         flat += np.bincount((im[some] * 5 + k) * size + symbol, minlength=counts.size)
-    lengths = code_lengths(counts)
+    lengths = code_lengths(counts, _SEVERAL)  # such codes are found in one look-up
     bits = _put_codes(out, np.repeat(own, 5), lengths)
     words = _code_words(lengths)
     words[bits.max(1) == 0] = 0
@@ -973,12 +982,14 @@ def _put_images(out: Bitstreams, own: np.ndarray, numbers: np.ndarray, count: np
 #: Predictor modes that the media column's encoder chooses from for each block, and bits of the block's side.
 TRIED, SIZE_BITS = (0, 1, 2, 12), 5
 CACHE_BITS = 5
+#: References are used where they cover one pixel in so many.
+PAYS = 16
 #: An image of so many colours at most gets a palette.
 FEW = 40
 #: Columns, and rows at most, of a stored image; a byte is a grey pixel.
 WIDE, HIGH = 64, 32
 #: Pixels of the images that are coded side by side, and bytes of text that a worker holds.
-PIXELS, TOGETHER = 1 << 21, 2 << 20
+PIXELS, TOGETHER = 1 << 20, 2 << 20
 
 
 def _entropy(block: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:

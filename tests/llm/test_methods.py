@@ -264,7 +264,8 @@ def test_media_query(spark, sf, docs, monkeypatch):
     monkeypatch.setattr(webp, "_unpalette", lambda *a, f=webp._unpalette: (seen.update(indexed=len(a[0])), f(*a))[1])
     monkeypatch.setattr(webp, "_expanded", lambda *a, f=webp._expanded: (seen.update(dict(zip(("literals", "cached", "copied"), np.bincount(a[0], minlength=3).tolist(), strict=True))), f(*a))[1])
     webp.decode_payloads(list(media.values()))
-    assert all(seen[k] > 1000 for k in ("coded pixels", "predicted", "crossed", "indexed", "literals", "cached", "copied")) and seen["modes"] >= 3
+    assert all(seen[k] > 1000 for k in ("coded pixels", "predicted", "crossed", "indexed", "literals", "cached", "copied")), seen
+    assert seen["modes"] >= 3
 
 
 def components(sets, linked):
@@ -299,9 +300,11 @@ def test_near_duplicates_equal_brute_force(spark, sf, docs):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
-def test_large_groups_of_near_copies(spark, monkeypatch):
-    """Edits of one base, chains of edits, and small sets near the threshold; blocks are small, so long runs are split."""
+@pytest.mark.parametrize("rounds", (0, 1, 3))
+def test_large_groups_of_near_copies(spark, monkeypatch, rounds):
+    """Edits of one base, chains of edits, and small sets near the threshold; few classes are hot and blocks are small."""
     monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 16)
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
     random.seed(8)
     base = [f"w{random.randrange(500)}" for _ in range(150)]
     texts = []
