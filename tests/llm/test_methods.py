@@ -119,6 +119,26 @@ def test_encodings_equal_the_library(docs, tokenizer):
             assert " ".join(w for w in own if w) == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_very_long_words(tokenizer):
+    """Pieces beyond a part's size: cut and joined, and merged pair by pair where parts do not agree on a border."""
+    random.seed(11)
+    vocab = bpe.Vocabulary(bpe.vocabulary_path())
+    words = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (2304, 2305, 30000)]
+    words += ["a" * 2305, "ha" * 5001, "é" * 4000, "!" * 7000, "thequickbrownfox" * 700 + "a" * 5000]
+    for w in words:
+        want = tokenizer.encode(w, add_special_tokens=False).ids
+        assert bpe.Block(pa.array([w]), vocab).tokens(0, 1).tolist() == want
+        assert vocab.ids[vocab._encode_by_merging(bpe.normalised(w).encode())].tolist() == want
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 5000)
+    vocab = bpe.Vocabulary(bpe.vocabulary_path())
+    for k in range(20):
+        bpe.Block(pa.array([" ".join(f"word{k}x{j}" for j in range(20))]), vocab)
+        assert vocab.known_bytes <= 5000 and len(vocab.known) < 60
+
+
 def test_digest_query(spark, sf, docs, tokenizer):
     got = {r.doc_id: tuple(r)[1:] for r in entries.QUERIES["op4_bpe"](spark, sf).collect()}
     for i, t, _, _ in docs:
@@ -134,6 +154,109 @@ def test_language_on_held_out_documents(spark, docs):
     assert sum(a == b for a, b in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in got.values())
 
 
+def grams_of(text):
+    """Blended n-grams of a text as tuples, all that is no letter being one symbol."""
+    symbols = [c if langid._LETTER.match(c) else "" for c in text.lower()]
+    return {tuple(symbols[i : i + n]) for n in langid.ORDERS for i in range(len(symbols) - n + 1)}
+
+
+def test_the_language_kernel_equals_sets_of_n_grams():
+    rows = [("en", "The cat sat on the mat."), ("en", "A dog!"), ("el", "Η γάτα κάθεται στο χαλί"), ("ja", "猫はマットの上に座った。"), ("ru", "Кошка сидит на коврике"), ("am", "ድመቷ ምንጣፉ ላይ ተቀመጠች")]
+    model = langid.Model([*rows, *rows], landmarks=2, ridge=1e-3, sharpness=4.0)
+    texts = ["The mat", "猫", "кот на коврике, 12", "x", "", "word " * 3000 + "猫", "ድመት"]
+    marks = [t for lang in model.languages for t in [x for la, x in sorted([*rows, *rows]) if la == lang][:2]]
+    sets = [grams_of(t) for t in marks]
+    got = model.kernel(texts)
+    for i, t in enumerate(texts):
+        own = grams_of(t)
+        want = [len(own & s) / math.sqrt(max(1, len(own)) * max(1, len(s))) for s in sets]
+        assert np.allclose(got[i], want, atol=1e-6), t
+    # Each script is told apart from the others by letters of its own.
+    assert [model.predict([t])[0][0] for _, t in rows] == [la for la, _ in rows]
+    many = model.predict([t for _, t in rows] * 40)  # beyond one batch
+    assert many[0] == [la for la, _ in rows] * 40
+
+
+def test_the_language_ridge_regression_is_that_of_the_nystrom_map():
+    rows = [("a", "aaa aab abb"), ("a", "aba aaa"), ("b", "bcb ccc bbc"), ("b", "cbc bcc"), ("c", "ded eee"), ("c", "dde ded")]
+    model = langid.Model(rows, landmarks=2, ridge=0.1, sharpness=1.0)
+    own = model.marks.T.astype(float) @ model.marks
+    value, vector = np.linalg.eigh(own)
+    root = vector / np.sqrt(value)
+    z = np.concatenate([model.kernel([t for _, t in sorted(rows)]) @ root, np.ones((6, 1))], 1)
+    y = np.array([[1.0 if la == c else -1.0 for c in "abc"] for la, _ in sorted(rows)])
+    w = np.diag(np.full(6, 0.5))
+    solved = np.linalg.solve(z.T @ w @ z + 0.1 * np.eye(z.shape[1]), z.T @ w @ y)
+    assert np.allclose(model.weights, root @ solved[:-1], atol=1e-6) and np.allclose(model.bias, solved[-1], atol=1e-6)
+
+
+def test_language_fit_takes_repeated_rows_once(spark):
+    rows = [(1, "the cat sat on the mat", "en")] * 3000 + [(k, f"le chat numéro {k} est là", "fr") for k in range(2, 40)] + [(50, "the dog ran", "en"), (51, "un perro corre", "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), per_language=20)
+    assert model.languages == ["en", "es", "fr"] and model.predict(["the cat ran"])[0] == ["en"]
+
+
+def count_features(texts, orders=toxicity.ORDERS, levels=toxicity.LEVELS):
+    out = []
+    for t in texts:
+        low = t.lower()
+        n_grams = collections.Counter(low[i : i + n] for n in orders for i in range(len(low) - n + 1))
+        out.append({(g, k) for g, c in n_grams.items() for k, level in enumerate(levels) if c >= level})
+    return out
+
+
+def test_toxic_features_and_ratios_equal_brute_force():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("tree stone river glum zorb".split()) for _ in range(6)) + (" zorbzorb zorb zorb zorb" if k % 3 == 0 else "") for k in range(90)]
+    y = np.array([k % 3 == 0 for k in range(90)])
+    sets = count_features(texts)
+    counts = collections.Counter((f, label) for own, label in zip(sets, y.tolist(), strict=True) for f in own)
+    want = set()
+    n, m = int(y.sum()), int((~y).sum())
+    for f in {f for own in sets for f in own}:
+        p, q = counts[f, True], counts[f, False]
+        table = [(p, n), (q, m), (n - p, n), (m - q, m)]
+        e = (p + q) / (n + m)
+        stat = 2 * sum(o * math.log(o / (size * (e if k < 2 else 1 - e))) for k, (o, size) in enumerate(table) if o)
+        lower = (f[0], f[1] - 1)
+        if p + q >= 3 and stat >= 8.0 and (f[1] == 0 or (counts[lower, True], counts[lower, False]) != (p, q)):
+            want.add(f)
+    hashes, levels = toxicity._select(texts, y, 8.0)
+    hash_of = lambda g: [h for n, h in toxicity._grams(np.array([ord(c) for c in g], np.uint32)) if n == len(g)][0][0]
+    named = {(int(hash_of(g)), k): (g, k) for g, k in {f for own in sets for f in own}}
+    got = [named[int(h), int(k)] for h, k in zip(hashes, levels, strict=True)]
+    assert set(got) == want and len(got) == len(want) > 20
+    features = toxicity.Features(hashes, levels)
+    present = features.present(texts)
+    assert [{got[i] for i in own} for own in present] == [own & want for own in sets]
+    ratio = toxicity.log_count_ratios(present, y, features.size)
+    for i, f in enumerate(got):
+        assert math.isclose(ratio[i], math.log(((counts[f, True] + 1) / (n + 1)) / ((counts[f, False] + 1) / (m + 1))), rel_tol=1e-12)
+    # The regression separates the classes, and a text of either kind gets a score of its kind.
+    model = toxicity.Model(list(zip(y.astype(int).tolist(), texts, strict=True)), g2=8.0)
+    assert model.score(["tree zorbzorb zorb zorb zorb", "tree stone"]).round().tolist() == [1.0, 0.0]
+
+
+def test_toxicity_fit_with_clashing_labels_and_repeated_rows(spark):
+    rows = [(k, f"stone river {k} " + ("zorblat grumfik " * 4 if k % 2 else "tree lake " * 4)) for k in range(60)] + [(1, "stone river 1 zorblat grumfik")] * 2000 + [(200, "tree lake " * 5)] * 2
+    said = [(k, k % 2) for k in range(60)] + [(200, 1), (200, 0), (3, 1), (None, 1), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fit = lambda: toxicity.fit(docs, spark.createDataFrame(said, "doc_id long, toxic int"), F.lit(True), g2=8.0)
+    texts = ["zorblat grumfik " * 4, "tree lake " * 4, ""]
+    a, b = fit().score(texts), fit().score(texts)
+    assert a.tolist() == b.tolist() and a[0] > 0.7 > 0.3 > a[1]
+
+
+def test_the_toxicity_query_on_held_out_documents(spark, sf):
+    got = {r.doc_id: r for r in entries.QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.01").collect()}
+    said = duckdb.sql("select doc_id, toxic from '/root/testdata/sf0.01/labels.parquet' where toxic is not null").fetchall()
+    held = [(got[i].predicted, y) for i, y in said if got[i].held_out]
+    toxic = [p for p, y in held if y]
+    assert sum(p for p, y in held if not y) <= 0.02 * len(held) and sum(toxic) >= 0.4 * len(toxic)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got.values())
+
+
 def test_toxicity_on_held_out_texts(spark):
     random.seed(5)
     plain = ["river", "stone", "window", "garden", "letter", "music", "evening", "paper", "bridge", "coffee"]
