@@ -32,6 +32,8 @@ COUNTED_IN = 16
 #: Characters of text whose features are looked up together, unless one text has more.
 TOGETHER = 1 << 18
 _SIFT_BITS = 21
+#: Bits of the slots by which the fit leaves out n-grams that are too rare to count.
+_SLOT_BITS = 24
 
 
 def _grams(points: np.ndarray):
@@ -152,10 +154,17 @@ def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _select(texts: list[str], y: np.ndarray, g2: float) -> tuple[np.ndarray, np.ndarray]:
     """Hash and level of the features whose document counts tell the classes apart."""
+    # N-grams are kept only if their slot is that of n-grams of three texts or more; most n-grams' slots are not.
+    often = np.zeros(1 << _SLOT_BITS, np.uint8)
+    slot = lambda h: h >> np.uint64(64 - _SLOT_BITS)
+    for t in texts:
+        own = np.unique(slot(_counted(t)[0]))
+        often[own] += often[own] < 3
     grams = []
     for t in texts:
         h, times = _counted(t)
-        grams.append((h, np.minimum(times, LEVELS[-1]).astype(np.uint8)))
+        kept = often[slot(h)] >= 3
+        grams.append((h[kept], np.minimum(times[kept], LEVELS[-1]).astype(np.uint8)))
     lows = np.array([-(-(k << 64) // COUNTED_IN) for k in range(COUNTED_IN)], np.uint64)
     edges = [np.append(np.searchsorted(h, lows), len(h)) for h, _ in grams]
     hashes, levels = [], []

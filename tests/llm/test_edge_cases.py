@@ -1,6 +1,7 @@
 """Every operator and every pipeline stage on awkward tables: nulls in any column, empty and long
 texts, ties and repeated rows, empty tables, extra columns whose names clash."""
 
+import collections
 import glob
 import os
 import re
@@ -104,11 +105,24 @@ def test_columns_stay_in_operators_that_keep_them(spark, awkward):
 
 def test_stages_on_awkward_and_empty_tables(spark, awkward, nothing, tmp_path):
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
-    for docs in (awkward, nothing):
-        for name, stage in corpus_pipeline.STAGES:
-            rows = stage(spark, docs, str(tmp_path))
-            assert name == "BPE" or rows.columns == docs.columns
-            assert rows.count() >= 0 and (docs is awkward or rows.count() == 0)
+    stage = dict(corpus_pipeline.STAGES)
+    assert list(stage) == ["language ID", "toxicity", "near-duplicates", "mixing", "BPE"]
+    for name, f in stage.items():
+        none = f(spark, nothing, str(tmp_path))
+        assert none.collect() == [] and (name == "BPE" or none.columns == nothing.columns)
+    ids = lambda rows: collections.Counter(r.doc_id for r in rows)
+    every = ids(awkward.collect())
+    # Texts without a letter go; repeated rows, long texts and rows without an id stay.
+    known = stage["language ID"](spark, awkward, str(tmp_path))
+    assert known.columns == awkward.columns and ids(known.collect()) == every - collections.Counter([4, 5, 6, 10])
+    clean = stage["toxicity"](spark, awkward, str(tmp_path))
+    assert clean.columns == awkward.columns and ids(clean.collect()) <= every and {4, 5, 6} <= set(ids(clean.collect()))
+    single = stage["near-duplicates"](spark, awkward, str(tmp_path)).collect()
+    assert ids(single) == collections.Counter([1, 3, 4, 5, 6, 7, 8, 9, 10, 11, None])
+    mixed = stage["mixing"](spark, awkward, str(tmp_path))
+    assert mixed.columns == awkward.columns and set(ids(mixed.collect())) <= set(every)
+    encoded = {r.doc_id: r for r in stage["BPE"](spark, awkward, str(tmp_path)).collect()}
+    assert len(encoded) == len(every) and encoded[4].n_tokens == encoded[5].n_tokens == encoded[6].n_tokens == 0 < encoded[7].n_tokens
 
 
 def test_training_order_of_awkward_and_empty_tables(spark, awkward, nothing, tmp_path):
