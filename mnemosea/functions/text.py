@@ -10,7 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-STOP_WORDS = "a an and are as at be but by for from has have i in is it of on or that the to was were with you".split()
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "i", "in", "is", "it",
+    "of", "on", "or", "that", "the", "to", "was", "were", "with", "you",
+)
 SECRET = r"(?i)(api[_-]?key|token|password|secret)"
 ARTIFACT = r"""(?i)(file://[^\t\n\f\r "'`]+|https?://[^\t\n\f\r "'`]+|/(?:Users|home|tmp|var|etc|opt)/[^\t\n\f\r "'`]+)"""
 DECISION_WORDS = ("decision", "方針", "採用", "却下")

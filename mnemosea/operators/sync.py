@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 EXTRACT_VERSIONS, ENQUEUED = 256, 32
+NOT_ALLOWED = "peer is not allowlisted"
+OTHER_SCHEMA, OTHER_MANIFEST, OTHER_PROTOCOL = "schema hash mismatch", "crr manifest hash mismatch", "protocol mismatch"
+NO_NAMESPACE = "at least one namespace is required"
 
 
 CELL_COLUMNS = ("tbl", "pk", "cid", "val", "kind", "col_version", "site_id", "cl")
@@ -72,18 +75,18 @@ def allowed_peers(requests: DataFrame, peers: DataFrame) -> DataFrame:
 
 
 def handshakes(requests: DataFrame, peers: DataFrame, *, schema_hash: str, manifest_hash: str, protocol: str, oldest: str) -> DataFrame:
-    """The first reason to refuse each request, or none, and whether it fences the peer. The reasons' wording."""
+    """The first reason to refuse each request, or none, and whether it fences the peer."""
     rows = allowed_peers(requests, peers)
     reason = (
-        F.when(~F.col("allowed"), "peer is not allowlisted")
-        .when(F.col("schema_hash") != schema_hash, "schema hash mismatch")
-        .when(F.col("manifest_hash") != manifest_hash, "crr manifest hash mismatch")
-        .when((F.col("min_protocol") > protocol) | (F.lit(oldest) > F.col("protocol")), "protocol mismatch")
-        .when(F.size("namespaces") == 0, "at least one namespace is required")
+        F.when(~F.col("allowed"), NOT_ALLOWED)
+        .when(F.col("schema_hash") != schema_hash, OTHER_SCHEMA)
+        .when(F.col("manifest_hash") != manifest_hash, OTHER_MANIFEST)
+        .when((F.col("min_protocol") > protocol) | (F.lit(oldest) > F.col("protocol")), OTHER_PROTOCOL)
+        .when(F.size("namespaces") == 0, NO_NAMESPACE)
         .otherwise("")
     )
     rows = rows.withColumn("reason", reason)
-    return rows.select("request_id", "peer_id", "reason", F.col("reason").isin("schema hash mismatch", "crr manifest hash mismatch").alias("schema_fenced"))
+    return rows.select("request_id", "peer_id", "reason", F.col("reason").isin(OTHER_SCHEMA, OTHER_MANIFEST).alias("schema_fenced"))
 
 
 def quarantined(batches: DataFrame) -> DataFrame:
@@ -172,7 +175,7 @@ def applied(stored: DataFrame, incoming: DataFrame, batches: DataFrame, claims:
     """
     bad = claims.filter(F.col("signature_status").isin("invalid_signature", "unknown_peer")).groupBy("batch_id").agg(F.min("signature_status").alias("bad"))
     judged = allowed_peers(batches, peers).join(bad, "batch_id", "left")
-    reason = F.when(~F.col("allowed"), "peer is not allowlisted").when(F.col("schema_hash") != schema_hash, "schema hash mismatch").otherwise(F.coalesce("bad", F.lit("")))
+    reason = F.when(~F.col("allowed"), NOT_ALLOWED).when(F.col("schema_hash") != schema_hash, OTHER_SCHEMA).otherwise(F.coalesce("bad", F.lit("")))
     judged = judged.select("batch_id", "peer_id", reason.alias("reason"))
     good = incoming.join(judged.filter("reason = ''").drop("reason"), "batch_id")
     changes = merged_changes(stored.select(*CELL_COLUMNS).unionByName(good.select(*CELL_COLUMNS)))
