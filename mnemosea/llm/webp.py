@@ -877,17 +877,22 @@ def _references(green: np.ndarray, image: np.ndarray, base: np.ndarray, count: n
     own, key = image[spot].astype(np.uint64), gram[spot]
     old = _earlier(((key * np.uint64(0x9E3779B97F4A7C15) + own * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.int64))
     good = np.flatnonzero((old >= 0) & (key == key[old]) & (own == own[old]))
-    spot, old = spot[good], spot[old[good]]
-    left = stop[image[spot]] - spot
-    length = np.full(len(spot), 8)
-    todo = np.flatnonzero(length < left)
+    own, spot, old = own[good], spot[good], spot[old[good]]
+    # Places of one longer match, which look equally far back and lie in each other's eight pixels, end where the last of them ends.
+    last = np.ones(len(spot), bool)
+    last[:-1] = (np.diff(spot) > 8) | (np.diff(spot - old) != 0) | (own[1:] != own[:-1])
+    last = np.flatnonzero(last)
+    end, back, left = spot[last] + 8, (spot - old)[last], stop[image[spot[last]]]
+    todo = np.flatnonzero(end < left)
     while len(todo):
-        at = length[todo]
-        differ = gram[np.minimum(spot[todo] + at, n - 1)] ^ gram[np.minimum(old[todo] + at, n - 1)]
+        at, most = end[todo], left[todo]
+        differ = gram[at] ^ gram[at - back[todo]]
         low = differ & (~differ + np.uint64(1))
         same = np.where(differ == 0, 8, (np.frexp(low.astype(np.float64))[1] - 1) >> 3)
-        length[todo] = np.minimum(at + same, left[todo])
-        todo = todo[(same == 8) & (length[todo] < left[todo])]
+        at = np.minimum(at + same, most)
+        end[todo] = at
+        todo = todo[(same == 8) & (at < most)]
+    length = np.repeat(end, np.diff(last, prepend=-1)) - spot
     # Greedy: of each image the first reference, then the first one after its end, and so on.
     taken = np.zeros(len(spot), bool)
     edge = np.searchsorted(spot, stop)
@@ -989,7 +994,7 @@ FEW = 40
 #: Columns, and rows at most, of a stored image; a byte is a grey pixel.
 WIDE, HIGH = 64, 32
 #: Pixels of the images that are coded side by side, and bytes of text that a worker holds.
-PIXELS, TOGETHER = 1 << 20, 2 << 20
+PIXELS, TOGETHER = 1 << 21, 4 << 20
 
 
 def _entropy(block: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
