@@ -82,12 +82,16 @@ def test_empty_text_embeds_to_zero(spark):
     assert [list(r[0]) for r in df.select(vectors.local_embedding(text.tokens(F.col("t")))).collect()] == [[0.0] * 8] * 2
 
 
+def stored(spark, docs):
+    return search.rebuild(spark.createDataFrame([(*d, "active", "normal") for d in docs], "unit_id string, title string, body string, state string, sensitivity string"))
+
+
 def test_bm25_equals_the_text_index(spark):
     docs = [("u1", "alpha beta", "gamma gamma delta"), ("u2", "beta", "alpha alpha alpha epsilon"), ("u3", "", "zeta eta theta"), ("u4", "gamma", ""), ("u5", "café", "naïve")]
     con = sqlite3.connect(":memory:")
     con.execute("create virtual table f using fts5(id unindexed, title, body)")
     con.executemany("insert into f values (?, ?, ?)", docs)
-    index = spark.createDataFrame(docs, "unit_id string, title string, body string")
+    index = stored(spark, docs)
     for q in ("alpha", "gamma OR delta", "cafe OR zeta OR beta"):
         want = {i: s for i, s in con.execute("select id, bm25(f) from f where f match ?", (q,))}
         queries = spark.createDataFrame([(1, q.replace(" OR ", " "))], "query_id long, query string")
@@ -96,7 +100,7 @@ def test_bm25_equals_the_text_index(spark):
 
 
 def test_symbols_in_a_query_do_no_harm_and_unmatched_queries_fall_back(spark):
-    index = spark.createDataFrame([("u1", "c", "cpp code"), ("u2", "", "interesting")], "unit_id string, title string, body string")
+    index = stored(spark, [("u1", "c", "cpp code"), ("u2", "", "interesting")])
     queries = spark.createDataFrame([(1, "c++ cpp"), (2, "terest")], "query_id long, query string")
     got = {(r.query_id, r.unit_id) for r in search.lexical_with_fallback(index, queries, 10).collect()}
     assert got == {(1, "u1"), (2, "u2")}

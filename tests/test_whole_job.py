@@ -81,13 +81,13 @@ def merged_by_hand(t, k):
     """{(query, unit): (semantic_rank, lexical_rank)} of the k nearest units of each query and its k best by BM25."""
     vectors = {r.unit_id: r.embedding for r in search.unit_vectors(t.units).collect()}
     near = nearest_by_hand(vectors, {r.query_id: r.qv for r in search.query_vectors(t.queries).collect()}, k)
-    lexical = {(r.query_id, r.unit_id): r.lexical_rank for r in search.lexical_with_fallback(search.indexed(t.units), t.queries, k).collect()}
+    lexical = {(r.query_id, r.unit_id): r.lexical_rank for r in search.lexical_with_fallback(search.rebuild(t.units), t.queries, k).collect()}
     return {key: (near.get(key, (0, 0))[1], lexical.get(key, 0)) for key in near | lexical}
 
 
 def test_merge_has_what_only_the_vector_side_finds(spark, sf):
     t = Tables(spark, sf)
-    matched = {r.query_id for r in search.bm25(search.indexed(t.units), t.queries).collect()}
+    matched = {r.query_id for r in search.bm25(search.rebuild(t.units), t.queries).collect()}
     # The merge takes BM25 without its fallback.
     want = {key: (a, b if key[0] in matched else 0) for key, (a, b) in merged_by_hand(t, 50).items() if a or key[0] in matched}
     got = {(r.query_id, r.unit_id): (r.semantic_rank, r.lexical_rank) for r in catalogue.QUERIES["merge_semantic"](spark, sf).collect()}
