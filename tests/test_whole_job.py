@@ -40,11 +40,11 @@ def test_traces_begin_at_every_decision(spark, sf):
         second = [e for m in {e.to_memory_id for e in first} - {root} for e in out.get(m, [])]
         want += [(root, 1, e.edge_id) for e in first] + [(root, 2, e.edge_id) for e in second]
         seen |= {root} | {e.to_memory_id for e in first + second}
-    got = [(r.root_id, r.hop, r.edge_id) for r in catalogue.QUERIES["trace_hops_all"](spark, sf).collect()]
+    got = [(r.root_id, r.hop, r.edge_id) for r in catalogue.QUERIES["trace_hops"](spark, sf).collect()]
     assert sorted(got) == sorted(want) and any(len(r) > 3 for r, _, _ in got)
     known = {a.artifact_id for a in t.artifacts.select("artifact_id").collect()}
     spans = sorted(s.span_id for s in t.spans.collect() if s.memory_id in seen and s.artifact_id in known)
-    assert sorted(r.span_id for r in catalogue.QUERIES["trace_artifacts_all"](spark, sf).collect()) == spans
+    assert sorted(r.span_id for r in catalogue.QUERIES["trace_artifacts"](spark, sf).collect()) == spans
 
 
 def nearest_by_hand(vectors, queries, k):
@@ -63,9 +63,9 @@ def test_vector_search_takes_every_hundredth_vector_in_blocks(spark, sf, monkeyp
     vectors = {r.vec_id: r.embedding for r in Tables(spark, sf).vectors.collect()}
     want = nearest_by_hand(vectors, {i: v for i, v in vectors.items() if i % 100 == 0}, 10)
     assert any(q >= 10 for q, _ in want)
-    for most in (search.MOST_QUERIES, 1):
-        monkeypatch.setattr(search, "MOST_QUERIES", max(most, len({q for q, _ in want}) - 1))
-        got = {(r.query_id, r.vec_id): (r.distance, r.semantic_rank) for r in catalogue.QUERIES["vector_topk_all"](spark, sf).collect()}
+    for together in (search.TOGETHER, 1):
+        monkeypatch.setattr(search, "TOGETHER", together)
+        got = {(r.query_id, r.vec_id): (r.distance, r.semantic_rank) for r in catalogue.QUERIES["vector_topk"](spark, sf).collect()}
         assert got == want
 
 
@@ -73,7 +73,7 @@ def test_bm25_is_explained_for_every_query_and_unit(spark, sf):
     t = Tables(spark, sf)
     own = {r.unit_id for r in t.units.filter("memory_space in ('private', 'shared')").select("unit_id").collect()}
     want = sorted((r.query_id, r.unit_id) for r in catalogue.QUERIES["fts_match"](spark, sf).collect() if r.unit_id in own)
-    got = sorted((r.query_id, r.unit_id) for r in catalogue.QUERIES["explain_bm25_all"](spark, sf).collect())
+    got = sorted((r.query_id, r.unit_id) for r in catalogue.QUERIES["explain_bm25"](spark, sf).collect())
     assert got == want and any(q % 10 for q, _ in got) and any(len(u) > 2 for _, u in got)
 
 
