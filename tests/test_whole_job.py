@@ -90,7 +90,7 @@ def test_merge_has_what_only_the_vector_side_finds(spark, sf):
     matched = {r.query_id for r in search.bm25(search.rebuild(t.units), t.queries).collect()}
     # The merge takes BM25 without its fallback.
     want = {key: (a, b if key[0] in matched else 0) for key, (a, b) in merged_by_hand(t, 50).items() if a or key[0] in matched}
-    got = {(r.query_id, r.unit_id): (r.semantic_rank, r.lexical_rank) for r in catalogue.QUERIES["merge_semantic"](spark, sf).collect()}
+    got = {(r.query_id, r.unit_id): (r.semantic_rank, r.lexical_rank) for r in catalogue.QUERIES["merge_candidates"](spark, sf).collect()}
     assert got == want and any(a and not b for a, b in got.values()) and any(b and not a for a, b in got.values())
 
 
@@ -103,6 +103,6 @@ def test_recall_with_the_vector_side(spark, sf):
     for q in {r.query_id for r in scored}:
         own = sorted((r for r in scored if r.query_id == q), key=lambda r: (-r.score, -r.authored_at_ms, r.unit_id))
         want |= {(q, r.unit_id): (r.score, rank) for rank, r in enumerate(own[:10], 1)}
-    got = {(r.query_id, r.unit_id): (r.score, r.rank) for r in catalogue.QUERIES["recall_semantic"](spark, sf).collect()}
+    got = {(r.query_id, r.unit_id): (r.score, r.rank) for r in catalogue.QUERIES["recall_topk"](spark, sf).collect()}
     assert got == want
-    assert got.keys() != {(r.query_id, r.unit_id) for r in catalogue.QUERIES["recall_topk"](spark, sf).collect()}
+    assert got.keys() != {(r.query_id, r.unit_id) for r in catalogue.QUERIES["recall_lexical"](spark, sf).collect()}
