@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mnemosea.llm.alignment import op13_alignment
 from mnemosea.llm.bpe import op4_bpe
 from mnemosea.llm.filter_audit import SQL_OP12, op12_filter_audit
 from mnemosea.llm.knn_join import SQL_OP2, op2_knn_join
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_line_dedup": op11_line_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_alignment": op13_alignment,
 }
 
 SQL: dict[str, str] = {
