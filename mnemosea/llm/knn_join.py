@@ -31,6 +31,8 @@ from mnemosea.llm._common import materialise, read_table
 PIVOTS, MOST_PIVOTS = 64, 4096
 BLOCK_ROWS = 2048
 PACK_QUERIES = 512
+#: Rows whose products with all pivots or witnesses are held at once.
+TOGETHER = 64
 #: Blocks that a task takes for a pack, about: a pack that is sent to more is dealt out among more tasks.
 TASK_BLOCKS = 16
 
@@ -68,7 +70,27 @@ def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 def _long(x: np.ndarray) -> np.ndarray:
     """Scores as long; those beyond its range count as its ends."""
-    return np.array([max(-(2**63), min(2**63 - 1, int(v))) for v in x], np.int64) if x.dtype == object else x.astype(np.int64)
+    if x.dtype != object:
+        return x.astype(np.int64)
+    return np.array([max(-(2**63), min(2**63 - 1, int(v))) for v in x.ravel()], np.int64).reshape(x.shape)
+
+
+def _floor_of(score: np.ndarray | int) -> np.ndarray:
+    """A double that is not above the score, which from 2 ** 53 on need not be a double itself."""
+    x = np.asarray(score, np.float64)
+    return np.where(np.abs(x) < 2.0**53, x, np.nextafter(x, -np.inf))
+
+
+def _floors(q: np.ndarray, ids: np.ndarray, w: np.ndarray, w_ids: np.ndarray, k: int) -> np.ndarray:
+    """For each query the k-th best score among the witnesses (or a little less), some queries at a time."""
+    out = np.full(len(q), -np.inf)
+    for i in range(0, len(q) if len(w) >= k else 0, TOGETHER):
+        own = slice(i, i + TOGETHER)
+        seen = _floor_of(_long(_products(q[own], w)))
+        seen[ids[own, None] == w_ids[None]] = -np.inf
+        seen.partition(len(w) - k, axis=1)
+        out[own] = seen[:, -k]
+    return out
 
 
 class _Best:
@@ -82,6 +104,7 @@ class _Best:
 
     def meet(self, d_ids: np.ndarray, d: np.ndarray) -> None:
         s = _products(self.q, d)
+        s = _long(s) if s.dtype == object else s
         for j in np.flatnonzero((s >= self.floor[:, None]).any(1)).tolist():
             good = np.flatnonzero((s[j] >= self.floor[j]) & (d_ids != self.q_ids[j]))
             ids = np.concatenate([self.found[j][0], d_ids[good]])
@@ -89,7 +112,7 @@ class _Best:
             best = np.lexsort((ids, -score))[: self.k]
             self.found[j] = ids[best], score[best]
             if len(best) == self.k:
-                self.floor[j] = max(self.floor[j], float(score[best[-1]]))
+                self.floor[j] = max(self.floor[j], float(_floor_of(score[best[-1]])))
 
     def rows(self) -> pa.RecordBatch:
         query = np.repeat(self.q_ids, [len(ids) for ids, _ in self.found])
@@ -120,11 +143,13 @@ def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int | No
         row[: len(s["v"])] = s["v"]
     p = np.unique(p, axis=0)
 
+    half = (p**2).sum(1) / 2
+
     def assign(batches):
         for batch in batches:
             x = _matrix(batch.column("v"), width)
-            d2 = (x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1)
-            cell = d2.argmin(1)
+            # The nearest pivot has the largest x . p - p . p / 2.
+            cell = np.concatenate([(x[i : i + TOGETHER] @ p.T - half).argmax(1) for i in range(0, len(x), TOGETHER)] or [np.zeros(0, np.int64)])
             far = np.sqrt(((x - p[cell]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "row", "cell", "far"])
 
@@ -175,12 +200,10 @@ def voronoi_top_k(vectors: DataFrame, is_query, *, k: int = 20, pivots: int | No
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], np.int64)
                 q = np.frombuffer(row["x"], kind).reshape(-1, width).astype(np.float64)
-                seen = _products(q, w).astype(np.float64)
-                seen[ids[:, None] == w_ids[None]] = -np.inf
-                floor = np.sort(seen, 1)[:, -k] if seen.shape[1] >= k else np.full(len(q), -np.inf)
+                floor = _floors(q, ids, w, w_ids, k)
                 ceiling = q @ p[used].T + np.sqrt((q**2).sum(1))[:, None] * radius[None]
                 slack = 1e-6 * (1 + np.abs(floor))
-                need = (ceiling >= (floor - slack)[:, None]).any(0)
+                need = ~(ceiling < (floor - slack)[:, None]).all(0)  # a ceiling that overflows is no reason to leave a cell out
                 to = [c * (1 << 32) + b for c, yes in zip(used, need.tolist(), strict=True) if yes for b in range(blocks[c])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["pack"]], pa.int64()), pa.array([row["ids"]], pa.binary()), pa.array([row["x"]], pa.binary()), pa.array([floor.tobytes()], pa.binary()), pa.array([to], pa.list_(pa.int64()))],
