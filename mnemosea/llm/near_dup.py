@@ -357,7 +357,7 @@ def _runs(banded: DataFrame) -> DataFrame:
 
     def scan(batches):
         held_keys, held_nodes, long_key = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        for batch in [*_with_end(batches)]:
+        for batch in _with_end(batches):
             last = batch is None
             keys = held_keys if last else np.concatenate([held_keys, np.asarray(batch.column("key"))])
             nodes = held_nodes if last else np.concatenate([held_nodes, np.asarray(batch.column("node"))])
