@@ -15,11 +15,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemosea.functions import text, vectors
-from mnemosea.functions.vectors import FNV_OFFSET, FNV_PRIME
 from mnemosea.operators import context, graph, ingest, lifecycle, maintain, recall, search, sync
 from mnemosea.sources.shared import shared_folder
 from mnemosea.streaming import workers
@@ -378,13 +378,7 @@ def register_functions(spark: SparkSession) -> None:
     """The engine's text functions for SQL, as SQL functions where an expression will do."""
     @F.pandas_udf("int")
     def hash_bucket(tokens: pd.Series, dim: pd.Series) -> pd.Series:
-        def one(t: str, d: int) -> int:
-            h = FNV_OFFSET
-            for b in t.encode():
-                h = ((h ^ b) * FNV_PRIME) & (2**64 - 1)
-            return h % d
-
-        return pd.Series([one(t, d) for t, d in zip(tokens, dim, strict=True)], dtype="int32")
+        return pd.Series(vectors.fnv_hashes(pa.array(tokens)) % dim.to_numpy().astype("uint64")).astype("int32")
 
     spark.udf.register("hash_bucket", hash_bucket)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_secret(t STRING) RETURNS BOOLEAN RETURN t RLIKE '{text.SECRET}'")

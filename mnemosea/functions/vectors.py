@@ -1,15 +1,17 @@
 """The local hashed embedding and vector arithmetic, as column expressions.
 
-For a dimension of 2^m the FNV-1a hash of a token is needed modulo the dimension only, and
-its low bits depend on low bits alone, so small integers do. Other dimensions go through
-a pandas UDF.
+Tokens are hashed byte by byte, which no expression does well, so the embedding is an Arrow kernel: each distinct token of a batch is
+hashed once, all side by side, a pair of neighbours goes on from the state of its first token, and sums of buckets are counts
+of one array. Arithmetic on vectors stays in the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from mnemosea.functions.text import let
 #: Fixed values of FNV-1a (64 bits).
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 DIMENSION, LARGEST = 8, 4096
+#: Sums of buckets that are held at once.
+CELLS_TOGETHER = 1 << 20
 
 
 class ProviderError(Exception):
@@ -40,36 +44,78 @@ def clamp_dimension(dim: int) -> int:
     return DIMENSION if dim <= 0 else min(dim, LARGEST)
 
 
-def hash_bucket(token: Column, dim: int = DIMENSION) -> Column:
-    """Unsigned FNV-1a of the UTF-8 bytes, modulo ``dim``."""
-    if dim & (dim - 1) == 0:
-        mask = dim - 1
-
-        def folded(digits: Column) -> Column:
-            n = (F.length(digits) / 2).cast("int")
-            byte = lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int")
-            step = lambda h, i: (h.bitwiseXOR(byte(i).bitwiseAND(mask)) * (FNV_PRIME & mask)).bitwiseAND(mask)
-            return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(FNV_OFFSET & mask), step)).otherwise(FNV_OFFSET % dim)
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all strings, and where each begins and how long it is; null counts as empty."""
+    strings = pc.fill_null(strings.cast(pa.large_string()), "")
+    edges = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), edges[:-1], np.diff(edges)
+
+
+def _folded(state: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The FNV-1a states after each string's bytes, of all strings side by side, the longest first."""
+    order = np.argsort(-size, kind="stable")
+    out, at, left = state[order], begin[order], size[order]
+    prime = np.uint64(FNV_PRIME)
+    n = np.searchsorted(-left, 0)  # strings with a byte
+    for k in range(int(left[0]) if len(left) else 0):
+        n = np.searchsorted(-left[:n], -k)
+        out[:n] = (out[:n] ^ data[at[:n] + k]) * prime
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def fnv_hashes(strings: pa.Array) -> np.ndarray:
+    """Unsigned 64-bit FNV-1a of the UTF-8 bytes of each string."""
+    return _folded(np.full(len(strings), FNV_OFFSET, np.uint64), *_bytes(strings))
+
+
+def embed(lists: pa.Array, dim: int) -> pa.Array:
+    """The embedding of each list of tokens; a null list has none."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    flat = lists.flatten().dictionary_encode()
+    words, code = flat.dictionary, np.asarray(flat.indices).astype(np.int64)
+    data, begin, size = _bytes(words)
+    state = _folded(np.full(len(words), FNV_OFFSET, np.uint64), data, begin, size)
+    weight = 1.0 + 0.25 * (size >= 6) + 0.15 * np.asarray(pc.match_substring_regex(words, r"\p{Nd}")).astype(bool)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    first = np.flatnonzero(row[1:] == row[:-1])
+    pair, pair_of = np.unique(code[first] * len(words) + code[first + 1], return_inverse=True)
+    left, right = pair // max(len(words), 1), pair % max(len(words), 1)
+    spaced = (state[left] ^ np.uint64(32)) * np.uint64(FNV_PRIME)
+    pair_state = _folded(spaced, data, begin[right], size[right])
+    bucket, pair_bucket = ((x % np.uint64(dim)).astype(np.int64) for x in (state, pair_state))
+    out = np.zeros((len(lists), dim))
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    step = max(1, CELLS_TOGETHER // dim)
+    for i in range(0, len(lists), step):
+        j = min(len(lists), i + step)
+        own = slice(edges[i], edges[j])
+        pairs = slice(*np.searchsorted(first, [edges[i], edges[j]]))
+        slots = np.concatenate([(row[own] - i) * dim + bucket[code[own]], (row[first[pairs]] - i) * dim + pair_bucket[pair_of[pairs]]])
+        weights = np.concatenate([weight[code[own]], np.full(pairs.stop - pairs.start, 0.5)])
+        out[i:j] = np.bincount(slots, weights, (j - i) * dim).reshape(j - i, dim)
+    total = np.cumsum(out * out, 1)[:, -1]
+    with np.errstate(all="ignore"):
+        root = total
+        for _ in range(12):
+            root = (root + total / root) * 0.5
+        out = np.where(total[:, None] > 0, out * (1.0 / root)[:, None], out)
+    made = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
+    return pc.if_else(lists.is_null(), pa.scalar(None, made.type), made) if lists.null_count else made
 
-        return let(F.hex(F.encode(token, "UTF-8")), folded)
 
-    @F.pandas_udf("int")
-    def bucket(tokens: pd.Series) -> pd.Series:
-        def one(t: str) -> int:
-            h = FNV_OFFSET
-            for b in t.encode():
-                h = ((h ^ b) * FNV_PRIME) & (2**64 - 1)
-            return h % dim
+def hash_bucket(token: Column, dim: int = DIMENSION) -> Column:
+    """Unsigned FNV-1a of the UTF-8 bytes, modulo ``dim``."""
 
-        return tokens.map(one).astype("int32")
+    @F.arrow_udf("int")
+    def bucket(tokens: pa.Array) -> pa.Array:
+        return pa.array((fnv_hashes(tokens) % np.uint64(dim)).astype(np.int32), mask=np.asarray(tokens.is_null()))
 
     return bucket(token)
 
 
-def token_weight(token: Column) -> Column:
-    return F.lit(1.0) + F.when(F.octet_length(token) >= 6, 0.25).otherwise(0.0) + F.when(token.rlike(r"\p{Nd}"), 0.15).otherwise(0.0)
-
-
 def newton_root(value: Column) -> Column:
     """Twelve Newton steps from the value itself; not converged for large values, by definition."""
     return F.aggregate(F.sequence(F.lit(1), F.lit(12)), value, lambda x, _: (x + value / x) * 0.5)
@@ -86,17 +132,12 @@ def normalised(vector: Column) -> Column:
 
 def local_embedding(tokens: Column, dim: int = DIMENSION) -> Column:
     """Normalised bucket sums of token weights and of half for each pair of neighbours."""
-    def sums(words: Column) -> Column:
-        n = F.size(words)
-        single = F.transform(words, lambda t: F.struct(hash_bucket(t, dim).alias("b"), token_weight(t).alias("w")))
-        places = F.when(n >= 2, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        pair = lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1))
-        double = F.transform(places, lambda i: F.struct(hash_bucket(pair(i), dim).alias("b"), F.lit(0.5).alias("w")))
-        # The sums of all buckets are the state of one pass over the parts.
-        state = F.array_repeat(F.lit(0.0), dim)
-        return F.aggregate(F.concat(single, double), state, lambda a, p: F.transform(a, lambda x, k: x + F.when(p["b"] == k, p["w"]).otherwise(0.0)))
-
-    return normalised(let(tokens, sums))
+
+    @F.arrow_udf("array<double>")
+    def embedded(lists: pa.Array) -> pa.Array:
+        return embed(lists, dim)
+
+    return embedded(tokens)
 
 
 def compressed(vector: Column, dim: int) -> Column:
