@@ -1080,3 +1080,18 @@ def verify_signatures(t):
 @query(sql("SELECT namespace AS batch_id, bool_or(signature_status IN ('unknown_peer', 'invalid_signature')) AS quarantined, count(*) AS claims FROM x_stated GROUP BY namespace", x_stated=_STATED))
 def batch_verify(t):
     return signing.batch_verdicts(_signed_claims(t))
+
+
+#: Every claim is in the batch of its origin too, where some come with another text than was signed.
+_TWICE = """SELECT namespace AS batch_id, signature_status FROM x_stated UNION ALL SELECT 'from/' || b.origin_peer_id, CASE WHEN s.signature_status = 'valid' AND length(s.memory_id) % 4 = 0 THEN 'invalid_signature' ELSE s.signature_status END
+ FROM x_stated s JOIN b_nodes b USING (memory_id)"""
+
+
+@query(sql("SELECT batch_id, bool_or(signature_status IN ('unknown_peer', 'invalid_signature')) AS quarantined, count(*) AS claims FROM x_twice GROUP BY batch_id", x_stated=_STATED, x_twice=_TWICE))
+def batch_verify_shared(t):
+    """Memories that are in two batches each, well signed in one and badly in the other."""
+    claims = _signed_claims(t)
+    peers = t.nodes.select("memory_id", F.concat(F.lit("from/"), "origin_peer_id").alias("other"))
+    changed = F.when(F.length("memory_id") % 4 == 0, F.concat("claim", F.lit("  "))).otherwise(F.col("claim"))
+    again = claims.join(peers, "memory_id").select("memory_id", changed.alias("claim"), "signature", "public_key", F.col("other").alias("batch_id"))
+    return signing.batch_verdicts(claims.unionByName(again))

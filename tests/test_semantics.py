@@ -242,20 +242,79 @@ def test_candidates_are_reviewed_once(spark):
 
 
 def test_ed25519_vectors():
-    seed = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
-    assert signing.public_key(seed).hex() == "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"
-    signature = signing.sign(seed, b"")
-    assert signature.hex().startswith("e5564300c360ac729086e2cc806e828a") and signing.verify(signing.public_key(seed), b"", signature)
-    assert not signing.verify(signing.public_key(seed), b"x", signature) and not signing.verify(b"", b"", signature)
+    # Of RFC 8032: seed, public key, message, signature.
+    vectors_ = [
+        ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+        ("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb", "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+        ("c5aa8df43f9f837bedb7442f31dcb7b166d38535076f094b85ce3a2e0b4458f7", "fc51cd8e6218a1a38da47ed00230f0580816ed13ba3303ac5deb911548908025", "af82", "6291d657deec24024827e69c3abe01a30ce548a284743a445e3680d7db5ac3ac18ff9b538d16f290ae67f760984dc6594a7c15e9716ed28dc027beceea1ec40a"),
+    ]
+    for seed, key, message, signature in (map(bytes.fromhex, v) for v in vectors_):
+        assert signing.public_key(seed) == key and signing.sign(seed, message) == signature and signing.verify(key, message, signature)
+        assert not signing.verify(key, message + b"x", signature) and not signing.verify(b"", message, signature) and not signing.verify(key, message, b"")
+
+
+def test_signatures_are_verified_together_as_alone(monkeypatch):
+    seeds = [bytes([k]) * 32 for k in range(3)]
+    rows = []
+    for k in range(60):
+        seed, message = seeds[min(2, k // 28)], b"message %d" % k  # keys that come often, and one that does not
+        key, signature = signing.public_key(seed), signing.sign(seed, message)
+        if k % 5 == 1:
+            signature = signature[:-1] + bytes([signature[-1] ^ 1])
+        if k % 7 == 2:
+            message += b"!"
+        if k % 11 == 3:
+            signature = signature[:32] + (int.from_bytes(signature[32:], "little") + signing._L).to_bytes(32, "little")  # s is not reduced
+        if k % 13 == 4:
+            key = (2).to_bytes(32, "little") if k % 2 else (signing._P + 1).to_bytes(32, "little")  # no point, or not in its one form
+        if k == 40:
+            signature = (signing._P + 3).to_bytes(32, "little") + signature[32:]
+        rows.append((key, message, signature))
+    want = [k % 5 != 1 and k % 7 != 2 and k % 11 != 3 and k % 13 != 4 and k != 40 for k in range(60)]
+    adds = [0]
+    for name in ("_add", "_double"):
+        f = getattr(signing, name)
+        monkeypatch.setattr(signing, name, lambda *a, f=f: (adds.__setitem__(0, adds[0] + 1), f(*a))[1])
+    for windows in ({8: 300, 4: 6}, {8: 2}, {4: 2}, {}):
+        monkeypatch.setattr(signing, "WINDOWS", windows)
+        assert signing.verify_together(*map(list, zip(*rows, strict=True))) == want
+    assert signing.verify_together([], [], []) == []
+
+
+def test_a_frequent_key_takes_a_fifth_of_the_additions(monkeypatch):
+    """Additions a signature, with the building of the key's table shared by the claims of a batch."""
+    seed = bytes(32)
+    n, steps = 2000, [0]
+    key = signing.public_key(seed)
+    signing._base_windows()
+    signing._key_windows.cache_clear()
+    for name in ("_add", "_double"):
+        f = getattr(signing, name)
+        monkeypatch.setattr(signing, name, lambda *a, f=f: (steps.__setitem__(0, steps[0] + 1), f(*a))[1])
+    signature = signing.sign(seed, b"claim")
+    assert all(signing.verify_together([key] * n, [b"claim"] * n, [signature] * n))
+    together = steps[0] / n + 64  # one for each window of two scalars of 256 bits
+    steps[0] = 0
+    signing._times(int.from_bytes(signature[32:], "little"), signing._BASE)
+    signing._times(int.from_bytes(signature[:32], "little") % signing._L, signing._unpacked_key(key))
+    assert 5 * together < steps[0] + 1
 
 
 def test_signature_states_and_batches(spark):
     seed = bytes(32)
     key, good = signing.public_key(seed), signing.sign(seed, b"claim")
-    rows = [("v", "claim", good, key, 1), ("i", "other", good, key, 2), ("m", "claim", b"", key, 1), ("u", "claim", good, b"", 3)]
+    rows = [("v", "claim", good, key, 1), ("i", "other", good, key, 2), ("m", "claim", b"", key, 1), ("u", "claim", good, b"", 3), ("n", None, good, key, 4)]
     df = spark.createDataFrame(rows, "memory_id string, claim string, signature binary, public_key binary, batch_id long")
-    assert {r[0]: r[1] for r in signing.signature_state(df).collect()} == {"v": "valid", "i": "invalid_signature", "m": "missing_signature", "u": "unknown_peer"}
-    assert {r[0]: r[1] for r in signing.batch_verdicts(df).collect()} == {1: False, 2: True, 3: True}
+    assert {r[0]: r[1] for r in signing.signature_state(df).collect()} == {"v": "valid", "i": "invalid_signature", "m": "missing_signature", "u": "unknown_peer", "n": "invalid_signature"}
+    assert {r[0]: r[1] for r in signing.batch_verdicts(df).collect()} == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_a_memory_in_a_good_and_a_bad_batch(spark):
+    seed = bytes(32)
+    key, good = signing.public_key(seed), signing.sign(seed, b"claim")
+    rows = [("v", "claim", good, key, "good"), ("v", "changed", good, key, "bad"), ("w", "claim", good, key, "good")]
+    df = spark.createDataFrame(rows, "memory_id string, claim string, signature binary, public_key binary, batch_id string")
+    assert sorted(tuple(r) for r in signing.batch_verdicts(df).collect()) == [("bad", True, 1), ("good", False, 2)]
 
 
 def test_canonical_claim_escapes_markup(spark):
