@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,11 @@ from mnemosea.llm.bpe import PairTable, byte_letters, ragged, vocabulary_path
 #: Places of the two vocabulary files; parameters of every function here.
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are encoded together, and of ids that are swept together.
-TOGETHER, SWEPT = 2 << 20, 2 << 20
+TOGETHER, SWEPT = 4 << 20, 2 << 20
 #: Tokens in a run of events.
 RUN = 4096
-#: Bytes, about, of the encoded pieces that a worker remembers; when they are full it forgets them all.
-KNOWN_BYTES = 24 << 20
+#: Pieces that A encodes in a row.
+IN_A_ROW = 8192
 SPACE = 0x20
 
 
@@ -62,8 +64,23 @@ class Tokenizers:
         self.kind = np.uint16 if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else np.uint32
         #: Pieces may be encoded apart if none goes on over a space.
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known: dict[bytes, tuple[bytes, bytes, bool]] = {}
-        self.known_bytes = 0
+        self.fast = self._fast(vocab, of_letter)
+
+    def _fast(self, vocab: dict[str, int], of_letter: dict[str, int]):
+        """A quicker encoder of A's vocabulary for texts of ASCII and Latin-1 letters, of which all versions of Unicode think alike;
+        None if A's ids are not in the order of its merges, or it splits words otherwise."""
+        import public_tokenizers
+        import tiktoken
+
+        spec = json.loads(self.a.to_str())
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        made = [vocab["".join(m)] for m in merges]
+        splits = spec["pre_tokenizer"] or {}
+        if made != sorted(made) or spec["normalizer"] or splits.get("type") != "ByteLevel" or not splits.get("use_regex") or splits.get("add_prefix_space"):
+            return None
+        special = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(map(of_letter.__getitem__, t)): i for t, i in vocab.items() if t not in special}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @functools.cached_property
     def pairs(self) -> np.ndarray:
@@ -95,22 +112,74 @@ class Tokenizers:
         table = np.frombuffer("".join(str(i).ljust(width) for i in range(n)).encode(), np.uint8).reshape(n, width)
         return table, (table != SPACE).sum(1)
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        texts = [p.decode() for p in pieces]
-        ids_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+    @functools.cached_property
+    def spelling(self) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+        """The bytes of all tokens of each side, and where each token's begin."""
+        return tuple((np.frombuffer(b"".join(own), np.uint8), np.cumsum(n) - n) for own, n in zip((self.bytes_a, self.bytes_b), self.lengths, strict=True))
+
+    def encode(self, pieces: pa.LargeBinaryArray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For pieces that begin with a space: the ids of A and B of all, how many each piece has, and whether both spell it."""
+        data, starts = _raw(pieces)
+        size = np.diff(starts)
+        texts = pieces.cast(pa.large_string()).to_pylist()
         ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)  # B writes the space itself
-        for p, a, b in zip(pieces, ids_a, ids_b, strict=True):
-            good = b"".join(map(self.bytes_a.__getitem__, a)) == p == b"".join(map(self.bytes_b.__getitem__, b))
-            self.known[p] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), good
-            self.known_bytes += 300 + len(p) + 4 * (len(a) + len(b))
-
-    def encode(self, pieces: list[bytes]) -> list[tuple[bytes, bytes, bool]]:
-        """For each piece, which begins with a space, the ids of A and B and whether they spell it."""
-        if self.known_bytes > KNOWN_BYTES:
-            self.known, self.known_bytes = {}, 0
-        if new := [p for p in pieces if p not in self.known]:
-            self._learn(new)
-        return [self.known[p] for p in pieces]
+        count_b = np.fromiter(map(len, ids_b), np.int64, len(ids_b))
+        ids = [self._encoded_by_a(texts, data, starts, size), (np.fromiter(chain.from_iterable(ids_b), np.int64, int(count_b.sum())), count_b)]
+        good = np.ones(len(size), bool)
+        for (own, n), length, (letters, begin) in zip(ids, self.lengths, self.spelling, strict=True):
+            owner = np.repeat(np.arange(len(n)), n)
+            same = np.bincount(owner, length[own], len(n)).astype(np.int64) == size
+            good &= same
+            some = same[owner]
+            spelt = letters[ragged(begin[own[some]], length[own[some]])]
+            wrong = spelt != data[ragged(starts[:-1][same], size[same])]
+            good[np.repeat(np.flatnonzero(same), size[same])[wrong]] = False
+        return [i for i, _ in ids], [n for _, n in ids], good
+
+    def _encoded_by_a(self, texts: list[str], data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, latin = data == 0xC3, np.zeros(len(data), bool)
+        latin[1:] = first[:-1] & (data[1:] >= 0x80)
+        shown = ((data > SPACE) & (data < 0x7F)) | latin
+        simple = np.logical_and.reduceat(shown | first | (data == SPACE) | (data == 9) | (data == 10) | (data == 13), starts[:-1]) if len(size) else np.zeros(0, bool)
+        if self.fast is None:
+            simple[:] = False
+        last = np.minimum(starts[:-1] + 1, len(data) - 1)
+        # Pieces that begin with one space and end with a letter or sign are encoded in a row, as they would be apart.
+        rowed = np.flatnonzero(simple & (size > 1) & (shown[last] | first[last]) & shown[starts[1:] - 1])
+        count = np.zeros(len(size), np.int64)
+        found: dict[int, list[int]] = {}
+        in_row = []
+        for k in range(0, len(rowed), IN_A_ROW):
+            own = rowed[k : k + IN_A_ROW]
+            ids = np.array(self.fast.encode_ordinary("".join([texts[i] for i in own.tolist()])), np.int64)
+            ends = np.cumsum(self.lengths[0][ids])
+            edge = np.searchsorted(ends, np.cumsum(size[own]))
+            if (ends[edge] == np.cumsum(size[own])).all():
+                count[own] = np.diff(edge, prepend=-1)
+                in_row.append(ids)
+            else:
+                raise ValueError("pieces of A are not encoded in a row as they are apart")
+        alone = np.ones(len(size), bool)
+        alone[rowed] = False
+        slow = np.flatnonzero(alone & ~simple).tolist()
+        found |= dict(zip(slow, (e.ids for e in self.a.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False)), strict=True))
+        for i in np.flatnonzero(alone & simple).tolist():
+            found[i] = self.fast.encode_ordinary(texts[i])
+        apart = sorted(found)
+        count[apart] = [len(found[i]) for i in apart]
+        begin = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.int64)
+        if len(rowed):
+            out[ragged(begin[rowed], count[rowed])] = np.concatenate(in_row)
+        out[ragged(begin[apart], count[apart])] = np.fromiter(chain.from_iterable(found[i] for i in apart), np.int64)
+        return out, count
+
+
+def _raw(pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all pieces and where each begins (one more than pieces)."""
+    starts = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+    data = np.frombuffer(pieces.buffers()[2], np.uint8) if pieces.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[starts[0] : starts[-1]], starts - starts[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -135,24 +204,24 @@ def _both_encoded(texts: pa.Array, both: Tokenizers) -> tuple[list[np.ndarray],
     at = np.flatnonzero(np.asarray(full))
     own = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.filter(full).cast(pa.large_string()), pa.scalar("", pa.large_string()))
     data, starts = text_bytes(own)
-    edges = np.unique(np.concatenate([starts, cuts(data)])) if both.apart else starts
-    edges = np.ascontiguousarray(edges, np.int64)
+    begins = np.zeros(len(data), bool)
+    begins[starts[:-1]] = True
+    if both.apart:
+        begins[cuts(data)] = True
+    edges = np.append(np.flatnonzero(begins), len(data)).astype(np.int64)
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
     distinct, code = encoded(pieces)
-    made = both.encode(distinct.to_pylist())
-    good = np.array([m[2] for m in made], bool)[code] if len(code) else np.zeros(0, bool)
+    made, size, good = both.encode(distinct)
     text = np.searchsorted(starts, edges[:-1], side="right") - 1
-    spoilt = np.bincount(text[~good], minlength=len(at)) > 0
+    spoilt = np.bincount(text[~good[code]], minlength=len(at)) > 0
     stays = ~spoilt[text]
+    used = code[stays]
     ids, offsets = [], []
     for side in (0, 1):
-        parts = [m[side] for m in made]
-        size = np.array([len(p) // 4 for p in parts], np.int64)
-        words = np.frombuffer(b"".join(parts), np.int32)
-        used = code[stays]
-        ids.append(words[ragged((np.cumsum(size) - size)[used], size[used])])
+        begin = np.cumsum(size[side]) - size[side]
+        ids.append(made[side][ragged(begin[used], size[side][used])])
         n = np.zeros(len(texts), np.int64)
-        n[at] = np.bincount(text[stays], size[used], len(at))
+        n[at] = np.bincount(text[stays], size[side][used], len(at))
         offsets.append(np.concatenate([[0], np.cumsum(n)]))
     return ids, offsets
 

@@ -98,13 +98,32 @@ def test_short_runs_and_slices(spark, both, monkeypatch):
         assert aligned(spark, docs) == want
 
 
-def test_forgetful_workers_and_empty_tables(spark, both, monkeypatch):
+def test_few_pieces_in_a_row_and_empty_tables(spark, both, monkeypatch):
     docs = [(k, f"text number {k} of some") for k in range(30)]
-    monkeypatch.setattr(alignment, "KNOWN_BYTES", 0)
+    monkeypatch.setattr(alignment, "IN_A_ROW", 3)
     assert aligned(spark, docs) == by_hand(both, docs)
     assert aligned(spark, []) == []
 
 
+def test_without_the_quicker_encoder(both, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = pa.array([odd_text(rng) for _ in range(100)])
+    want = alignment._both_encoded(texts, both)
+    monkeypatch.setattr(both, "fast", None)
+    got = alignment._both_encoded(texts, both)
+    assert all((a == b).all() for a, b in zip(sum(want, []), sum(got, []), strict=True))
+
+
+def test_latin_words_alike_in_both_encoders_of_a(both):
+    rng = random.Random(10)
+    letters = [chr(k) for k in [*range(32, 127), *range(0xC0, 0x100), 9, 10, 13]]
+    for _ in range(300):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(1, 80)))
+        assert both.fast.encode_ordinary(t) == both.a.encode(t, add_special_tokens=False).ids
+
+
 def test_columns_beside_do_not_matter(spark):
     docs = spark.createDataFrame([(1, "a b", 3, "x")], "doc_id long, text string, n_a int, row string")
     assert set(alignment.align(docs).columns) == set(COLUMNS)
