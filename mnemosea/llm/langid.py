@@ -3,12 +3,13 @@
 The kernel of two texts counts the character n-grams (n = 1, 2, 3 blended) that are
 present in both, divided by the root of the product of how many each has. Texts are
 lower-cased; every letter of every script is a symbol of its own, and what is no letter is one
-symbol. N-grams are known by a hash of SLOT_BITS bits; n-grams that share a hash count as one.
+symbol. N-grams are known by slots, of which there are SPARSE for each n-gram of the landmarks (within bounds); n-grams that
+share a slot count as one.
 
 Landmarks are a few texts of each language. The Nyström map takes a text's kernel values
 with the landmarks through the inverse root of the landmarks' own kernel matrix;
 ridge regression on it, one language against the rest, gives the weights. A batch of texts
-is scored by two matrix products: presence by landmarks, and kernel values by languages.
+is scored by two products of matrices: presence by landmarks, which are sparse, and kernel values by languages.
 
 The fit takes a sample of ``per_language`` labelled texts for each language and of
 ``fit_bytes`` in all, ``landmarks`` of them for each language and ``most_landmarks`` in all
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemosea.llm._common import crc_mod, mixed, read_table, sliced
+from mnemosea.llm.bpe import ragged
 
-#: Bits of an n-gram's hash.
-SLOT_BITS = 20
+#: Fewest and most bits of an n-gram's slot; between them, so many that the landmarks' n-grams take one slot in SPARSE at most.
+SLOT_BITS, MOST_SLOT_BITS, SPARSE = 20, 24, 16
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
 #: Characters of text that are scored together, unless one text has more.
@@ -53,21 +55,33 @@ def letters() -> np.ndarray:
 
 
 class Spectrum:
-    """The distinct n-grams of texts, as slots."""
+    """The distinct n-grams of texts, as slots of so many bits."""
 
-    def __init__(self):
+    def __init__(self, bits: int = SLOT_BITS):
         self.is_letter = letters()
-        self.place = np.zeros(1 << SLOT_BITS, np.int32)
+        self.bits = bits
+        self.place: np.ndarray | None = None
 
-    def grams(self, texts: list[str]) -> list[np.ndarray]:
-        """The slots of each text's n-grams, each once."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"place": None}  # made anew where it is needed
+
+    def hashes(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each n, 64-bit hashes of the n-grams from each place on, and where each text begins."""
         points, begin = code_points(texts)
         h = np.where(self.is_letter[points], points, 0).astype(np.uint64)
-        symbols, slots = h, []
+        symbols, out = h, []
         for n in ORDERS:
             if n > 1:
                 h = h[:-1] * np.uint64(0x110001) + symbols[n - 1 :]
-            slots.append((mixed(h * np.uint64(4) + np.uint64(n)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
+            out.append(mixed(h * np.uint64(4) + np.uint64(n)))
+        return out, begin
+
+    def grams(self, texts: list[str]) -> list[np.ndarray]:
+        """The slots of each text's n-grams, each once."""
+        if self.place is None:
+            self.place = np.zeros(1 << self.bits, np.int32)
+        hashes, begin = self.hashes(texts)
+        slots = [(h >> np.uint64(64 - self.bits)).astype(np.int32) for h in hashes]
         out = []
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
             own = np.concatenate([s[a : max(a, b - n + 1)] for n, s in zip(ORDERS, slots, strict=True)])
@@ -77,8 +91,21 @@ class Spectrum:
         return out
 
 
+def slot_bits(texts: list[str]) -> int:
+    """Bits of the slots for landmarks with these texts."""
+    spectrum = Spectrum()
+    found = np.zeros(0, np.uint64)
+    for i, j in together(texts):
+        found = np.union1d(found, np.concatenate(spectrum.hashes(texts[i:j])[0]))
+    return min(MOST_SLOT_BITS, max(SLOT_BITS, (SPARSE * len(found)).bit_length()))
+
+
 class Model:
-    """The fitted classifier; without languages it says ``und``."""
+    """The fitted classifier; without languages it says ``und``.
+
+    Landmarks are kept by slot: for each slot that any of them has, the numbers of those that have it. What a text shares with all
+    landmarks is a count of these numbers over the text's slots.
+    """
 
     def __init__(self, rows: list[tuple[str, str]], landmarks: int, ridge: float, sharpness: float, most_landmarks: int = 512):
         rows = sorted(rows)
@@ -87,35 +114,55 @@ class Model:
         if not rows:
             return
         texts = [t for _, t in rows]
-        self.spectrum = Spectrum()
         each = max(2, min(landmarks, most_landmarks // len(self.languages)))
-        marks = self.spectrum.grams([t for lang in self.languages for t in [x for y, x in rows if y == lang][:each]])
-        known = np.unique(np.concatenate(marks))
-        #: The row of ``marks`` of each slot; the last row is that of slots that no landmark has.
-        self.row = np.full(1 << SLOT_BITS, len(known), np.int32)
-        self.row[known] = np.arange(len(known))
-        self.marks = np.zeros((len(known) + 1, len(marks)), np.float32)
-        for k, g in enumerate(marks):
-            self.marks[self.row[g], k] = 1 / np.sqrt(max(1, len(g)))
-        own = self.marks.T.astype(np.float64) @ self.marks
+        of: dict[str, list[str]] = {}
+        for lang, t in rows:
+            of.setdefault(lang, []).append(t)
+        chosen = [t for lang in self.languages for t in of[lang][:each]]
+        self.spectrum = Spectrum(slot_bits(chosen))
+        marks = [g for i, j in together(chosen) for g in self.spectrum.grams(chosen[i:j])]
+        slots, owner = np.concatenate(marks), np.repeat(np.arange(len(marks), dtype=np.int32), [len(g) for g in marks])
+        order = np.argsort(slots, kind="stable")
+        self.known, first = np.unique(slots[order], return_index=True)
+        self.edge, self.owner = np.append(first, len(slots)), owner[order]
+        self.scale = 1 / np.sqrt(np.maximum(1, [len(g) for g in marks]))
+        self.row: np.ndarray | None = None
+        own = np.stack([self._shared(g) for g in marks])
         value, vector = np.linalg.eigh(own)
         keep = value > 1e-8 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
         z = np.concatenate([self.kernel(texts[i:j]) for i, j in together(texts)]) @ root
         z = np.concatenate([z, np.ones((len(z), 1))], 1)
         target = np.array([[1.0 if lang == own else -1.0 for own in self.languages] for lang, _ in rows])
-        weight = np.array([1.0 / [x for x, _ in rows].count(lang) for lang, _ in rows])
+        weight = np.array([1.0 / len(of[lang]) for lang, _ in rows])
         gram = (z * weight[:, None]).T @ z
         solved = np.linalg.solve(gram + ridge * np.eye(len(gram)), (z * weight[:, None]).T @ target)
         self.weights, self.bias = root @ solved[:-1], solved[-1]
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"row": None}  # made anew where it is needed
+
+    def _shared(self, slots: np.ndarray) -> np.ndarray:
+        """The kernel of a text, given by its slots, with each landmark."""
+        if self.row is None:
+            self.row = np.full(1 << self.spectrum.bits, -1, np.int32)
+            self.row[self.known] = np.arange(len(self.known), dtype=np.int32)
+        row = self.row[slots]
+        row = row[row >= 0]
+        begin = self.edge[row]
+        common = np.bincount(self.owner[ragged(begin, self.edge[row + 1] - begin)], minlength=len(self.scale))
+        return common * self.scale / np.sqrt(max(1, len(slots)))
+
+    @property
+    def marks(self) -> np.ndarray:
+        """The landmarks as columns over their slots, for models small enough."""
+        out = np.zeros((len(self.known), len(self.scale)))
+        out[np.repeat(np.arange(len(self.known)), np.diff(self.edge)), self.owner] = 1.0
+        return out * self.scale
+
     def kernel(self, texts: list[str]) -> np.ndarray:
         """The kernel of each text with each landmark."""
-        grams = self.spectrum.grams(texts)
-        has = np.zeros((len(texts), len(self.marks)), np.float32)
-        for i, g in enumerate(grams):
-            has[i, self.row[g]] = 1 / np.sqrt(max(1, len(g)))
-        return has @ self.marks
+        return np.stack([self._shared(g) for g in self.spectrum.grams(texts)])
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language of each text and its share in a softmax over the languages."""
@@ -177,7 +224,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     the model had nothing to learn from. Equal texts get equal results; repeated rows stay.
     An empty table gives no rows. Only doc_id and text are read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks, languages and slots
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the n-grams of the landmarks, and landmarks times languages
 
     def run(batches):
         model = held.value
