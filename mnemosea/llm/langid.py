@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemosea.llm._common import crc_mod, mixed, read_table, sliced
+from mnemosea.llm._common import crc_mod, give_back, mixed, read_table, sliced
 from mnemosea.llm.bpe import ragged
 
 #: Fewest and most bits of an n-gram's slot; between them, so many that the landmarks' n-grams take one slot in SPARSE at most.
@@ -214,7 +214,9 @@ def fit(
             room -= r["size"]
     ids = docs.sparkSession.createDataFrame(chosen, "chosen long")
     texts = rows.join(F.broadcast(ids), F.col("row") == F.col("chosen"), "left_semi").groupBy("row").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
-    return Model([(r["lang"], r["text"]) for r in texts.collect()], landmarks, ridge, sharpness, most_landmarks)
+    model = Model([(r["lang"], r["text"]) for r in texts.collect()], landmarks, ridge, sharpness, most_landmarks)
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

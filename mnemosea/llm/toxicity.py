@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemosea.llm._common import crc_mod, read_table, sliced
+from mnemosea.llm._common import crc_mod, give_back, read_table, sliced
 from mnemosea.llm.langid import code_points
 from mnemosea.llm.near_dup import BUCKETS, shingle_sets, sketch
 
@@ -29,6 +29,8 @@ ORDERS = (3, 4, 5, 6)
 LEVELS = (1, 2, 4)
 #: Parts of the n-grams, by hash, that the fit counts one after another.
 COUNTED_IN = 16
+#: Parts of which the n-grams are held at once; the texts are read again for the next ones.
+HELD = 4
 #: Characters of text whose features are looked up together, unless one text has more.
 TOGETHER = 1 << 18
 _SIFT_BITS = 21
@@ -160,16 +162,20 @@ def _select(texts: list[str], y: np.ndarray, g2: float) -> tuple[np.ndarray, np.
     for t in texts:
         own = np.unique(slot(_counted(t)[0]))
         often[own] += often[own] < 3
-    grams = []
-    for t in texts:
-        h, times = _counted(t)
-        kept = often[slot(h)] >= 3
-        grams.append((h[kept], np.minimum(times[kept], LEVELS[-1]).astype(np.uint8)))
     lows = np.array([-(-(k << 64) // COUNTED_IN) for k in range(COUNTED_IN)], np.uint64)
-    edges = [np.append(np.searchsorted(h, lows), len(h)) for h, _ in grams]
     hashes, levels = [], []
     for part in range(COUNTED_IN):
-        cut = [slice(e[part], e[part + 1]) for e in edges]
+        first = part % HELD
+        if first == 0:
+            grams = []
+            for t in texts:
+                h, times = _counted(t)
+                cut = slice(np.searchsorted(h, lows[part]), np.searchsorted(h, lows[part + HELD]) if part + HELD < COUNTED_IN else len(h))
+                h, times = h[cut], times[cut]
+                kept = often[slot(h)] >= 3
+                grams.append((h[kept], np.minimum(times[kept], LEVELS[-1]).astype(np.uint8)))
+            edges = [np.append(np.searchsorted(h, lows[part : part + HELD]), len(h)) for h, _ in grams]
+        cut = [slice(e[first], e[first + 1]) for e in edges]
         h = np.concatenate([g[0][c] for g, c in zip(grams, cut, strict=True)])
         times = np.concatenate([g[1][c] for g, c in zip(grams, cut, strict=True)])
         toxic = np.repeat(y, [c.stop - c.start for c in cut])
@@ -262,7 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 2
     picked = docs.sparkSession.createDataFrame(chosen, "labelled long, own long, toxic int")
     rows = texts.join(F.broadcast(picked), (F.col("doc_id") == F.col("labelled")) & (F.col("hash") == F.col("own")))
     rows = rows.groupBy("labelled").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))  # copies of a row count once
-    return Model([(r["toxic"], r["text"]) for r in rows.collect()], g2=g2)  # fit_bytes bounds it
+    model = Model([(r["toxic"], r["text"]) for r in rows.collect()], g2=g2)  # fit_bytes bounds it
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
