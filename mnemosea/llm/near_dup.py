@@ -324,8 +324,9 @@ def _round(rest: DataFrame, sketches: DataFrame, confirm, percent: int) -> tuple
     inside = rest.join(settled, "node")
     outside = materialise(rest.join(settled.select("node"), "node", "left_anti"), "dup-rest")
 
-    # Who is not linked with a leader may still be linked with a class that is, if it is near enough to the leader.
-    meets = outside.join(inside.select("key", "leader").distinct(), "key").join(sketches.withColumnsRenamed({"n": "na", "registers": "ra"}), "node")
+    # Who is not linked with a leader may still be linked with a class that is, if it is near enough to the leader. That is
+    # asked once for a class and a leader, however many keys bring them together.
+    meets = outside.join(inside.select("key", "leader").distinct(), "key").select("node", "leader").distinct().join(sketches.withColumnsRenamed({"n": "na", "registers": "ra"}), "node")
     meets = meets.join(sketches.select(F.col("node").alias("leader"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "leader")
 
     def near(batches):
@@ -335,19 +336,19 @@ def _round(rest: DataFrame, sketches: DataFrame, confirm, percent: int) -> tuple
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("ra", "rb"))
             na, nb = (np.asarray(batch.column(c)) for c in ("na", "nb"))
             good = may_link((ra == rb).mean(1), (na + nb) / 2, max(0.05, 2 * percent / 100 - 1))
-            yield batch.select(["key", "leader", "node"]).filter(pa.array(good))
+            yield batch.select(["leader", "node"]).filter(pa.array(good))
 
-    ring = materialise(meets.select("key", "leader", "node", "na", "nb", "ra", "rb").mapInArrow(near, "key long, leader long, node long"), "dup-ring")
-    around = inside.join(ring.select("key", "leader").distinct(), ["key", "leader"], "left_semi").select("key", "leader", "node")
+    ring = materialise(meets.select("leader", "node", "na", "nb", "ra", "rb").mapInArrow(near, "leader long, node long"), "dup-ring")
+    around = settled.join(ring.select("leader").distinct(), "leader", "left_semi").select("leader", "node")
     sides = ring.withColumn("own", F.lit(0)).unionByName(around.withColumn("own", F.lit(1))).join(sketches.select("node", "n"), "node")
     mine = lambda k, c: F.sum(F.when(F.col("own") == k, c).otherwise(0))
-    plan = sides.groupBy("key", "leader").agg(_blocks(mine(0, F.lit(1)), mine(0, F.col("n"))).alias("b0"), _blocks(mine(1, F.lit(1)), mine(1, F.col("n"))).alias("b1"))
-    placed = sides.select("key", "leader", "node", "own").join(plan, ["key", "leader"])
-    block = F.pmod(F.xxhash64("node", "key"), F.when(F.col("own") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int")
+    plan = sides.groupBy("leader").agg(_blocks(mine(0, F.lit(1)), mine(0, F.col("n"))).alias("b0"), _blocks(mine(1, F.lit(1)), mine(1, F.col("n"))).alias("b1"))
+    placed = sides.select("leader", "node", "own").join(plan, "leader")
+    block = F.pmod(F.xxhash64("node", "leader"), F.when(F.col("own") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("own") == 0, F.col("b1")).otherwise(F.col("b0")) - 1))
     placed = placed.withColumn("block", block).withColumn("other", others)
     first, second = F.when(F.col("own") == 0, F.col("block")).otherwise(F.col("other")), F.when(F.col("own") == 0, F.col("other")).otherwise(F.col("block"))
-    cross = placed.select("node", "own", F.xxhash64("key", "leader", first, second).alias("task"))
+    cross = placed.select("node", "own", F.xxhash64("leader", first, second).alias("task"))
     return lead, direct, materialise(cross, "dup-cross"), outside
 
 

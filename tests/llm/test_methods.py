@@ -53,7 +53,7 @@ def test_sliced_batches_keep_all_rows_in_order():
 @pytest.mark.parametrize("name", sorted(entries.SQL))
 def test_queries_equal_their_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "labels"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = entries.QUERIES[name](spark, sf)
     rel = con.sql(entries.SQL[name])
