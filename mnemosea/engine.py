@@ -149,7 +149,9 @@ class Engine:
             "suspensions": "entity_type string, entity_id string, detail string, first_seen_at_ms long, last_seen_at_ms long, resolved_at_ms long",
         }
         tables |= {n: views.spark.createDataFrame([], schema) for n, schema in empty.items()}
-        return cls(views.spark, tables, config or Config(), views.index)
+        engine = cls(views.spark, tables, config or Config())
+        own = engine.config.tokenizer != search.Index.tokenizer or engine.config.embedding_dimension != search.Index.dim
+        return engine.rebuild_index() if own else replace(engine, index=views.index)
 
     @property
     def chunk_versions(self) -> DataFrame:
@@ -174,10 +176,10 @@ class Engine:
         """The engine with the changed units in its index."""
         if self.index is None:
             return self
-        return replace(self, index=search.update(self.index, changed, self.tables["units"], dim=self.config.embedding_dimension))
+        return replace(self, index=search.update(self.index, changed, self.tables["units"]))
 
     def rebuild_index(self) -> Engine:
-        return replace(self, index=search.rebuild(self.tables["units"], dim=self.config.embedding_dimension))
+        return replace(self, index=search.rebuild(self.tables["units"], dim=self.config.embedding_dimension, tokenizer=self.config.tokenizer))
 
     def probe(self) -> dict:
         """What the engine's catalogue holds."""
@@ -359,7 +361,7 @@ class Engine:
         gone = taken.join(self.tables["units"].select("unit_id"), "unit_id", "left_anti")
         changed = self.tables["units"].join(taken, "unit_id", "left_semi")
         after = self._with(queue=queue)
-        return replace(after, index=search.update(self.index, changed, self.tables["units"], gone=gone, dim=self.config.embedding_dimension)) if self.index else after
+        return replace(after, index=search.update(self.index, changed, self.tables["units"], gone=gone)) if self.index else after
 
     def scrub(self, now_ms: int) -> Engine:
         """One run of the scrubber: orphans suspended or resolved, and what is too old in the quarantine dropped."""

@@ -65,9 +65,8 @@ def index_tokens(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    low = F.lower(text)
-    n = F.length(low)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """The trigrams of a short text, such as a query's term."""
+    return let(F.lower(text), lambda low: F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
 
 
 def chunk_kind(text: Column) -> Column:

@@ -43,7 +43,7 @@ def sections(t, queries: DataFrame, *, limit: int = 5, as_of_ms: int, rejected_w
         found = found.unionByName(search.ranked(other, [F.col("matches").desc(), F.col("unit_id")], cap, "lexical_rank", keys).select(*columns))
     if semantic:
         # The nearest vectors are taken before a section's lanes and kinds filter them, as many as its cap says.
-        near = search.nearest(index.vectors, search.query_vectors(queries), max(recall.CANDIDATES, 40 * limit)).join(placed, "unit_id").filter(F.col("semantic_rank") <= cap)
+        near = index.nearest(search.query_vectors(queries, index.dim), max(recall.CANDIDATES, 40 * limit)).join(placed, "unit_id").filter(F.col("semantic_rank") <= cap)
         near = search.ranked(near.drop("semantic_rank"), [F.col("distance"), F.col("unit_id")], cap, "semantic_rank", keys)
         found = found.join(near.select(*keys, "unit_id", "semantic_rank"), [*keys, "unit_id"], "full")
         found = found.select(*keys, "unit_id", F.coalesce("lexical_rank", F.lit(0)).cast("long").alias("lexical_rank"), F.coalesce("semantic_rank", F.lit(0)).cast("long").alias("semantic_rank"))

@@ -83,10 +83,8 @@ def best(rows: DataFrame, k, keys: tuple[str, ...] = ("query_id",)) -> DataFrame
 def semantic_candidates(index, queries: DataFrame, allowed: DataFrame | None, cap: int, *, prefilter: bool, asked: DataFrame | None = None) -> DataFrame:
     """(query_id, unit_id, semantic_rank) of the nearest vectors. ``allowed`` filters what was found, or with
     ``prefilter`` what is looked at."""
-    found, asked = index.vectors, search.query_vectors(queries) if asked is None else asked
-    if allowed is not None and prefilter:
-        found = found.join(allowed.select("unit_id"), "unit_id", "left_semi")
-    near = search.nearest(found, asked, cap)
+    asked = search.query_vectors(queries, index.dim) if asked is None else asked
+    near = index.nearest(asked, cap, allowed if prefilter else None)
     if allowed is None or prefilter:
         return near
     near = near.join(allowed.select("unit_id"), "unit_id", "left_semi").drop("semantic_rank")

@@ -30,10 +30,9 @@ SLACK = 2e-6
 
 @dataclass(frozen=True)
 class Part:
-    """One part: where it is, its number, and how many vectors it has. A later part may hold newer vectors of the same keys."""
+    """One part: its name, and how many vectors it has."""
 
-    folder: str
-    seq: int
+    seq: str
     n: int
 
 
@@ -41,15 +40,15 @@ def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(-1, dim)
 
 
-def write_part(rows: DataFrame, folder: str, seq: int, *, key: str, dim: int, cells: int | None = None) -> Part:
+def write_part(rows: DataFrame, root: str, seq: str, *, key: str, dim: int, cells: int | None = None) -> Part:
     """Writes the vectors (key, embedding) of length ``dim`` as a part. Vectors of other lengths, null ones, and those with null or
     non-finite components can't be near anything and are left out."""
     spark = rows.sparkSession
     kind = dict(rows.dtypes)[key]
     sound = (F.size("embedding") == dim) & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = rows.filter(F.col(key).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows.write.parquet(f"{folder}/rows")
-    rows = spark.read.schema(f"id {kind}, embedding array<double>").parquet(f"{folder}/rows")
+    rows.write.parquet(f"{root}/rows/seq={seq}")
+    rows = spark.read.schema(f"id {kind}, embedding array<double>").parquet(f"{root}/rows/seq={seq}")
     n = rows.count()
     cells = cells or max(1, min(MOST_CELLS, math.isqrt(n) // 2))
     seeds = rows.orderBy(F.xxhash64(F.lit(4), "id"), "id").limit(cells).collect()  # a vector for each cell
@@ -66,57 +65,59 @@ def write_part(rows: DataFrame, folder: str, seq: int, *, key: str, dim: int, ce
     placed = rows.mapInArrow(assigned, f"id {kind}, embedding array<double>, cell int, far double")
     found = placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # a row for each cell
     size = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
-    table = [(r["cell"], seq, pivots[r["cell"]].tolist(), r["radius"] * (1 + 1e-9) + 1e-12, r["n"]) for r in found]
-    spark.createDataFrame(table, "cell int, seq int, pivot array<double>, radius double, n long").coalesce(1).write.parquet(f"{folder}/cells")
+    table = [(r["cell"], pivots[r["cell"]].tolist(), r["radius"] * (1 + 1e-9) + 1e-12, r["n"]) for r in found]
+    spark.createDataFrame(table, "cell int, pivot array<double>, radius double, n long").coalesce(1).write.parquet(f"{root}/cells/seq={seq}")
     blocks = F.create_map(*[F.lit(x) for r in found for x in (r["cell"], -(-r["n"] // size))]) if found else F.create_map(F.lit(0), F.lit(1))
 
     def packed(key, table):
         x = _matrix(table["embedding"].combine_chunks(), dim)
         ids = table["id"].combine_chunks()
-        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "seq": pa.array([seq], pa.int32()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "data": pa.array([x.tobytes()], pa.binary())})
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "data": pa.array([x.tobytes()], pa.binary())})
 
     block = F.pmod(F.xxhash64("id"), F.element_at(blocks, F.col("cell"))).alias("block")
-    packs = placed.select("cell", block, "id", "embedding").groupBy("cell", "block").applyInArrow(packed, f"cell int, seq int, ids array<{kind}>, data binary")
-    packs.write.partitionBy("cell").parquet(f"{folder}/blocks")
-    return Part(folder, seq, n)
+    packs = placed.select("cell", block, "id", "embedding").groupBy("cell", "block").applyInArrow(packed, f"cell int, ids array<{kind}>, data binary")
+    packs.write.partitionBy("cell").parquet(f"{root}/blocks/seq={seq}")
+    return Part(seq, n)
 
 
 @dataclass(frozen=True)
 class VectorStore:
-    """Parts with one key and one length of vectors."""
+    """Parts with one key and one length of vectors, in one folder."""
 
     spark: SparkSession
+    root: str
     parts: tuple[Part, ...]
     key: str
     kind: str
     dim: int
 
     @classmethod
-    def build(cls, rows: DataFrame, folder: str, *, key: str, dim: int, cells: int | None = None) -> VectorStore:
-        return cls(rows.sparkSession, (write_part(rows, folder, 0, key=key, dim=dim, cells=cells),), key, dict(rows.dtypes)[key], dim)
+    def build(cls, rows: DataFrame, root: str, *, key: str, dim: int, cells: int | None = None) -> VectorStore:
+        return cls(rows.sparkSession, root, (write_part(rows, root, "first", key=key, dim=dim, cells=cells),), key, dict(rows.dtypes)[key], dim)
+
+    def _scan(self, table: str, schema: str, parts: list[str]) -> DataFrame:
+        """One scan, however many parts there are."""
+        schema = f"{schema}, seq string"
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*[f"{self.root}/{table}/seq={s}" for s in parts]) if parts else self.spark.createDataFrame([], schema)
 
     def rows(self) -> DataFrame:
         """(seq, key, embedding) of all parts."""
-        own = [self.spark.read.schema(f"id {self.kind}, embedding array<double>").parquet(f"{p.folder}/rows").select(F.lit(p.seq).alias("seq"), F.col("id").alias(self.key), "embedding") for p in self.parts if p.n]
-        out = own[0] if own else self.spark.createDataFrame([], f"seq int, {self.key} {self.kind}, embedding array<double>")
-        for more in own[1:]:
-            out = out.unionByName(more)
-        return out
+        return self._scan("rows", f"id {self.kind}, embedding array<double>", [p.seq for p in self.parts if p.n]).select("seq", F.col("id").alias(self.key), "embedding")
 
     def cells(self) -> list:
         """A row for each cell of each part."""
-        paths = [f"{p.folder}/cells" for p in self.parts if p.n]
-        return self.spark.read.schema("cell int, seq int, pivot array<double>, radius double, n long").parquet(*paths).collect() if paths else []
+        return self._scan("cells", "cell int, pivot array<double>, radius double, n long", [p.seq for p in self.parts if p.n]).collect()
 
-    def blocks(self, needed: list[tuple[int, int]]) -> DataFrame:
+    def blocks(self, needed: list[tuple[str, int]]) -> DataFrame:
         """The blocks of the needed (seq, cell)."""
-        folder = {p.seq: p.folder for p in self.parts}
-        schema = f"seq int, ids array<{self.kind}>, data binary, cell int"
-        out = None
-        for seq in sorted({s for s, _ in needed}):
-            own = self.spark.read.schema(schema).option("basePath", f"{folder[seq]}/blocks").parquet(f"{folder[seq]}/blocks").filter(F.col("cell").isin(sorted(c for s, c in needed if s == seq)))
-            out = own if out is None else out.unionByName(own)
-        return out if out is not None else self.spark.createDataFrame([], schema)
+        rows = self._scan("blocks", f"ids array<{self.kind}>, data binary, cell int", sorted({s for s, _ in needed}))
+        own: dict[str, list[int]] = {}
+        for seq, cell in needed:
+            own.setdefault(seq, []).append(cell)
+        wanted = F.lit(False)
+        for seq, cells in sorted(own.items()):
+            wanted = wanted | ((F.col("seq") == seq) & F.col("cell").isin(sorted(cells)))
+        return rows.filter(wanted)
 
     def search(self, queries: DataFrame, k: int, *, allowed: DataFrame | None = None, gone: DataFrame | None = None, looked: list | None = None) -> DataFrame:
         """(query_id, key, distance, semantic_rank): the k nearest of each of ``queries`` (query_id, qv) by L2 distance, rounded to six places;
@@ -149,7 +150,7 @@ class VectorStore:
         """(query_id, qv, seq, cell): without ``kth`` the nearest cells that hold k vectors together, and with it the other ones within reach."""
         pivots = np.array([r["pivot"] for r in cells])
         radius, n = np.array([r["radius"] for r in cells]), np.array([r["n"] for r in cells])
-        seq, cell = np.array([r["seq"] for r in cells], np.int32), np.array([r["cell"] for r in cells], np.int32)
+        seq, cell = pa.array([r["seq"] for r in cells], pa.string()), np.array([r["cell"] for r in cells], np.int32)
         names = [*asked.columns[:2], "seq", "cell"]
         dim = self.dim
 
@@ -169,10 +170,10 @@ class VectorStore:
                         error = 1e-7 * (1 + np.abs(q).max(1, initial=0) + far.max(1, initial=0))
                         want = ~front & (far - radius <= (limit + error)[:, None])
                     row, at = np.nonzero(want)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in names[:2]), pa.array(seq[at]), pa.array(cell[at])], names=names)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in names[:2]), seq.take(pa.array(at)), pa.array(cell[at])], names=names)
 
         kind = dict(asked.dtypes)["query_id"]
-        return asked.mapInArrow(run, f"query_id {kind}, qv array<double>, seq int, cell int")
+        return asked.mapInArrow(run, f"query_id {kind}, qv array<double>, seq string, cell int")
 
     def _solved(self, probes: DataFrame, k: int, schema: str, allowed: DataFrame | None, gone: DataFrame | None) -> DataFrame:
         """The k nearest of each query in each block that it looks into."""
@@ -210,7 +211,7 @@ class VectorStore:
     def _filtered(self, blocks: DataFrame, allowed: DataFrame | None, gone: DataFrame | None) -> DataFrame:
         """The blocks with only what may be found."""
         dim, key, kind = self.dim, self.key, self.kind
-        schema = f"seq int, cell int, block long, {key} {kind}, vector binary"
+        schema = f"seq string, cell int, block long, {key} {kind}, vector binary"
 
         def opened(batches):
             from pyspark import TaskContext
@@ -222,8 +223,8 @@ class VectorStore:
                     ids = row.column("ids").flatten()
                     data = row.column("data")[0].as_py()
                     vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * dim), len(ids), [None, pa.py_buffer(data)]).cast(pa.binary())
-                    same = lambda c: pa.array(np.full(len(ids), row.column(c)[0].as_py(), np.int32))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([same("seq"), same("cell"), pa.array(np.full(len(ids), block)), ids, vectors], names=["seq", "cell", "block", key, "vector"])
+                    own = row.select(["seq", "cell"]).take(pa.array(np.zeros(len(ids), np.int32)))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(ids), block)), ids, vectors], names=["seq", "cell", "block", key, "vector"])
                     block += 1
 
         rows = blocks.select("seq", "cell", "ids", "data").mapInArrow(opened, schema)

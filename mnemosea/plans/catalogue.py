@@ -420,19 +420,19 @@ def explain_bm25(t):
  SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)))), 6) AS distance
  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE semantic_rank <= 10"""))
 def vector_topk(t):
-    v = t.vectors
-    return search.nearest(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), 10, key="vec_id")
+    queries = t.vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return t.vector_store.search(queries, 10)
 
 
 @query(sql("SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.unit_id, b.unit_id) AS unit_id, coalesce(a.semantic_rank, 0) AS semantic_rank, coalesce(b.lexical_rank, 0) AS lexical_rank FROM (SELECT * FROM n_near WHERE semantic_rank <= 50) a FULL JOIN (SELECT query_id, unit_id, lexical_rank FROM s_lex WHERE lexical_rank <= 50) b ON a.query_id = b.query_id AND a.unit_id = b.unit_id"))
 def merge_candidates(t):
-    near = search.nearest(t.index.vectors, search.query_vectors(t.queries), 50)
+    near = t.index.nearest(search.query_vectors(t.queries), 50)
     return recall.merged(near, search.lexical(t.index, t.queries, 50))
 
 
 @query(sql("SELECT query_id, unit_id, distance, semantic_rank FROM n_near WHERE semantic_rank <= 50"))
 def semantic_rank(t):
-    return search.nearest(t.index.vectors, search.query_vectors(t.queries), 50)
+    return t.index.nearest(search.query_vectors(t.queries), 50)
 
 
 @query(sql("SELECT query_id, unit_id, memory_space, namespace, unit_kind, subject, signature_status, has_signature, trust_weight, origin_peer_id FROM r_rows WHERE lexical_rank <= 50"))
@@ -566,6 +566,65 @@ def index_update(t):
     return search.lexical(search.update(index, t.units.filter(changed), t.units, gone=gone), t.queries, 50)
 
 
+#: Terms of three characters or more wherever they stand: how often in each unit, and BM25 of that. A term can overlap with itself, so those that do are
+#: looked for place by place.
+_TRIGRAMS = {
+    "t_terms": f"SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({oracle.search_terms('query')}) AS term FROM b_queries) WHERE length(term) >= 3",
+    "t_words": "SELECT term, len(list_filter(range(1, length(term)), lambda i: starts_with(term, substr(term, (i + 1)::INTEGER)))) > 0 AS twined FROM (SELECT DISTINCT term FROM t_terms)",
+    "t_text": "SELECT unit_id, lower(title) AS a, lower(body) AS b, (greatest(length(lower(title)) - 2, 0) + greatest(length(lower(body)) - 2, 0))::BIGINT AS doc_len FROM b_index",
+    "t_hits": """SELECT term, unit_id, doc_len, CASE WHEN twined THEN len(list_filter(range(1, length(a) - length(term) + 2), lambda i: substr(a, i::INTEGER, length(term)::INTEGER) = term)) + len(list_filter(range(1, length(b) - length(term) + 2), lambda i: substr(b, i::INTEGER, length(term)::INTEGER) = term))
+      ELSE len(string_split(a, term)) + len(string_split(b, term)) - 2 END AS tf FROM t_words, t_text WHERE contains(a, term) OR contains(b, term)""",
+    "t_stat": "SELECT count(*)::DOUBLE AS n, avg(doc_len)::DOUBLE AS avg_len FROM t_text",
+    "t_idf": "SELECT term, CASE WHEN x <= 0 THEN 1e-6::DOUBLE ELSE x END AS idf FROM (SELECT term, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS x FROM (SELECT term, count(*)::DOUBLE AS df FROM t_hits GROUP BY term), t_stat)",
+    "t_bm25": """SELECT query_id, unit_id, -round(sum(idf * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len)))), 6) AS bm25
+      FROM t_hits JOIN t_idf USING (term) JOIN t_terms USING (term), t_stat GROUP BY ALL""",
+}
+
+
+@query(sql("SELECT query_id, unit_id, bm25, lexical_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, unit_id) AS lexical_rank FROM t_bm25) WHERE lexical_rank <= 50", **_TRIGRAMS))
+def trigram_topk(t):
+    """The best of an index of trigrams, which finds terms within words and in scripts without spaces."""
+    return search.lexical(t.index_of("trigram"), t.queries, 50)
+
+
+@query(sql("SELECT term, unit_id, doc_len, tf::BIGINT AS tf FROM t_hits", **_TRIGRAMS))
+def trigram_substrings(t):
+    """Where and how often the queries' terms stand, by the places of their trigrams."""
+    terms = t.queries.select(F.explode(text.search_terms(F.col("query"))).alias("term"))
+    return search.substrings(t.index_of("trigram"), terms)
+
+
+def _in_steps(t):
+    """An index that began with older texts and more units, and was changed in steps."""
+    part = F.pmod(F.xxhash64("unit_id"), F.lit(12))
+    old = t.units.withColumn("body", F.when(part < 3, F.concat(F.lit("worthless "), "body")).otherwise(F.col("body")))
+    gone = t.units.filter(part == 5).withColumn("unit_id", F.concat(F.lit("gone-"), "unit_id"))
+    index = search.rebuild(old.filter(part != 4).unionByName(gone))
+    for some, dropped in ((part == 4, None), (part == 0, gone.select("unit_id")), (part == 1, None), (part == 2, None)):
+        index = search.update(index, t.units.filter(some), t.units, gone=dropped)
+    return index
+
+
+@query(sql("SELECT unit_id, doc_len, term, tf FROM x_postings", x_postings=_POSTINGS))
+def index_compact(t):
+    """All postings of an index that was changed in steps and then merged into one segment."""
+    return _in_steps(t).compacted().postings.drop("bucket")
+
+
+@query(sql("SELECT query_id, unit_id, bm25, lexical_rank FROM s_lex WHERE lexical_rank <= 50"))
+def index_segments(t):
+    """The best of an index of several segments, with dead units in most of them."""
+    return search.lexical(_in_steps(t), t.queries, 50)
+
+
+@query(sql("SELECT count(*) AS units, round(avg(doc_len), 6) AS mean_length FROM s_len"))
+def index_statistics(t):
+    """What the manifest of a changed index says of its units, with no scan of them."""
+    index = _in_steps(t)
+    n, mean = search.Index.open(t.spark, index.manifest, index.texts).statistics()
+    return t.spark.createDataFrame([(n, round(mean, 6))], "units long, mean_length double")
+
+
 _SECTIONS = {
     "active_private_decisions": (("private",), ("decision", "rationale", "design_rationale"), 5),
     "shared_constraints": (("shared",), ("decision", "rationale", "fact"), 5),
@@ -902,7 +961,7 @@ _EXPECTED = "SELECT query_id, unit_id FROM b_queries, b_units WHERE contains(rep
 def retrieval_metrics(t):
     """Of the queries that are passages of some text, how early the index finds one of those texts."""
     said = t.units.select("unit_id", F.replace("body", F.lit("\n"), F.lit(" ")).alias("body"))
-    expected = search.in_blocks(t.queries.filter("query <> ''"), F.octet_length("query"), lambda q: search.quoting(said, q))
+    expected = search.quoting(said, t.queries.filter("query <> ''"))
     return maintain.retrieval_metrics(search.lexical(t.index, t.queries, 10).withColumnRenamed("lexical_rank", "rank"), expected)
 
 

@@ -5,11 +5,15 @@ Every view is a plain DataFrame, so filters and column choices on it reach the p
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemosea.operators import ingest, search
 from mnemosea.operators.lifecycle import STORE_RELATIONS as RELATIONS
+from mnemosea.operators.vector_store import VectorStore
+from mnemosea.sources.shared import shared_folder
 
 #: The moment all recency is measured from, in epoch milliseconds.
 AS_OF_MS = 1_736_000_000_000
@@ -17,8 +21,11 @@ EPOCH_MS = 1_704_067_200_000
 SIGNALS = {"click": "reinforce", "view": "bookmark", "purchase": "confirm", "signup": "pin", "error": "deny"}
 
 
-#: The stored indexes of this process's sessions, by application and folder: an index is built when first asked for.
-_INDEXES: dict[tuple[str, str], search.Index] = {}
+#: The stored indexes of this process's sessions, by application, folder and tokenizer: an index is built when first asked for.
+_INDEXES: dict[tuple[str, str, str], search.Index] = {}
+_VECTORS: dict[tuple[str, str], VectorStore] = {}
+#: Length of the driver's vectors.
+WIDTH = 64
 
 
 class Tables:
@@ -32,11 +39,22 @@ class Tables:
 
     @property
     def index(self) -> search.Index:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        return self.index_of("unicode61")
+
+    def index_of(self, tokenizer: str) -> search.Index:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, tokenizer)
         if key not in _INDEXES:
-            _INDEXES[key] = search.rebuild(self.units)
+            _INDEXES[key] = search.rebuild(self.units, tokenizer=tokenizer)
         return _INDEXES[key]
 
+    @property
+    def vector_store(self) -> VectorStore:
+        """The driver's vectors in cells, by vec_id."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _VECTORS:
+            _VECTORS[key] = VectorStore.build(self.vectors, f"{shared_folder(self.spark)}/vectors-{uuid.uuid4().hex}", key="vec_id", dim=WIDTH)
+        return _VECTORS[key]
+
     @property
     def messages(self) -> DataFrame:
         conv, turn = F.col("conv_id"), F.col("turn")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from mnemosea.operators import recall, search
+from mnemosea.operators import recall, search, vector_store
 from mnemosea.plans import catalogue
 from mnemosea.sources.bridge import AS_OF_MS, Tables
 
@@ -63,8 +63,8 @@ def test_vector_search_takes_every_hundredth_vector_in_blocks(spark, sf, monkeyp
     vectors = {r.vec_id: r.embedding for r in Tables(spark, sf).vectors.collect()}
     want = nearest_by_hand(vectors, {i: v for i, v in vectors.items() if i % 100 == 0}, 10)
     assert any(q >= 10 for q, _ in want)
-    for together in (search.TOGETHER, 1):
-        monkeypatch.setattr(search, "TOGETHER", together)
+    for together in (vector_store.PACK_QUERIES, 1):
+        monkeypatch.setattr(vector_store, "PACK_QUERIES", together)
         got = {(r.query_id, r.vec_id): (r.distance, r.semantic_rank) for r in catalogue.QUERIES["vector_topk"](spark, sf).collect()}
         assert got == want
 
