@@ -172,3 +172,64 @@ def change_log(rows: DataFrame, table: str, pk: str, namespace: Column, base_ver
     within = F.row_number().over(Window.partitionBy("span").orderBy("authored_at_ms", pk))
     version = (F.col("before") + within + base_version).cast("long")
     return numbered.select(version.alias("db_version"), F.lit(table).alias("table_name"), F.col(pk).alias("pk_hint"), namespace.alias("namespace"), F.col("authored_at_ms").alias("changed_at_ms"))
+
+
+#: Characters of a key by which updates and deletes, which all have one time, are numbered in parts.
+KEY_PREFIX = 4
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame, key: str, table: str, *, now_ms: int, at: str = "authored_at_ms") -> DataFrame:
+    """What turned the table ``before`` into ``after``: table_name, pk_hint, op, changed_at_ms and the row (as it is by now, or as it was if it was
+    deleted). An insert has the time of its row, an update and a delete have ``now_ms``. Columns are compared with null equal to null."""
+    rest = [c for c in after.columns if c != key]
+    old, new = (t.select(key, F.struct(*rest).alias(name)) for t, name in ((before, "was"), (after, "now")))
+    both = old.join(new, key, "full").filter(~F.col("was").eqNullSafe(F.col("now")))
+    op = F.when(F.col("was").isNull(), "insert").when(F.col("now").isNull(), "delete").otherwise("update")
+    row = F.coalesce("now", "was")
+    changed = F.when(F.col("was").isNull(), row[at]).otherwise(F.lit(now_ms)).cast("long")
+    return both.select(F.lit(table).alias("table_name"), F.col(key).alias("pk_hint"), op.alias("op"), changed.alias("changed_at_ms"), row.alias("row"))
+
+
+def numbered_log(changes: DataFrame, base_version: int = 0) -> DataFrame:
+    """``changes`` (table_name, pk_hint, op, changed_at_ms, ...) with db_version: inserts first, in the order of their time, table and key; then
+    updates and deletes in the order of table and key. Inserts are numbered within each hour, the others within each table and
+    beginning of a key, and these parts from their counts, so no task sorts the log."""
+    late = F.col("op") != "insert"
+    parts = {"late": late.cast("int"), "span": F.when(late, 0).otherwise(F.floor(F.col("changed_at_ms") / LOG_SPAN_MS)).cast("long"), "kind": F.when(late, F.col("table_name")).otherwise(""), "start": F.when(late, F.substring("pk_hint", 1, KEY_PREFIX)).otherwise("")}
+    rows = changes.withColumns(parts)
+    sizes = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))  # a row for each hour, and for each table and beginning of a key
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(sizes.withColumn("before", before).drop("n"), list(parts))
+    within = F.row_number().over(Window.partitionBy(*parts).orderBy("changed_at_ms", "table_name", "pk_hint"))
+    return placed.withColumn("db_version", (F.col("before") + within + base_version).cast("long")).drop(*parts, "before")
+
+
+def change_capture(before: dict[str, DataFrame], after: dict[str, DataFrame], *, now_ms: int, base_version: int = 0) -> DataFrame:
+    """The change log (db_version, table_name, pk_hint, op, namespace, memory_id, changed_at_ms) of what turned the tables ``before`` into
+    ``after``: nodes, edges, signals, artifacts and spans. An edge belongs to the namespace of its first end that is a node, a signal to
+    that of its memory, a span to that of its memory or else of its artifact; nodes are looked up as they are by now."""
+    names = {"nodes": ("memory_nodes", "memory_id"), "edges": ("memory_edges", "edge_id"), "signals": ("memory_signals", "signal_id"), "artifacts": ("artifact_refs", "artifact_id"), "spans": ("artifact_spans", "span_id")}
+    space = after["nodes"].select(F.col("memory_id").alias("of"), F.col("namespace").alias("ns"))
+    own = lambda c, name: space.withColumnsRenamed({"of": c, "ns": name})
+    out = None
+    for table, (name, key) in names.items():
+        if table not in after:
+            continue
+        timed = lambda t: t if "authored_at_ms" in t.columns else t.withColumn("authored_at_ms", F.lit(now_ms).cast("long"))
+        made = snapshot_changes(timed(before[table]), timed(after[table]), key, name, now_ms=now_ms)
+        if table == "nodes":
+            made = made.withColumns({"memory_id": F.col("pk_hint"), "namespace": F.col("row.namespace")})
+        elif table == "edges":
+            made = made.withColumns({"a": F.col("row.from_memory_id"), "b": F.col("row.to_memory_id")}).join(own("a", "ns_a"), "a", "left").join(own("b", "ns_b"), "b", "left")
+            made = made.withColumns({"memory_id": F.coalesce("a", "b", F.lit("")), "namespace": F.coalesce("ns_a", "ns_b", F.lit(""))})
+        elif table == "signals":
+            made = made.withColumn("memory_id", F.col("row.memory_id")).join(own("memory_id", "ns"), "memory_id", "left").withColumn("namespace", F.coalesce("ns", F.lit("")))
+        elif table == "artifacts":
+            made = made.withColumns({"memory_id": F.lit(""), "namespace": F.coalesce("row.namespace", F.lit(""))})
+        else:
+            refs = after["artifacts"].groupBy("artifact_id").agg(F.min("namespace").alias("ref_ns"))
+            made = made.withColumns({"memory_id": F.coalesce("row.memory_id", F.lit("")), "artifact_id": F.col("row.artifact_id")}).join(own("memory_id", "ns"), "memory_id", "left").join(refs, "artifact_id", "left")
+            made = made.withColumn("namespace", F.coalesce("ns", "ref_ns", F.lit("")))
+        made = made.select("table_name", "pk_hint", "op", "namespace", "memory_id", "changed_at_ms")
+        out = made if out is None else out.unionByName(made)
+    return numbered_log(out, base_version)

@@ -186,3 +186,67 @@ def applied(stored: DataFrame, incoming: DataFrame, batches: DataFrame, claims:
     verdicts = arrived.groupBy("memory_id").agg(F.max_by("signature_status", F.struct("db_version", "signature_status")).alias("new_status"))
     known = verification.join(verdicts, "memory_id", "full").select("memory_id", F.coalesce("new_status", "signature_status").alias("signature_status"))
     return {"changes": changes, "quarantine": quarantined(refused), "cursors": moved, "verification": known, "queue": enqueued(good)}
+
+
+#: Columns of a node that are replicated as cells.
+NODE_COLUMNS = ("memory_type", "namespace", "subject", "body", "source_uri", "origin_peer_id")
+
+
+def touched_rows(stored: DataFrame, incoming: DataFrame, columns: tuple[str, ...], table: str = "memory_nodes") -> tuple[DataFrame, DataFrame]:
+    """The rows of a replicated table that a batch touches, merged anew from all their stored and incoming cells: what lives, with a column for each
+    cell, and the keys (pk) of what was deleted. What the batch does not touch is not read beyond its key."""
+    touched = incoming.filter(F.col("tbl") == table).select("pk").distinct()
+    own = stored.filter(F.col("tbl") == table).join(touched, "pk", "left_semi").select(*CELL_COLUMNS).unionByName(incoming.filter(F.col("tbl") == table).select(*CELL_COLUMNS))
+    live = live_rows(own).select("pk")
+    cells = merged_cells(own).join(live, "pk", "left_semi")
+    rows = cells.groupBy("pk").agg(*[F.max(F.when(F.col("cid") == c, F.col("val"))).alias(c) for c in columns])
+    # A row that lives without a cell of these columns is a row too.
+    return live.join(rows, "pk", "left"), touched.join(live, "pk", "left_anti")
+
+
+def replicated_nodes(stored: DataFrame, incoming: DataFrame, nodes: DataFrame, *, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes that the batch makes or changes, keys of those that it deletes): cells win over what the node had, and what neither says is empty."""
+    rows, gone = touched_rows(stored, incoming, NODE_COLUMNS)
+    old = nodes.select(F.col("memory_id").alias("pk"), *[F.col(c).alias(f"old_{c}") for c in NODE_COLUMNS], "authored_at_ms", "has_signature")
+    rows = rows.join(old, "pk", "left")
+    made = rows.select(
+        F.col("pk").alias("memory_id"), F.lit("shared").alias("memory_space"), *[F.coalesce(c, f"old_{c}", F.lit("")).alias(c) for c in NODE_COLUMNS],
+        F.coalesce("authored_at_ms", F.lit(now_ms)).cast("long").alias("authored_at_ms"), F.coalesce("has_signature", F.lit(True)).alias("has_signature"), F.lit("active").alias("lifecycle_state"),
+    )
+    return made, gone.select(F.col("pk").alias("memory_id"))
+
+
+def units_of(nodes: DataFrame) -> DataFrame:
+    """The retrieval units of nodes."""
+    return nodes.select(
+        F.col("memory_id").alias("unit_id"), F.concat("memory_space", F.lit("_memory")).alias("source_type"), F.col("memory_id").alias("source_id"), "memory_space", "namespace", F.col("memory_type").alias("unit_kind"),
+        F.col("subject").alias("title"), "body", F.lit("private").alias("sensitivity"), F.lit("active").alias("state"), "source_uri", F.lit("").alias("project_key"), F.lit("").alias("branch_name"), "authored_at_ms",
+    )
+
+
+def converge(held: DataFrame, links: DataFrame, *, versions: int = EXTRACT_VERSIONS, written, most_rounds: int = 1000) -> tuple[DataFrame, int]:
+    """All replicas after cycles until none has anything for another, and the number of cycles.
+
+    ``held`` has changes by ``replica`` and ``version``, the place in that replica's own log, from 1 on. ``links`` (replica, peer, namespaces, reason)
+    says who takes what from whom; links that the handshake refused, with a reason, carry nothing. In a cycle each link takes the next
+    ``versions`` versions behind its cursor, which then stands there; what a replica does not have yet is put at the end of its own log, from
+    which others take it later. ``written`` writes a table and reads it again, so a cycle's plan begins at the one before.
+    """
+    identity = ["tbl", "pk", "cid", "val", "kind", "col_version", "site_id", "cl", "db_version", "namespace"]
+    open_ = written(links.filter("reason = ''").select("replica", "peer", "namespaces"))  # a row for each pair of peers
+    cursors = open_.select("replica", "peer", F.lit(0).cast("long").alias("applied"))
+    held = written(held.select("replica", "version", *identity))
+    for rounds in range(most_rounds):
+        ends = held.groupBy(F.col("replica").alias("peer")).agg(F.max("version").alias("end"))
+        waiting = written(open_.join(cursors, ["replica", "peer"]).join(ends, "peer").filter("end > applied").withColumn("to", F.least("end", F.col("applied") + versions)))
+        if not waiting.head(1):
+            return held, rounds
+        taken = held.withColumnRenamed("replica", "peer").join(F.broadcast(waiting), "peer").filter("version > applied and version <= to").filter(F.array_contains("namespaces", F.col("namespace")))
+        fresh = taken.groupBy("replica", *identity).agg(F.min(F.struct("peer", "version")).alias("first")).join(held.select("replica", *identity), ["replica", *identity], "left_anti")
+        # A replica takes ``versions`` versions of each peer at most in a cycle.
+        place = F.row_number().over(Window.partitionBy("replica").orderBy("first", *identity))
+        last = held.groupBy("replica").agg(F.max("version").alias("last"))
+        added = fresh.withColumn("place", place).join(last, "replica", "left").select("replica", (F.coalesce("last", F.lit(0)) + F.col("place")).cast("long").alias("version"), *identity)
+        held = written(held.unionByName(added))
+        cursors = written(cursors.join(waiting.select("replica", "peer", "to"), ["replica", "peer"], "left").select("replica", "peer", F.coalesce("to", "applied").alias("applied")))
+    raise RuntimeError(f"replicas still differ after {most_rounds} cycles")

@@ -1154,3 +1154,110 @@ def batch_verify_shared(t):
     changed = F.when(F.length("memory_id") % 4 == 0, F.concat("claim", F.lit("  "))).otherwise(F.col("claim"))
     again = claims.join(peers, "memory_id").select("memory_id", changed.alias("claim"), "signature", "public_key", F.col("other").alias("batch_id"))
     return signing.batch_verdicts(claims.unionByName(again))
+
+
+# ---------------------------------------------------------------- changes of tables, replicated rows, cycles to the end
+
+
+#: The tables as they were: some nodes are missing and some have another body, some rows of each table were there that are gone by now.
+_NOW_MS = 1_740_000_000_000
+_CAPTURED = """SELECT (row_number() OVER (ORDER BY op <> 'insert', CASE WHEN op = 'insert' THEN changed_at_ms ELSE 0 END, table_name, pk_hint))::BIGINT AS db_version, table_name, pk_hint, op, namespace, memory_id, changed_at_ms FROM (
+ SELECT 'memory_nodes' AS table_name, 'm' || doc_id AS pk_hint, CASE WHEN doc_id % 7 = 0 THEN 'insert' ELSE 'update' END AS op, 'team/' || lang AS namespace, 'm' || doc_id AS memory_id, CASE WHEN doc_id % 7 = 0 THEN 1704067200000 + doc_id * 1000 ELSE 1740000000000 END AS changed_at_ms FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0
+ UNION ALL SELECT 'memory_nodes', 'old-m' || doc_id, 'delete', 'team/' || lang, 'old-m' || doc_id, 1740000000000 FROM documents WHERE doc_id % 11 = 0
+ UNION ALL SELECT 'memory_edges', edge_id, 'update', coalesce(a.namespace, b.namespace, ''), from_memory_id, 1740000000000 FROM b_edges LEFT JOIN b_nodes a ON a.memory_id = from_memory_id LEFT JOIN b_nodes b ON b.memory_id = to_memory_id WHERE weight > 0.5
+ UNION ALL SELECT 'memory_signals', signal_id, 'insert', coalesce(namespace, ''), memory_id, s.authored_at_ms FROM b_signals s LEFT JOIN b_nodes USING (memory_id) WHERE signal_type = 'pin'
+ UNION ALL SELECT 'artifact_refs', artifact_id, 'delete', '', '', 1740000000000 FROM (SELECT DISTINCT 'gone-' || artifact_id AS artifact_id FROM b_artifacts WHERE namespace = 'team/1')
+ UNION ALL SELECT 'artifact_spans', span_id, 'update', coalesce(n.namespace, r.namespace, ''), memory_id, 1740000000000 FROM b_spans LEFT JOIN b_nodes n USING (memory_id) LEFT JOIN (SELECT artifact_id, min(namespace) AS namespace FROM b_artifacts GROUP BY 1) r USING (artifact_id) WHERE quote_hash = '')"""
+
+
+def _captured(t):
+    doc = F.substring("memory_id", 2, 20).cast("long")
+    refs = t.artifacts.dropDuplicates(["artifact_id"])
+    now = {"nodes": t.nodes, "edges": t.edges, "signals": t.signals, "artifacts": refs, "spans": t.spans}
+    gone = t.nodes.filter(doc % 11 == 0).withColumn("memory_id", F.concat(F.lit("old-"), "memory_id"))
+    was = {
+        "nodes": t.nodes.filter(doc % 7 != 0).withColumn("body", F.when(doc % 5 == 0, F.concat("body", F.lit(" once"))).otherwise(F.col("body"))).unionByName(gone),
+        "edges": t.edges.withColumn("weight", F.when(F.col("weight") > 0.5, F.col("weight") * 2).otherwise(F.col("weight"))),
+        "signals": t.signals.filter("signal_type <> 'pin'"),
+        "artifacts": refs.unionByName(t.artifacts.filter("namespace = 'team/1'").select(F.concat(F.lit("gone-"), "artifact_id").alias("artifact_id"), "uri", F.lit("").alias("namespace"), "title").dropDuplicates(["artifact_id"])),
+        "spans": t.spans.withColumn("quote_hash", F.when(F.col("quote_hash") == "", "none").otherwise(F.col("quote_hash"))),
+    }
+    return lifecycle.change_capture(was, now, now_ms=_NOW_MS)
+
+
+@query(sql(_CAPTURED))
+def change_log_all(t):
+    """Inserts, updates and deletes of all five replicated tables, from their states before and after."""
+    return _captured(t)
+
+
+@query(sql("SELECT (row_number() OVER (ORDER BY authored_at_ms, memory_id))::BIGINT AS db_version, 'memory_nodes' AS table_name, memory_id AS pk_hint, namespace, authored_at_ms AS changed_at_ms FROM b_nodes"))
+def change_log_nodes(t):
+    return lifecycle.change_log(t.nodes, "memory_nodes", "memory_id", F.col("namespace"))
+
+
+@query(sql("SELECT (row_number() OVER (ORDER BY s.authored_at_ms, signal_id))::BIGINT AS db_version, 'memory_signals' AS table_name, signal_id AS pk_hint, coalesce(n.namespace, '') AS namespace, s.authored_at_ms AS changed_at_ms FROM b_signals s LEFT JOIN b_nodes n USING (memory_id)"))
+def change_log_signals(t):
+    rows = t.signals.join(t.nodes.select("memory_id", "namespace"), "memory_id", "left")
+    return lifecycle.change_log(rows, "memory_signals", "signal_id", F.coalesce("namespace", F.lit("")))
+
+
+@query(sql("SELECT (row_number() OVER (ORDER BY artifact_id))::BIGINT AS db_version, 'artifact_refs' AS table_name, artifact_id AS pk_hint, namespace, 1740000000000 AS changed_at_ms FROM (SELECT artifact_id, min(namespace) AS namespace FROM b_artifacts GROUP BY 1)"))
+def change_log_refs(t):
+    refs = t.artifacts.groupBy("artifact_id").agg(F.min("namespace").alias("namespace")).withColumn("authored_at_ms", F.lit(_NOW_MS).cast("long"))
+    return lifecycle.change_log(refs, "artifact_refs", "artifact_id", F.col("namespace"))
+
+
+_CELLS = "CASE cid WHEN 'click' THEN 'subject' WHEN 'view' THEN 'body' WHEN 'purchase' THEN 'source_uri' WHEN 'signup' THEN 'memory_type' ELSE 'lang' END"
+_APPLIED = f"""SELECT pk, max(val) FILTER (c = 'subject') AS subject, max(val) FILTER (c = 'body') AS body, max(val) FILTER (c = 'memory_type') AS memory_type, max(val) FILTER (c = 'source_uri') AS source_uri FROM (
+ SELECT *, {_CELLS} AS c FROM (SELECT *, max(cl) OVER (PARTITION BY pk) AS life FROM b_changes WHERE pk IN (SELECT pk FROM b_changes WHERE db_version % 10 = 3)) WHERE (cl + 1) // 2 = (life + 1) // 2 AND life % 2 = 1
+ QUALIFY row_number() OVER (PARTITION BY pk, cid ORDER BY col_version DESC, val::DOUBLE DESC, site_id DESC) = 1) GROUP BY pk"""
+
+
+def _as_node_cells(changes):
+    names = {"click": "subject", "view": "body", "purchase": "source_uri", "signup": "memory_type"}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return changes.withColumn("cid", F.coalesce(F.element_at(known, F.col("cid")), F.lit("lang")))
+
+
+@query(sql("SELECT pk AS unit_id, coalesce(n.namespace, '') AS namespace, coalesce(x.memory_type, n.memory_type, '') AS unit_kind, coalesce(x.subject, n.subject, '') AS title, sha256(coalesce(x.body, n.body, '')) AS body_hash, coalesce(x.source_uri, n.source_uri, '') AS source_uri FROM x_applied x LEFT JOIN b_nodes n ON memory_id = pk", x_applied=_APPLIED))
+def apply_units(t):
+    """Retrieval units of the memories that a batch of replicated cells touches, on top of what is stored."""
+    changes = _as_node_cells(t.changes)
+    made, _ = sync.replicated_nodes(changes.filter("db_version % 10 <> 3"), changes.filter("db_version % 10 = 3"), t.nodes, now_ms=_NOW_MS)
+    return sync.units_of(made).select("unit_id", "namespace", "unit_kind", "title", F.sha2("body", 256).alias("body_hash"), "source_uri")
+
+
+#: A chain of replicas 0, 1, 2: 0 and 1 exchange all namespaces, 2 takes two of them from 1, and 1 three from 2; 0 is refused by 2.
+_REACH = """WITH RECURSIVE x_may AS (SELECT * FROM (VALUES ('0', '1', 'team/0'), ('0', '1', 'team/1'), ('0', '1', 'team/2'), ('0', '1', 'team/3'), ('1', '0', 'team/0'), ('1', '0', 'team/1'), ('1', '0', 'team/2'), ('1', '0', 'team/3'),
+ ('2', '1', 'team/1'), ('2', '1', 'team/2'), ('1', '2', 'team/0'), ('1', '2', 'team/1'), ('1', '2', 'team/2')) AS v(replica, peer, ns)),
+ x_reach AS (SELECT DISTINCT site_id AS origin, site_id AS replica, namespace AS ns FROM x_b UNION SELECT r.origin, m.replica, r.ns FROM x_reach r JOIN x_may m ON m.peer = r.replica AND m.ns = r.ns)"""
+
+
+def _converged_sql() -> str:
+    base = sql("SELECT * FROM b_changes")
+    head = base[: base.rindex("SELECT * FROM b_changes")]
+    reach = _REACH.replace("WITH RECURSIVE ", "").replace("x_b", "b_changes")
+    return f"""{head.replace('WITH ', 'WITH RECURSIVE ', 1).rstrip()}, {reach}, x_held AS (SELECT r.replica, c.* FROM x_reach r JOIN b_changes c ON c.site_id = r.origin AND c.namespace = r.ns)
+ SELECT replica, tbl, pk, cid, val FROM (SELECT *, max(cl) OVER (PARTITION BY replica, tbl, pk) AS life FROM x_held) WHERE (cl + 1) // 2 = (life + 1) // 2
+ QUALIFY row_number() OVER (PARTITION BY replica, tbl, pk, cid ORDER BY col_version DESC, val::DOUBLE DESC, site_id DESC) = 1"""
+
+
+@query(_converged_sql())
+def sync_converged(t):
+    """Three replicas after as many cycles as it takes until none has anything for another."""
+    every, some, three = (F.array(*[F.lit(f"team/{k}") for k in own]) for own in (range(4), (1, 2), (0, 1, 2)))
+    pairs = t.spark.createDataFrame([("0", "1", 0, ""), ("1", "0", 0, ""), ("2", "1", 1, ""), ("1", "2", 2, ""), ("2", "0", 0, sync.NOT_ALLOWED)], "replica string, peer string, kind int, reason string")
+    links = pairs.select("replica", "peer", F.when(F.col("kind") == 0, every).when(F.col("kind") == 1, some).otherwise(three).alias("namespaces"), "reason")
+    # A replica begins with its own changes, in the order of their versions; gaps don't matter.
+    held = t.changes.withColumn("replica", F.col("site_id")).withColumn("version", F.col("db_version") + 1)
+    last = max(1, (held.agg(F.max("version")).first()[0] or 0) // 4)
+
+    def written(rows):
+        path = f"{shared_folder(t.spark)}/converge-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return t.spark.read.schema(rows.schema).parquet(path)
+
+    out, _ = sync.converge(held, links, versions=last, written=written)
+    named = out.withColumn("tbl", F.struct("replica", "tbl"))
+    return sync.merged_changes(named).select("tbl.replica", "tbl.tbl", "pk", "cid", "val")
