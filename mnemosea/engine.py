@@ -1,8 +1,8 @@
 """The engine's public face: one method for each request of the memory service.
 
 State is a set of tables (DataFrames) and a stored index. A write returns a new engine whose changed
-tables are written to the shared folder and whose index has a new segment with the changed units, so the
-plan of a later request does not grow with the number of writes. Nothing is collected except where a
+tables are written to the shared folder and whose index has a new segment with the changed units; segments merge and each table
+is one scan, so the plan of a later request does not grow with the number of writes. A changed table is written as a whole. Nothing is collected except where a
 method returns an envelope or has to refuse a request.
 """
 
@@ -108,8 +108,8 @@ def envelope(data=None, *, error: EngineError | None = None, warnings: list[str]
 
 
 def schema_hash(tables: dict[str, DataFrame]) -> str:
-    """A digest of all tables' schemas, in order of names."""
-    return hashlib.sha256("".join(tables[n].schema.json() for n in sorted(tables)).encode()).hexdigest()
+    """A digest of all tables' columns and types, in order of names. Whether a column happens to hold nulls is no part of it."""
+    return hashlib.sha256("".join(f"{n}({tables[n].schema.simpleString()})" for n in sorted(tables)).encode()).hexdigest()
 
 
 def load_eval_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -122,7 +122,7 @@ def load_eval_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 @dataclass(frozen=True)
 class Engine:
     """``tables`` has nodes, units, verification, peers, edges, signals, artifacts, spans, messages, chunks, candidates,
-    promotions, publications, changes, quarantine, queue and suspensions; see mnemosea.sources.bridge for their columns."""
+    promotions, publications, changes, cursors, quarantine, queue and suspensions; see mnemosea.sources.bridge for their columns."""
 
     spark: SparkSession
     tables: dict[str, DataFrame]
@@ -146,6 +146,7 @@ class Engine:
         empty = {
             "promotions": "memory_id string, chunk_id string, memory_type string", "publications": "memory_id string, private_memory_id string, policy string",
             "quarantine": "batch_id string, peer_id string, namespace string, reason string, payload_json string, schema_fenced boolean, created_at_ms long",
+            "cursors": "peer_id string, namespace string, applied_version long, updated_at_ms long",
             "suspensions": "entity_type string, entity_id string, detail string, first_seen_at_ms long, last_seen_at_ms long, resolved_at_ms long",
         }
         tables |= {n: views.spark.createDataFrame([], schema) for n, schema in empty.items()}
@@ -172,11 +173,11 @@ class Engine:
         old = self.tables
         return self._with(**{n: old[n].unionByName(rows, allowMissingColumns=True).select(*old[n].columns) for n, rows in new.items()})
 
-    def _indexed(self, changed: DataFrame) -> Engine:
-        """The engine with the changed units in its index."""
+    def _indexed(self, changed: DataFrame, gone: DataFrame | None = None) -> Engine:
+        """The engine with the changed units in its index, and without those that are gone (unit_id)."""
         if self.index is None:
             return self
-        return replace(self, index=search.update(self.index, changed, self.tables["units"]))
+        return replace(self, index=search.update(self.index, changed, self.tables["units"], gone=gone))
 
     def rebuild_index(self) -> Engine:
         return replace(self, index=search.rebuild(self.tables["units"], dim=self.config.embedding_dimension, tokenizer=self.config.tokenizer))
@@ -336,7 +337,7 @@ class Engine:
         a peer that is not allowed, another schema or a bad signature in ``claims`` (memory_id, signature_status) sends it to the quarantine."""
         t = self.tables
         if peer_id is None:
-            return self._with(changes=t["changes"].unionByName(batch.select(*t["changes"].columns)).distinct())
+            return self._applied(batch, now_ms)
         one = self.spark.createDataFrame([(f"{peer_id}-{now_ms}", peer_id, batch_schema)], "batch_id string, peer_id string, schema_hash string")
         said = claims if claims is not None else self.spark.createDataFrame([], "memory_id string, signature_status string")
         name = F.lit(f"{peer_id}-{now_ms}")
@@ -345,7 +346,25 @@ class Engine:
         if refused.head(1):
             return self._added(quarantine=refused)
         waiting = made["queue"].select(F.col("pk").alias("unit_id"), F.lit("shared").alias("memory_space"), F.lit(now_ms).cast("long").alias("enqueued_at_ms"), F.lit(0).cast("long").alias("processed_at_ms"))
-        return self._with(changes=t["changes"].unionByName(batch.select(*t["changes"].columns)).distinct(), verification=made["verification"])._added(queue=waiting)
+        moved = t["cursors"].unionByName(made["cursors"].select(*t["cursors"].columns)).groupBy("peer_id", "namespace").agg(F.max("applied_version").alias("applied_version"), F.max("updated_at_ms").alias("updated_at_ms"))
+        return self._applied(batch, now_ms, verification=made["verification"], cursors=moved)._added(queue=waiting)
+
+    def _applied(self, batch: DataFrame, now_ms: int, **also: DataFrame) -> Engine:
+        """The engine after a batch that nothing speaks against: the changes that it did not have yet are kept, the rows that they touch are merged
+        anew and become nodes and units, which the index has from then on."""
+        t = self.tables
+        identity = ["tbl", "pk", "cid", "col_version", "site_id", "cl", "db_version"]
+        fresh = batch.select(*t["changes"].columns).distinct().join(t["changes"].select(*identity), identity, "left_anti").select(*t["changes"].columns)
+        made, gone = sync.replicated_nodes(t["changes"], batch, t["nodes"], now_ms=now_ms)
+        touched = made.select("memory_id").unionByName(gone)
+        units = sync.units_of(made)
+        new = {
+            "changes": t["changes"].unionByName(fresh),
+            "nodes": t["nodes"].join(touched, "memory_id", "left_anti").unionByName(made, allowMissingColumns=True).select(*t["nodes"].columns),
+            "units": t["units"].join(touched.withColumnRenamed("memory_id", "unit_id"), "unit_id", "left_anti").unionByName(units, allowMissingColumns=True).select(*t["units"].columns),
+        }
+        after = self._with(**new, **also)
+        return after._indexed(after.tables["units"].join(units.select("unit_id"), "unit_id", "left_semi"), gone.withColumnRenamed("memory_id", "unit_id"))
 
     def _shared(self) -> dict[str, DataFrame]:
         """The tables that are replicated."""

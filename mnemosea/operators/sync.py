@@ -207,10 +207,10 @@ def touched_rows(stored: DataFrame, incoming: DataFrame, columns: tuple[str, ...
 def replicated_nodes(stored: DataFrame, incoming: DataFrame, nodes: DataFrame, *, now_ms: int) -> tuple[DataFrame, DataFrame]:
     """(nodes that the batch makes or changes, keys of those that it deletes): cells win over what the node had, and what neither says is empty."""
     rows, gone = touched_rows(stored, incoming, NODE_COLUMNS)
-    old = nodes.select(F.col("memory_id").alias("pk"), *[F.col(c).alias(f"old_{c}") for c in NODE_COLUMNS], "authored_at_ms", "has_signature")
+    old = nodes.select(F.col("memory_id").alias("pk"), *[F.col(c).alias(f"old_{c}") for c in NODE_COLUMNS], "authored_at_ms", "has_signature", F.col("memory_space").alias("lane"))
     rows = rows.join(old, "pk", "left")
     made = rows.select(
-        F.col("pk").alias("memory_id"), F.lit("shared").alias("memory_space"), *[F.coalesce(c, f"old_{c}", F.lit("")).alias(c) for c in NODE_COLUMNS],
+        F.col("pk").alias("memory_id"), F.coalesce("lane", F.lit("shared")).alias("memory_space"), *[F.coalesce(c, f"old_{c}", F.lit("")).alias(c) for c in NODE_COLUMNS],
         F.coalesce("authored_at_ms", F.lit(now_ms)).cast("long").alias("authored_at_ms"), F.coalesce("has_signature", F.lit(True)).alias("has_signature"), F.lit("active").alias("lifecycle_state"),
     )
     return made, gone.select(F.col("pk").alias("memory_id"))

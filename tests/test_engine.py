@@ -121,6 +121,33 @@ def test_batches_are_judged_and_the_scrubber_cleans_up(spark, engine):
     assert ticked.queue.filter("processed_at_ms = 77").count() > 0 and ticked.queue.count() == engine.queue.count()
 
 
+def cells(spark, rows):
+    schema = "tbl string, pk string, cid string, val string, kind string, col_version long, db_version long, site_id string, cl long, namespace string, changed_at_ms long"
+    return spark.createDataFrame([("memory_nodes", pk, cid, val, "text", cv, dv, "far", cl, "team/1", 9) for pk, cid, val, cv, dv, cl in rows], schema)
+
+
+def test_a_memory_applied_from_a_peer_is_recalled(spark, engine):
+    peer = engine.peers.filter("trust_state = 'allow'").first().peer_id
+    good = schema_hash(engine._shared())
+    batch = cells(spark, [("far-1", "subject", "capybara census", 1, 900001, 1), ("far-1", "body", "counted at dawn", 1, 900001, 1), ("far-1", "memory_type", "decision", 1, 900001, 1), ("far-1", "namespace", "team/1", 1, 900002, 1), ("far-2", "subject", "other", 1, 900003, 1)])
+    after = engine.apply(batch, peer_id=peer, batch_schema=good, now_ms=5)
+    ask_it = lambda e: {r.unit_id for r in e.recall(ask(spark, "capybara"), as_of_ms=AS_OF_MS, semantic=False).collect()}
+    assert ask_it(engine) == set() and ask_it(after) == {"far-1"}
+    node = after.nodes.filter("memory_id = 'far-1'").first()
+    assert (node.subject, node.body, node.memory_type, node.memory_space) == ("capybara census", "counted at dawn", "decision", "shared")
+    assert [(r.peer_id, r.namespace, r.applied_version) for r in after.cursors.collect()] == [(peer, "team/1", 900003)]
+    assert after.queue.filter("unit_id like 'far-%' and processed_at_ms = 0").count() == 2
+    # The same batch again changes nothing; a later cell changes the text, a deletion takes it away, and a new life begins anew.
+    again = after.apply(batch, peer_id=peer, batch_schema=good, now_ms=6)
+    assert again.changes.count() == after.changes.count() and again.nodes.count() == after.nodes.count() and ask_it(again) == {"far-1"}
+    renamed = again.apply(cells(spark, [("far-1", "subject", "tapir census", 2, 900010, 1)]), peer_id=peer, batch_schema=good, now_ms=7)
+    assert ask_it(renamed) == set() and renamed.nodes.filter("memory_id = 'far-1'").first().body == "counted at dawn"
+    gone = renamed.apply(cells(spark, [("far-1", "", None, 3, 900011, 2)]), peer_id=peer, batch_schema=good, now_ms=8)
+    assert gone.nodes.filter("memory_id = 'far-1'").count() == 0 == gone.units.filter("unit_id = 'far-1'").count()
+    back = gone.apply(cells(spark, [("far-1", "subject", "capybara again", 1, 900012, 3)]), peer_id=peer, batch_schema=good, now_ms=9)
+    assert ask_it(back) == {"far-1"} and back.cursors.first().applied_version == 900012
+
+
 def test_publish_redacts_and_refuses_shared_memories(spark, engine):
     after = engine.store(request(spark, "mem-3", "private", "token: abc123", "password=hunter2 file://x")).publish(["mem-3"])
     row = after.nodes.filter("memory_id = 'pub_mem-3'").first()
