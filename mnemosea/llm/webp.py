@@ -13,6 +13,7 @@ images of a batch are of like size however long a text is.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 
@@ -113,8 +114,8 @@ class Codes:
         self.table.reshape(m, 256)[many] = table[:, _REVERSED_8]
 
     def several(self, code: np.ndarray) -> np.ndarray:
-        """For each code and each value of the next _SEVERAL bits: how many symbols (three at most; none if the first one is a
-        reference or has a longer code), their bits, and from bit 6 on the symbols, twelve bits each."""
+        """For each code and each value of the next _SEVERAL bits: how many symbols (three at most), their bits, and from bit 6 on the
+        symbols, twelve bits each. A reference counts as none, with its bits and symbol; a longer code has nothing."""
         wide = 1 << _SEVERAL
         one = np.empty((len(code), wide), np.int32)
         single = self.single[code]
@@ -135,7 +136,7 @@ class Codes:
         one[many] = table[:, _REVERSED_SEVERAL]
         reference = (one < 0) | ((one >= 256 << 4) & (one < 280 << 4))
         bits = np.where(reference, 15, one & 15)
-        out = np.where(reference, 0, 1 | (one & 15) << 2 | (one >> 4) << 6).astype(np.int64)
+        out = np.where(one < 0, 0, ~reference | (one & 15) << 2 | (one >> 4) << 6).astype(np.int64)
         base = (np.arange(len(code), dtype=np.int32) << _SEVERAL)[:, None]
         flat, used = one.ravel(), bits
         for k in (1, 2):
@@ -173,7 +174,7 @@ def _expanded(kind: np.ndarray, value: np.ndarray, size: np.ndarray, count: np.n
     pointer[to] = to - np.repeat(value[some], size[some])
     spot = start[kind == 1]
     if len(spot):
-        pointer = _followed(pointer)
+        _follow(pointer, to)
         own = np.flatnonzero(cache_bits > 0)
         at = _ragged((np.cumsum(count) - count)[own], count[own])
         image = np.repeat(own, count[own])
@@ -182,13 +183,21 @@ def _expanded(kind: np.ndarray, value: np.ndarray, size: np.ndarray, count: np.n
         slot[place] = value[kind == 1]
         before = _earlier((image << 11) | slot[np.searchsorted(at, pointer[at])])[place]
         pointer[spot] = np.where(before < 0, total, at[before])  # a slot that nothing is in yet is 0
-    return colour[_followed(pointer)[:-1]]
+        to = np.concatenate([to, spot])
+    _follow(pointer, to)
+    colour[to] = colour[pointer[to]]
+    return colour[:-1]
+
+
+#: For each prefix code of a length or distance: its extra bits, and the least value, to which they are added.
+_EXTRA = np.maximum(0, (np.arange(64) - 2) >> 1)
+_LEAST = np.where(np.arange(64) < 4, np.arange(64) + 1, ((2 + (np.arange(64) & 1)) << _EXTRA) + 1)
+_EXTRA_MASK = (1 << _EXTRA) - 1
 
 
 def _number(prefix: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The length or distance of a prefix code whose extra bits the window begins with, and their number."""
-    extra = np.maximum(0, (prefix - 2) >> 1)
-    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + (window & ((1 << extra) - 1)) + 1), extra
+    return _LEAST[prefix] + (window & _EXTRA_MASK[prefix]), _EXTRA[prefix]
 
 
 class Images:
@@ -208,6 +217,15 @@ class Images:
         low = (at & 63).view(np.uint64)
         return ((self.words.take(k) >> low) | ((self.words.take(k + 1) << np.uint64(1)) << (np.uint64(63) - low))).view(np.int64)
 
+    @functools.cached_property
+    def quads(self) -> np.ndarray:
+        """The 32 bits from each byte on."""
+        data = self.words.view(np.uint8)
+        out = data[:-3].astype(np.uint32)
+        for k in (1, 2, 3):
+            out |= data[k : len(data) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
+        return out
+
     def read(self, own: np.ndarray, n) -> np.ndarray:
         """n bits (a number, or one for each image of ``own``)."""
         n = np.broadcast_to(np.asarray(n, np.int64), own.shape)
@@ -309,12 +327,7 @@ class Images:
         widths, which = np.unique(width, return_inverse=True)
         near_of = np.maximum(1, _NEAR[:, 0] + _NEAR[:, 1] * widths[:, None])
         if main and bool(plain.all()):
-            # Images without references need no look at each step for where one begins.
-            refers = lengths[code_begin, 256:280].any(1)
-            parts = [self._run(own, codes, code_begin, count, slack, which, near_of, np.flatnonzero((count > 0) & (refers == r))) for r in (False, True)]
-            image, symbols, size, value = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            order = np.argsort(image, kind="stable") if len(parts[0][0]) and len(parts[1][0]) else slice(None)
-            image, symbols, size, value = (x[order] for x in (image, symbols, size, value))
+            image, symbols, size, value = self._run(own, codes, code_begin, count, slack, which, near_of, np.flatnonzero(count > 0))
             kind = np.where(symbols < 256, 0, np.where(symbols < 280, 2, 1)).astype(np.uint8)
             value = np.where(kind == 0, constant[image] | symbols << 8, np.where(kind == 1, symbols - 280, value))
             return _expanded(kind, value, size, count, cache_bits), begin
@@ -383,62 +396,76 @@ class Images:
     def _run(self, own: np.ndarray, codes: Codes, code_begin: np.ndarray, count: np.ndarray, slack: int, which: np.ndarray, near_of: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, ...]:
         """The symbols of those images (numbered by ``lane``) of which only green differs: up to three that are no references are read in one
         look-up. Gives for each symbol its image, the symbol, its pixels, and the distance of a reference."""
-        table = codes.several(code_begin[lane])
+        table, quads = codes.several(code_begin[lane]), self.quads
         every, space = lane, np.cumsum(count[lane] + slack) - count[lane] - slack
         stored = np.zeros(int((count[lane] + slack).sum()), np.int64)
         base, at, left, place, total = np.arange(len(lane)) << _SEVERAL, self.at[own[lane]], count[lane].copy(), space, count[lane]
-        steps, copies = 0, []
+        began = at.copy()
+        steps, copies, slow_bits = 0, [], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         while len(lane):
-            window = self.window(at)
-            entry = table.take(base + (window & ((1 << _SEVERAL) - 1)))
-            n = entry & 3
-            bits = (entry >> 2) & 15
-            slow = n == 0
-            n = np.minimum(n, left)  # what follows an image's end is no pixel
-            entry += n - (entry & 3)
-            if slow.any() and len(slow := np.flatnonzero(slow & (left > 0))):
-                c = code_begin[lane[slow]] << 8
-                symbol, used = codes.look(c, window[slow])
-                symbol, used = symbol.astype(np.int64), used.astype(np.int64)
-                entry[slow] = 1 | symbol << 6
-                bits[slow], n[slow] = used, 1
-                some = np.flatnonzero((symbol >= 256) & (symbol < 280))
-                if len(some):
-                    far = slow[some]
-                    w = window[far] >> used[some]
-                    run, extra = _number(symbol[some] - 256, w)
-                    w = w >> extra
-                    s, used_2 = codes.look(c[some] + 1024, w)
-                    d, more = _number(s.astype(np.int64), w >> used_2)
-                    d = np.where(d > 120, d - 120, near_of[which[lane[far]], np.minimum(d, 120) - 1])
-                    if (d > total[far] - left[far]).any() or (run > left[far]).any():
-                        raise Damaged("a back-reference leaves the image")
-                    n[far] = run
-                    bits[far] += extra + used_2 + more
-                    copies.append((place[far] + steps, run, d))
-            stored[place + steps] = entry
-            at += bits * (left > 0)
-            left -= n
-            steps += 1
-            if steps % slack == 0:
-                live = left > 0
-                if not live.all():
-                    self.at[own[lane]] = at - _SEVERAL  # the last look-up may have gone beyond the image
-                    lane, base, at, left, place, total = (x[live] for x in (lane, base, at, left, place, total))
-        self.check()
+            # Images that are done go on until the block of steps ends; what they read then is left out below.
+            block = np.empty((slack, len(lane)), np.int64)
+            for s in range(slack):
+                entry = block[s]
+                table.take(base + ((quads.take(at >> 3, mode="clip") >> (at & 7)) & ((1 << _SEVERAL) - 1)), out=entry, mode="clip")
+                n = entry & 3
+                bits = (entry >> 2) & 15
+                if not n.all() and len(slow := np.flatnonzero((n == 0) & (left > 0))):
+                    c, window = code_begin[lane[slow]] << 8, self.window(at[slow])
+                    symbol, used = entry[slow] >> 6, bits[slow]
+                    far = slow
+                    if not symbol.all():  # codes that are longer than one look-up
+                        symbol, used = (x.astype(np.int64) for x in codes.look(c, window))
+                        some = np.flatnonzero((symbol >= 256) & (symbol < 280))
+                        far, c = slow[some], c[some]
+                    else:
+                        some = slice(None)
+                    entry[slow] = 1 | symbol << 6
+                    bits[slow], n[slow] = used, 1
+                    if len(far):
+                        w = window[some] >> used[some]
+                        run, extra = _number(symbol[some] - 256, w)
+                        w = w >> extra
+                        t, used_2 = codes.look(c + 1024, w)
+                        d, more = _number(t.astype(np.int64), w >> used_2)
+                        d = np.where(d > 120, d - 120, near_of[which[lane[far]], np.minimum(d, 120) - 1])
+                        if (d > total[far] - left[far]).any() or (run > left[far]).any():
+                            raise Damaged("a back-reference leaves the image")
+                        n[far] = run
+                        bits[far] += extra + used_2 + more
+                        copies.append((place[far] + steps + s, run, d))
+                    slow_bits.append((place[slow] + steps + s, bits[slow]))
+                at += bits
+                left -= n
+            stored[(place + steps)[:, None] + np.arange(slack)] = block.T
+            steps += slack
+            live = left > 0
+            if not live.all():
+                lane, base, at, left, place, total = (x[live] for x in (lane, base, at, left, place, total))
         found = np.flatnonzero(stored & 3)
         entry = stored[found]
         n = entry & 3
-        image = np.repeat(every, count[every] + slack)[found]
+        row = np.repeat(np.arange(len(every)), count[every] + slack)[found]
+        pixels = n.copy()
+        far, run, d = (np.concatenate([c[k] for c in copies]) for k in range(3)) if copies else (np.zeros(0, np.int64),) * 3
+        far = np.searchsorted(found, far)
+        pixels[far] = run
+        before = np.cumsum(pixels) - pixels
+        before -= before[np.searchsorted(row, np.arange(len(every)))][row]
+        n = np.minimum(n, count[every][row] - before)  # what follows an image's end is no pixel
+        used = (entry >> 2) & 15
+        spot, bits = (np.concatenate([x[k] for x in slow_bits]) for k in (0, 1))
+        used[np.searchsorted(found, spot)] = bits
+        inside = n > 0
+        self.at[own[every]] = began + np.bincount(row[inside], used[inside], len(every)).astype(np.int64) - _SEVERAL  # the last look-up may have gone beyond the image
+        self.check()
+        n = np.maximum(n, 0)
         first = np.cumsum(n) - n
         which_one = np.arange(int(n.sum())) - np.repeat(first, n)
         symbols = (np.repeat(entry, n) >> (6 + 12 * which_one)) & 4095
         size, value = np.ones(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
-        if copies:
-            spot, run, d = (np.concatenate([c[k] for c in copies]) for k in range(3))
-            spot = first[np.searchsorted(found, spot)]
-            size[spot], value[spot] = run, d
-        return np.repeat(image, n), symbols, size, value
+        size[first[far]], value[first[far]] = run, d
+        return np.repeat(every[row], n), symbols, size, value
 
     def decoded(self, width: np.ndarray, height: np.ndarray) -> list[np.ndarray]:
         """The images from their transforms on: the pixels of each, alpha, red, green and blue in one number."""
@@ -501,16 +528,14 @@ def _tables(image: np.ndarray, edge: np.ndarray, colours: np.ndarray) -> tuple[n
     return _channels(image[_ragged(edge, colours)]), np.cumsum(colours) - colours
 
 
-def _followed(pointer: np.ndarray) -> np.ndarray:
-    """Where each pointer leads in the end; a place that points at itself is an end."""
-    pointer = pointer.copy()
-    todo = np.flatnonzero(pointer != np.arange(len(pointer), dtype=pointer.dtype))
+def _follow(pointer: np.ndarray, todo: np.ndarray) -> None:
+    """Turns the pointers of some places to where they lead in the end; a place that points at itself is an end, and so are all others."""
     while len(todo):
         at = pointer[todo]
         on = pointer[at]
-        todo = todo[on != at]
-        pointer[todo] = on[on != at]
-    return pointer
+        moved = on != at
+        todo = todo[moved]
+        pointer[todo] = on[moved]
 
 
 def _order(key: np.ndarray) -> np.ndarray:
