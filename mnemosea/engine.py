@@ -128,8 +128,8 @@ class Engine:
     tables: dict[str, DataFrame]
     config: Config = field(default_factory=Config)
     index: search.Index | None = None
-    #: Embeds queries, (query_id, query) to (query_id, qv); if it fails, recall goes by text and says so.
-    embed_queries: Callable[[DataFrame], DataFrame] | None = None
+    #: Embeds queries: a service, or a dataflow from (query_id, query) to (query_id, qv); where it fails, recall goes by text and says so.
+    embed_queries: vectors.Provider | Callable[[DataFrame], DataFrame] | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         tables = object.__getattribute__(self, "tables")
@@ -193,14 +193,22 @@ class Engine:
         return recall.recall(self, queries, limit=limit if limit > 0 else 10, profile=self.config.ranking_profile, as_of_ms=as_of_ms, spaces=recall.allowed_spaces(private, shared, transcript), **filters)
 
     def recall_with_warnings(self, queries: DataFrame, **how) -> tuple[DataFrame, list[str]]:
-        """recall(), and by text only, with a warning, if the provider of query vectors fails."""
+        """recall(), with a warning if the provider of query vectors fails: for the queries that it fails for, recall goes by text only."""
+        failed = ["embedding provider unavailable; semantic ranking skipped"]
+        dim = self.config.embedding_dimension
         if self.embed_queries is None:
             return self.recall(queries, **how), []
+        if isinstance(self.embed_queries, vectors.Provider):
+            # Written, so that the service is asked once.
+            path = f"{shared_folder(self.spark)}/asked-{uuid.uuid4().hex}"
+            made = self.embed_queries.vectors(queries, dim)
+            made.write.parquet(path)
+            made = self.spark.read.schema(made.schema).parquet(path)
+            return self.recall(queries, asked=made.filter("error is null").drop("error"), **how), failed if made.filter("error is not null").head(1) else []
         try:
-            asked = vectors.checked(self.embed_queries, queries, self.config.embedding_dimension)
-            return self.recall(queries, asked=asked, **how), []
+            return self.recall(queries, asked=vectors.checked(self.embed_queries, queries, dim), **how), []
         except vectors.ProviderError:
-            return self.recall(queries, semantic=False, **how), ["embedding provider unavailable; semantic ranking skipped"]
+            return self.recall(queries, semantic=False, **how), failed
 
     def context(self, queries: DataFrame, *, as_of_ms: int, limit: int = 5) -> tuple[DataFrame, DataFrame]:
         """Sections and artifacts."""

@@ -7,7 +7,10 @@ of one array. Arithmetic on vectors stays in the JVM.
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +31,57 @@ class ProviderError(Exception):
     """A provider of embeddings failed, or gave something else than vectors of the right length."""
 
 
+@dataclass(frozen=True)
+class Provider:
+    """A service that embeds texts: ``embed`` takes a list of texts and gives a vector for each, or raises. It is called in the tasks, with ``batch``
+    texts at a time, and ``retries`` times again if it raises, after ``pause`` seconds and twice as long each time."""
+
+    embed: Callable[[list[str]], list[list[float] | None]]
+    batch: int = 64
+    retries: int = 2
+    pause: float = 0.2
+
+    def vectors(self, texts: DataFrame, dim: int, *, key: str = "query_id", text: str = "query", vector: str = "qv") -> DataFrame:
+        """(key, vector, error) of each row of ``texts``. A batch that fails to the end, a null, and a vector that is not ``dim`` finite numbers
+        fail their own rows only, whose vector is null and whose error says why."""
+        embed, batch_size, retries, pause = self.embed, self.batch, self.retries, self.pause
+
+        def called(some: list[str]) -> tuple[list, str | None]:
+            for turn in range(retries + 1):
+                try:
+                    made = list(embed(some))
+                    if len(made) != len(some):
+                        raise ProviderError(f"{len(made)} vectors for {len(some)} texts")
+                    return made, None
+                except Exception as e:  # whatever the service raises fails these rows
+                    said = f"{type(e).__name__}: {e}"
+                    if turn < retries:
+                        time.sleep(pause * 2**turn)
+            return [None] * len(some), said
+
+        def run(batches):
+            for batch in batches:
+                for i in range(0, batch.num_rows, batch_size):
+                    part = batch.slice(i, batch_size)
+                    made, error = called([t or "" for t in part.column(text).to_pylist()])
+                    good = [v is not None and len(v) == dim and all(isinstance(x, (int, float)) and math.isfinite(x) for x in v) for v in made]
+                    why = [None if g else error or f"the vector is not {dim} finite numbers" for g in good]
+                    rows = pa.array([[float(x) for x in v] if g else None for v, g in zip(made, good, strict=True)], pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([part.column(key), rows, pa.array(why, pa.string())], names=[key, vector, "error"])
+
+        return texts.select(key, text).mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, {vector} array<double>, error string")
+
+
 def checked(provider: Callable[[DataFrame], DataFrame], queries: DataFrame, dim: int, vector: str = "qv") -> DataFrame:
-    """A provider's vectors, computed and checked: a null, a wrong length or an error of the provider is a ProviderError."""
+    """The vectors of a provider that is a dataflow: an error of the provider, a null or a wrong length is a ProviderError."""
     try:
         made = provider(queries)
-        rows = made.collect()  # a row for each query of a request
+        bad = made.filter(F.col(vector).isNull() | (F.size(vector) != dim)).head(1)
     except Exception as e:
         raise ProviderError(str(e)) from e
-    if any(r[vector] is None or len(r[vector]) != dim for r in rows):
+    if bad:
         raise ProviderError(f"the provider's vectors don't have {dim} components")
-    return made.sparkSession.createDataFrame(rows, made.schema)
+    return made
 
 
 def clamp_dimension(dim: int) -> int:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemosea.engine import Config, Engine, EngineError, decode_strictly, envelope, load_eval_dataset, register_functions, schema_hash
+from mnemosea.functions import vectors
 from mnemosea.operators import search
 from mnemosea.sources.bridge import AS_OF_MS, Tables
 
@@ -107,6 +108,34 @@ def test_a_failing_provider_and_the_catalogue(spark, engine):
     assert engine.probe()["dimension"] == 8 and engine.probe()["text_index"]
 
 
+def test_a_service_that_fails_for_some_batches(spark, engine, tmp_path):
+    """Queries whose batch fails to the end go by text, with a warning; the others keep their vectors, and a batch that works the second time does."""
+    calls = str(tmp_path / "calls")
+
+    def embed(texts):
+        with open(calls, "a") as f:
+            f.write(f"{texts}\n")
+        if any("reason" in t for t in texts):
+            raise OSError("down")
+        if any("later" in t for t in texts) and open(calls).read().count("later") < 2:
+            raise OSError("not yet")
+        return [None if "null" in t else [1.0] if "short" in t else [0.1 * (len(t) % 7), *[0.3] * 7] for t in texts]
+
+    rows = [(1, "the reason"), (2, "a note later"), (3, "null one"), (4, "short one"), (5, "plain one")]
+    queries = spark.createDataFrame(rows, "query_id long, query string").coalesce(1)
+    service = vectors.Provider(embed, batch=1, retries=2, pause=0.01)
+    made = {r.query_id: (r.qv, r.error) for r in service.vectors(queries, 8).collect()}
+    assert [made[k][0] is not None for k in range(1, 6)] == [False, True, False, False, True] and made[1][1] == "OSError: down" and "8" in made[4][1]
+    assert open(calls).read().count("reason") == 3 and open(calls).read().count("later") == 2
+    found, warnings = replace(engine, embed_queries=service).recall_with_warnings(queries, as_of_ms=AS_OF_MS, limit=100)
+    assert warnings == ["embedding provider unavailable; semantic ranking skipped"]
+    near = {}
+    for r in found.collect():
+        near.setdefault(r.query_id, []).append(r.semantic_rank)
+    assert {k for k, v in near.items() if any(v)} == {2, 5} and near[1]
+    assert replace(engine, embed_queries=service).recall_with_warnings(queries.filter("query_id = 5"), as_of_ms=AS_OF_MS)[1] == []
+
+
 def test_batches_are_judged_and_the_scrubber_cleans_up(spark, engine):
     batch = engine.extract("team/1", 0)
     good = schema_hash(engine._shared())
