@@ -229,7 +229,11 @@ class Engine:
         if not roots.head(1):
             raise EngineError("NOT_FOUND", f"memory {memory_id} not found")
         live = graph.active_edges(t["edges"], graph.suspensions(t["edges"], t["signals"], t["nodes"]))
-        hops = graph.trace(live, t["nodes"], roots, depth)
+        if depth > 2:
+            folder = f"{shared_folder(self.spark)}/trace-{uuid.uuid4().hex}"
+            hops = graph.EdgeStore.write(live, t["nodes"], f"{folder}/edges").walk(roots, depth, folder)
+        else:
+            hops = graph.trace(live, t["nodes"], roots, depth)
         seen = roots.toDF("memory_id").unionByName(hops.select(F.col("to_memory_id").alias("memory_id"))).distinct()
         sources = graph.transcript_sources(t["promotions"].join(seen, "memory_id", "left_semi"), t["chunks"], ingest.artifact_spans(t["chunks"]))
         found = graph.traced_artifacts(seen, t["spans"], t["artifacts"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemosea.functions import ranking, text
@@ -90,6 +92,56 @@ def trace(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 1)
     return hops.select("root_id", "hop", "edge_id", "from_memory_id", "to_memory_id", "relation_type", F.round("weight", 6).alias("weight"), F.col("relation_type").isin(*ranking.CONTRADICTIONS).alias("contradiction"))
 
 
+#: Folders of a store of edges, by the node that an edge leaves.
+EDGE_BUCKETS = 64
+_EDGE = "edge_id string, from_memory_id string, to_memory_id string, relation_type string, weight double, bucket int"
+
+
+def edge_bucket(node: Column) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(EDGE_BUCKETS)).cast("int")
+
+
+@dataclass(frozen=True)
+class EdgeStore:
+    """Edges in folders by the node that they leave, so a walk reads only those of its frontier. A node with very many edges is many
+    files of its folder and loads no single task, as the frontier is sent to where the edges are read."""
+
+    spark: SparkSession
+    folder: str
+
+    @classmethod
+    def write(cls, edges: DataFrame, nodes: DataFrame, folder: str) -> EdgeStore:
+        """Stores the edges whose target is a node."""
+        known = edges.join(nodes.select(F.col("memory_id").alias("to_memory_id")), "to_memory_id", "left_semi")
+        rows = known.select("edge_id", "from_memory_id", "to_memory_id", "relation_type", "weight", edge_bucket(F.col("from_memory_id")).alias("bucket"))
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "from_memory_id").write.partitionBy("bucket").parquet(folder)
+        return cls(edges.sparkSession, folder)
+
+    def edges(self, buckets: list[int]) -> DataFrame:
+        return self.spark.read.schema(_EDGE).parquet(self.folder).filter(F.col("bucket").isin(buckets)).drop("bucket")
+
+    def walk(self, roots: DataFrame, depth: int, folder: str) -> DataFrame:
+        """trace() of the stored edges: each level's hops and next frontier are written, so no plan is deeper than a level, and the walk ends where
+        nothing new is reached."""
+        spark = self.spark
+        frontier = roots.select("root_id", F.col("root_id").alias("from_memory_id")).distinct()
+        hop, at = "root_id string, edge_id string, from_memory_id string, to_memory_id string, relation_type string, weight double, hop long", "root_id string, from_memory_id string"
+        seen: list[str] = []
+        for level in range(1, max(1, depth) + 1):
+            frontier.write.parquet(f"{folder}/frontier/level={level}")
+            frontier = spark.read.schema(at).parquet(f"{folder}/frontier/level={level}")
+            buckets = [r["b"] for r in frontier.select(edge_bucket(F.col("from_memory_id")).alias("b")).distinct().collect()]  # EDGE_BUCKETS at most
+            if not buckets:
+                break
+            seen.append(f"{folder}/frontier/level={level}")
+            self.edges(buckets).join(frontier, "from_memory_id").select("root_id", "edge_id", "from_memory_id", "to_memory_id", "relation_type", "weight").write.parquet(f"{folder}/hops/hop={level}")
+            if level < depth:
+                reached = spark.read.schema(hop.replace(", hop long", "")).parquet(f"{folder}/hops/hop={level}").select("root_id", F.col("to_memory_id").alias("from_memory_id")).distinct()
+                frontier = reached.join(spark.read.schema(at).parquet(*seen), ["root_id", "from_memory_id"], "left_anti")
+        hops = spark.read.schema(hop).parquet(f"{folder}/hops") if seen else spark.createDataFrame([], hop)
+        return hops.select("root_id", "hop", "edge_id", "from_memory_id", "to_memory_id", "relation_type", F.round("weight", 6).alias("weight"), F.col("relation_type").isin(*ranking.CONTRADICTIONS).alias("contradiction"))
+
+
 def traced_artifacts(memory_ids: DataFrame, spans: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Spans of the given memories with their artifacts; a span without one is left out."""
     refs = artifacts.select("artifact_id", "uri", "title", "namespace").dropDuplicates(["artifact_id"])

@@ -743,6 +743,25 @@ def trace_hops(t):
     return graph.trace(t.edges, t.nodes, _roots(t), depth=2)
 
 
+#: How far each node is from each decision, up to three edges; an edge is a hop from where its begin is first reached.
+_DEPTH = 4
+_FAR = """WITH RECURSIVE x_known AS (SELECT e.* FROM b_edges e JOIN b_nodes n ON n.memory_id = e.to_memory_id), x_walk AS (SELECT memory_id AS root_id, memory_id AS node, 0 AS level FROM b_nodes WHERE memory_type = 'decision'
+ UNION SELECT root_id, to_memory_id, level + 1 FROM x_walk JOIN x_known ON from_memory_id = node WHERE level < 3)"""
+
+
+def _deep_sql() -> str:
+    base = sql("SELECT * FROM b_edges, b_nodes")
+    head = base[: base.rindex("SELECT * FROM b_edges, b_nodes")]
+    return f"""{head.replace('WITH ', 'WITH RECURSIVE ', 1).rstrip()}, {_FAR.replace('WITH RECURSIVE ', '')} SELECT root_id, (level + 1)::BIGINT AS hop, edge_id, from_memory_id, to_memory_id, relation_type, round(weight, 6) AS weight,
+ relation_type IN ('contradicts', 'contradiction', 'denies') AS contradiction FROM (SELECT root_id, node, min(level) AS level FROM x_walk GROUP BY ALL) JOIN x_known ON from_memory_id = node"""
+
+
+@query(_deep_sql())
+def trace_deep(t):
+    """Walks of four edges from every decision, level by level over the stored edges."""
+    return t.edge_store.walk(_roots(t), _DEPTH, f"{shared_folder(t.spark)}/walk-{uuid.uuid4().hex}")
+
+
 @query(sql("""SELECT s.memory_id, span_id, s.artifact_id, a.uri, a.title, start_offset, end_offset, quote_hash FROM b_spans s JOIN (SELECT artifact_id, uri, title FROM b_artifacts GROUP BY ALL) a USING (artifact_id)
  WHERE s.memory_id IN (SELECT root_id FROM g_roots UNION SELECT to_memory_id FROM g_hops)""", g_roots=_ROOTS, g_hops=_HOPS))
 def trace_artifacts(t):

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemosea.operators import ingest, search
+from mnemosea.operators import graph, ingest, search
 from mnemosea.operators.lifecycle import STORE_RELATIONS as RELATIONS
 from mnemosea.operators.vector_store import VectorStore
 from mnemosea.sources.shared import shared_folder
@@ -24,6 +24,7 @@ SIGNALS = {"click": "reinforce", "view": "bookmark", "purchase": "confirm", "sig
 #: The stored indexes of this process's sessions, by application, folder and tokenizer: an index is built when first asked for.
 _INDEXES: dict[tuple[str, str, str], search.Index] = {}
 _VECTORS: dict[tuple[str, str], VectorStore] = {}
+_EDGES: dict[tuple[str, str], graph.EdgeStore] = {}
 #: Length of the driver's vectors.
 WIDTH = 64
 
@@ -55,6 +56,14 @@ class Tables:
             _VECTORS[key] = VectorStore.build(self.vectors, f"{shared_folder(self.spark)}/vectors-{uuid.uuid4().hex}", key="vec_id", dim=WIDTH)
         return _VECTORS[key]
 
+    @property
+    def edge_store(self) -> graph.EdgeStore:
+        """The edges by the node that they leave."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _EDGES:
+            _EDGES[key] = graph.EdgeStore.write(self.edges, self.nodes, f"{shared_folder(self.spark)}/edges-{uuid.uuid4().hex}")
+        return _EDGES[key]
+
     @property
     def messages(self) -> DataFrame:
         conv, turn = F.col("conv_id"), F.col("turn")

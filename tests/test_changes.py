@@ -1,8 +1,10 @@
-"""Changes between two states of the tables, and cycles of replicas, against plain Python."""
+"""Changes between two states of the tables, cycles of replicas and walks over stored edges, against plain Python."""
+
+import random
 
 from pyspark.sql import functions as F
 
-from mnemosea.operators import lifecycle, sync
+from mnemosea.operators import graph, lifecycle, sync
 
 NODE = "memory_id string, namespace string, body string, authored_at_ms long"
 
@@ -54,3 +56,39 @@ def test_replicas_converge_along_a_chain(spark, tmp_path):
     assert 3 <= counted[100] <= 6 < counted[7] <= 14
     nothing, rounds = sync.converge(held(spark, rows).filter(F.lit(False)), links, written=written)
     assert nothing.count() == 0 == rounds
+
+
+def test_walks_over_stored_edges(spark, tmp_path):
+    rng = random.Random(4)
+    nodes = [f"n{k}" for k in range(60)]
+    edges = [(f"e{k}", rng.choice(nodes), rng.choice([*nodes, "missing"]), rng.choice(["supports", "contradicts"]), 0.5) for k in range(150)]
+    edges += [(f"hub{k}", "n0", f"n{k % 60}", "supports", 1.0) for k in range(500)]
+    roots = ["n0", "n7", "alone"]
+
+    def by_hand(depth):
+        out = []
+        for root in roots:
+            seen, frontier = {root}, {root}
+            for hop in range(1, depth + 1):
+                level = [(root, hop, e, a, b, kind == "contradicts") for e, a, b, kind, _ in edges if a in frontier and b in nodes]
+                out += level
+                frontier = {x[4] for x in level} - seen
+                seen |= frontier
+        return sorted(out)
+
+    e = spark.createDataFrame(edges, "edge_id string, from_memory_id string, to_memory_id string, relation_type string, weight double").repartition(6)
+    n = spark.createDataFrame([(x,) for x in [*nodes, "alone"]], "memory_id string")
+    store = graph.EdgeStore.write(e, n, f"file://{tmp_path}/edges")
+    r = spark.createDataFrame([(x,) for x in roots], "root_id string")
+    columns = ["root_id", "hop", "edge_id", "from_memory_id", "to_memory_id", "contradiction"]
+    sizes = {}
+    for depth in (1, 2, 20):
+        got = store.walk(r, depth, f"file://{tmp_path}/walk{depth}")
+        assert sorted(tuple(x) for x in got.select(*columns).collect()) == by_hand(depth)
+        sizes[depth] = len(got._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(sizes[20] - sizes[2]) < 20 and sorted(tuple(x) for x in graph.trace(e, n, r, 2).select(*columns).collect()) == by_hand(2)
+    # A walk ends where nothing new is reached, and reads only the folders of its frontier.
+    assert len(list((tmp_path / "walk20" / "hops").iterdir())) < 14
+    plan = spark._jvm.PythonSQLUtils.explainString(store.edges([3])._jdf.queryExecution(), "formatted")
+    assert "bucket" in plan.split("PartitionFilters")[1].split("\n")[0]
+    assert store.walk(r.filter("root_id = 'x'"), 3, f"file://{tmp_path}/none").collect() == []
