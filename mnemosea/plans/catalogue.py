@@ -17,7 +17,7 @@ from mnemosea.plans import oracle
 from mnemosea.plans.oracle import sql
 from mnemosea.sources.bridge import AS_OF_MS, Tables
 from mnemosea.sources.shared import shared_folder
-from mnemosea.streaming import workers
+from mnemosea.streaming import sessions, workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1136,6 +1136,17 @@ def stream_ingest(t):
     return workers.ingest_once(t.spark, t.messages)
 
 
+@query(sql("SELECT chunk_id, chunk_kind, content_hash, start_seq::BIGINT AS start_seq, end_seq::BIGINT AS end_seq FROM b_chunks"))
+def stream_sessions(t):
+    """Chunks from keyed session state; messages come in files that cut through sessions, and a third of them twice."""
+    m = t.messages.select("session_id", "seq", "role", "content", "authored_at_ms")
+    sent = m.unionByName(m.filter(F.pmod(F.xxhash64("session_id", "seq"), F.lit(3)) == 0))
+    root = f"{shared_folder(t.spark)}/stream-sessions-{uuid.uuid4().hex}"
+    sent.repartition(6, F.xxhash64("seq", "content")).write.parquet(f"{root}/in")
+    source = t.spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 3).parquet(f"{root}/in")
+    return sessions.sessions_once(t.spark, source, root)
+
+
 def _signed_claims(t):
     seed = F.unhex(F.sha2(F.concat(F.lit("engine/"), "origin_peer_id"), 256))
     rows = _claims(t).filter("memory_space = 'shared'").join(t.verification.hint("merge"), "memory_id", "left").withColumn("seed", seed)
