@@ -214,4 +214,4 @@ def test_pages_with_nulls_copies_and_clashing_columns(spark, tmp_path):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in entries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entries.QUERIES) == list(range(1, 14))
