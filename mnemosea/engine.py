@@ -168,6 +168,10 @@ class Engine:
             written[name] = self.spark.read.schema(rows.schema).parquet(path)
         return replace(self, tables=self.tables | written)
 
+    def stored(self) -> Engine:
+        """The engine with all of its tables written, as a service keeps them: requests read them and derive nothing again."""
+        return self._with(**self.tables)
+
     def _added(self, **new: DataFrame) -> Engine:
         """The engine with rows added to some tables; columns that the new rows lack are null."""
         old = self.tables

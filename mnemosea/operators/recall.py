@@ -112,6 +112,8 @@ def recall(t, queries: DataFrame, *, limit: int = 10, profile: str = "default",
         found = merged(semantic_candidates(t.index, queries, may if listed or project or branch else None, cap, prefilter=prefilter, asked=asked), found)
     else:
         found = found.withColumn("semantic_rank", F.lit(0).cast("long")).select("query_id", "unit_id", "semantic_rank", "lexical_rank")
+    if search.is_few(queries):
+        found = search.held(found)  # two times the cap for each query at most; so small, it is sent to where units and nodes are read
     rows = with_features(enriched(found, units, t.nodes, t.verification, t.peers, t.chunk_versions), t.edges, t.spans)
     return best(scored(rows, queries, profile=profile, as_of_ms=as_of_ms), limit)
 
