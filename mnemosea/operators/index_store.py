@@ -11,6 +11,7 @@ and the least length in a block bound well what any unit of it can score, whatev
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import uuid
@@ -190,7 +191,7 @@ class Index:
         """unit_id, doc_len."""
         return self.stored_units().select("unit_id", "doc_len")
 
-    @property
+    @functools.cached_property
     def vector_store(self) -> VectorStore:
         return VectorStore(self.spark, f"{self.root}/vectors", tuple(vector_store.Part(s.seq, s.vectors) for s in self.segments), "unit_id", "string", self.dim)
 

@@ -12,6 +12,7 @@ are looked into next. Only folders of cells that some query needs are read. Resu
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 MOST_CELLS = 1024
 #: Vectors, and bytes of them, in a block; and queries that meet a block at once.
 BLOCK_ROWS, BLOCK_BYTES, PACK_QUERIES = 1024, 4 << 20, 256
+#: Queries of a request whose cells are chosen on the driver.
+FEW = 16
 #: Distances are rounded to six places; what rounding may hide.
 SLACK = 2e-6
 
@@ -80,6 +83,26 @@ def write_part(rows: DataFrame, root: str, seq: str, *, key: str, dim: int, cell
     return Part(seq, n)
 
 
+def _chooser(cells: list, k: int):
+    """A function from queries to (place of the query, place of the cell): without limits the nearest cells that hold k vectors
+    together, and with a limit of distance for each query the other cells within reach."""
+    pivots = np.array([r["pivot"] for r in cells])
+    radius, n = np.array([r["radius"] for r in cells]), np.array([r["n"] for r in cells])
+
+    def choose(q: np.ndarray, limit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        far = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] - 2 * q @ pivots.T + (pivots**2).sum(1)))
+        order = np.argsort(far, 1, kind="stable")
+        held = np.cumsum(n[order], 1) - n[order]
+        front = np.zeros(far.shape, bool)
+        np.put_along_axis(front, order, held < k, 1)
+        if limit is None:
+            return np.nonzero(front)
+        error = 1e-7 * (1 + np.abs(q).max(1, initial=0) + far.max(1, initial=0))
+        return np.nonzero(~front & (far - radius <= (limit + SLACK + error)[:, None]))
+
+    return choose
+
+
 @dataclass(frozen=True)
 class VectorStore:
     """Parts with one key and one length of vectors, in one folder."""
@@ -105,7 +128,11 @@ class VectorStore:
         return self._scan("rows", f"id {self.kind}, embedding array<double>", [p.seq for p in self.parts if p.n]).select("seq", F.col("id").alias(self.key), "embedding")
 
     def cells(self) -> list:
-        """A row for each cell of each part."""
+        """A row for each cell of each part, read once."""
+        return self._cells
+
+    @functools.cached_property
+    def _cells(self) -> list:
         return self._scan("cells", "cell int, pivot array<double>, radius double, n long", [p.seq for p in self.parts if p.n]).collect()
 
     def blocks(self, needed: list[tuple[str, int]]) -> DataFrame:
@@ -133,6 +160,10 @@ class VectorStore:
             return self.spark.createDataFrame([], schema).withColumn("semantic_rank", F.lit(0).cast("long"))
         finite = F.forall("qv", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
         asked = queries.filter((F.size("qv") == self.dim) & F.coalesce(finite, F.lit(False))).select("query_id", F.col("qv").cast("array<double>").alias("qv"))
+        best = Window.partitionBy("query_id").orderBy("distance", self.key)
+        ranked = lambda rows: rows.withColumn("semantic_rank", F.row_number().over(best).cast("long")).filter(F.col("semantic_rank") <= k)
+        if len(some := asked.limit(FEW + 1).collect()) <= FEW:
+            return ranked(self._few(some, asked.schema, cells, k, schema, allowed, gone, looked))
         first = self._probes(asked, cells, k, None)
         near = self._solved(first, k, schema, allowed, gone)
         kth = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", self.key))).groupBy("query_id").agg(F.max(F.when(F.col("place") <= k, F.col("distance"))).alias("kth"), F.count(F.lit(1)).alias("have"))
@@ -142,14 +173,31 @@ class VectorStore:
             sizes = {(r["seq"], r["cell"]): r["n"] for r in cells}
             used = [(r["seq"], r["cell"]) for r in first.unionByName(second).select("seq", "cell").collect()]
             looked.append((len(used), sum(sizes[c] for c in used), sum(sizes.values()) * asked.count()))
-        best = Window.partitionBy("query_id").orderBy("distance", self.key)
-        both = near.unionByName(self._solved(second, k, schema, allowed, gone))
-        return both.withColumn("semantic_rank", F.row_number().over(best).cast("long")).filter(F.col("semantic_rank") <= k)
+        return ranked(near.unionByName(self._solved(second, k, schema, allowed, gone)))
+
+    def _few(self, some: list, kind, cells: list, k: int, schema: str, allowed: DataFrame | None, gone: DataFrame | None, looked: list | None) -> DataFrame:
+        """search() of FEW queries at most, whose cells are chosen here: one job for each step."""
+        q = np.array([r["qv"] for r in some], np.float64).reshape(-1, self.dim)
+        choose, found, used = _chooser(cells, k), [], []
+        limit = None
+        for _ in range(2):
+            row, at = choose(q, limit)
+            used += at.tolist()
+            if len(row):
+                names = [(cells[a]["seq"], cells[a]["cell"]) for a in at.tolist()]
+                probes = self.spark.createDataFrame([(some[i]["query_id"], q[i].tolist(), *names[j]) for j, i in enumerate(row.tolist())], f"query_id {kind['query_id'].dataType.simpleString()}, qv array<double>, seq string, cell int")
+                found += self._solved(probes, k, schema, allowed, gone, sorted(set(names)), len(some)).collect()  # little more than k for each query and block
+            own: dict = {}
+            for r in found:
+                own.setdefault(r["query_id"], []).append(r["distance"])
+            limit = np.array([sorted(d)[k - 1] if len(d := own.get(r["query_id"], [])) >= k else np.inf for r in some])
+        if looked is not None:
+            looked.append((len(used), sum(cells[a]["n"] for a in used), sum(c["n"] for c in cells) * len(some)))
+        return self.spark.createDataFrame(found, schema)
 
     def _probes(self, asked: DataFrame, cells: list, k: int, kth: str | None) -> DataFrame:
         """(query_id, qv, seq, cell): without ``kth`` the nearest cells that hold k vectors together, and with it the other ones within reach."""
-        pivots = np.array([r["pivot"] for r in cells])
-        radius, n = np.array([r["radius"] for r in cells]), np.array([r["n"] for r in cells])
+        choose = _chooser(cells, k)
         seq, cell = pa.array([r["seq"] for r in cells], pa.string()), np.array([r["cell"] for r in cells], np.int32)
         names = [*asked.columns[:2], "seq", "cell"]
         dim = self.dim
@@ -158,28 +206,19 @@ class VectorStore:
             for batch in batches:
                 for i in range(0, batch.num_rows, 256):
                     part = batch.slice(i, 256)
-                    q = _matrix(part.column("qv"), dim)
-                    far = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] - 2 * q @ pivots.T + (pivots**2).sum(1)))
-                    order = np.argsort(far, 1, kind="stable")
-                    held = np.cumsum(n[order], 1) - n[order]
-                    front = np.zeros(far.shape, bool)
-                    np.put_along_axis(front, order, held < k, 1)
-                    want = front
-                    if kth is not None:
-                        limit = np.asarray(part.column(kth).fill_null(float("inf"))) + SLACK
-                        error = 1e-7 * (1 + np.abs(q).max(1, initial=0) + far.max(1, initial=0))
-                        want = ~front & (far - radius <= (limit + error)[:, None])
-                    row, at = np.nonzero(want)
+                    limit = None if kth is None else np.asarray(part.column(kth).fill_null(float("inf")))
+                    row, at = choose(_matrix(part.column("qv"), dim), limit)
                     yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in names[:2]), seq.take(pa.array(at)), pa.array(cell[at])], names=names)
 
         kind = dict(asked.dtypes)["query_id"]
         return asked.mapInArrow(run, f"query_id {kind}, qv array<double>, seq string, cell int")
 
-    def _solved(self, probes: DataFrame, k: int, schema: str, allowed: DataFrame | None, gone: DataFrame | None) -> DataFrame:
-        """The k nearest of each query in each block that it looks into."""
-        per_cell = probes.groupBy("seq", "cell").agg(F.count(F.lit(1)).alias("q")).collect()  # a row for each cell at most
-        blocks = self.blocks([(r["seq"], r["cell"]) for r in per_cell])
-        most = max([r["q"] for r in per_cell], default=1)
+    def _solved(self, probes: DataFrame, k: int, schema: str, allowed: DataFrame | None, gone: DataFrame | None, needed: list | None = None, most: int = 1) -> DataFrame:
+        """The k nearest of each query in each block that it looks into; ``needed`` are the (seq, cell) and ``most`` the queries of one, if known."""
+        if needed is None:
+            per_cell = probes.groupBy("seq", "cell").agg(F.count(F.lit(1)).alias("q")).collect()  # a row for each cell at most
+            needed, most = [(r["seq"], r["cell"]) for r in per_cell], max([r["q"] for r in per_cell], default=1)
+        blocks = self.blocks(needed)
         dim, key = self.dim, self.key
         if allowed is not None or gone is not None:
             blocks = self._filtered(blocks, allowed, gone)

@@ -42,6 +42,18 @@ def test_exact_and_few_vectors_compared(spark, tmp_path, clustered):
     assert compared * 4 < everything and cells < len(store.cells()) * len(queries) / 4
 
 
+def test_few_queries_find_what_many_do(spark, tmp_path, clustered):
+    vectors, queries = clustered
+    store = VectorStore.build(spark.createDataFrame(vectors, "unit_id string, embedding array<double>"), f"file://{tmp_path}/v", key="unit_id", dim=12)
+    some = queries[:3] + queries[-2:]
+    looked = []
+    got = store.search(spark.createDataFrame(some, "query_id long, qv array<double>"), 10, looked=looked)
+    assert found(got) == by_hand(vectors, some, 10) and looked[0][1] * 3 < looked[0][2]
+    gone = spark.createDataFrame([("first", f"u{k:05}") for k in range(0, 6000, 2)], "seq string, unit_id string")
+    left = [v for v in vectors if not (v[0][0] == "u" and int(v[0][1:]) % 2 == 0)]
+    assert found(store.search(spark.createDataFrame(some, "query_id long, qv array<double>"), 4, gone=gone)) == by_hand(left, some, 4)
+
+
 def test_only_needed_folders_are_read(spark, tmp_path, clustered):
     vectors, _ = clustered
     store = VectorStore.build(spark.createDataFrame(vectors, "unit_id string, embedding array<double>"), f"file://{tmp_path}/v", key="unit_id", dim=12)
