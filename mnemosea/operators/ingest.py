@@ -112,3 +112,12 @@ def message_conflicts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     old = stored.select("session_id", "seq", F.sha2("content", 256).alias("stored_hash"))
     new = incoming.select("session_id", "seq", F.sha2("content", 256).alias("incoming_hash"))
     return old.join(new, ["session_id", "seq"]).filter("stored_hash <> incoming_hash")
+
+
+def merged_messages(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Messages after an upsert by (session_id, seq): one that comes again with the same content takes the incoming role and time, one with another content
+    stays as it is (message_conflicts() tells of it), and new ones are added. Incoming messages are one for each number."""
+    key, rest = ["session_id", "seq"], ["role", "content", "authored_at_ms"]
+    both = stored.select(*key, F.struct(*rest).alias("old")).join(incoming.select(*key, F.struct(*rest).alias("new")), key, "full")
+    takes = F.col("old").isNull() | F.coalesce(F.sha2(F.col("old.content"), 256) == F.sha2(F.col("new.content"), 256), F.lit(False))
+    return both.select(*key, F.when(takes, F.col("new")).otherwise(F.col("old")).alias("m")).select(*key, "m.*")

@@ -77,6 +77,36 @@ def valid_relations(relations: DataFrame) -> DataFrame:
     return relations.select("edge_id", reason.alias("reason"), F.when(F.col("weight") == 0, 1.0).otherwise(F.col("weight")).alias("weight"))
 
 
+def valid_spans(spans: DataFrame) -> DataFrame:
+    """Artifact spans (span_id, artifact_id, uri, start_offset, end_offset, start_line, end_line) with the reason for which a store refuses them, or
+    none. An end of 0 is no end."""
+    places = ("start_offset", "end_offset", "start_line", "end_line")
+    given = {c: F.coalesce(c, F.lit(0)) for c in places}
+    ordered = lambda what: (given[f"end_{what}"] > 0) & (given[f"end_{what}"] < given[f"start_{what}"])
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    reason = (
+        F.when(empty("artifact_id") & empty("uri"), "uri is required")
+        .when(F.least(*given.values()) < 0, "offsets and lines must not be negative")
+        .when(ordered("offset"), "end_offset must not be before start_offset")
+        .when(ordered("line"), "end_line must not be before start_line")
+        .otherwise("")
+    )
+    return spans.select("span_id", reason.alias("reason"))
+
+
+def valid_signals(requests: DataFrame) -> DataFrame:
+    """Signal requests (signal_id, memory_space, memory_id, signal_type, value) with the reason for which they are refused, or none."""
+    bare = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    reason = (
+        F.when(~bare("memory_space").isin("shared", "private"), "memory_space must be shared or private")
+        .when(bare("memory_id") == "", "memory_id is required")
+        .when(~bare("signal_type").isin(*SIGNAL_TYPES), "unsupported signal type")
+        .when(~(F.coalesce("value", F.lit(0.0)) > 0), "value must be greater than 0")
+        .otherwise("")
+    )
+    return requests.select("signal_id", reason.alias("reason"))
+
+
 def relation_targets(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """Relations whose target is in the lane of their source."""
     lane = nodes.select("memory_id", "memory_space")

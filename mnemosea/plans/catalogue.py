@@ -1186,6 +1186,46 @@ def batch_verify_shared(t):
     return signing.batch_verdicts(claims.unionByName(again))
 
 
+# ---------------------------------------------------------------- more validation, conditional upserts, vectors of memories
+
+
+_SPANS = "SELECT span_id, CASE WHEN length(span_id) % 3 = 0 THEN ' ' ELSE artifact_id END AS artifact_id, CASE WHEN authored_at_ms % 5 = 0 THEN '' ELSE 'u' END AS uri, authored_at_ms % 7 - 1 AS start_offset, authored_at_ms % 11 AS end_offset, authored_at_ms % 4 AS start_line, authored_at_ms % 3 AS end_line FROM b_spans"
+
+
+@query(sql("""SELECT span_id, CASE WHEN trim(artifact_id) = '' AND uri = '' THEN 'uri is required' WHEN start_offset < 0 THEN 'offsets and lines must not be negative' WHEN end_offset > 0 AND end_offset < start_offset THEN 'end_offset must not be before start_offset'
+ WHEN end_line > 0 AND end_line < start_line THEN 'end_line must not be before start_line' ELSE '' END AS reason FROM x_spans""", x_spans=_SPANS))
+def validate_spans(t):
+    at = F.col("authored_at_ms")
+    artifact = F.when(F.length("span_id") % 3 == 0, " ").otherwise(F.col("artifact_id"))
+    rows = t.spans.select("span_id", artifact.alias("artifact_id"), F.when(at % 5 == 0, "").otherwise("u").alias("uri"), (at % 7 - 1).alias("start_offset"), (at % 11).alias("end_offset"), (at % 4).alias("start_line"), (at % 3).alias("end_line"))
+    return lifecycle.valid_spans(rows)
+
+
+@query(sql("""SELECT signal_id, CASE WHEN space NOT IN ('shared', 'private') THEN 'memory_space must be shared or private' WHEN signal_type NOT IN ('reinforce', 'deprecate', 'confirm', 'deny', 'pin', 'bookmark') THEN 'unsupported signal type' WHEN v <= 0 THEN 'value must be greater than 0' ELSE '' END AS reason
+ FROM (SELECT signal_id, CASE authored_at_ms % 3 WHEN 0 THEN 'shared' WHEN 1 THEN ' private ' ELSE 'transcript' END AS s, trim(s) AS space, CASE WHEN signal_type = 'pin' THEN 'like' ELSE signal_type END AS signal_type, round(value - 20, 4) AS v FROM b_signals)"""))
+def validate_signals(t):
+    at = F.col("authored_at_ms") % 3
+    space = F.when(at == 0, "shared").when(at == 1, " private ").otherwise("transcript")
+    rows = t.signals.select("signal_id", space.alias("memory_space"), "memory_id", F.when(F.col("signal_type") == "pin", "like").otherwise(F.col("signal_type")).alias("signal_type"), F.round(F.col("value") - 20, 4).alias("value"))
+    return lifecycle.valid_signals(rows)
+
+
+@query(sql("""SELECT session_id, seq, CASE WHEN seq % 4 = 1 THEN 'tool' ELSE role END AS role, sha256(content) AS content_hash, CASE WHEN seq % 4 = 1 THEN authored_at_ms + 5 ELSE authored_at_ms END AS authored_at_ms FROM b_messages"""))
+def message_merge(t):
+    """A session's messages come again: some with another role and time, some with another content, some for the first time."""
+    m, n = t.messages.select("session_id", "seq", "role", "content", "authored_at_ms"), F.col("seq") % 4
+    again = m.filter(n != 3).withColumn("role", F.when(n == 1, "tool").otherwise(F.col("role"))).withColumn("authored_at_ms", F.when(n == 1, F.col("authored_at_ms") + 5).when(n == 2, F.lit(0)).otherwise(F.col("authored_at_ms")))
+    again = again.withColumn("content", F.when(n == 2, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    out = ingest.merged_messages(m.filter(n != 0), again)
+    return out.select("session_id", "seq", "role", F.sha2("content", 256).alias("content_hash"), "authored_at_ms")
+
+
+@query(sql("SELECT query_id, unit_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, unit_id) AS semantic_rank FROM n_near JOIN b_nodes ON memory_id = unit_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, unit_id) <= 20"))
+def memory_vectors(t):
+    """The nearest memories, without transcripts."""
+    return t.index.nearest(search.query_vectors(t.queries), 20, allowed=recall.filter_units(t.units, spaces=["private", "shared"]))
+
+
 # ---------------------------------------------------------------- changes of tables, replicated rows, cycles to the end
 
 
