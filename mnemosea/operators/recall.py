@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from mnemosea.functions import ranking
 from mnemosea.operators import graph, search
+from mnemosea.sources.shared import kept
 
 CANDIDATES = 50
+#: Ids of candidates that are sent to every task; more are joined by a shuffle.
+SENT = 500_000
 
 
 def allowed_spaces(private: bool = False, shared: bool = False, transcript: bool = False) -> list[str]:
@@ -43,6 +46,12 @@ def replaced_chunks(versions: DataFrame) -> DataFrame:
     return versions.join(newest, "session_id").filter("chunk_strategy_version < newest").select(F.col("chunk_id").alias("unit_id"))
 
 
+def wanted(rows: DataFrame) -> DataFrame:
+    """The distinct unit_id of ``rows``, which are sent to where texts and edges are read unless they are very many."""
+    ids = rows.select("unit_id").distinct()
+    return F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids
+
+
 def enriched(candidates: DataFrame, units: DataFrame, nodes: DataFrame, verification: DataFrame, peers: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """Candidates with what their units, nodes, signatures and peers say. Trust counts for shared
     memory only; invalid signatures, inactive units and replaced chunks go."""
@@ -51,7 +60,9 @@ def enriched(candidates: DataFrame, units: DataFrame, nodes: DataFrame, verifica
     n = nodes.select(F.col("memory_id").alias("unit_id"), "origin_peer_id", F.col("has_signature").alias("signed"))
     v = verification.select(F.col("memory_id").alias("unit_id"), F.col("signature_status").alias("found_status"))
     p = peers.select(F.col("peer_id").alias("origin_peer_id"), F.col("trust_weight").alias("peer_weight"))
-    rows = candidates.join(units.filter("state = 'active'"), "unit_id").join(n, "unit_id", "left").join(v, "unit_id", "left").join(p, "origin_peer_id", "left")
+    ids = wanted(candidates)
+    u, n, v = (r.join(ids, "unit_id", "left_semi") for r in (units.filter("state = 'active'"), n, v))
+    rows = candidates.join(u, "unit_id").join(n, "unit_id", "left").join(v, "unit_id", "left").join(p, "origin_peer_id", "left")
     shared = F.col("memory_space") == "shared"
     rows = rows.withColumn("signature_status", F.coalesce("found_status", F.lit(""))).filter("signature_status <> 'invalid_signature'")
     return rows.select(
@@ -64,9 +75,10 @@ def enriched(candidates: DataFrame, units: DataFrame, nodes: DataFrame, verifica
 
 def with_features(rows: DataFrame, edges: DataFrame, spans: DataFrame) -> DataFrame:
     """Graph and artifact figures of the candidates; edges and spans of others are dropped first."""
-    wanted = rows.select(F.col("unit_id").alias("memory_id")).distinct()
-    g = graph.stats(edges, wanted).withColumnRenamed("memory_id", "unit_id")
-    a = graph.artifact_stats(spans, wanted).withColumnRenamed("memory_id", "unit_id")
+    rows = kept(rows)  # three times read, and as many as the candidates
+    ids = wanted(rows).withColumnRenamed("unit_id", "memory_id")
+    g = graph.stats(edges, ids).withColumnRenamed("memory_id", "unit_id")
+    a = graph.artifact_stats(spans, ids).withColumnRenamed("memory_id", "unit_id")
     zero = {"edge_count": 0, "support_weight": 0.0, "contradict_weight": 0.0, "span_count": 0, "quote_count": 0}
     return rows.join(g, "unit_id", "left").join(a, "unit_id", "left").fillna(zero)
 
@@ -112,8 +124,8 @@ def recall(t, queries: DataFrame, *, limit: int = 10, profile: str = "default",
         found = merged(semantic_candidates(t.index, queries, may if listed or project or branch else None, cap, prefilter=prefilter, asked=asked), found)
     else:
         found = found.withColumn("semantic_rank", F.lit(0).cast("long")).select("query_id", "unit_id", "semantic_rank", "lexical_rank")
-    if search.is_few(queries):
-        found = search.held(found)  # two times the cap for each query at most; so small, it is sent to where units and nodes are read
+    # Two times the cap for each query at most; of few queries it is so small that it is held.
+    found = search.held(found) if search.is_few(queries) else kept(found)
     rows = with_features(enriched(found, units, t.nodes, t.verification, t.peers, t.chunk_versions), t.edges, t.spans)
     return best(scored(rows, queries, profile=profile, as_of_ms=as_of_ms), limit)
 
@@ -121,7 +133,7 @@ def recall(t, queries: DataFrame, *, limit: int = 10, profile: str = "default",
 def legacy(t, queries: DataFrame, *, limit: int = 10, as_of_ms: int) -> DataFrame:
     """Recall of memories by text only, with the default weights; ties go by bucket, trust, age, lane and id."""
     memories = filter_units(t.units, spaces=("private", "shared"))
-    found = search.lexical(t.index, queries, max(CANDIDATES, 10 * limit), memories).withColumn("semantic_rank", F.lit(0).cast("long")).select("query_id", "unit_id", "semantic_rank", "lexical_rank")
+    found = kept(search.lexical(t.index, queries, max(CANDIDATES, 10 * limit), memories)).withColumn("semantic_rank", F.lit(0).cast("long")).select("query_id", "unit_id", "semantic_rank", "lexical_rank")
     rows = scored(with_features(enriched(found, t.units, t.nodes, t.verification, t.peers), t.edges, t.spans), queries, profile="default", as_of_ms=as_of_ms)
     bucket = ranking.bucket(F.col("memory_space"), F.col("signature_status"), F.col("has_signature"))
     by = [F.col("score").desc(), bucket, F.col("trust_weight").desc(), F.col("authored_at_ms").desc(), F.col("memory_space"), F.col("unit_id")]

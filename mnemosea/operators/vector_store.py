@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemosea.sources.shared import kept
+
 #: Most cells of a part; below, half the root of the number of vectors.
 MOST_CELLS = 1024
 #: Vectors, and bytes of them, in a block; and queries that meet a block at once.
@@ -165,7 +167,7 @@ class VectorStore:
         if len(some := asked.limit(FEW + 1).collect()) <= FEW:
             return ranked(self._few(some, asked.schema, cells, k, schema, allowed, gone, looked))
         first = self._probes(asked, cells, k, None)
-        near = self._solved(first, k, schema, allowed, gone)
+        near = kept(self._solved(first, k, schema, allowed, gone))
         kth = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", self.key))).groupBy("query_id").agg(F.max(F.when(F.col("place") <= k, F.col("distance"))).alias("kth"), F.count(F.lit(1)).alias("have"))
         bound = asked.join(kth, "query_id", "left").select("query_id", "qv", F.when(F.col("have") >= k, F.col("kth")).alias("kth"))
         second = self._probes(bound, cells, k, "kth")
@@ -173,6 +175,7 @@ class VectorStore:
             sizes = {(r["seq"], r["cell"]): r["n"] for r in cells}
             used = [(r["seq"], r["cell"]) for r in first.unionByName(second).select("seq", "cell").collect()]
             looked.append((len(used), sum(sizes[c] for c in used), sum(sizes.values()) * asked.count()))
+        second = second.join(bound.select("query_id", "kth"), "query_id")
         return ranked(near.unionByName(self._solved(second, k, schema, allowed, gone)))
 
     def _few(self, some: list, kind, cells: list, k: int, schema: str, allowed: DataFrame | None, gone: DataFrame | None, looked: list | None) -> DataFrame:
@@ -214,7 +217,8 @@ class VectorStore:
         return asked.mapInArrow(run, f"query_id {kind}, qv array<double>, seq string, cell int")
 
     def _solved(self, probes: DataFrame, k: int, schema: str, allowed: DataFrame | None, gone: DataFrame | None, needed: list | None = None, most: int = 1) -> DataFrame:
-        """The k nearest of each query in each block that it looks into; ``needed`` are the (seq, cell) and ``most`` the queries of one, if known."""
+        """The k nearest of each query in each block that it looks into, of which none is farther than ``kth``, if the probes have it; ``needed`` are the
+        (seq, cell) and ``most`` the queries of one, if known."""
         if needed is None:
             per_cell = probes.groupBy("seq", "cell").agg(F.count(F.lit(1)).alias("q")).collect()  # a row for each cell at most
             needed, most = [(r["seq"], r["cell"]) for r in per_cell], max([r["q"] for r in per_cell], default=1)
@@ -223,8 +227,11 @@ class VectorStore:
         if allowed is not None or gone is not None:
             blocks = self._filtered(blocks, allowed, gone)
         share = F.pmod(F.xxhash64("query_id"), F.lit(-(-most // PACK_QUERIES)))
-        packs = probes.groupBy("seq", "cell", share.alias("share")).agg(F.collect_list("query_id").alias("queries"), F.flatten(F.collect_list("qv")).alias("qv"))
-        met = blocks.join(packs, ["seq", "cell"]).select("ids", "data", "queries", "qv")
+        most_far = F.coalesce("kth", F.lit(float("inf"))) if "kth" in probes.columns else F.lit(float("inf"))
+        asked = F.collect_list(F.struct("query_id", "qv", most_far.alias("kth")))
+        packs = probes.groupBy("seq", "cell", share.alias("share")).agg(asked.alias("asked"))
+        packs = packs.select("seq", "cell", F.col("asked.query_id").alias("queries"), F.flatten("asked.qv").alias("qv"), F.col("asked.kth").alias("limits"))
+        met = blocks.join(packs, ["seq", "cell"]).select("ids", "data", "queries", "qv", "limits")
 
         def run(batches):
             for batch in batches:
@@ -243,6 +250,8 @@ class VectorStore:
                         of, at = np.nonzero(np.ones(near.shape, bool))
                     square = np.cumsum((x[at] - q[of]) ** 2, 1)
                     distance = np.round(np.sqrt(square[:, -1]), 6)
+                    within = distance <= np.asarray(row.column("limits").flatten())[of]
+                    of, at, distance = of[within], at[within], distance[within]
                     yield pa.RecordBatch.from_arrays([asked.take(pa.array(of)), ids.take(pa.array(at)), pa.array(distance)], names=["query_id", key, "distance"])
 
         return met.mapInArrow(run, schema)
