@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemosea.functions import ranking, text
 from mnemosea.operators import graph, recall, search
+from mnemosea.sources.shared import kept
 
 #: Section: spaces, kinds.
 SECTIONS = {
@@ -30,12 +31,16 @@ def sections(t, queries: DataFrame, *, limit: int = 5, as_of_ms: int, rejected_w
     cap = F.when(wide, max(recall.CANDIDATES, 40 * limit)).otherwise(max(recall.CANDIDATES, 10 * limit))
     units = t.units
     index = t.index
-    fits = [F.when(F.col("memory_space").isin(*spaces) & (F.col("unit_kind").isin(*kinds) if kinds else F.lit(True)), F.lit(name)) for name, (spaces, kinds) in SECTIONS.items()]
-    placed = units.select("unit_id", F.explode(F.array_compact(F.array(*fits))).alias("section"))
-    matched = search.bm25(index, queries).join(placed, "unit_id")
-    lexical = search.ranked(matched, [F.col("bm25"), F.col("unit_id")], cap, "lexical_rank", keys)
+    names = list(SECTIONS)
+    most = {i: max(recall.CANDIDATES, (40 if n == "rejected_options" else 10) * limit) for i, n in enumerate(names)}
+    fits = [F.when(F.col("memory_space").isin(*spaces) & (F.col("unit_kind").isin(*kinds) if kinds else F.lit(True)), F.lit(i)) for i, (spaces, kinds) in enumerate(SECTIONS.values())]
+    placed = kept(units.select("unit_id", F.explode(F.array_compact(F.array(*fits))).alias("mark")))
+    section = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("mark") + 1).alias("section")
+    matched = search.scores(index, queries, placed, most).select("query_id", section, "unit_id", "bm25")
+    lexical = kept(search.ranked(matched, [F.col("bm25"), F.col("unit_id")], cap, "lexical_rank", keys))
+    placed = placed.select("unit_id", section)
     pairs = queries.select("query_id", "query", F.explode(F.array(*[F.lit(n) for n in SECTIONS])).alias("section"))
-    unmatched = pairs.join(matched.select(*keys).distinct(), list(keys), "left_anti")
+    unmatched = pairs.join(lexical.select(*keys).distinct(), list(keys), "left_anti")
     columns = [*keys, "unit_id", "lexical_rank"]
     found = lexical.select(*columns)
     if unmatched.head(1):
@@ -49,6 +54,7 @@ def sections(t, queries: DataFrame, *, limit: int = 5, as_of_ms: int, rejected_w
         found = found.select(*keys, "unit_id", F.coalesce("lexical_rank", F.lit(0)).cast("long").alias("lexical_rank"), F.coalesce("semantic_rank", F.lit(0)).cast("long").alias("semantic_rank"))
     else:
         found = found.withColumn("semantic_rank", F.lit(0).cast("long"))
+    found = kept(found)
     rows = recall.with_features(recall.enriched(found, units, t.nodes, t.verification, t.peers, t.chunk_versions), t.edges, t.spans)
     rows = recall.best(recall.scored(rows, queries, profile=profile, as_of_ms=as_of_ms), F.when(wide, 4 * limit).otherwise(limit), keys)
     said = text.any_of(F.lower(F.concat_ws("\n", "unit_kind", "subject", "body", "state")), rejected_words)
@@ -58,6 +64,7 @@ def sections(t, queries: DataFrame, *, limit: int = 5, as_of_ms: int, rejected_w
 
 def artifacts(section_rows: DataFrame, spans: DataFrame, refs: DataFrame, *, limit: int = 5) -> DataFrame:
     """(query_id, uri, title, place): sources of the bundle's units first, then what their spans quote; each URI once."""
+    section_rows = kept(section_rows)  # ``limit`` rows for each query and section
     own = section_rows.filter("source_uri <> ''").select("query_id", F.col("source_uri").alias("uri"), F.lit("").alias("title"), F.lit(0).alias("way"))
     named = refs.select("artifact_id", "uri", "title").distinct()
     quoted = section_rows.select("query_id", F.col("unit_id").alias("memory_id")).distinct().join(spans.select("memory_id", "artifact_id"), "memory_id").join(named, "artifact_id").select("query_id", "uri", "title", F.lit(1).alias("way"))
