@@ -76,6 +76,13 @@ def unit_vectors(units: DataFrame, dim: int = DIMENSION) -> DataFrame:
     return postings.embedded(indexable(units).select("unit_id", F.lower(F.concat_ws("\n", "title", "body")).alias("text")), dim)
 
 
+def embeddings(units: DataFrame, dim: int = DIMENSION) -> VectorStore:
+    """The stored vectors of all ``units`` without an index of their texts, which build() adds."""
+    root = f"{shared_folder(units.sparkSession)}/index-{uuid.uuid4().hex}/vectors"
+    part = vector_store.write_part(unit_vectors(units, dim), root, uuid.uuid4().hex[:12], key="unit_id", dim=dim)
+    return VectorStore(units.sparkSession, root, (part,), "unit_id", "string", dim)
+
+
 def documents(texts: DataFrame) -> DataFrame:
     """unit_id, tokens, doc_len."""
     t = F.concat(text.index_tokens(F.col("title")), text.index_tokens(F.col("body")))
@@ -205,10 +212,10 @@ class Index:
         segments = {e["seq"]: Segment(**e) for e in entries if "seq" in e}
         return cls(spark, manifest.rpartition("/manifest/")[0], texts, tuple(segments[s] for s in about["order"]), about["buckets"], about["dim"], about["tokenizer"], manifest)
 
-    def _written(self, units: DataFrame, blocks: Callable[[dict[int, int], int], DataFrame], vectors_: DataFrame, dead: DataFrame) -> tuple[Index, Segment]:
-        """A new segment's tables: ``units`` (unit_id, doc_len), ``blocks`` by parts of the classes of length and buckets, vectors, and the dead
-        of other segments (of, unit_id, doc_len, range)."""
-        seq = uuid.uuid4().hex[:12]
+    def _written(self, units: DataFrame, blocks: Callable[[dict[int, int], int], DataFrame], vectors_: DataFrame | vector_store.Part, dead: DataFrame) -> tuple[Index, Segment]:
+        """A new segment's tables: ``units`` (unit_id, doc_len), ``blocks`` by parts of the classes of length and buckets, vectors (or the part of them that is
+        written already, whose name the segment takes), and the dead of other segments (of, unit_id, doc_len, range)."""
+        seq = vectors_.seq if isinstance(vectors_, vector_store.Part) else uuid.uuid4().hex[:12]
         slot = slot_of(F.col("unit_id"))
         # Else each task would write a file for each slot.
         units.select("unit_id", "doc_len", slot.alias("slot")).hint("rebalance", "slot").write.partitionBy("slot").parquet(f"{self.root}/units/seq={seq}")
@@ -222,7 +229,7 @@ class Index:
         # A bucket may become several files, so a frequent term loads no single task. Blocks are packed on their way there.
         made = postings.unpacked(blocks(parts, buckets).hint("rebalance", "bucket"), SCHEMAS["blocks"].removesuffix(", seq string"))
         made.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{self.root}/blocks/seq={seq}")
-        part = vector_store.write_part(vectors_, f"{self.root}/vectors", seq, key="unit_id", dim=self.dim)
+        part = vectors_ if isinstance(vectors_, vector_store.Part) else vector_store.write_part(vectors_, f"{self.root}/vectors", seq, key="unit_id", dim=self.dim)
         dead.select("of", "unit_id", "doc_len", "range").write.parquet(f"{self.root}/dead/seq={seq}")
         return replace(self, buckets=buckets), Segment(seq, n, tokens, part.n, json.dumps(parts))
 
@@ -238,11 +245,12 @@ class Index:
         return lengths, placed, unit_vectors(units, self.dim)
 
     @classmethod
-    def build(cls, units: DataFrame, *, dim: int = DIMENSION, tokenizer: str = "unicode61", root: str | None = None) -> Index:
-        """The index of all ``units``, as one segment."""
-        root = root or f"{shared_folder(units.sparkSession)}/index-{uuid.uuid4().hex}"
-        empty = cls(units.sparkSession, root, indexed(units), (), 0, dim, tokenizer)
-        made, first = empty._written(*empty._of_units(units), units.sparkSession.createDataFrame([], SCHEMAS["dead"]))
+    def build(cls, units: DataFrame, *, dim: int = DIMENSION, tokenizer: str = "unicode61", root: str | None = None, embedded: VectorStore | None = None) -> Index:
+        """The index of all ``units``, as one segment; ``embedded`` is what embeddings() wrote of the same units, which one index may take over."""
+        root = root or (embedded.root.removesuffix("/vectors") if embedded else f"{shared_folder(units.sparkSession)}/index-{uuid.uuid4().hex}")
+        empty = cls(units.sparkSession, root, indexed(units), (), 0, embedded.dim if embedded else dim, tokenizer)
+        lengths, placed, vectors_ = empty._of_units(units)
+        made, first = empty._written(lengths, placed, embedded.parts[0] if embedded else vectors_, units.sparkSession.createDataFrame([], SCHEMAS["dead"]))
         return replace(made, segments=(first,))._noted()
 
     def updated(self, changed: DataFrame, texts: DataFrame, gone: DataFrame | None = None) -> Index:

@@ -23,6 +23,7 @@ SIGNALS = {"click": "reinforce", "view": "bookmark", "purchase": "confirm", "sig
 
 #: The stored indexes of this process's sessions, by application, folder and tokenizer: an index is built when first asked for.
 _INDEXES: dict[tuple[str, str, str], search.Index] = {}
+_EMBEDDED: dict[tuple[str, str], VectorStore] = {}
 _VECTORS: dict[tuple[str, str], VectorStore] = {}
 _EDGES: dict[tuple[str, str], graph.EdgeStore] = {}
 #: Length of the driver's vectors.
@@ -45,9 +46,17 @@ class Tables:
     def index_of(self, tokenizer: str) -> search.Index:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, tokenizer)
         if key not in _INDEXES:
-            _INDEXES[key] = search.rebuild(self.units, tokenizer=tokenizer)
+            _INDEXES[key] = search.rebuild(self.units, tokenizer=tokenizer, embedded=self.embeddings if tokenizer == "unicode61" else None)
         return _INDEXES[key]
 
+    @property
+    def embeddings(self) -> VectorStore:
+        """The vectors of the index, which are written before its postings, so that what asks for them alone doesn't wait for those."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _EMBEDDED:
+            _EMBEDDED[key] = search.embeddings(self.units)
+        return _EMBEDDED[key]
+
     @property
     def vector_store(self) -> VectorStore:
         """The driver's vectors in cells, by vec_id."""

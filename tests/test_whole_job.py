@@ -4,6 +4,7 @@ import numpy as np
 
 from mnemosea.operators import recall, search, vector_store
 from mnemosea.plans import catalogue
+from mnemosea.sources import bridge
 from mnemosea.sources.bridge import AS_OF_MS, Tables
 
 
@@ -106,3 +107,18 @@ def test_recall_with_the_vector_side(spark, sf):
     got = {(r.query_id, r.unit_id): (r.score, r.rank) for r in catalogue.QUERIES["recall_topk"](spark, sf).collect()}
     assert got == want
     assert got.keys() != {(r.query_id, r.unit_id) for r in catalogue.QUERIES["recall_lexical"](spark, sf).collect()}
+
+
+def test_index_status_counts_stored_vectors_before_there_are_postings(spark, sf):
+    own = f"{sf}/."  # a folder of which this session has no index yet
+    t = Tables(spark, own)
+    [status] = catalogue.QUERIES["index_status"](spark, own).collect()
+    assert not [k for k in bridge._INDEXES if k[1] == own]
+    want = {r.unit_id: r.embedding for r in search.unit_vectors(t.units).collect()}
+    assert status.embeddings == len(want) > 0
+    store = t.embeddings
+    index = t.index
+    assert index.vector_store.root == store.root and index.vector_store.parts == store.parts and [s.vectors for s in index.segments] == [len(want)]
+    assert {r.unit_id: r.embedding for r in index.vectors.collect()} == want
+    plain = search.rebuild(t.units)
+    assert index.statistics() == plain.statistics() and index.blocks().count() == plain.blocks().count()
