@@ -31,10 +31,11 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from mnemosea.llm._common import encoded, lowered_words, read_table, sliced
+from mnemosea.llm._common import encoded, lowered_words, read_table, sliced, text_bytes
 
 #: Place of the vocabulary file; a parameter of every function here.
 VOCABULARY = "word_bpe_49k.json"
@@ -139,19 +140,21 @@ class Vocabulary:
         self.known_ranks, self.known_begin, self.known_size = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.known_bytes = 0
 
-    def encode_pieces(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ranks, and where each piece's ranks begin and how many they are. A piece is encoded once
-        as long as the worker remembers it; a name that starts with \\r has no ranks."""
-        at = np.fromiter((self.known.get(n, -1) for n in names), np.int64, len(names))
+    def encode_pieces(self, pieces: pa.Array, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks, and where each piece's ranks begin and how many they are, of ``pieces``, whose ``names`` they are. A piece is encoded
+        once as long as the worker remembers it; a name that starts with \\r has no ranks."""
+        at = np.fromiter((self.known.get(n, -1) for n in names), np.int64, len(names)) if self.known else np.full(len(names), -1)
         new = np.flatnonzero(at < 0)
-        fresh = [names[i] for i in new.tolist()]
-        ranks, start = self.encode_words([b"" if n[0] == "\r" else n.encode() for n in fresh])
+        fresh = [names[i] for i in new.tolist()] if len(new) < len(names) else names
+        data, edges = text_bytes(pieces.take(pa.array(new)) if len(new) < len(names) else pieces)
+        special = data[edges[:-1]] == 13  # no piece is empty
+        ranks, start = self.encode_words(*_without(data, np.diff(edges), special))
         begin, size = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
         old = at >= 0
         begin[old], size[old] = self.known_begin[at[old]], self.known_size[at[old]]
         begin[new], size[new] = len(self.known_ranks) + start[:-1], np.diff(start)
         every = np.concatenate([self.known_ranks, ranks.astype(np.int32)])
-        self.known_bytes += sum(map(len, fresh)) + 120 * len(fresh) + 4 * len(ranks)
+        self.known_bytes += len(data) + 120 * len(fresh) + 4 * len(ranks)
         if self.known_bytes > KNOWN_BYTES:
             self._forget()
         else:
@@ -229,20 +232,22 @@ class Vocabulary:
             b[live] = np.where(first_later, y, self.left[y])
         return good
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of all words' tokens in one array, and where each word's begin."""
-        long = [k for k, w in enumerate(words) if len(w) > PART + OVERLAP]
-        if not long:
-            return self._encode(words)
-        ranks, start = self._encode([w if len(w) <= PART + OVERLAP else b"" for w in words])
+    def encode_words(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of all words' tokens in one array, and where each word's begin. Words are ``size`` bytes of ``data`` each, one after another."""
+        long = size > PART + OVERLAP
+        if not long.any():
+            return self._encode(data, size)
+        ranks, start = self._encode(*_without(data, size, long))
         parts = np.split(ranks, start[1:-1])
-        for k in long:
-            parts[k] = self._encode_long(words[k])
+        ends = np.cumsum(size)
+        for k in np.flatnonzero(long).tolist():
+            parts[k] = self._encode_long(data[ends[k] - size[k] : ends[k]].tobytes())
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
     def _encode_long(self, word: bytes) -> np.ndarray:
         first = list(range(0, max(1, len(word) - OVERLAP), PART))
-        ranks, start = self._encode([word[a : a + PART + OVERLAP] for a in first], np.array(first) + PART + OVERLAP >= len(word))
+        words = [word[a : a + PART + OVERLAP] for a in first]
+        ranks, start = self._encode(np.frombuffer(b"".join(words), np.uint8), np.array([*map(len, words)]), np.array(first) + PART + OVERLAP >= len(word))
         parts = np.split(ranks, start[1:-1])
         ends = [a + np.cumsum(self.length[t]) for a, t in zip(first, parts, strict=True)]
         out, low = [], 0  # low: the first token of the part that counts
@@ -281,19 +286,17 @@ class Vocabulary:
             pair[near] = ranks(near)
         return tokens
 
-    def _encode(self, words: list[bytes], closed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, data: np.ndarray, size: np.ndarray, closed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Words that are not ``closed`` go on: their last byte does not end a word."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-size, kind="stable")
         sizes = size[order]
-        data = np.frombuffer(b"".join(words), np.uint8)
         begin = np.concatenate([[0], np.cumsum(size)])
         closing = np.where(closed[order], sizes, -1) if closed is not None else sizes
         at = begin[:-1][order]
         total = int(begin[-1])
         last = np.full(total, -1, np.int32)
-        state = np.zeros(len(words), np.int64)
-        alive = len(words)
+        state = np.zeros(len(size), np.int64)
+        alive = len(size)
         for j in range(int(sizes[0]) if len(sizes) else 0):
             alive = int(np.searchsorted(-sizes, -(j + 1), side="right"))
             here = at[:alive] + j
@@ -313,7 +316,7 @@ class Vocabulary:
                 token[todo] = self.shorter[token[todo]]
         # Back-pointers, from the end of every word.
         rest = size.copy()
-        count = np.zeros(len(words), np.int64)
+        count = np.zeros(len(size), np.int64)
         chain = []
         todo = np.flatnonzero(rest > 0)
         while len(todo):
@@ -331,6 +334,11 @@ class Vocabulary:
         return out, offset
 
 
+def _without(data: np.ndarray, size: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of ``size`` bytes each, those that are ``gone`` as empty ones."""
+    return (data[np.repeat(~gone, size)], np.where(gone, 0, size)) if gone.any() else (data, size)
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -348,6 +356,11 @@ def normalised(text: str) -> str:
     return text.lower()
 
 
+def lines(values: pa.Array) -> str:
+    """All values, with a line end after each."""
+    return text_bytes(pc.binary_join_element_wise(values.cast(pa.large_string()), *(pa.scalar(x, pa.large_string()) for x in ("", "\n"))))[0].tobytes().decode()
+
+
 def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Positions begin[i] .. begin[i] + count[i] - 1 for each i in turn."""
     ends = np.cumsum(count)
@@ -362,8 +375,7 @@ class Block:
         words, offsets = lowered_words(texts, lower=False)
         distinct, codes = encoded(words)
         # Pieces of each distinct word. Words are split in one go, with a line end after each; none has one inside.
-        listed = distinct.to_pylist()
-        joined = "\n".join(listed) + "\n" if listed else ""
+        joined = lines(distinct)
         special = regex.compile("|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
         if special is not None and special.search(joined):
             # Special tokens are found before anything else; \r, which no word has, stands around them.
@@ -377,14 +389,15 @@ class Block:
         ends = np.flatnonzero(flat[1:] == 0)
         count = np.diff(ends, prepend=-1) - 1
         flat_a = flat[1:][flat[1:] != 0].astype(np.int64) - 1
-        names = kinds.to_pylist()[1:]
-        ranks, start, size = vocab.encode_pieces(names)
+        pieces = kinds.slice(1)
+        names = lines(pieces).split("\n")[:-1]  # of which none has a line end inside
+        ranks, start, size = vocab.encode_pieces(pieces, names)
         self.ids, self.vocab, self.specials = vocab.ids[ranks], vocab, {}
-        for i, n in enumerate(names):
-            if n[0] == "\r":
-                start[i], size[i] = len(self.ids), 1
-                self.specials[len(self.ids)] = n[1:]
-                self.ids = np.append(self.ids, np.uint32(vocab.special[n[1:]]))
+        for i in np.flatnonzero(np.asarray(pc.starts_with(pieces, "\r"))).tolist():
+            n = names[i]
+            start[i], size[i] = len(self.ids), 1
+            self.specials[len(self.ids)] = n[1:]
+            self.ids = np.append(self.ids, np.uint32(vocab.special[n[1:]]))
         # Token positions of each distinct word, then of each text.
         begin = np.concatenate([[0], np.cumsum(count)])
         word_size = np.add.reduceat(np.append(size[flat_a], 0), begin[:-1]) if len(count) else np.zeros(0, np.int64)

@@ -1,6 +1,7 @@
 """Results against brute force, exact round trips and held-out accuracy."""
 
 import base64
+import cProfile
 import collections
 import hashlib
 import importlib.resources
@@ -292,6 +293,19 @@ def test_training_order_holds_every_sequence_once(spark, sf, docs, tokenizer):
     assert got == want
 
 
+def test_encoder_makes_no_python_call_for_each_piece():
+    vocab = bpe.vocabulary(bpe.vocabulary_path())
+    letters, pick = "abcdefghijklmnopqrstuvwxyz", random.Random(4)
+    words = sorted({"".join(pick.choices(letters, k=8)) for _ in range(20_000)})
+    vocab._forget()
+    profile = cProfile.Profile()
+    block = profile.runcall(bpe.Block, pa.array([" ".join(words)]), vocab)
+    assert sum(entry.callcount for entry in profile.getstats()) < len(words)
+    vocab._forget()
+    again = bpe.Block(pa.array([" ".join(words[:50]), "", None, " ".join(words[50:])]), vocab)
+    assert np.array_equal(block.tokens(0, 1), again.tokens(0, 4))
+
+
 TRANSFORMS = [(), (0,), (1,), (2,), (0, 1, 2), (2, 0, 1), (3,), (3, 0)]
 
 
