@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemosea.functions.batches import sliced
+
 #: Bytes of distinct patterns that are sent to every task at once; more are answered in blocks of queries.
 PATTERN_BYTES = 8 << 20
 
@@ -56,7 +58,7 @@ def _searched(texts: DataFrame, patterns: DataFrame, key: str, text: str, kinds:
                 automaton.add_word(w, k)
         automaton.make_automaton()
         some = len(automaton) > 0
-        for batch in batches:
+        for batch in sliced(batches, text):
             rows, which, times = [], [], []
             for i, t in enumerate(batch.column(text).to_pylist()):
                 if t is None:
