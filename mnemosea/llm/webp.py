@@ -58,6 +58,11 @@ def _reversed(n: int) -> np.ndarray:
 
 #: Bits that are looked up at once for several symbols.
 _SEVERAL = 10
+#: What such a look-up gives in one number: the bits in the lowest four, one _FOUND for each symbol, and where the symbols stand.
+_FOUND, _SYMBOL_AT = 1 << 32, np.array([4, 16, 36])
+_TAKEN = 3 * _FOUND | 15
+#: Steps of _run between two in which references are read.
+_WAIT = 4
 _REVERSED_8, _REVERSED_15, _REVERSED_SEVERAL = _reversed(8), _reversed(15), _reversed(_SEVERAL)
 _LONG = -1
 #: Of the symbols of code lengths: extra bits, and the least run.
@@ -70,6 +75,11 @@ def _ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - count), count)
 
 
+def _filled(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of all that is not zero."""
+    return np.divmod(np.flatnonzero(rows), rows.shape[1])
+
+
 class Codes:
     """Many prefix codes, from a row of code lengths each.
 
@@ -89,7 +99,7 @@ class Codes:
         self.table = self.table.ravel()
         many = np.flatnonzero(~self.single)
         lengths = lengths[many]
-        code, symbol = np.nonzero(lengths)
+        code, symbol = _filled(lengths)
         size = lengths[code, symbol].astype(np.int64)
         count = np.bincount(code * 16 + size, minlength=len(many) * 16).reshape(-1, 16)
         if ((count << (15 - np.arange(16))).sum(1) != 1 << 15).any():
@@ -114,8 +124,15 @@ class Codes:
         self.table.reshape(m, 256)[many] = table[:, _REVERSED_8]
 
     def several(self, code: np.ndarray) -> np.ndarray:
-        """For each code and each value of the next _SEVERAL bits: how many symbols (three at most), their bits, and from bit 6 on the
-        symbols, twelve bits each. A reference counts as none, with its bits and symbol; a longer code has nothing."""
+        """For each code and each value of the next _SEVERAL bits, as _FOUND says: how many symbols (three at most), their bits, and the
+        symbols, twelve bits each. A reference counts as none and takes no bits, but has its symbol, and its bits as a second one; a longer code has nothing."""
+        out = np.empty((len(code), 1 << _SEVERAL), np.int64)
+        for k in range(0, len(code), 64):  # so many tables stay in the processor's cache
+            self._several(code[k : k + 64], out[k : k + 64].view(np.int32)[:, ::2], out[k : k + 64].view(np.int32)[:, 1::2])
+        return out.ravel()
+
+    def _several(self, code: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Fills the lower and upper halves of the numbers."""
         wide = 1 << _SEVERAL
         one = np.empty((len(code), wide), np.int32)
         single = self.single[code]
@@ -133,18 +150,24 @@ class Codes:
             table = entry.reshape(-1, wide)
         else:
             table[np.arange(wide) < filled[:, None]] = entry
-        one[many] = table[:, _REVERSED_SEVERAL]
+        one[many] = table.take(_REVERSED_SEVERAL, 1)
         reference = (one < 0) | ((one >= 256 << 4) & (one < 280 << 4))
-        bits = np.where(reference, 15, one & 15)
-        out = np.where(one < 0, 0, ~reference | (one & 15) << 2 | (one >> 4) << 6).astype(np.int64)
+        literal = np.where(reference, 15, one)  # nothing but literals can follow, and they have fewer bits
+        low[:] = np.where(reference, np.where(one < 0, 0, (one >> 4) << 4 | (one & 15) << 16), one)
+        count = 1 - reference.astype(np.int32)
+        used = literal & 15
+        used[single] = 15
         base = (np.arange(len(code), dtype=np.int32) << _SEVERAL)[:, None]
-        flat, used = one.ravel(), bits
+        flat = literal.ravel()
         for k in (1, 2):
-            next_one = flat.take(base + (np.arange(wide, dtype=np.int32) >> np.minimum(used, 15)))
-            good = (next_one >= 0) & ((next_one < 256 << 4) | (next_one >= 280 << 4)) & (used + (next_one & 15) <= _SEVERAL) & (used > 0)
-            out += good * (1 + ((next_one & 15) << 2) + ((next_one >> 4).astype(np.int64) << (6 + 12 * k)))
-            used = np.where(good, used + (next_one & 15), 15)
-        return out.ravel()
+            next_one = flat.take(base + (np.arange(wide, dtype=np.int32) >> used))
+            bits = next_one & 15
+            total = used + bits
+            good = total <= _SEVERAL
+            low += np.where(good, bits + ((next_one >> 4) << 16) if k == 1 else bits, 0)
+            count += np.where(good, 1 if k == 1 else 1 + (next_one ^ bits), 0)
+            used = np.where(good, total, 15)
+        high[:] = count
 
     def look(self, code: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and length of what each window begins with; a code is given as 256 times its number."""
@@ -167,21 +190,23 @@ def _expanded(kind: np.ndarray, value: np.ndarray, size: np.ndarray, count: np.n
     start = np.cumsum(size) - size
     pointer = np.arange(total + 1, dtype=np.int32)
     colour = np.zeros(total + 1, np.uint32)
-    some = kind == 0
-    colour[start[some]] = value[some].astype(np.uint32)
-    some = kind == 2
+    colour[start] = value  # no pointer leads to what this says of others than literals
+    some = np.flatnonzero(kind == 2)
     to = _ragged(start[some], size[some])
-    pointer[to] = to - np.repeat(value[some], size[some])
-    spot = start[kind == 1]
+    pointer[to] = to - np.repeat(value[some].astype(np.int64), size[some])
+    some = np.flatnonzero(kind == 1)
+    spot = start[some]
     if len(spot):
         _follow(pointer, to)
         own = np.flatnonzero(cache_bits > 0)
         at = _ragged((np.cumsum(count) - count)[own], count[own])
-        image = np.repeat(own, count[own])
+        where = np.zeros(total + 1, np.int32)
+        where[at] = np.arange(len(at), dtype=np.int32)
+        image = np.repeat(np.arange(len(own)), count[own])
         slot = ((colour[at] * np.uint32(CACHE_FACTOR)) >> np.repeat((32 - cache_bits[own]).astype(np.uint32), count[own])).astype(np.int64)
-        place = np.searchsorted(at, spot)
-        slot[place] = value[kind == 1]
-        before = _earlier((image << 11) | slot[np.searchsorted(at, pointer[at])])[place]
+        place = where[spot]
+        slot[place] = value[some]
+        before = _earlier((image << int(cache_bits.max())) | slot[where[pointer[at]]])[place]
         pointer[spot] = np.where(before < 0, total, at[before])  # a slot that nothing is in yet is 0
         to = np.concatenate([to, spot])
     _follow(pointer, to)
@@ -200,6 +225,12 @@ def _number(prefix: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndar
     return _LEAST[prefix] + (window & _EXTRA_MASK[prefix]), _EXTRA[prefix]
 
 
+@functools.cache
+def _starts() -> np.ndarray:
+    """For the next _SEVERAL + 7 bits, the _SEVERAL bits from each of the first eight on."""
+    return ((np.arange(1 << (_SEVERAL + 7))[:, None] >> np.arange(8)) & ((1 << _SEVERAL) - 1)).astype(np.uint16)
+
+
 class Images:
     """VP8L streams that are read side by side: each step reads something of every image that has it."""
 
@@ -218,13 +249,13 @@ class Images:
         return ((self.words.take(k) >> low) | ((self.words.take(k + 1) << np.uint64(1)) << (np.uint64(63) - low))).view(np.int64)
 
     @functools.cached_property
-    def quads(self) -> np.ndarray:
-        """The 32 bits from each byte on."""
+    def starts(self) -> np.ndarray:
+        """The _SEVERAL bits from each bit on."""
         data = self.words.view(np.uint8)
-        out = data[:-3].astype(np.uint32)
-        for k in (1, 2, 3):
-            out |= data[k : len(data) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
-        return out
+        three = data[:-2].astype(np.uint32)
+        for k in (1, 2):
+            three |= data[k : len(data) - 2 + k].astype(np.uint32) << np.uint32(8 * k)
+        return _starts().take(three & np.uint32((1 << (_SEVERAL + 7)) - 1), 0).ravel()
 
     def read(self, own: np.ndarray, n) -> np.ndarray:
         """n bits (a number, or one for each image of ``own``)."""
@@ -326,10 +357,13 @@ class Images:
         constant = np.where(plain, (codes.table.reshape(-1, 256)[others, 0] >> 4) @ np.array([1 << 16, 1, 1 << 24]), 0)
         widths, which = np.unique(width, return_inverse=True)
         near_of = np.maximum(1, _NEAR[:, 0] + _NEAR[:, 1] * widths[:, None])
-        if main and bool(plain.all()):
+        if main and bool(plain.all()) and len(self.words) < 1 << 26:
             image, symbols, size, value = self._run(own, codes, code_begin, count, slack, which, near_of, np.flatnonzero(count > 0))
             kind = np.where(symbols < 256, 0, np.where(symbols < 280, 2, 1)).astype(np.uint8)
-            value = np.where(kind == 0, constant[image] | symbols << 8, np.where(kind == 1, symbols - 280, value))
+            some = np.flatnonzero(kind == 0)
+            value[some] = constant.astype(np.uint32)[image[some]] | symbols[some].astype(np.uint32) << np.uint32(8)
+            some = np.flatnonzero(kind == 1)
+            value[some] = symbols[some] - 280
             return _expanded(kind, value, size, count, cache_bits), begin
         symbols, size = np.zeros(int((count + slack).sum()), np.int16), np.zeros(int((count + slack).sum()), np.int16)
         lane = np.flatnonzero(count > 0)
@@ -396,74 +430,84 @@ class Images:
     def _run(self, own: np.ndarray, codes: Codes, code_begin: np.ndarray, count: np.ndarray, slack: int, which: np.ndarray, near_of: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, ...]:
         """The symbols of those images (numbered by ``lane``) of which only green differs: up to three that are no references are read in one
         look-up. Gives for each symbol its image, the symbol, its pixels, and the distance of a reference."""
-        table, quads = codes.several(code_begin[lane]), self.quads
-        every, space = lane, np.cumsum(count[lane] + slack) - count[lane] - slack
-        stored = np.zeros(int((count[lane] + slack).sum()), np.int64)
-        base, at, left, place, total = np.arange(len(lane)) << _SEVERAL, self.at[own[lane]], count[lane].copy(), space, count[lane]
-        began = at.copy()
-        steps, copies, slow_bits = 0, [], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        while len(lane):
+        table, starts = codes.several(code_begin[lane]), self.starts
+        every, base, total = lane, np.arange(len(lane)) << _SEVERAL, count[lane]
+        # Where each image is read, in the lower half of a number, and the pixels it has, in the upper half.
+        state = self.at[own[lane]]
+        began = state.copy()
+        blocks, copies, slow_bits, steps = [], [], [(np.zeros(0, np.int64),) * 3], 0
+        row = np.arange(len(lane))
+        last = np.zeros(len(lane), np.int64)
+        while len(row):
             # Images that are done go on until the block of steps ends; what they read then is left out below.
-            block = np.empty((slack, len(lane)), np.int64)
+            block = np.empty((slack, len(row)), np.int64)
+            at, done, taken = state.view(np.uint32)[::2], state.view(np.uint32)[1::2], np.empty(len(row), np.int64)
             for s in range(slack):
                 entry = block[s]
-                table.take(base + ((quads.take(at >> 3, mode="clip") >> (at & 7)) & ((1 << _SEVERAL) - 1)), out=entry, mode="clip")
-                n = entry & 3
-                bits = (entry >> 2) & 15
-                if not n.all() and len(slow := np.flatnonzero((n == 0) & (left > 0))):
-                    c, window = code_begin[lane[slow]] << 8, self.window(at[slow])
-                    symbol, used = entry[slow] >> 6, bits[slow]
-                    far = slow
-                    if not symbol.all():  # codes that are longer than one look-up
-                        symbol, used = (x.astype(np.int64) for x in codes.look(c, window))
-                        some = np.flatnonzero((symbol >= 256) & (symbol < 280))
-                        far, c = slow[some], c[some]
-                    else:
-                        some = slice(None)
-                    entry[slow] = 1 | symbol << 6
-                    bits[slow], n[slow] = used, 1
-                    if len(far):
-                        w = window[some] >> used[some]
-                        run, extra = _number(symbol[some] - 256, w)
-                        w = w >> extra
-                        t, used_2 = codes.look(c + 1024, w)
-                        d, more = _number(t.astype(np.int64), w >> used_2)
-                        d = np.where(d > 120, d - 120, near_of[which[lane[far]], np.minimum(d, 120) - 1])
-                        if (d > total[far] - left[far]).any() or (run > left[far]).any():
-                            raise Damaged("a back-reference leaves the image")
-                        n[far] = run
-                        bits[far] += extra + used_2 + more
-                        copies.append((place[far] + steps + s, run, d))
-                    slow_bits.append((place[slow] + steps + s, bits[slow]))
-                at += bits
-                left -= n
-            stored[(place + steps)[:, None] + np.arange(slack)] = block.T
+                table.take(base + starts.take(at, mode="clip"), out=entry, mode="clip")
+                np.bitwise_and(entry, _TAKEN, out=taken)
+                np.add(state, taken, out=state)
+                # An image that meets a reference or a longer code stands still until they are read, for many images at a time.
+                if s % _WAIT != _WAIT - 1 or not len(slow := np.flatnonzero((entry < _FOUND) & (done < total))):
+                    continue
+                c, window = code_begin[every[row[slow]]] << 8, self.window(at[slow].astype(np.int64))
+                symbol, used = (entry[slow] >> 4) & 4095, entry[slow] >> 16
+                if not symbol.all():  # codes that are longer than one look-up
+                    symbol, used = (x.astype(np.int64) for x in codes.look(c, window))
+                entry[slow] = _FOUND | symbol << 4
+                pixels = np.ones(len(slow), np.int64)
+                far = np.flatnonzero((symbol >= 256) & (symbol < 280))
+                if len(far):
+                    w = window[far] >> used[far]
+                    run, extra = _number(symbol[far] - 256, w)
+                    w = w >> extra
+                    t, used_2 = codes.look(c[far] + 1024, w)
+                    d, more = _number(t.astype(np.int64), w >> used_2)
+                    lane = slow[far]
+                    d = np.where(d > 120, d - 120, near_of[which[every[row[lane]]], np.minimum(d, 120) - 1])
+                    if (d > done[lane]).any() or (run > total[lane] - done[lane]).any():
+                        raise Damaged("a back-reference leaves the image")
+                    pixels[far] = run
+                    used[far] += extra + used_2 + more
+                    copies.append((row[lane], np.full(len(lane), steps + s), run, d))
+                slow_bits.append((row[slow], np.full(len(slow), steps + s), used))
+                state[slow] += used + (pixels << 32)
+            blocks.append((row, block))
             steps += slack
-            live = left > 0
+            last[row] = steps
+            live = done < total
             if not live.all():
-                lane, base, at, left, place, total = (x[live] for x in (lane, base, at, left, place, total))
-        found = np.flatnonzero(stored & 3)
+                row, base, state, total = (x[live] for x in (row, base, state, total))
+        place = np.cumsum(last) - last
+        stored = np.empty(int(last.sum()), np.int64)
+        for k, (row, block) in enumerate(blocks):
+            stored[(place[row] + k * slack)[:, None] + np.arange(slack)] = block.T
+        del blocks
+        found = np.flatnonzero(stored >= _FOUND)
         entry = stored[found]
-        n = entry & 3
-        row = np.repeat(np.arange(len(every)), count[every] + slack)[found]
+        n = (entry >> 32) & 3
+        edge = np.searchsorted(found, np.append(place, len(stored)))  # the look-ups of each image
+        row = np.repeat(np.arange(len(every), dtype=np.int32), np.diff(edge))
         pixels = n.copy()
-        far, run, d = (np.concatenate([c[k] for c in copies]) for k in range(3)) if copies else (np.zeros(0, np.int64),) * 3
-        far = np.searchsorted(found, far)
+        far, step, run, d = (np.concatenate([c[k] for c in copies]) for k in range(4)) if copies else (np.zeros(0, np.int64),) * 4
+        far = np.searchsorted(found, place[far] + step)
         pixels[far] = run
         before = np.cumsum(pixels) - pixels
-        before -= before[np.searchsorted(row, np.arange(len(every)))][row]
-        n = np.minimum(n, count[every][row] - before)  # what follows an image's end is no pixel
-        used = (entry >> 2) & 15
-        spot, bits = (np.concatenate([x[k] for x in slow_bits]) for k in (0, 1))
-        used[np.searchsorted(found, spot)] = bits
-        inside = n > 0
-        self.at[own[every]] = began + np.bincount(row[inside], used[inside], len(every)).astype(np.int64) - _SEVERAL  # the last look-up may have gone beyond the image
+        before -= np.repeat(before[edge[:-1]] - np.cumsum(count[every]) + count[every], np.diff(edge))
+        n = np.clip(np.repeat(np.cumsum(count[every]), np.diff(edge)) - before, 0, n)  # what follows an image's end is no pixel
+        used = entry & 15
+        spot, step, bits = (np.concatenate([x[k] for x in slow_bits]) for k in range(3))
+        used[np.searchsorted(found, place[spot] + step)] = bits
+        used = np.append(0, np.cumsum(np.where(n > 0, used, 0)))
+        self.at[own[every]] = began + np.diff(used[edge]) - _SEVERAL  # the last look-up may have gone beyond the image
         self.check()
-        n = np.maximum(n, 0)
         first = np.cumsum(n) - n
-        which_one = np.arange(int(n.sum())) - np.repeat(first, n)
-        symbols = (np.repeat(entry, n) >> (6 + 12 * which_one)) & 4095
-        size, value = np.ones(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
+        inside = np.flatnonzero(n > 0)
+        symbols = np.empty(int(n.sum()) + 2, np.int16)
+        for k in (2, 1, 0):  # a look-up of fewer symbols is overwritten by the ones that follow
+            symbols[first[inside] + k] = (entry[inside] >> _SYMBOL_AT[k]) & 4095
+        symbols = symbols[:-2]
+        size, value = np.ones(len(symbols), np.int32), np.zeros(len(symbols), np.uint32)
         size[first[far]], value[first[far]] = run, d
         return np.repeat(every[row], n), symbols, size, value
 
@@ -538,20 +582,29 @@ def _follow(pointer: np.ndarray, todo: np.ndarray) -> None:
         pointer[todo] = on[moved]
 
 
-def _order(key: np.ndarray) -> np.ndarray:
-    """The stable order of numbers from 0 on, 16 bits at a time."""
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of numbers from 0 on, and the numbers in it."""
+    most, bits = int(key.max(initial=0)), len(key).bit_length()
+    if most >> 16 and not most >> (63 - bits):  # a number and its place in one
+        both = (key.astype(np.int64) << bits) | np.arange(len(key))
+        both.sort()
+        return both & ((1 << bits) - 1), both >> bits
     order = np.argsort((key & 0xFFFF).astype(np.uint16), kind="stable")
-    key, most = key >> 16, int(key.max(initial=0)) >> 16
+    rest, most = key >> 16, most >> 16
     while most:
-        order = order[np.argsort((key & 0xFFFF).astype(np.uint16)[order], kind="stable")]
-        key, most = key >> 16, most >> 16
-    return order
+        order = order[np.argsort((rest & 0xFFFF).astype(np.uint16)[order], kind="stable")]
+        rest, most = rest >> 16, most >> 16
+    return order, key[order]
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 on."""
+    return _sorted(key)[0]
 
 
 def _earlier(key: np.ndarray) -> np.ndarray:
     """For each place the last earlier place with the same key, or -1."""
-    order = _order(key)
-    own = key[order]
+    order, own = _sorted(key)
     same = np.flatnonzero(own[1:] == own[:-1])
     out = np.full(len(key), -1, np.int32)
     out[order[same + 1]] = order[same]
@@ -773,7 +826,7 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
 
 
 def _huffman(counts: np.ndarray) -> np.ndarray:
-    row, symbol = np.nonzero(counts)
+    row, symbol = _filled(counts)
     weight = counts[row, symbol]
     order = _order((row << 20) | np.minimum(weight, (1 << 20) - 1))
     row, symbol, weight = row[order], symbol[order], weight[order]
@@ -815,7 +868,7 @@ def _huffman(counts: np.ndarray) -> np.ndarray:
 
 def _code_words(lengths: np.ndarray) -> np.ndarray:
     """The code of each symbol of each row, its first bit lowest."""
-    row, symbol = np.nonzero(lengths)
+    row, symbol = _filled(lengths)
     size = lengths[row, symbol].astype(np.int64)
     count = np.bincount(row * 16 + size, minlength=len(lengths) * 16).reshape(-1, 16)
     first = np.cumsum(count << (15 - np.arange(16)), 1) - (count << (15 - np.arange(16)))
@@ -840,7 +893,7 @@ def _put_codes(out: Bitstreams, own: np.ndarray, lengths: np.ndarray) -> np.ndar
     single = np.zeros(len(own), np.int64)
     single[simple] = lengths[simple].argmax(1)
     many = np.flatnonzero(used > 1)
-    r, s = np.nonzero(lengths[many])
+    r, s = _filled(lengths[many])
     value = lengths[many][r, s].astype(np.int64)
     before = np.concatenate([[0], s[:-1]]) + 1
     gap = s - np.where(np.concatenate([[True], r[1:] != r[:-1]]), 0, before)
@@ -1045,7 +1098,7 @@ def encode_images(grey: np.ndarray, height: np.ndarray) -> list[bytes]:
     every = np.arange(n)
     out.put(every, 0x2F | (WIDE - 1) << 8 | (height - 1) << 22, 40)
     seen = np.zeros((n, 256), bool)
-    seen[image, grey] = True
+    seen.ravel()[(image << 8) | grey] = True
     colours = seen.sum(1)
     small = colours <= FEW
 
@@ -1111,10 +1164,13 @@ def _file(chunk: bytes) -> bytes:
 
 
 def _groups(size: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of images of PIXELS pixels at most in all, or of one image."""
+    """Ranges of images of like many pixels in all, about PIXELS at most, or of one image. A small rest makes the others larger: what all
+    images of a range do side by side takes as many steps for a few images as for many."""
     out, i, ends = [], 0, np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    most = -(-total // max(1, -(-(total - PIXELS // 4) // PIXELS)))
     while i < len(size):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIXELS, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most + HIGH * WIDE, side="right")))
         out.append((i, j))
         i = j
     return out

@@ -405,6 +405,54 @@ def test_media_query(spark, sf, docs, monkeypatch):
     assert seen["modes"] >= 3
 
 
+def test_webp_reads_references_for_many_images_at_a_time(monkeypatch):
+    """References and longer codes cost a look-up of their own, so images that meet one wait for others: by far fewer such look-ups than steps."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 117, rng.integers(3, 12), dtype=np.uint8)) + b" " for _ in range(400)]
+    payloads = [payload_of(b"".join(words[i] for i in rng.integers(0, 400, 600))) for _ in range(40)]
+    media = webp.encode_payloads(np.concatenate(payloads), np.cumsum([0, *map(len, payloads)]))
+    seen = collections.Counter()
+    run, look = webp.Images._run, webp.Codes.look
+
+    def counted(self, own, codes, *rest):
+        monkeypatch.setattr(webp.Codes, "look", lambda *a: (seen.update(looks=1), look(*a))[1])
+        image, symbols, size, value = run(self, own, codes, *rest)
+        monkeypatch.setattr(webp.Codes, "look", look)
+        seen.update(symbols=len(symbols), references=int((size > 1).sum()), images=len(own), most=int(np.bincount(image).max()))
+        return image, symbols, size, value
+
+    monkeypatch.setattr(webp.Images, "_run", counted)
+    assert all(np.array_equal(a, b) for a, b in zip(webp.decode_payloads(media), payloads, strict=True))
+    assert seen["references"] > 20 * seen["images"] and seen["looks"] < seen["most"] / 5, seen
+
+
+def test_webp_references_of_one_pixel():
+    """Images that wait at nearly every step take more steps than they have pixels."""
+    out, own, width, height = webp.Bitstreams(2), np.arange(2), np.array([40, 64]), np.array([5, 64])
+    out.put(own, 0x2F | (width - 1) << 8 | (height - 1) << 22, 40)
+    out.put(own, 0, 3)  # no transform, no cache, one group
+    lengths = np.zeros((10, 280), np.uint8)
+    lengths[[0, 0, 5, 5], [7, 256, 9, 256]] = 1  # green: a literal, or a reference of one pixel
+    lengths[[1, 2, 6, 7], 0] = lengths[[3, 8], 255] = lengths[[4, 9], 1] = 1  # the second short distance: one to the left
+    webp._put_codes(out, np.repeat(own, 5), lengths)
+    count = width * height
+    out.put(np.repeat(own, count), np.concatenate([np.minimum(np.arange(n), 1) for n in count]), 1)
+    for got, colour, w, h in zip(webp.decode(out.chunks()), (7, 9), width, height, strict=True):
+        assert np.array_equal(got, np.broadcast_to(np.array([0, colour, 0, 255], np.uint8), (h, w, 4)))
+
+
+def test_webp_images_are_coded_in_ranges_of_like_size():
+    """What 4 MB of text leaves beyond two ranges is no range of its own, in which few images would take as many steps."""
+    size = np.full(2066, webp.HIGH * webp.WIDE)
+    ranges = webp._groups(size)
+    assert [j - i for i, j in ranges] == [1034, 1032]
+    for n in (0, 1, 5, 1023, 1024, 1025, 1300, 1600, 5000):
+        ranges = webp._groups(size[:1].repeat(n))
+        assert [i for i, _ in ranges] == [0, *(j for _, j in ranges)][: len(ranges)] and (ranges[-1][1] if ranges else 0) == n
+        lengths = [j - i for i, j in ranges]
+        assert max(lengths, default=0) * size[0] <= webp.PIXELS * 5 // 4 + size[0] and min(lengths, default=1) >= max(lengths, default=0) * 0.9 - 1
+
+
 def components(sets, linked):
     root = {i: i for i in sets}
 
