@@ -160,9 +160,14 @@ def hash_bucket(token: Column, dim: int = DIMENSION) -> Column:
     return bucket(token)
 
 
+def divided(a: Column, b: Column) -> Column:
+    """The quotient of two doubles as IEEE 754 has it, where Spark's own raises an error: by zero it is infinite, and NaN for zero by zero."""
+    return F.when(b == 0, a * float("inf")).otherwise(a / b)
+
+
 def newton_root(value: Column) -> Column:
-    """Twelve Newton steps from the value itself; not converged for large values, by definition."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), value, lambda x, _: (x + value / x) * 0.5)
+    """Twelve Newton steps from the value itself; not converged for large values, by definition, and NaN for zero."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), value, lambda x, _: (x + divided(value, x)) * 0.5)
 
 
 def normalised(vector: Column) -> Column:

@@ -1,13 +1,16 @@
 """Small literal cases of the operators' semantics."""
 
 import itertools
+import math
 import sqlite3
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from mnemosea.functions import ranking, text, vectors
 from mnemosea.operators import graph, ingest, lifecycle, maintain, recall, search, signing, sync
+from mnemosea.plans import catalogue
 from mnemosea.streaming import workers
 
 MESSAGE = "session_id string, seq long, role string, content string, authored_at_ms long, namespace string, project_key string, branch_name string"
@@ -103,6 +106,16 @@ def test_embeddings_equal_plain_python(spark):
         assert [r[0] and [round(x, 9) for x in r[0]] for r in df.select(vectors.local_embedding(F.col("w"), dim)).collect()] == [want(w, dim) for w in lists]
 
 
+def test_the_norm_of_documents_without_characters_is_that_of_the_sql(spark, tmp_path):
+    lengths = [(1, 0), (2, 1), (3, None), (4, 100_000), (5, 0), (6, 4_000_000_000)]
+    spark.createDataFrame(lengths, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    own = lambda found: sorted((i, "nan" if x is not None and math.isnan(x) else x) for i, x in found)
+    got = own((r.doc_id, r.ratio) for r in catalogue.QUERIES["embed_norm"](spark, str(tmp_path)).collect())
+    assert got == own(con.sql(catalogue.SQL["embed_norm"]).fetchall()) and [i for i, x in got if x == "nan"] == [1, 5]
+
+
 def test_empty_text_embeds_to_zero(spark):
     df = spark.createDataFrame([("",), ("the of",)], "t string")
     assert [list(r[0]) for r in df.select(vectors.local_embedding(text.tokens(F.col("t")))).collect()] == [[0.0] * 8] * 2
