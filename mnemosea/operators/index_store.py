@@ -38,7 +38,7 @@ SLOTS = 64
 TOKENIZERS = ("unicode61", "trigram")
 SCHEMAS = {
     "units": "unit_id string, doc_len long, slot int, seq string",
-    "blocks": "term string, range long, n long, max_tf long, min_len long, unit_ids array<string>, tfs array<int>, lens array<int>, places array<array<int>>, bucket int, seq string",
+    "blocks": "term string, range long, n long, max_tf long, min_len long, unit_ids array<string>, tfs array<int>, lens array<int>, bucket int, seq string",
     "dead": "of string, unit_id string, doc_len long, range long, seq string",
 }
 
@@ -278,8 +278,7 @@ class Index:
         """The index with its last segments as one, without their dead, who are all noted in these segments."""
         own = self.segments[-last:]
         part = replace(self, segments=own)
-        # Lists of nulls would take most of the time of their way to the kernel.
-        blocks = part.blocks().select("seq", "range", "term", "unit_ids", "tfs", "lens", *(["places"] if self.tokenizer == "trigram" else []))
+        blocks = part.blocks().select("seq", "range", "term", "unit_ids", "tfs", "lens")
         dead = part.dead().filter(~F.col("seq").isin([s.seq for s in own])).withColumnRenamed("seq", "of")
         there = part.stored_units().select("seq", "unit_id", "doc_len", part.own_range().alias("range"))
         placed = lambda parts, buckets: postings.moved_blocks(postings.beside(blocks, there.withColumn("told", range_of(F.col("doc_len"), F.col("unit_id"), parts))), buckets)
