@@ -1,5 +1,6 @@
 """The stored index after changes, with bounds and merges, against plain Python."""
 
+import json
 import math
 import random
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from mnemosea.functions import postings
 from mnemosea.operators import index_store, patterns, search
 
 SCHEMA = "unit_id string, title string, body string, state string, sensitivity string"
@@ -207,3 +209,27 @@ def test_the_update_reads_only_touched_slots(spark, grown):
     index, _, _ = grown
     scan = index._scan("units").filter(F.col("slot").isin([1]))
     assert "slot" in spark._jvm.PythonSQLUtils.explainString(scan._jdf.queryExecution(), "formatted").split("PartitionFilters")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("tokenizer", index_store.TOKENIZERS)
+def test_merged_blocks_are_those_of_a_new_index(spark, small_ranges, tokenizer):
+    """Ranges of the merged segments are halved or joined, and lose their dead."""
+    rng = random.Random(4)
+    units = {f"u{k}": ("", text_of(rng, rng.choice([4, 4, 4, 30]))) for k in range(90)}
+    frame = lambda some: spark.createDataFrame(rows(some), SCHEMA)
+    index = search.rebuild(frame({u: units[u] for u in sorted(units)[:50]} | {"gone": ("", "w1 w2 w3 w4")}), tokenizer=tokenizer)
+    units |= {f"u{k}": ("", text_of(rng, 4)) for k in (3, 17, 30)}
+    new = {u: x for u, x in units.items() if u not in sorted(units)[:50] or u in ("u3", "u17", "u30")}
+    merged = search.update(index, frame(new), frame(units), gone=spark.createDataFrame([("gone",)], "unit_id string")).compacted()
+    plain = search.rebuild(frame(units), tokenizer=tokenizer)
+    own = lambda index: sorted(tuple(r) for r in index.blocks().drop("seq").collect())
+    assert own(merged) == own(plain) and len(merged.segments) == 1
+    assert merged.segments[0].parts == plain.segments[0].parts and max(json.loads(plain.segments[0].parts).values()) > max(json.loads(index.segments[0].parts).values())
+
+
+def test_blocks_are_small_on_their_way_whatever_the_number_of_buckets(spark):
+    rng = random.Random(6)
+    units = [(f"unit-{k}", text_of(rng, 60), 60, 0) for k in range(256)]
+    made = postings.token_blocks(spark.createDataFrame(units, "unit_id string, text string, doc_len long, range long"), 48)
+    n = sum(len(set(t.split())) for _, t, _, _ in units)
+    assert made.agg(F.sum(F.octet_length("packed"))).first()[0] < 8 * n
